@@ -54,5 +54,5 @@ def file_status(files: DataFrame, listing: DataFrame, key: str | None = None) ->
     if key is not None:
         wanted = relative_key(F.lit(key))
         files, places = files.where(F.col("key") == wanted), places.where(F.col("key") == wanted)
-    located = places.distinct().groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list("_at"))).alias("objects"))
+    located = places.groupBy("key").agg(F.map_from_entries(F.collect_list("_at")).alias("objects"))
     return files.join(located, "key", "full" if key is not None else "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import type_names
-from ..functions.numbers import round4
+from ..functions.numbers import mean4
 from ..functions.text import job_key
 from ..functions.thresholds import CATEGORIES, category, with_thresholds
 
@@ -57,7 +57,7 @@ def per_sensor_results(categorized: DataFrame, keys: tuple[str, ...] = ("sensor_
         F.count(F.lit(1)).alias("count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        round4(F.avg("value")).alias("avg"),
+        mean4(F.col("value")).alias("avg"),
         *category_counts,
     )
 

@@ -195,7 +195,7 @@ CATEGORY = """CASE sensor_type
 CATEGORIZED = f"{BATCHED},\ncategorized AS (SELECT *, {CATEGORY} AS category FROM batched)"
 RANGES = "SELECT sensor_type, batch_number, min(id) AS first_id, max(id) AS last_id, count(*) AS count FROM batched GROUP BY ALL"
 RESULTS = """SELECT 'job-' || sensor_type AS job_id, sensor_type, batch_number, sensor_id, count(*) AS count, min(value) AS min, max(value) AS max,
-       round_even(avg(value) * 10000, 0) / 10000 AS avg,
+       round_even(sum(CAST(round(value * 10000) AS BIGINT)) / count(*), 0) / 10000 AS avg,
        count(*) FILTER (WHERE category = 'LOW') AS low_count, count(*) FILTER (WHERE category = 'NORMAL') AS normal_count,
        count(*) FILTER (WHERE category = 'HIGH') AS high_count, count(*) FILTER (WHERE category = 'CRITICAL') AS critical_count
 FROM categorized GROUP BY sensor_type, batch_number, sensor_id"""

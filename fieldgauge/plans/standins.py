@@ -224,15 +224,24 @@ def versioned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- samples ------------------------------------------------------------------------------
 
 
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as single samples: run (event type), t in seconds, hour, value in cents."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_seconds(F.lit(EPOCH).cast("timestamp"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run"),
+        seconds.alias("t"),
+        F.floor(seconds / 3600).alias("hour"),
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+    )
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as one sample per run (event type) and hour: t in seconds, count, sum in cents."""
-    hours = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit(EPOCH).cast("timestamp"))) / 3600)
-    cents = F.round(F.col("value") * 100).cast("bigint")
+    """events as one sample per run and hour: count, sum and peak in cents."""
     return (
-        table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("run"), hours.alias("_hour"))
-        .agg(F.count(F.lit(1)).alias("calls"), F.sum(cents).alias("cents"), F.max(cents).alias("peak"))
-        .select("run", (F.col("_hour") * 3600 + 1800).cast("double").alias("t"), "calls", "cents", "peak")
+        event_samples(spark, sf_dir)
+        .groupBy("run", "hour")
+        .agg(F.count(F.lit(1)).alias("calls"), F.sum("cents").alias("cents"), F.max("cents").alias("peak"))
+        .select("run", (F.col("hour") * 3600 + 1800).cast("double").alias("t"), "calls", "cents", "peak")
     )
 
 
