@@ -44,6 +44,9 @@ REPORT_SCHEMA = "file_key STRING, report STRING, load BIGINT"
 # An id packs load, task and row: 20 + 17 + 26 bits of a positive BIGINT.
 LOAD_BITS, TASK_BITS, ROW_BITS = 20, 17, 26
 
+# Up to this many loads are read by naming their folders.
+FOLDERS_NAMED = 500
+
 
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str], replaced: DataFrame | None = None) -> DataFrame:
     """Drop every existing row whose key is replaced, add the new rows.
@@ -71,13 +74,16 @@ class SensorStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._next_load: int | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _read(self, table: str, schema: str) -> DataFrame:
+    def _read(self, table: str, schema: str, below: str = "") -> DataFrame:
+        """A table, or only the folders below it that match; an absent one is empty."""
         try:
-            return self.spark.read.schema(schema).parquet(self.path(table))
+            reader = self.spark.read.schema(schema).option("basePath", self.path(table))
+            return reader.parquet(f"{self.path(table)}/{below}".rstrip("/"))
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
@@ -98,13 +104,22 @@ class SensorStore:
         """Number of the newest committed load, 0 when there is none."""
         return self.events().agg(F.coalesce(F.max("load"), F.lit(0))).first()[0]
 
+    def next_load(self) -> int:
+        """Number for the next load. The ledger is asked once; this writer counts on from there."""
+        if self._next_load is None:
+            self._next_load = self.last_load() + 1
+        return self._next_load
+
     def committed(self, source: str) -> bool:
-        """Whether this source's load is in the ledger; a partition filter, no data is read."""
-        return not self.events().where(F.col("source") == source).limit(1).isEmpty()
+        """Whether this source's load is in the ledger; only its own folder is listed."""
+        return not self._read("ledger", LEDGER_SCHEMA, f"source={source}").limit(1).isEmpty()
 
-    def superseded(self) -> DataFrame:
-        """(file_key, load) of stored loads that a newer event of the same file replaced."""
-        events = self.events().select(F.col("key").alias("file_key"), "load", "status")
+    def superseded(self, after: int = 0) -> DataFrame:
+        """(file_key, load) of stored loads past `after` that a newer event of the file replaced.
+
+        Newer events have higher load numbers, so earlier ones need not be read.
+        """
+        events = self.events().where(F.col("load") > after).select(F.col("key").alias("file_key"), "load", "status")
         newest = events.groupBy("file_key").agg(F.max("load").alias("newest"))
         replaced = events.where(F.col("status") == "Stored").join(newest, "file_key")
         return replaced.where(F.col("load") < F.col("newest")).select("file_key", "load")
@@ -127,25 +142,33 @@ class SensorStore:
         events.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
             f"{self.path('ledger')}/source={source}/load={load}"
         )
+        self._next_load = load + 1
 
     def reports(self) -> DataFrame:
         return self._read("reports", REPORT_SCHEMA)
 
     def loads(self, after: int = 0, upto: int | None = None) -> DataFrame:
-        """Rows of committed loads in (after, upto], live or not; prunes to those folders."""
+        """Rows of committed loads in (after, upto], live or not.
+
+        A short span names its folders, so that a long table is not listed for a few loads.
+        """
         last = self.last_load() if upto is None else upto
-        return self._read("measurements", MEASUREMENT_SCHEMA).where((F.col("load") > after) & (F.col("load") <= last))
+        wanted = range(after + 1, last + 1)
+        below = f"load={{{','.join(map(str, wanted))}}}" if 0 < len(wanted) <= FOLDERS_NAMED else ""
+        rows = self._read("measurements", MEASUREMENT_SCHEMA, below)
+        return rows.where((F.col("load") > after) & (F.col("load") <= last))
 
     def measurements(self, after: int = 0, upto: int | None = None) -> DataFrame:
         """Live measurements. No hint: Spark broadcasts the superseded pairs only when small."""
-        return self.loads(after, upto).join(self.superseded(), ["file_key", "load"], "left_anti")
+        return self.loads(after, upto).join(self.superseded(after), ["file_key", "load"], "left_anti")
 
     def compact(self, target_root: str) -> "SensorStore":
         """Write the live rows and current ledger as a fresh store at another root."""
         last = self.last_load()
         target = SensorStore(self.spark, target_root)
-        columns = [c for c in self.measurements(upto=last).columns]
-        self.measurements(upto=last).select(*columns).write.partitionBy("load", "sensor_type").parquet(target.path("measurements"))
+        # The rebalance gives files of a good size and splits large folders over several tasks.
+        live = self.measurements(upto=last).hint("rebalance", "load", "sensor_type")
+        live.write.partitionBy("load", "sensor_type").parquet(target.path("measurements"))
         newest = Window.partitionBy("key").orderBy(F.desc("load"))
         current = self.events().withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")
         current.write.partitionBy("source", "load").parquet(target.path("ledger"))

@@ -14,8 +14,8 @@ from ..operators.ledger import error_reports, ledger_events
 from ..operators.rules import valid_readings, validate_rows
 from ..operators.store import SensorStore
 from ..operators.verdicts import file_summary, issue_samples, open_verdict, with_status
-from ..sources.drop_files import MAX_BYTES, as_files, fetch, parse_rows, read_files
-from ..sources.listing import empty_objects
+from ..sources.drop_files import MAX_BYTES, as_files, fetch, parse_rows
+from ..sources.listing import empty_objects, scan_folder
 from .steps import FILE_INGESTION, Definition, run_steps
 
 
@@ -61,7 +61,7 @@ def ingest_load(
     """
     if store.committed(source):
         return None
-    load = store.last_load() + 1
+    load = store.next_load()
     now = F.lit(as_of or datetime.now(timezone.utc))
     plan = plan_load(files, now, definition)
     plan.validated.persist(StorageLevel.MEMORY_AND_DISK)
@@ -79,9 +79,9 @@ def ingest_load(
 KeyOf = Callable[[Column], Column] | None
 
 
-def empty_files(spark: SparkSession, root: str, key_of: KeyOf = None) -> DataFrame:
+def empty_files(scan: DataFrame, root: str, key_of: KeyOf = None) -> DataFrame:
     """Zero-byte files as rows; the file scan leaves them out."""
-    return empty_objects(spark, root).select(
+    return empty_objects(scan, root).select(
         (key_of(F.col("key")) if key_of else F.col("key")).alias("file_key"),
         F.lit(0).cast("bigint").alias("size_bytes"),
         F.lit(None).cast("timestamp").alias("last_modified"),
@@ -89,6 +89,26 @@ def empty_files(spark: SparkSession, root: str, key_of: KeyOf = None) -> DataFra
     )
 
 
+def folder_files(spark: SparkSession, folder: str, key_of: KeyOf = None) -> DataFrame:
+    """Every file below a folder, empty ones too."""
+    scan = scan_folder(spark, folder)
+    return as_files(scan, folder, key_of).unionByName(empty_files(scan, folder, key_of))
+
+
+def sweep_empty_files(
+    store: SensorStore,
+    folder: str,
+    source: str,
+    definition: Definition = FILE_INGESTION,
+    as_of: datetime | None = None,
+    key_of: KeyOf = None,
+) -> int | None:
+    """Reject the zero-byte files of a folder that the ledger does not know yet."""
+    known = store.events().select(F.col("key").alias("file_key"))
+    fresh = empty_files(scan_folder(store.spark, folder), folder, key_of).join(known, "file_key", "left_anti")
+    return None if fresh.limit(1).isEmpty() else ingest_load(store, fresh, source, definition, as_of)
+
+
 def ingest_folder(
     store: SensorStore,
     folder: str,
@@ -97,9 +117,12 @@ def ingest_folder(
     as_of: datetime | None = None,
     key_of: KeyOf = None,
 ) -> int | None:
-    """Ingest everything below a folder as one load."""
-    files = read_files(store.spark, folder, key_of).unionByName(empty_files(store.spark, folder, key_of))
-    return ingest_load(store, files, source, definition, as_of)
+    """Ingest everything below a folder as one load.
+
+    For a folder of one load's size; a larger one goes through the inbox stream, which
+    cuts it into loads.
+    """
+    return ingest_load(store, folder_files(store.spark, folder, key_of), source, definition, as_of)
 
 
 def reingest(

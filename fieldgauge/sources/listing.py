@@ -21,13 +21,17 @@ def key_under(root: str, path: Column) -> Column:
     return F.regexp_replace(plain, rf"^.*?/\Q{bare}\E/", "")
 
 
+def scan_folder(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below root as (path, modificationTime, length, content); listed once."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
 def list_objects(spark: SparkSession, root: str, prefix: str = "", exclude_suffix: str | None = None) -> DataFrame:
     """(key, size, last_modified) of the objects below root; content is never read.
 
     Objects of zero bytes do not come out of Spark's scan, see empty_objects.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    listing = scan.select(
+    listing = scan_folder(spark, root).select(
         key_under(root, F.col("path")).alias("key"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("last_modified"),
@@ -45,16 +49,15 @@ def visible_objects(listing: DataFrame, prefix: str = "", exclude_suffix: str |
     return kept
 
 
-def empty_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Keys of zero-byte objects: those the file index knows and the scan drops.
+def empty_objects(scan: DataFrame, root: str) -> DataFrame:
+    """Keys of zero-byte objects: those the scan's file index knows and its rows lack.
 
-    The file index holds the paths on the driver already; only they pass here.
+    The file index holds the paths on the driver already; nothing else passes there.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    paths = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
-    indexed = paths.select(key_under(root, F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("key"))
+    paths = scan.sparkSession.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
+    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     scanned = scan.select(key_under(root, F.col("path")).alias("key"))
-    return visible_objects(indexed.join(scanned, "key", "left_anti"))
+    return visible_objects(paths.select(key_under(root, decoded).alias("key")).join(scanned, "key", "left_anti"))
 
 
 def count_by_prefix(listing: DataFrame, file_prefix: str = "") -> DataFrame:

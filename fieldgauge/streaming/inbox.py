@@ -6,11 +6,10 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import SensorStore
-from ..plans.ingest import KeyOf, empty_files, ingest_load
+from ..plans.ingest import KeyOf, ingest_load, sweep_empty_files
 from ..plans.steps import FILE_INGESTION, Definition
 from ..sources.drop_files import as_files
 
@@ -32,9 +31,12 @@ def trigger_of(interval_seconds: int | None) -> dict:
     return {"processingTime": f"{check_interval(interval_seconds)} seconds"}
 
 
-def inbox_stream(spark: SparkSession, inbox: str, max_files: int, key_of: KeyOf = None) -> DataFrame:
+def inbox_stream(spark: SparkSession, inbox: str, max_files: int, key_of: KeyOf = None, archive: str | None = None) -> DataFrame:
     reader = spark.readStream.format("binaryFile").schema(SCAN_SCHEMA).option("recursiveFileLookup", "true")
-    return as_files(reader.option("maxFilesPerTrigger", max_files).load(inbox), inbox, key_of)
+    reader = reader.option("maxFilesPerTrigger", max_files)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return as_files(reader.load(inbox), inbox, key_of)
 
 
 def ingest_stream(
@@ -48,23 +50,32 @@ def ingest_stream(
     name: str = "inbox",
     as_of: datetime | None = None,
     key_of: KeyOf = None,
+    archive: str | None = None,
+    sweep_every: int = 8,
 ) -> StreamingQuery:
     """Start ingesting an inbox into a store.
 
     Each micro-batch is one load. The checkpoint remembers the files taken, and a repeated
     micro-batch finds its load committed, so every file counts once. A callable definition
     is asked again for every load.
+
+    Empty files, which the scan leaves out, are looked for when a run starts and, with an
+    interval, at every sweep_every-th micro-batch: that takes a listing of the inbox. Where
+    the inbox keeps growing, name an archive folder and Spark moves finished files there.
     """
     store = SensorStore(spark, store_root)
+    batches = 0
 
     def load_batch(files: DataFrame, batch_id: int) -> None:
+        nonlocal batches
         current = definition() if callable(definition) else definition
-        known = store.events().select(F.col("key").alias("file_key"))
-        empties = empty_files(spark, inbox, key_of).join(known, "file_key", "left_anti")
-        ingest_load(store, files.unionByName(empties), f"{name}-{batch_id}", current, as_of)
+        ingest_load(store, files, f"{name}-{batch_id}", current, as_of)
+        if batches == 0 or (interval_seconds is not None and batches % sweep_every == 0):
+            sweep_empty_files(store, inbox, f"{name}-{batch_id}-empty", current, as_of, key_of)
+        batches += 1
 
     return (
-        inbox_stream(spark, inbox, max_files, key_of)
+        inbox_stream(spark, inbox, max_files, key_of, archive)
         .writeStream.foreachBatch(load_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger_of(interval_seconds))

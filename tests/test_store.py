@@ -7,11 +7,10 @@ from fieldgauge.functions.times import instant
 from fieldgauge.operators.audit import audit
 from fieldgauge.operators.ledger import error_reports, finalized_state, ledger_view
 from fieldgauge.operators.store import SensorStore, measurement_ids, replace_by_key
-from fieldgauge.plans.ingest import ingest_folder, plan_load, reingest
+from fieldgauge.plans.ingest import folder_files, ingest_folder, plan_load, reingest
 from fieldgauge.plans.process import categorize_loads
 from fieldgauge.plans.steps import Definition, SENSOR_PROCESSING, Step, StepFailed
-from fieldgauge.sources.drop_files import read_files
-from fieldgauge.sources.listing import count_by_prefix, empty_objects, list_objects, listing_page
+from fieldgauge.sources.listing import count_by_prefix, empty_objects, list_objects, listing_page, scan_folder
 from fieldgauge.sources.normalized import read_normalized, write_normalized
 from fieldgauge.streaming.categorizer import categorize_stream
 from fieldgauge.streaming.inbox import check_interval, ingest_stream
@@ -71,7 +70,7 @@ def test_load_cut_short_is_invisible_and_replaced(spark, store, drop):
     drop("a.csv", csv(1))
     ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
     drop("b.csv", csv(2, kind="humidity", unit="%"))
-    half = plan_load(read_files(spark, drop.inbox), instant("2030-01-01"))
+    half = plan_load(folder_files(spark, drop.inbox), instant("2030-01-01"))
     store.write_load(2, half.readings)
     assert live(store) == [("a.csv", 2, 1.0)]
     drop("c.csv", csv(3))
@@ -101,7 +100,7 @@ def test_replace_by_key(spark):
 
 def test_normalized_round_trip(spark, drop, tmp_path):
     drop("a.csv", csv("68", kind="temperature", unit="F"))
-    readings = plan_load(read_files(spark, drop.inbox), instant("2030-01-01")).readings
+    readings = plan_load(folder_files(spark, drop.inbox), instant("2030-01-01")).readings
     for _ in range(2):
         write_normalized(readings, str(tmp_path / "n"))
     back = read_normalized(spark, str(tmp_path / "n"))
@@ -119,7 +118,7 @@ def test_listing(spark, drop):
     listing = list_objects(spark, drop.inbox)
     assert sorted((r["key"], r["size"]) for r in listing.collect()) == [
         ("incoming/a/c d+e.csv", 3), ("incoming/b.csv", 1), ("invalid/q.csv", 1), ("invalid/q.csv.error.json", 2), ("processed/p.csv", 2)]
-    assert [r["key"] for r in empty_objects(spark, drop.inbox).collect()] == ["incoming/empty +1.csv"]
+    assert [r["key"] for r in empty_objects(scan_folder(spark, drop.inbox), drop.inbox).collect()] == ["incoming/empty +1.csv"]
     assert {r["prefix"]: r["objects"] for r in count_by_prefix(listing).collect()} == {"incoming/": 2, "processing/": 0, "processed/": 1, "invalid/": 1, "converted/": 0}
     assert [r["key"] for r in listing_page(listing, 2, "incoming/a/c d+e.csv").collect()] == ["incoming/b.csv", "invalid/q.csv"]
     keys = spark.createDataFrame([("b.csv",), ("p.csv",), ("q.csv",), ("z.csv",)], "key string")
@@ -227,6 +226,19 @@ def test_stream_takes_the_newest_definition(spark, drop, tmp_path):
     assert found == {"a.csv": ("Invalid", 1, 0, 0), "b.csv": ("Stored", 2, 2, 1)}
 
 
+def test_archived_inbox_is_left_empty(spark, drop, tmp_path):
+    drop("a.csv", csv(1))
+    root, log, archive = (str(tmp_path / n) for n in ("store", "log", "archive"))
+    run = lambda: ingest_stream(spark, drop.inbox, root, log, as_of=AS_OF, archive=archive).awaitTermination()
+    run()
+    drop("b.csv", csv(2))
+    run()
+    drop("c.csv", csv(3))
+    run()
+    assert live(SensorStore(spark, root)) == [("a.csv", 2, 1.0), ("b.csv", 2, 2.0), ("c.csv", 2, 3.0)]
+    assert not (tmp_path / "inbox" / "a.csv").exists() and list((tmp_path / "archive").rglob("a.csv"))
+
+
 def test_interval_range():
     assert check_interval(15) == 15
     for seconds in (0, 3601):
