@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .text import plain_number
+
 # Type, canonical unit, lowest and highest accepted value.
 SENSOR_TYPES = [
     ("temperature", "C", -90.0, 150.0),
@@ -56,7 +58,9 @@ def fixed_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> Dat
 
 
 def sensor_types(spark: SparkSession) -> DataFrame:
-    return fixed_table(spark, SENSOR_TYPES, ["sensor_type", "canonical_unit", "min_value", "max_value"])
+    """Types with their bounds, also as the text a range message shows."""
+    rows = [(*row, f"[{plain_number(row[2])}, {plain_number(row[3])}]") for row in SENSOR_TYPES]
+    return fixed_table(spark, rows, ["sensor_type", "canonical_unit", "min_value", "max_value", "bounds"])
 
 
 def sensor_units(spark: SparkSession) -> DataFrame:

@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim_blank
+from .text import WHITE_SPACE
 
 # Fixed value: the accepted shape of a number; a bare cast would also take 1d or NaN.
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def read_number(text: Column) -> Column:
+    """Text to a double, NULL where it has not the shape of a number; 1e400 reads as infinite."""
+    # Blanks are rare: only text that is not a number as it stands is trimmed.
+    trimmed = F.btrim(text, F.lit(WHITE_SPACE))
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double")).when(trimmed.rlike(NUMBER_SHAPE), trimmed.try_cast("double"))
+
+
+def is_finite(number: Column) -> Column:
+    """False for NULL, too."""
+    return F.coalesce(F.abs(number) < float("inf"), F.lit(False))
+
+
 def parse_number(text: Column) -> Column:
     """Text to a finite double, NULL for anything else."""
-    # Blanks are rare: only text that is not a number as it stands is trimmed.
-    trimmed = trim_blank(text)
-    number = F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double")).when(trimmed.rlike(NUMBER_SHAPE), trimmed.try_cast("double"))
-    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+    number = read_number(text)
+    return F.when(is_finite(number), number)
 
 
 def round4(value: Column) -> Column:

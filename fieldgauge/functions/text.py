@@ -72,8 +72,14 @@ def job_key(base: Column | str, sensor_type: Column) -> Column:
     return F.concat_ws("-", base, sensor_type)
 
 
+def zero_padded(number: Column, width: int) -> Column:
+    """At least width digits; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def file_name(number: Column) -> Column:
-    return F.format_string("file-%06d", number)
+    return F.concat(F.lit("file-"), zero_padded(number, 6))
 
 
 def number_text(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim_blank
+from .text import WHITE_SPACE
 
 # Fixed value: an ISO-8601 date must lead; Spark alone would also take a bare year.
 DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}"
@@ -15,7 +15,7 @@ PLAIN_DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}([ -~]*[!-~])?$"
 
 def parse_timestamp(text: Column) -> Column:
     """ISO-8601 text to an instant; without a zone it is UTC. NULL for anything else."""
-    trimmed = trim_blank(text)
+    trimmed = F.btrim(text, F.lit(WHITE_SPACE))
     return F.when(text.rlike(PLAIN_DATE_SHAPE), text.try_cast("timestamp")).when(trimmed.rlike(DATE_SHAPE), trimmed.try_cast("timestamp"))
 
 

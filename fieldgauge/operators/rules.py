@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import sensor_types, sensor_units
-from ..functions.numbers import parse_number, round4
+from ..functions.numbers import is_finite, read_number, round4
 from ..functions.text import number_text, trim_blank
 from ..functions.times import parse_timestamp
 
@@ -26,6 +26,7 @@ def with_catalog(rows: DataFrame, type_text: Column, unit_text: Column) -> DataF
         "canonical_unit",
         "min_value",
         "max_value",
+        "bounds",
     )
     units = sensor_units(spark).select(
         F.lower("sensor_type").alias("_unit_type_key"), F.lower("unit").alias("_unit_key"), "pre", "mul", "div"
@@ -47,7 +48,8 @@ def validate_rows(raw: DataFrame, as_of: Column) -> DataFrame:
     """Check every raw row; the first failing rule gives its message, NULL means valid.
 
     Input: the five raw fields, and row_error / is_row where the source sets them.
-    Output: the other input columns, the reading's columns (NULL unless valid), message.
+    Output: the other input columns, the reading's columns as far as they could be read,
+    and the message.
     """
     carried = [c for c in raw.columns if c not in RAW_FIELDS and c != "row_error"]
     row_error = F.col("row_error") if "row_error" in raw.columns else F.lit(None).cast("string")
@@ -61,7 +63,7 @@ def validate_rows(raw: DataFrame, as_of: Column) -> DataFrame:
         F.col("timestamp").alias("_ts_text"),
         F.col("value").alias("_value_text"),
         parse_timestamp(F.col("timestamp")).alias("_ts"),
-        parse_number(F.col("value")).alias("_raw"),
+        read_number(F.col("value")).alias("_raw"),
     )
     joined = with_catalog(staged, F.col("_type"), F.col("_unit")).withColumn("_value", converted(F.col("_raw")))
     quoted = lambda text, before, after: F.concat(F.lit(before), text, F.lit(after))
@@ -75,7 +77,7 @@ def validate_rows(raw: DataFrame, as_of: Column) -> DataFrame:
         .when(F.col("type_name").isNull(), quoted(F.coalesce("_type", F.lit("")), "Unknown sensor_type '", "'"))
         .when(F.col("_ts").isNull(), quoted(F.coalesce("_ts_text", F.lit("")), "Invalid timestamp '", "'"))
         .when(F.col("_ts") > as_of + F.expr("INTERVAL 1 DAY"), quoted(F.col("_ts_text"), "Timestamp '", "' is in the future"))
-        .when(F.col("_raw").isNull(), quoted(F.coalesce("_value_text", F.lit("")), "Invalid value '", "'"))
+        .when(~is_finite(F.col("_raw")), quoted(F.coalesce("_value_text", F.lit("")), "Invalid value '", "'"))
         .when(
             F.col("pre").isNull(),
             F.concat(F.lit("Unit '"), F.coalesce("_unit", F.lit("")), F.lit("' not supported for "), F.col("type_name")),
@@ -86,30 +88,27 @@ def validate_rows(raw: DataFrame, as_of: Column) -> DataFrame:
                 F.lit("Value "),
                 number_text(F.col("_value")),
                 F.col("canonical_unit"),
-                F.lit(" outside ["),
-                number_text(F.col("min_value")),
-                F.lit(", "),
-                number_text(F.col("max_value")),
-                F.lit("]"),
+                F.lit(" outside "),
+                F.col("bounds"),
             ),
         )
     )
-    checked = joined.withColumn("message", message)
-    valid = is_row & F.col("message").isNull()
-    reading = {
-        "sensor_id": F.col("_id"),
-        "sensor_type": F.col("type_name"),
-        "timestamp": F.col("_ts"),
-        "value": F.col("_value"),
-        "unit": F.col("canonical_unit"),
-    }
-    return checked.select(*carried, *[F.when(valid, source).alias(name) for name, source in reading.items()], "message")
+    return joined.select(
+        *carried,
+        F.col("_id").alias("sensor_id"),
+        F.col("type_name").alias("sensor_type"),
+        F.col("_ts").alias("timestamp"),
+        F.col("_value").alias("value"),
+        F.col("canonical_unit").alias("unit"),
+        message.alias("message"),
+    )
 
 
 def valid_readings(validated: DataFrame) -> DataFrame:
-    """The readings alone; a valid row is the one with a sensor id."""
+    """The readings alone: data rows without a message."""
+    rows = validated.where("is_row") if "is_row" in validated.columns else validated
     kept = ["file_key", "line_number", *RAW_FIELDS]
-    return validated.where(F.col("sensor_id").isNotNull()).select(*[c for c in kept if c in validated.columns])
+    return rows.where(F.col("message").isNull()).select(*[c for c in kept if c in validated.columns])
 
 
 def row_issues(validated: DataFrame) -> DataFrame:

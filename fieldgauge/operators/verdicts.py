@@ -21,14 +21,10 @@ def file_summary(validated: DataFrame) -> DataFrame:
     one record per file for the shuffle.
     """
     is_row = F.col("is_row") if "is_row" in validated.columns else F.lit(True)
-    attributes = [c for c in ("size_bytes", "checksum", "format", "fatal_error") if c in validated.columns]
-    counts = validated.groupBy("file_key").agg(
-        # One value per file: any of them will do.
-        *[F.max(c).alias(c) for c in attributes],
-        F.count_if(is_row).alias("total_rows"),
-        F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows"),
+    counts = validated.groupBy("file_key", "file").agg(
+        F.count_if(is_row).alias("total_rows"), F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows")
     )
-    return counts.withColumn("valid_rows", F.col("total_rows") - F.col("invalid_rows"))
+    return counts.select("file_key", "file.*", "total_rows", "invalid_rows", (F.col("total_rows") - F.col("invalid_rows")).alias("valid_rows"))
 
 
 def issue_samples(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:

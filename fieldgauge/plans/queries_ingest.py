@@ -271,9 +271,9 @@ SELECT file_key, position + 2 AS line_number, sensor_id, sensor_type, ts_text, v
        CASE WHEN flaw = 800 THEN 'Expected 5 fields, got 6' END AS row_error
 FROM raw WHERE NOT is_json AND fault NOT IN (5, 11, 17, 23, 29)""",
     "json_rows": f"""WITH {RAW}
-SELECT file_key, position + 1 AS line_number, CASE WHEN flaw = 800 THEN '' ELSE sensor_id END AS sensor_id,
-       CASE WHEN flaw = 800 THEN '' ELSE sensor_type END AS sensor_type, CASE WHEN flaw = 800 THEN '' ELSE ts_text END AS ts_text,
-       CASE WHEN flaw <> 800 THEN TRY_CAST(value_text AS DOUBLE) END AS number, CASE WHEN flaw = 800 THEN '' ELSE unit END AS unit,
+SELECT file_key, position + 1 AS line_number, CASE WHEN flaw <> 800 THEN sensor_id END AS sensor_id,
+       CASE WHEN flaw <> 800 THEN sensor_type END AS sensor_type, CASE WHEN flaw <> 800 THEN ts_text END AS ts_text,
+       CASE WHEN flaw <> 800 THEN TRY_CAST(value_text AS DOUBLE) END AS number, CASE WHEN flaw <> 800 THEN unit END AS unit,
        CASE WHEN flaw = 800 THEN 'Item is not an object' END AS row_error
 FROM raw WHERE is_json AND fault NOT IN (5, 11, 17, 23, 29)""",
     "validated_readings": f"{BASE}\nSELECT {READING} FROM checked WHERE message IS NULL",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import fixed_table
+from ..functions.text import zero_padded
 from ..session import configure
 from ..sources.drop_files import CSV_HEADER
 
@@ -149,7 +150,7 @@ def sensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_key(number: Column) -> Column:
     """Key of an order's file; every fiftieth is marked poison."""
     mark = F.when(number % 50 == 7, "poison-").otherwise("")
-    return F.concat(F.lit(f"{RUN_PREFIX}/"), mark, F.format_string("file-%09d.csv", number))
+    return F.concat(F.lit(f"{RUN_PREFIX}/"), mark, F.lit("file-"), zero_padded(number, 9), F.lit(".csv"))
 
 
 def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +174,7 @@ def ledger_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as events of a ledger: each customer is a file, each order one event about it."""
     status = F.when(F.col("o_orderstatus") == "F", "Stored").when(F.col("o_orderstatus") == "O", "Processing").otherwise("Invalid")
     return table(spark, sf_dir, "orders").select(
-        F.format_string("file-%09d.csv", F.col("o_custkey")).alias("key"),
+        F.concat(F.lit("file-"), zero_padded(F.col("o_custkey"), 9), F.lit(".csv")).alias("key"),
         status.alias("status"),
         F.col("o_orderpriority").alias("run_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),

@@ -20,7 +20,7 @@ JSON_NAMES = ["sensorId", "sensorType", "timestamp", "value", "unit"]
 MAX_BYTES = 50 * 1024 * 1024
 LINE_BREAK = "\r\n|\r|\n"
 BYTE_ORDER_MARK = "\ufeff"
-FILE_COLUMNS = ["file_key", "size_bytes", "checksum", "format"]
+FILE_COLUMNS = ["size_bytes", "checksum", "format", "fatal_error"]
 
 
 def detect_format(key: Column) -> Column:
@@ -59,8 +59,9 @@ def fetch(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
 def parse_rows(fetched: DataFrame) -> DataFrame:
     """One row per data row of a file, and one marker row where a file has no data row.
 
-    Columns: the file's own, fatal_error, is_row, line_number, the five raw fields as text
-    and row_error. A marker row has is_row = false.
+    Columns: file_key, file (size, checksum, format and fatal error as one struct, so that a
+    row carries one column for them), is_row, line_number, the five raw fields as text and
+    row_error. A marker row has is_row = false.
     """
     decoded = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(F.startswith(decoded, F.lit(BYTE_ORDER_MARK)), F.substring(decoded, 2, 2**31 - 1)).otherwise(decoded)
@@ -93,12 +94,15 @@ def parse_rows(fetched: DataFrame) -> DataFrame:
     # Exactly one of the two lists is set, so the two generators never multiply.
     exploded = (
         staged.select(
-            *FILE_COLUMNS, "fatal_error", F.when(good, F.col("_lines")).alias("_lines"), F.when(good, F.col("_items")).alias("_items")
+            "file_key",
+            F.struct(*FILE_COLUMNS).alias("file"),
+            F.when(good, F.col("_lines")).alias("_lines"),
+            F.when(good, F.col("_items")).alias("_items"),
         )
-        .select(*FILE_COLUMNS, "fatal_error", "_items", F.posexplode_outer("_lines").alias("_line_pos", "_line"))
+        .select("file_key", "file", "_items", F.posexplode_outer("_lines").alias("_line_pos", "_line"))
         # The header stays as the marker row of its file.
         .where(F.col("_line_pos").isNull() | (F.col("_line_pos") == 0) | has_text(F.col("_line")))
-        .select(*FILE_COLUMNS, "fatal_error", "_line_pos", "_line", F.posexplode_outer("_items").alias("_item_pos", "_item"))
+        .select("file_key", "file", "_line_pos", "_line", F.posexplode_outer("_items").alias("_item_pos", "_item"))
     )
     return _fields(exploded)
 
@@ -106,32 +110,27 @@ def parse_rows(fetched: DataFrame) -> DataFrame:
 def _fields(exploded: DataFrame) -> DataFrame:
     from_csv = F.col("_line_pos") > 0
     from_json = F.col("_item_pos").isNotNull()
-    parts = exploded.withColumn("_parts", F.when(from_csv, F.split("_line", ","))).withColumn(
-        "_object", F.when(from_json, F.col("_item").try_cast("map<string,variant>"))
-    )
-    width = len(CSV_HEADER)
-    row_error = F.when(
-        from_csv & (F.size("_parts") != width),
-        F.concat(F.lit(f"Expected {width} fields, got "), F.size("_parts").cast("string")),
-    ).when(from_json & F.col("_object").isNull(), "Item is not an object")
-    fields = [
-        F.when(from_csv, F.try_element_at("_parts", F.lit(i + 1))).when(from_json, _scalar_text(F.col("_object")[name])).alias(column)
-        for i, (column, name) in enumerate(zip(CSV_HEADER, JSON_NAMES))
-    ]
-    return parts.select(
-        *FILE_COLUMNS,
-        "fatal_error",
+    members = F.array(*[F.col("_object")[name] for name in JSON_NAMES])
+    parts = exploded.withColumn("_object", F.when(from_json, F.col("_item").try_cast("map<string,variant>"))).select(
+        "file_key",
+        "file",
         F.coalesce(from_csv | from_json, F.lit(False)).alias("is_row"),
         (F.coalesce("_line_pos", "_item_pos") + 1).cast("int").alias("line_number"),
-        *fields,
-        row_error.alias("row_error"),
+        F.when(from_csv, F.split("_line", ","))
+        .when(from_json & F.col("_object").isNotNull(), F.transform(members, _scalar_text))
+        .alias("_parts"),
+    )
+    width = len(CSV_HEADER)
+    row_error = F.when(F.col("is_row") & F.col("_parts").isNull(), "Item is not an object").when(
+        F.size("_parts") != width, F.concat(F.lit(f"Expected {width} fields, got "), F.size("_parts").cast("string"))
     )
+    fields = [F.get("_parts", F.lit(i)).alias(name) for i, name in enumerate(CSV_HEADER)]
+    return parts.select("file_key", "file", "is_row", "line_number", *fields, row_error.alias("row_error"))
 
 
 def _scalar_text(member: Column) -> Column:
     """Text of a JSON string or number; any other kind, or a missing member, reads as ''."""
-    kind = F.schema_of_variant(member)
-    scalar = (kind == "STRING") | kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    scalar = F.schema_of_variant(member).rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
     return F.coalesce(F.when(scalar, member.try_cast("string")), F.lit(""))
 
 

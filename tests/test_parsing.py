@@ -29,7 +29,7 @@ def checked(spark, **contents):
 def fatal(spark, name, content):
     (row,) = checked(spark, **{name: content})
     assert not row["is_row"]
-    return row["fatal_error"]
+    return row["file"]["fatal_error"]
 
 
 def test_csv_golden_values(spark):
