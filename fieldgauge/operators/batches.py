@@ -115,16 +115,22 @@ def assign_batches(
     only_uncategorized: bool = True,
     sensor_types: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Eligible measurements with their batch_number; max_batches 0 means all."""
+    """Eligible measurements with row_number and batch_number; max_batches 0 means all."""
     sizes = [(1, batch_size)] if isinstance(batch_size, int) else list(batch_size)
     rows = eligible(measurements, after_id, only_uncategorized, job, sensor_types)
     numbered = with_row_number(rows)
-    batched = numbered.withColumn("batch_number", batch_number(F.col("row_number"), sizes)).drop("row_number")
+    batched = numbered.withColumn("batch_number", batch_number(F.col("row_number"), sizes))
     return batched.where(F.col("batch_number") <= max_batches) if max_batches > 0 else batched
 
 
 def batch_ranges(batched: DataFrame) -> DataFrame:
-    """First id, last id and count of each batch."""
+    """First id, last id and count of each batch, and the rows processed once it is done.
+
+    The last row's number is that running total, so no batch has to look at earlier ones.
+    """
     return batched.groupBy("sensor_type", "batch_number").agg(
-        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("count")
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count(F.lit(1)).alias("count"),
+        F.max("row_number").alias("processed"),
     )

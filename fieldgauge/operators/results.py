@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import type_names
@@ -86,28 +86,8 @@ def job_totals(ranges: DataFrame, base: Column | str, failed: DataFrame | None =
     return totals.select(job_key(base, F.col("sensor_type")).alias("job_id"), "sensor_type", "processed", "batches", "failed_batches", "cursor")
 
 
-def job_progress(ranges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """Cursor, batches and processed rows after each batch of a job.
-
-    Running sums inside chunks of batches plus the chunks' own sums, so that a long job
-    is not summed in one task.
-    """
-    chunked = ranges.withColumn("_chunk", F.floor((F.col("batch_number") - 1) / F.lit(chunk)))
-    before = Window.partitionBy("sensor_type").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (
-        chunked.groupBy("sensor_type", "_chunk")
-        .agg(F.sum("count").alias("_n"))
-        .select("sensor_type", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy("sensor_type", "_chunk").orderBy("batch_number").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        chunked.withColumn("_inside", F.sum("count").over(inside))
-        .join(chunks, ["sensor_type", "_chunk"])
-        .select(
-            "sensor_type",
-            "batch_number",
-            F.col("last_id").alias("cursor"),
-            F.col("batch_number").alias("batches"),
-            (F.col("_before") + F.col("_inside")).alias("processed"),
-        )
+def job_progress(ranges: DataFrame) -> DataFrame:
+    """Cursor, batches and processed rows after each batch of a job."""
+    return ranges.select(
+        "sensor_type", "batch_number", F.col("last_id").alias("cursor"), F.col("batch_number").alias("batches"), "processed"
     )

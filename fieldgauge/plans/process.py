@@ -74,7 +74,7 @@ def categorize_loads(
     output = plan.run.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if plan.run.updates and "category" in output.columns:
-            store.write_job("categorized", base, output, ("sensor_type",))
+            store.write_job("categorized", base, output.drop("row_number"), ("sensor_type",))
         if plan.run.results is not None:
             results = plan.run.results.select(job_key(base, F.col("sensor_type")).alias("job_id"), "*", now.alias("created_at"))
             store.write_job("results", base, results)

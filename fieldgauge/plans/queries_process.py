@@ -59,13 +59,13 @@ def per_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_ranges(assign_batches(standins.measurements(spark, sf_dir), BATCH))
+    return batch_ranges(assign_batches(standins.measurements(spark, sf_dir), BATCH)).drop("processed")
 
 
 def scheduled_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch size 100 for three batches, 250 for two, then 400."""
     sizes = [(1, 100), (4, 250), (6, 400)]
-    return batch_ranges(assign_batches(standins.measurements(spark, sf_dir), sizes))
+    return batch_ranges(assign_batches(standins.measurements(spark, sf_dir), sizes)).drop("processed")
 
 
 def pending_categories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,9 +134,8 @@ def test_totals_and_progress(spark):
     totals = {r["sensor_type"]: r for r in job_totals(ranges, "job", failed).collect()}
     hot = [i for i, kind, *_ in skewed() if kind == "hot"]
     assert (totals["hot"]["job_id"], totals["hot"]["processed"], totals["hot"]["failed_batches"], totals["hot"]["cursor"]) == ("job-hot", len(hot), 2, max(hot))
-    for chunk in (1 << 20, 3):
-        steps = job_progress(ranges, chunk).where("sensor_type = 'hot'").orderBy("batch_number").collect()
-        assert [r["processed"] for r in steps] == [min(100 * b, len(hot)) for b in range(1, len(steps) + 1)]
+    steps = job_progress(ranges).where("sensor_type = 'hot'").orderBy("batch_number").collect()
+    assert [r["processed"] for r in steps] == [min(100 * b, len(hot)) for b in range(1, len(steps) + 1)]
 
 
 def test_job_types_are_refused_as_a_whole():
