@@ -24,10 +24,23 @@ def orphan_measurements(files: DataFrame, measurements: DataFrame) -> DataFrame:
     return rejected.join(per_file, "file_key")
 
 
+def _falsely_invalid() -> Column:
+    return (F.col("status") == "Invalid") & ~F.col("key").like("%poison%") & ~F.col("error").like("Invalid%")
+
+
 def false_invalid_files(files: DataFrame) -> DataFrame:
     """Rejected for a technical reason only: not marked poison, error not about the content."""
-    rejected = (F.col("status") == "Invalid") & ~F.col("key").like("%poison%") & ~F.col("error").like("Invalid%")
-    return files.where(rejected).select("key", "error")
+    return files.where(_falsely_invalid()).select("key", "error")
+
+
+def _per_file(measurements: DataFrame) -> DataFrame:
+    """Rows, uncategorized rows and duplicated line numbers of each file, in one pass."""
+    per_line = measurements.groupBy("file_key", "line_number").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("category").isNull()).alias("_open")
+    )
+    return per_line.groupBy("file_key").agg(
+        F.sum("_n").alias("rows"), F.sum("_open").alias("uncategorized"), F.count_if(F.col("_n") > 1).alias("duplicates")
+    )
 
 
 def _facts(frame: DataFrame, **columns: Column) -> DataFrame:
@@ -56,7 +69,9 @@ def audit(
     mine = files.where(F.col("key").startswith(f"{prefix}/"))
     rows = measurements.where(F.col("file_key").startswith(f"{prefix}/"))
     status = lambda name: F.col("status") == name
-    place = lambda *names: F.coalesce(F.sum(F.when(F.col("prefix").isin(*names), F.col("objects"))), F.lit(0))
+    total = lambda amount: F.coalesce(F.sum(amount), F.lit(0))
+    place = lambda *names: total(F.when(F.col("prefix").isin(*names), F.col("objects")))
+    rejected = mine.where(~status("Stored")).select(F.col("key").alias("file_key"), F.lit(True).alias("_rejected"))
     poison = F.col("key").like("%poison%")
     parts = [
         _facts(objects, waiting=place("incoming/", "processing/"), processed=place("processed/"), invalid=place("invalid/")),
@@ -65,12 +80,16 @@ def audit(
             stored_files=F.count_if(status("Stored")),
             invalid_files=F.count_if(status("Invalid")),
             poison_not_invalid=F.count_if(poison & ~status("Invalid")),
-            stored_rows=F.coalesce(F.sum(F.when(status("Stored"), F.col("stored_count"))), F.lit(0)),
+            stored_rows=total(F.when(status("Stored"), F.col("stored_count"))),
+            false_invalid=F.count_if(_falsely_invalid()),
+        ),
+        _facts(
+            _per_file(rows).join(rejected, "file_key", "left"),
+            rows=total(F.col("rows")),
+            uncategorized=total(F.col("uncategorized")),
+            duplicates=total(F.col("duplicates")),
+            orphans=total(F.when(F.col("_rejected"), F.col("rows"))),
         ),
-        _facts(false_invalid_files(mine), false_invalid=F.count(F.lit(1))),
-        _facts(rows, rows=F.count(F.lit(1)), uncategorized=F.count_if(F.col("category").isNull())),
-        _facts(duplicate_lines(rows), duplicates=F.count(F.lit(1))),
-        _facts(orphan_measurements(mine, rows), orphans=F.coalesce(F.sum("measurements"), F.lit(0))),
         _facts(jobs.where(F.col("job_id").startswith(prefix)), unfinished=F.count_if(F.col("status") != "Completed")),
     ]
     if staging is not None:

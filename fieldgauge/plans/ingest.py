@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -39,11 +40,15 @@ def stored_readings(validated: DataFrame, verdicts: DataFrame) -> DataFrame:
     return valid_readings(validated).join(stored, "file_key", "left_semi")
 
 
+def size_limit(definition: Definition) -> int | None:
+    """Largest file the fetch step takes; None where the step is off."""
+    fetching = definition.step("ingest.fetch")
+    return int(fetching.number("maxBytes", MAX_BYTES)) if fetching else None
+
+
 def plan_load(files: DataFrame, as_of: Column, definition: Definition = FILE_INGESTION) -> LoadPlan:
     """Plan a load from (file_key, size_bytes, content)."""
-    fetching = definition.step("ingest.fetch")
-    max_bytes = int(fetching.number("maxBytes", MAX_BYTES)) if fetching else None
-    validated = validate_rows(parse_rows(fetch(files, max_bytes)), as_of)
+    validated = validate_rows(parse_rows(fetch(files, size_limit(definition))), as_of)
     verdicts = verdicts_of(validated, definition)
     return LoadPlan(validated, verdicts, stored_readings(validated, verdicts))
 
@@ -89,10 +94,16 @@ def empty_files(scan: DataFrame, root: str, key_of: KeyOf = None) -> DataFrame:
     )
 
 
-def folder_files(spark: SparkSession, folder: str, key_of: KeyOf = None) -> DataFrame:
+def folder_files(spark: SparkSession, folder: str, key_of: KeyOf = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """Every file below a folder, empty ones too."""
     scan = scan_folder(spark, folder)
-    return as_files(scan, folder, key_of).unionByName(empty_files(scan, folder, key_of))
+    return as_files(scan, folder, key_of, max_bytes).unionByName(empty_files(scan, folder, key_of))
+
+
+def named_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files of a claim: its paths are at most one load's. Names are taken literally."""
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths]
+    return spark.read.format("binaryFile").load(literal)
 
 
 def sweep_empty_files(
@@ -122,7 +133,7 @@ def ingest_folder(
     For a folder of one load's size; a larger one goes through the inbox stream, which
     cuts it into loads.
     """
-    return ingest_load(store, folder_files(store.spark, folder, key_of), source, definition, as_of)
+    return ingest_load(store, folder_files(store.spark, folder, key_of, size_limit(definition)), source, definition, as_of)
 
 
 def reingest(
@@ -137,6 +148,6 @@ def reingest(
 
     A re-queue request names its files, as a dispatch plan does, so only those are read.
     """
-    paths = [f"{folder.rstrip('/')}/{key}" for key in keys]
-    scan = store.spark.read.format("binaryFile").load(paths)
-    return ingest_load(store, as_files(scan, folder), source, definition, as_of)
+    scan = named_scan(store.spark, [f"{folder.rstrip('/')}/{key}" for key in keys])
+    files = as_files(scan, folder, None, size_limit(definition)).unionByName(empty_files(scan, folder))
+    return ingest_load(store, files, source, definition, as_of)

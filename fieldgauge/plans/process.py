@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import job_key
 from ..operators.batches import assign_batches, batch_ranges
-from ..operators.results import job_totals
+from ..operators.results import check_types, job_totals
 from ..operators.store import SensorStore
 from .steps import SENSOR_PROCESSING, Definition, StepContext, StepFailed, StepRun, run_steps
 
@@ -35,7 +35,12 @@ def plan_job(
     only_uncategorized: bool = True,
     sensor_types: Sequence[str] | None = None,
 ) -> JobPlan:
-    """One plan for every type at once: job ids are base-type."""
+    """One plan for every type at once: job ids are base-type.
+
+    Asked types must be in the catalog, else the whole request is refused.
+    """
+    if sensor_types is not None:
+        check_types(list(sensor_types))
     job = job_key(base, F.col("sensor_type"))
     batched = assign_batches(measurements, batch_size, max_batches, None, job, only_uncategorized, sensor_types)
     context = StepContext(job=job, as_of=as_of)
@@ -49,8 +54,9 @@ def categorize_loads(
     batch_size: int = 500,
     as_of: datetime | None = None,
     upto: int | None = None,
+    max_loads: int = 0,
 ) -> str | None:
-    """Categorize the loads committed since the last completed job.
+    """Categorize the loads committed since the last completed job, at most max_loads of them.
 
     Only new loads are read and only new folders written. The job rows are written last:
     they make the job's categories visible. Late rows belong to a later load, and so to
@@ -59,6 +65,8 @@ def categorize_loads(
     first, last = store.last_categorized_load(), store.last_load() if upto is None else upto
     if last <= first:
         return None
+    if max_loads > 0:
+        last = min(last, first + max_loads)
     base = base or f"job-{first + 1}-{last}"
     now = F.lit(as_of or datetime.now(timezone.utc))
     rows = store.measurements(first, last)

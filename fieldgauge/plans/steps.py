@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import definition_kind
 from ..operators import verdicts
 from ..operators.results import categorize, per_sensor_results, stamp
-from ..operators.versions import get_version
+from ..operators.versions import append_version, get_version
 from ..sources.drop_files import MAX_BYTES
 
 # The steps each kind of definition may use.
@@ -122,6 +122,22 @@ def load_definition(definitions: DataFrame, name: str, version: int | None = Non
     return replace(from_json(row["definition_json"]), name=name, version=row["version"])
 
 
+def save_definition(definitions: DataFrame, definition: Definition, as_of: Column) -> DataFrame:
+    """The row to append for a new version of a definition; earlier versions stay."""
+    spark = definitions.sparkSession
+    new = spark.createDataFrame([(definition.name, to_json(definition), definition.comment)], "name STRING, definition_json STRING, comment STRING")
+    saved = append_version(definitions.where(F.col("name") == definition.name), new.withColumn("created_at", as_of))
+    return saved.select("name", F.col("version").cast("int").alias("version"), "definition_json", "comment", "created_at")
+
+
+def reset_definition(definitions: DataFrame, name: str, as_of: Column) -> DataFrame:
+    """The default of that name, saved as a new version."""
+    default = next((d for d in (FILE_INGESTION, SENSOR_PROCESSING) if d.name == name), None)
+    if default is None:
+        raise LookupError(f"No default definition '{name}'")
+    return save_definition(definitions, default, as_of)
+
+
 def decode_definitions(table: DataFrame) -> DataFrame:
     """(name, version, steps) from the JSON column; the table's name and version hold."""
     parsed = F.from_json("definition_json", DEFINITION_DDL)

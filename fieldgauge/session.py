@@ -32,6 +32,8 @@ def local_session(cpus: str | int = "*", app: str = "fieldgauge", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Little data is still spread over all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # The JVM does not compile methods over 8000 bytes of code; better to split such stages.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Without a call-site lookup per expression, plans are built several times faster.

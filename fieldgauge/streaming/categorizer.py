@@ -23,6 +23,7 @@ def categorize_stream(
     batch_size: int = 500,
     interval_seconds: int | None = None,
     as_of: datetime | None = None,
+    max_loads: int = 100,
 ) -> StreamingQuery:
     """Start categorizing what is committed to a store.
 
@@ -34,9 +35,11 @@ def categorize_stream(
 
     def process_batch(events: DataFrame, batch_id: int) -> None:
         newest = events.agg(F.max("load")).first()[0]
-        if newest is not None:
+        # A backlog is taken in jobs of max_loads; the definition is asked again for each.
+        while newest is not None:
             current = definition() if callable(definition) else definition
-            categorize_loads(store, None, current, batch_size, as_of, newest)
+            if categorize_loads(store, None, current, batch_size, as_of, newest, max_loads) is None:
+                break
 
     return (
         ledger.select("load")

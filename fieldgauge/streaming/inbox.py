@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import SensorStore
-from ..plans.ingest import KeyOf, ingest_load, sweep_empty_files
+from ..plans.ingest import KeyOf, ingest_load, named_scan, size_limit, sweep_empty_files
 from ..plans.steps import FILE_INGESTION, Definition
 from ..sources.drop_files import as_files
 
@@ -31,12 +31,13 @@ def trigger_of(interval_seconds: int | None) -> dict:
     return {"processingTime": f"{check_interval(interval_seconds)} seconds"}
 
 
-def inbox_stream(spark: SparkSession, inbox: str, max_files: int, key_of: KeyOf = None, archive: str | None = None) -> DataFrame:
+def inbox_stream(spark: SparkSession, inbox: str, max_files: int, archive: str | None = None) -> DataFrame:
+    """References of the new files; a load then reads only what it takes."""
     reader = spark.readStream.format("binaryFile").schema(SCAN_SCHEMA).option("recursiveFileLookup", "true")
     reader = reader.option("maxFilesPerTrigger", max_files)
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return as_files(reader.load(inbox), inbox, key_of)
+    return reader.load(inbox).select("path")
 
 
 def ingest_stream(
@@ -55,7 +56,7 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Start ingesting an inbox into a store.
 
-    Each micro-batch is one load. The checkpoint remembers the files taken, and a repeated
+    Each micro-batch is one load of at most max_files files. The checkpoint remembers the files taken, and a repeated
     micro-batch finds its load committed, so every file counts once. A callable definition
     is asked again for every load.
 
@@ -66,16 +67,20 @@ def ingest_stream(
     store = SensorStore(spark, store_root)
     batches = 0
 
-    def load_batch(files: DataFrame, batch_id: int) -> None:
+    def load_batch(references: DataFrame, batch_id: int) -> None:
         nonlocal batches
         current = definition() if callable(definition) else definition
-        ingest_load(store, files, f"{name}-{batch_id}", current, as_of)
+        # At most max_files paths, the claim of this load.
+        paths = [row["path"] for row in references.collect()]
+        if paths:
+            files = as_files(named_scan(spark, paths), inbox, key_of, size_limit(current))
+            ingest_load(store, files, f"{name}-{batch_id}", current, as_of)
         if batches == 0 or (interval_seconds is not None and batches % sweep_every == 0):
             sweep_empty_files(store, inbox, f"{name}-{batch_id}-empty", current, as_of, key_of)
         batches += 1
 
     return (
-        inbox_stream(spark, inbox, max_files, key_of, archive)
+        inbox_stream(spark, inbox, max_files, archive)
         .writeStream.foreachBatch(load_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger_of(interval_seconds))

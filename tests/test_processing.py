@@ -10,7 +10,7 @@ from fieldgauge.operators.batches import assign_batches, batch_number, batch_ran
 from fieldgauge.operators.results import apply_categories, categorize, check_types, job_progress, job_totals, per_sensor_results
 from fieldgauge.plans.process import plan_job
 from fieldgauge.plans.steps import SENSOR_PROCESSING, Definition, Step, StepFailed, decode_definitions, definition_errors, encode_definitions, from_json
-from fieldgauge.plans.steps import load_definition, run_steps, to_json
+from fieldgauge.plans.steps import load_definition, reset_definition, run_steps, save_definition, to_json
 
 
 def measurements(spark, rows):
@@ -181,6 +181,25 @@ def test_definition_round_trip(spark):
     assert from_json(again["definition_json"]).steps == SENSOR_PROCESSING.steps
 
 
+def test_saving_and_resetting_definitions(spark):
+    now = instant("2030-01-01")
+    table = spark.createDataFrame([], "name string, version int, definition_json string, comment string, created_at timestamp")
+    for expected in (1, 2):
+        saved = save_definition(table, Definition("file-ingestion", (Step("ingest.store"),)), now)
+        assert saved.first()["version"] == expected
+        table = table.unionByName(saved)
+    table = table.unionByName(reset_definition(table, "file-ingestion", now))
+    newest = load_definition(table, "file-ingestion")
+    assert newest.version == 3 and [s.activity for s in newest.steps][0] == "ingest.fetch"
+    with pytest.raises(LookupError):
+        reset_definition(table, "unheard-of", now)
+
+
+def test_unknown_types_refuse_the_job(spark):
+    with pytest.raises(ValueError, match="Unknown sensor types: nope"):
+        plan_job(measurements(spark, [(1, "co2", "s", 1.0)]), "job", sensor_types=["co2", "nope"])
+
+
 def test_definition_errors(spark):
     wrong = Definition("file-ingestion", (Step("ingest.fetch"), Step("processing.categorize")))
     numbers = Definition("processing-x", (Step("processing.cleanup", max_attempts=-1), Step("processing.cleanup", timeout_seconds=0), Step("nope", heartbeat_timeout_seconds=-1)))

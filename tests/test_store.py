@@ -48,13 +48,16 @@ def test_redelivery_replaces_rows(store, drop):
 def test_rejected_redelivery_withdraws_rows(store, drop):
     drop("a.csv", csv(1))
     ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    drop("a.csv", "")
+    reingest(store, drop.inbox, ["a.csv"], "emptied", as_of=AS_OF)
+    assert live(store) == [] and store.files().first()["error"] == "InvalidFile: Empty file"
     drop("a.csv", csv(-1))
     reingest(store, drop.inbox, ["a.csv"], "two", as_of=AS_OF)
     assert live(store) == []
     row = store.files().first()
     assert (row["status"], row["stored_count"], row["failed_step"]) == ("Invalid", 0, "ingest.validate")
     assert row["error"] == "InvalidRows: 1/1 invalid rows (max ratio 0): line 2: Value -1ppm outside [0, 10000]"
-    report = store.reports().select(F.get_json_object("report", "$.errorType"), F.get_json_object("report", "$.completedSteps")).first()
+    report = store.reports().where("load = 3").select(F.get_json_object("report", "$.errorType"), F.get_json_object("report", "$.completedSteps")).first()
     assert tuple(report) == ("InvalidRows", '["ingest.fetch"]')
 
 
@@ -239,6 +242,38 @@ def test_archived_inbox_is_left_empty(spark, drop, tmp_path):
     assert not (tmp_path / "inbox" / "a.csv").exists() and list((tmp_path / "archive").rglob("a.csv"))
 
 
+def test_names_are_taken_literally(spark, store, drop, tmp_path):
+    names = ["a[1].csv", "b{x,y}.csv", "c*.csv", "d ?+%20.csv", "cc.csv"]
+    for i, name in enumerate(names):
+        drop(f"odd/{name}", csv(i))
+    ingest_stream(spark, drop.inbox, store.root, str(tmp_path / "log"), max_files=1, as_of=AS_OF).awaitTermination()
+    assert live(store) == sorted((f"odd/{name}", 2, float(i)) for i, name in enumerate(names))
+
+
+def test_oversized_files_are_not_opened(spark, store, drop, tmp_path):
+    drop("big.csv", csv(*range(400)))
+    drop("small.csv", csv(1))
+    limited = Definition("file-ingestion", (Step("ingest.fetch", parameters={"maxBytes": "500"}), Step("ingest.validate"), Step("ingest.store")))
+    # Spark fails when it has to load a file over this length.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        ingest_stream(spark, drop.inbox, store.root, str(tmp_path / "log"), limited, as_of=AS_OF).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    found = {r["key"]: (r["status"], r["error"], r["checksum"] is None) for r in store.files().collect()}
+    size = len(csv(*range(400)))
+    assert found == {"small.csv": ("Stored", None, False), "big.csv": ("Invalid", f"FileTooLarge: File is {size} bytes, max 500", True)}
+
+
+def test_backlog_is_categorized_in_bounded_jobs(spark, store, drop, tmp_path):
+    for i in range(3):
+        drop(f"f{i}.csv", csv(400))
+        reingest(store, drop.inbox, [f"f{i}.csv"], f"load-{i}", as_of=AS_OF)
+    categorize_stream(spark, store.root, str(tmp_path / "log"), as_of=AS_OF, max_loads=2).awaitTermination()
+    assert sorted((r["job_id"], r["processed"]) for r in store.jobs().collect()) == [("job-1-2-co2", 2), ("job-3-3-co2", 1)]
+    assert store.categorized().count() == 3
+
+
 def test_interval_range():
     assert check_interval(15) == 15
     for seconds in (0, 3601):
