@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from fieldgauge.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,10 +32,10 @@ def comparable(frame):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     ours = driver.queries()[name](spark, SF).toPandas()
     theirs = duck.execute(driver.oracle_sql()[name]).df()
