@@ -20,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
 from .columns import lower_ascii, split_words
+from .tables import workspace, written
 
 WINDOW, SHINGLE = 13, 5
 # Fixed value: everything ASCII but digits and letters separates words; texts are lower-cased before.
@@ -82,11 +82,10 @@ def contamination(
 
     Columns: <doc_id>, text_hash, n_words, n_hit, items (sorted strings), spans.
     """
-    spark = documents.sparkSession
-    folder = scratch_path(spark, "decontamination")
+    folder = workspace(documents, "decontamination")
     # Benchmark tables are written once: they are read by both passes and their sizes decide the join.
-    windows = _written(_windows(benchmark, item_id, item_text), f"{folder}/windows")
-    shingles = _written(_window_shingles(windows), f"{folder}/shingles")
+    windows = written(_windows(benchmark, item_id, item_text), f"{folder}/windows")
+    shingles = written(_window_shingles(windows), f"{folder}/shingles")
     lengths = sorted(r[0] for r in shingles.select("length").distinct().collect()) or [SHINGLE]
     small = shingles.count() <= broadcast_rows
     bounded = F.broadcast if small else lambda frame: frame
@@ -109,7 +108,7 @@ def contamination(
         F.when(F.col("at") >= 0, around).alias("from"),
         F.when(F.col("at") >= 0, F.slice("words", around + 1, 2 * WINDOW)).alias("near"),
     )
-    found = _written(found, f"{folder}/found")
+    found = written(found, f"{folder}/found")
     # Rarity of a shingle: its occurrences in all documents. The rarest one of a window is its prefix.
     rarity = found.where("at >= 0").groupBy("hash").count()
     ranked = shingles.join(rarity, "hash", "left").select("window", "offset", "hash", F.coalesce("count", F.lit(0)).alias("count"))
@@ -121,7 +120,7 @@ def contamination(
     exact = F.slice("near", start - F.col("from") + 1, length) == F.col("window")
     inside = found.where("at >= 0").join(prefixes, "hash").where(placed).where(exact)
     inside = inside.select(*key, start.alias("start"), length.alias("length"), "window")
-    inside = _written(inside, f"{folder}/hits")
+    inside = written(inside, f"{folder}/hits")
     spans = inside.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
     items = inside.select(*key, "window").distinct().join(windows.distinct(), "window")
     items = items.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -164,7 +163,3 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str =
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     return rows.join(bad, match, "left_anti").select("row.*")
 
-
-def _written(frame: DataFrame, path: str) -> DataFrame:
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, quality
+from . import decontamination, language_id, near_dedup, quality
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,4 +30,21 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op10_quality_rules)}
+def learnable(folds, held_out):
+    """Whether crc32 of the id's text leaves another remainder than the held-out one."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds != held_out
+
+
+def op6_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.train(documents.where(learnable(3, 1)))
+    judged = language_id.classify(documents, model, {"doc_id": F.col("doc_id"), "held_out": ~learnable(3, 1)})
+    return judged.select("row.*", "lang_pred", "score")
+
+
+def op9_near_dedup(spark, sf_dir):
+    classes = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op6_language_id, op9_near_dedup, op10_quality_rules)}
