@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, quality
+from . import decontamination, language_id, near_dedup, pieces, quality
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,6 +36,10 @@ def learnable(folds, held_out):
     return F.crc32(F.col("doc_id").cast("string")) % folds != held_out
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_language_id(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     model = language_id.train(documents.where(learnable(3, 1)))
@@ -47,4 +52,4 @@ def op9_near_dedup(spark, sf_dir):
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_language_id, op9_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sentencepiece, op6_language_id, op9_near_dedup, op10_quality_rules)}
