@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, pieces, quality
+from . import chat, decontamination, language_id, near_dedup, pieces, quality, token_counts, url_filter
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +36,11 @@ def learnable(folds, held_out):
     return F.crc32(F.col("doc_id").cast("string")) % folds != held_out
 
 
+def op2_token_counts(spark, sf_dir):
+    counted = token_counts.count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,9 +52,46 @@ def op6_language_id(spark, sf_dir):
     return judged.select("row.*", "lang_pred", "score")
 
 
+# The conversation that imitates control strings.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op7_chat_format(spark, sf_dir):
+    columns = ["conv_id", "turn", "role", "text"]
+    rows = table(spark, sf_dir, "conversations").select(*columns)
+    rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_conversations(chat.as_chain(rows))).withColumnRenamed("tree", "conv_id")
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op8_url_filter(spark, sf_dir):
+    filters = url_filter.build(spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA))
+    return url_filter.judge(table(spark, sf_dir, "pages"), filters)
+
+
 def op9_near_dedup(spark, sf_dir):
     classes = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sentencepiece, op6_language_id, op9_near_dedup, op10_quality_rules)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_decontamination,
+        op2_token_counts,
+        op4_sentencepiece,
+        op6_language_id,
+        op7_chat_format,
+        op8_url_filter,
+        op9_near_dedup,
+        op10_quality_rules,
+    )
+}
