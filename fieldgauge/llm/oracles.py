@@ -24,6 +24,17 @@ WITH d AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    # DuckDB has no base32: 5-bit groups of the hexadecimal digest are looked up in the alphabet.
+    "op5_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, count(*) OVER same AS n, max(page_id) OVER same AS first
+  FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+), b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: right('000' || bin(CAST('0x' || hex[i] AS INTEGER)), 4)), 'string_agg', '') AS bits FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(('0b' || substr(bits, 5 * i + 1, 5)) AS INTEGER)]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
 """,
     "op7_chat_format": r"""
 WITH t AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, near_dedup, pieces, quality, token_counts, url_filter
+from . import chat, decontamination, language_id, near_dedup, pieces, quality, token_counts, url_filter, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,6 +31,14 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op5_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    records = warc.read_archives(warc.write_archives(pages, warc.archive_folder(pages)))
+    return records.select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def learnable(folds, held_out):
     """Whether crc32 of the id's text leaves another remainder than the held-out one."""
     return F.crc32(F.col("doc_id").cast("string")) % folds != held_out
@@ -88,6 +96,7 @@ QUERIES = {
         op1_decontamination,
         op2_token_counts,
         op4_sentencepiece,
+        op5_warc,
         op6_language_id,
         op7_chat_format,
         op8_url_filter,

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import lower_ascii
+from .files import place, put
 from .tables import workspace
 
 SHARD_RULES = 1_000_000
@@ -78,14 +79,8 @@ def build(rules: DataFrame, shard_rules: int = SHARD_RULES) -> FilterList:
         verdicts = np.array([VERDICTS.index(v) for v in group["verdict"]], np.uint8)
         shard = int(group["shard"].iloc[0])
         parts = {"keys": group["key"].to_numpy().tobytes(), "offsets": offsets.tobytes(), "strings": b"".join(strings), "verdicts": verdicts.tobytes()}
-        where, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        where.create_dir(f"{path}/{shard}")
         for name, content in parts.items():
-            # Written beside and moved: a repeated task replaces the file whole.
-            beside = f"{path}/{shard}/{name}.{uuid.uuid4().hex}"
-            with where.open_output_stream(beside) as out:
-                out.write(content)
-            where.move(beside, f"{path}/{shard}/{name}")
+            put(f"{folder}/{shard}", name, content)
         return pd.DataFrame({"shard": [shard], "n": [len(group)]})
 
     clean.mapInPandas(keyed, f"{RULE_SCHEMA}, key long, shard long").groupBy("shard").applyInPandas(store, "shard long, n long").collect()
@@ -101,7 +96,7 @@ class _Shard:
 
     @staticmethod
     def _mapped(folder: str, shard: int, name: str, kind) -> np.ndarray:
-        where, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        where, path = place(folder)
         path = f"{path}/{shard}/{name}"
         if not isinstance(where, fs.LocalFileSystem):
             # A store that cannot be mapped is copied once to the worker's own disk.
@@ -115,7 +110,7 @@ class _Shard:
     @classmethod
     def get(cls, folder: str, shard: int) -> "_Shard | None":
         if (folder, shard) not in cls.opened:
-            where, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            where, path = place(folder)
             there = where.get_file_info(f"{path}/{shard}/keys").type != fs.FileType.NotFound
             cls.opened[(folder, shard)] = cls(folder, shard) if there else None
         return cls.opened[(folder, shard)]
