@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, near_dedup, pieces, quality, token_counts, url_filter, warc
+from . import chat, class_lm, decontamination, language_id, near_dedup, pieces, quality, token_counts, url_filter, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,6 +49,12 @@ def op2_token_counts(spark, sf_dir):
     return counted.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_class_lm(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model, counts = class_lm.train(documents.where(learnable(7, 2)))
+    return class_lm.score(documents, model, counts, {"doc_id": F.col("doc_id"), "held_out": ~learnable(7, 2)}).select("row.*", "*").drop("row")
+
+
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -95,6 +101,7 @@ QUERIES = {
     for query in (
         op1_decontamination,
         op2_token_counts,
+        op3_class_lm,
         op4_sentencepiece,
         op5_warc,
         op6_language_id,
