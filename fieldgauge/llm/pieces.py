@@ -33,8 +33,8 @@ from .shipping import ship
 
 SPACE = "▁"
 # Characters indexed at once, and words kept per worker.
-INDEX_CHARS = 400_000
-CACHED_WORDS = 400_000
+INDEX_CHARS = 800_000
+CACHED_WORDS = 600_000
 # Longer words are relaxed alone.
 LONG_WORD = 96
 END = 0x110000
@@ -62,8 +62,12 @@ class Vocabulary:
         self.ids = np.array([*plain, -1], np.int32)
         self.bytes = {model.id_to_piece(i): i for i in range(model.vocab_size()) if model.is_byte(i)}
         self.byte_ids = np.array([self.bytes[f"<0x{b:02X}>"] for b in range(256)], np.int32)
-        self.piece_of = {i: t for i, t in zip(plain, texts)}
-        self.byte_of = {int(i): b for b, i in enumerate(self.byte_ids)}
+        # What each id stands for when decoded.
+        self.spelled = [b""] * model.vocab_size()
+        for i, t in zip(plain, texts):
+            self.spelled[i] = t.replace(SPACE, " ").encode()
+        for b, i in enumerate(self.byte_ids):
+            self.spelled[i] = bytes([b])
         self.rules = PairRules(len(texts) + 1)
         reachable = np.ones(len(texts), bool)
         # Merges in rank order: a piece is made of the two pieces whose border no earlier merge crosses.
@@ -86,7 +90,8 @@ class Vocabulary:
         self.table = np.zeros((len(usable), self.longest), np.int64)
         for row, k in enumerate(usable):
             self.table[row, : self.lengths[row]] = [ord(c) + 1 for c in texts[k]]
-        self.words: dict[str, np.ndarray] = {}
+        # word -> its piece ids as little-endian 32-bit numbers
+        self.words: dict[str, bytes] = {}
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -233,24 +238,24 @@ def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[np
         while upto < len(new) and (upto == done or size + len(new[upto]) <= INDEX_CHARS):
             size += len(new[upto]) + 1
             upto += 1
-        cache.update(zip(new[done:upto], encode_words(new[done:upto], vocabulary)))
+        for word, ids in zip(new[done:upto], encode_words(new[done:upto], vocabulary)):
+            cache[word] = ids.astype("<i4").tobytes()
         done = upto
-    empty = np.zeros(0, np.int32)
     for words in split:
-        yield np.concatenate([cache[w] for w in words]) if words else empty
+        yield np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4")
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     """The text of piece ids: bytes are joined to characters, U+2581 is a space, the leading one goes."""
-    parts = [p.encode() if (p := vocabulary.piece_of.get(i)) is not None else bytes([vocabulary.byte_of[i]]) for i in ids.tolist()]
-    text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+    text = b"".join(map(vocabulary.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
 def encode_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(<doc_id>, n_tokens, token_ids, ids_sha256, decoded_sha256, exact): ids, and what decoding them gives.
 
-    `exact` says that the decoded text is the text; ids_sha256 is over the comma-joined ids.
+    `exact` says that the decoded text is the text; ids_sha256 is over the ids as little-endian
+    32-bit numbers.
     """
     ship(documents.sparkSession)
 
@@ -266,7 +271,7 @@ def encode_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_i
                     decoded = decode(found, vocabulary)
                     counts.append(len(found))
                     ids.append(found)
-                    of_ids.append(hashlib.sha256(",".join(map(str, found.tolist())).encode()).hexdigest())
+                    of_ids.append(hashlib.sha256(found.tobytes()).hexdigest())
                     of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
                     exact.append(decoded == (text or ""))
                 ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
