@@ -13,7 +13,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 # Texts are worked on in slices of about this many bytes, one text at least, so memory does not follow the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WEIGHTS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -37,7 +37,7 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
 _VALUES, _SPACE = _byte_tables()
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of consecutive runs of texts; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
@@ -47,7 +47,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 

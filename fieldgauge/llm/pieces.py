@@ -263,7 +263,7 @@ def encode_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_i
         vocabulary = Vocabulary.load(model_path)
         for batch in batches:
             # Slices of bounded size, so that the words and ids of many long texts are not all held at once.
-            for first, last, *_ in slices(batch.column(1)):
+            for first, last, *_ in slices(batch.column(1), 4 << 20):
                 part = batch.slice(first, last - first)
                 texts = part.column(1).to_pylist()
                 counts, ids, of_ids, of_text, exact = [], [], [], [], []

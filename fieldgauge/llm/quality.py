@@ -88,12 +88,14 @@ def measured(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text])]).alias("row"))
     split = rows.select(
         "row",
+        F.monotonically_increasing_id().alias("below"),
         split_words(value, WHITE_SPACE).alias("words"),
         F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     words, lines = F.col("words"), F.col("lines")
     counted = split.select(
         "row",
+        "below",
         "words",
         F.size(words).alias("n_words"),
         F.size(lines).alias("n_lines"),
@@ -107,10 +109,14 @@ def measured(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("
     n_words = F.col("n_words")
     has_repeat = F.size(F.array_distinct("hashes")) < n_words - WINDOW + 1
     repeated = F.when((n_words > WINDOW) & has_repeat, _repeated_words(F.col("hashes"))).otherwise(0)
+    # Row numbers are not pushed through: a filter on a count stays above the split, where `words` is a column. Pushed
+    # below, it would split the text again for every word. The upper number keeps `kept` above all counts.
+    firm = lambda c: F.when(F.col("below") >= 0, c).cast("long")
     return counted.select(
         "row",
-        *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")],
-        repeated.cast("long").alias("n_repeat_words"),
+        F.monotonically_increasing_id().alias("above"),
+        *[firm(F.col(c)).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")],
+        firm(repeated).alias("n_repeat_words"),
         "n_lines",
         "n_exclamations",
         "n_stop_words",
@@ -130,7 +136,7 @@ def verdict(thresholds: Sequence[Threshold] = THRESHOLDS) -> list[Column]:
     }
     base_failed = (n_words < 10) | (F.col("n_repeat_words") * 100 > n_words * 20)
     failed = [F.when(t.broken(measures), F.lit(t.rule)) for t in thresholds]
-    kept = ~base_failed
+    kept = ~base_failed & (F.col("above") >= 0)
     for t in thresholds:
         kept = kept & ~t.broken(measures)
     return [
@@ -150,6 +156,4 @@ def quality_report(
 
 def keep_good(documents: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS, text: str = "text") -> DataFrame:
     """The documents that pass, with their columns."""
-    judged = measured(documents, text, documents.columns).select("row", *verdict(thresholds), F.monotonically_increasing_id().alias("at"))
-    # The row number keeps the filter above the projections; pushed below them it would repeat all their work per word.
-    return judged.where("kept AND at >= 0").select("row.*")
+    return measured(documents, text, documents.columns).select("row", *verdict(thresholds)).where("kept").select("row.*")
