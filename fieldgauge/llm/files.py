@@ -17,6 +17,6 @@ def put(address: str, name: str, content: bytes) -> None:
     where, folder = place(address)
     where.create_dir(folder)
     beside = f"{folder}/{name}.{uuid.uuid4().hex}"
-    with where.open_output_stream(beside) as out:
+    with where.open_output_stream(beside, compression=None) as out:
         out.write(content)
     where.move(beside, f"{folder}/{name}")

@@ -101,7 +101,7 @@ class _Shard:
         if not isinstance(where, fs.LocalFileSystem):
             # A store that cannot be mapped is copied once to the worker's own disk.
             own = os.path.join(tempfile.mkdtemp(), name)
-            with where.open_input_stream(path) as source, open(own, "wb") as target:
+            with where.open_input_stream(path, compression=None) as source, open(own, "wb") as target:
                 while block := source.read(1 << 24):
                     target.write(block)
             path = own

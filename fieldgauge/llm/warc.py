@@ -79,7 +79,7 @@ class ArchiveWriter:
         self.address = f"{address}/{uuid.uuid4().hex}.warc.zst"
         where, path = place(self.address)
         where.create_dir(path.rsplit("/", 1)[0])
-        self.out = where.open_output_stream(path)
+        self.out = where.open_output_stream(path, compression=None)
         self.held: list[bytes] = []
         self.compressor = None
         self.records = self.bytes = 0
@@ -148,7 +148,7 @@ def write_archives(
 def read_records(address: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of a file."""
     where, path = place(address)
-    with where.open_input_stream(path) as source:
+    with where.open_input_stream(path, compression=None) as source:
         frame, size = struct.unpack("<II", source.read(8))
         if frame != DICTIONARY_FRAME:
             raise ValueError(f"{address} does not begin with a dictionary")
