@@ -198,7 +198,7 @@ def text_bits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
     """Code length of each text under each language."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     full = np.flatnonzero(np.diff(offsets))
-    if len(full):
+    if len(full) and len(model.languages):
         bits = _Tables.of(model).bits(_windows(data, offsets))
         for k in range(out.shape[1]):
             out[full, k] = np.add.reduceat(bits[:, k], offsets[full], dtype=np.float64)

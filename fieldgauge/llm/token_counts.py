@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import PairRules
 from .fingerprints import mix, slices
@@ -291,4 +292,4 @@ def longest_prefix_within(counted: DataFrame, budget: int, table: str = "prefix_
             kept = [int(np.flatnonzero(t <= budget)[-1]) + 1 if (t <= budget).any() else 0 for t in tables]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.int64())], names=[*batch.schema.names, "n_chars"])
 
-    return counted.mapInArrow(run, counted.schema.add("n_chars", "long"))
+    return counted.mapInArrow(run, StructType(list(counted.schema.fields)).add("n_chars", "long"))
