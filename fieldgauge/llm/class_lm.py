@@ -144,7 +144,8 @@ def exchange_gains(own: int, after: np.ndarray, before: np.ndarray, itself: floa
     cell = rest[k, k]
     gain -= _phi(cell + after[k]) - _phi(cell) + _phi(cell + before[k]) - _phi(cell)
     gain += _phi(cell + after[k] + before[k] + itself) - _phi(cell)
-    out, into = rest.sum(axis=1)[:classes], rest.sum(axis=0)[:classes]
+    # Pairs with the word on their other side count in a class's sums wherever the word goes.
+    out, into = rest.sum(axis=1)[:classes] + before[:classes], rest.sum(axis=0)[:classes] + after[:classes]
     gain -= _phi(out + after.sum() + itself) - _phi(out) + _phi(into + before.sum() + itself) - _phi(into)
     return gain - gain[own]
 
