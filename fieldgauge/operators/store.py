@@ -9,6 +9,8 @@ One writer at a time, as with any single streaming query.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,17 @@ MEASUREMENT_SCHEMA = (
 CATEGORIZED_SCHEMA = (
     "id BIGINT, file_key STRING, line_number INT, sensor_id STRING, timestamp TIMESTAMP, value DOUBLE, unit STRING, "
     "load BIGINT, batch_number INT, category STRING, categorized_at TIMESTAMP, categorized_by_job STRING, "
-    "job_base STRING, sensor_type STRING"
+    "job_base STRING, span STRING, sensor_type STRING"
 )
 RESULT_SCHEMA = (
     "job_id STRING, sensor_type STRING, batch_number INT, sensor_id STRING, count BIGINT, min DOUBLE, max DOUBLE, "
     "avg DOUBLE, low_count BIGINT, normal_count BIGINT, high_count BIGINT, critical_count BIGINT, created_at TIMESTAMP, "
-    "job_base STRING"
+    "job_base STRING, span STRING"
 )
 JOB_SCHEMA = (
     "job_id STRING, sensor_type STRING, status STRING, pipeline STRING, pipeline_version INT, processed BIGINT, batches BIGINT, "
     "failed_batches BIGINT, error STRING, from_load BIGINT, to_load BIGINT, started_at TIMESTAMP, updated_at TIMESTAMP, "
-    "completed_at TIMESTAMP, job_base STRING"
+    "completed_at TIMESTAMP, job_base STRING, span STRING"
 )
 REPORT_SCHEMA = "file_key STRING, report STRING, load BIGINT"
 
@@ -48,6 +50,11 @@ LOAD_BITS, TASK_BITS, ROW_BITS = 20, 17, 26
 FOLDERS_NAMED = 500
 
 
+def folder_value(text: str) -> str:
+    """A partition value as Spark spells it in a folder name; reading gives the text back."""
+    return re.sub("[\x00-\x1f\x7f\"#%'*/:=?\\\\{}\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", text)
+
+
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str], replaced: DataFrame | None = None) -> DataFrame:
     """Drop every existing row whose key is replaced, add the new rows.
 
@@ -112,7 +119,7 @@ class SensorStore:
 
     def committed(self, source: str) -> bool:
         """Whether this source's load is in the ledger; only its own folder is listed."""
-        return not self._read("ledger", LEDGER_SCHEMA, f"source={source}").limit(1).isEmpty()
+        return not self._read("ledger", LEDGER_SCHEMA, f"source={folder_value(source)}").limit(1).isEmpty()
 
     def superseded(self, after: int = 0) -> DataFrame:
         """(file_key, load) of stored loads past `after` that a newer event of the file replaced.
@@ -140,12 +147,13 @@ class SensorStore:
     def commit_load(self, load: int, source: str, events: DataFrame) -> None:
         """Append the file events: from here on the load is visible."""
         events.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{self.path('ledger')}/source={source}/load={load}"
+            f"{self.path('ledger')}/source={folder_value(source)}/load={load}"
         )
         self._next_load = load + 1
 
     def reports(self) -> DataFrame:
-        return self._read("reports", REPORT_SCHEMA)
+        """Error reports of committed loads."""
+        return self._read("reports", REPORT_SCHEMA).join(self.events().select("load").distinct(), "load", "left_semi")
 
     def loads(self, after: int = 0, upto: int | None = None) -> DataFrame:
         """Rows of committed loads in (after, upto], live or not.
@@ -183,16 +191,22 @@ class SensorStore:
         done = self.jobs().where(F.col("status") == "Completed")
         return done.agg(F.coalesce(F.max("to_load"), F.lit(0))).first()[0]
 
-    def write_job(self, table: str, job_base: str, rows: DataFrame, partitions: tuple[str, ...] = ()) -> None:
+    def write_job(self, table: str, job_base: str, span: str, rows: DataFrame, partitions: tuple[str, ...] = ()) -> None:
+        """Write what a job made of one span of loads; the same base over other loads has other folders."""
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         writer = writer.partitionBy(*partitions) if partitions else writer
-        writer.parquet(f"{self.path(table)}/job_base={job_base}")
+        writer.parquet(f"{self.path(table)}/job_base={folder_value(job_base)}/span={span}")
+
+    def _completed(self, rows: DataFrame) -> DataFrame:
+        """Rows of jobs whose job rows, written last, say that they were completed."""
+        completed = self.jobs().where(F.col("status") == "Completed").select("job_base", "span").distinct()
+        return rows.join(completed, ["job_base", "span"], "left_semi")
 
     def categorized(self) -> DataFrame:
         """Live categorized measurements of completed jobs."""
-        completed = self.jobs().where(F.col("status") == "Completed").select("job_base").distinct()
-        rows = self._read("categorized", CATEGORIZED_SCHEMA)
-        return rows.join(completed, "job_base", "left_semi").join(self.superseded(), ["file_key", "load"], "left_anti")
+        rows = self._completed(self._read("categorized", CATEGORIZED_SCHEMA))
+        return rows.join(self.superseded(), ["file_key", "load"], "left_anti")
 
     def results(self) -> DataFrame:
-        return self._read("results", RESULT_SCHEMA)
+        """Results per batch and sensor of completed jobs."""
+        return self._completed(self._read("results", RESULT_SCHEMA))

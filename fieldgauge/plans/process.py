@@ -17,6 +17,10 @@ from ..operators.store import SensorStore
 from .steps import SENSOR_PROCESSING, Definition, StepContext, StepFailed, StepRun, run_steps
 
 
+# Error texts are kept to the length the ledger keeps.
+ERROR_CHARS = 2000
+
+
 @dataclass
 class JobPlan:
     """Frames of one job over all its sensor types."""
@@ -58,16 +62,17 @@ def categorize_loads(
 ) -> str | None:
     """Categorize the loads committed since the last completed job, at most max_loads of them.
 
-    Only new loads are read and only new folders written. The job rows are written last:
-    they make the job's categories visible. Late rows belong to a later load, and so to
-    the next job.
+    Only new loads are read and only new folders written, named by base and span of loads: a
+    base can be used again without touching its earlier rows. The job rows are written last:
+    they make the job's categories and results visible. Any error leaves Failed rows, and the
+    loads stay open for the next job. Late rows belong to a later load, and so to the next job.
     """
     first, last = store.last_categorized_load(), store.last_load() if upto is None else upto
     if last <= first:
         return None
     if max_loads > 0:
         last = min(last, first + max_loads)
-    base = base or f"job-{first + 1}-{last}"
+    base, span = base or f"job-{first + 1}-{last}", f"{first + 1}-{last}"
     now = F.lit(as_of or datetime.now(timezone.utc))
     rows = store.measurements(first, last)
     job_columns = [
@@ -77,15 +82,15 @@ def categorize_loads(
     try:
         plan = plan_job(rows, base, definition, batch_size, now)
     except StepFailed as failure:
-        _write_failed(store, rows, base, definition, first, last, now, str(failure))
+        _write_failed(store, rows, base, span, definition, first, last, now, str(failure))
         raise
     output = plan.run.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if plan.run.updates and "category" in output.columns:
-            store.write_job("categorized", base, output.drop("row_number"), ("sensor_type",))
+            store.write_job("categorized", base, span, output.drop("row_number"), ("sensor_type",))
         if plan.run.results is not None:
             results = plan.run.results.select(job_key(base, F.col("sensor_type")).alias("job_id"), "*", now.alias("created_at"))
-            store.write_job("results", base, results)
+            store.write_job("results", base, span, results)
         failed = output.select("sensor_type", "batch_number").distinct() if plan.run.failed_steps else None
         totals = job_totals(batch_ranges(output), base, failed)
         jobs = totals.select(
@@ -103,13 +108,16 @@ def categorize_loads(
             now.alias("updated_at"),
             now.alias("completed_at"),
         )
-        store.write_job("jobs", base, jobs)
+        store.write_job("jobs", base, span, jobs)
+    except Exception as failure:
+        _write_failed(store, rows, base, span, definition, first, last, now, str(failure)[:ERROR_CHARS])
+        raise
     finally:
         output.unpersist()
     return base
 
 
-def _write_failed(store, rows, base, definition, first, last, now, error) -> None:
+def _write_failed(store, rows, base, span, definition, first, last, now, error) -> None:
     types = rows.select("sensor_type").distinct()
     zero = F.lit(0).cast("bigint")
     jobs = types.select(
@@ -128,4 +136,4 @@ def _write_failed(store, rows, base, definition, first, last, now, error) -> Non
         now.alias("updated_at"),
         now.alias("completed_at"),
     )
-    store.write_job("jobs", base, jobs)
+    store.write_job("jobs", base, span, jobs)

@@ -286,3 +286,60 @@ def test_error_report_text_is_cut(spark):
                                      "file_key string, status string, failed_step string, error_type string, error string, completed_steps array<string>")
     report = error_reports(verdicts, instant("2030-01-01"), "p", 3).first()["report"]
     assert '"pipeline":"p:v3"' in report and len(report) > 5000
+
+
+def test_a_base_used_again_keeps_its_earlier_rows(spark, store, drop):
+    for i in range(2):
+        drop(f"f{i}.csv", csv(400 + i))
+        reingest(store, drop.inbox, [f"f{i}.csv"], f"load-{i}", as_of=AS_OF)
+        categorize_loads(store, "nightly", as_of=AS_OF)
+    assert sorted(r["file_key"] for r in store.categorized().collect()) == ["f0.csv", "f1.csv"]
+    assert store.results().agg({"count": "sum"}).first()[0] == 2
+    assert sorted(r["span"] for r in store.jobs().collect()) == ["1-1", "2-2"]
+
+
+def test_a_job_cut_before_its_end_leaves_no_rows(spark, store, drop, monkeypatch):
+    drop("a.csv", csv(400))
+    reingest(store, drop.inbox, ["a.csv"], "load-1", as_of=AS_OF)
+    write = SensorStore.write_job
+
+    def cut(self, table, *rest):
+        if table == "jobs":
+            raise KeyboardInterrupt
+        write(self, table, *rest)
+
+    monkeypatch.setattr(SensorStore, "write_job", cut)
+    with pytest.raises(KeyboardInterrupt):
+        categorize_loads(store, as_of=AS_OF)
+    monkeypatch.setattr(SensorStore, "write_job", write)
+    assert store.results().count() == 0 and store.categorized().count() == 0
+    drop("b.csv", csv(500))
+    reingest(store, drop.inbox, ["b.csv"], "load-2", as_of=AS_OF)
+    categorize_loads(store, as_of=AS_OF)
+    assert store.results().agg({"count": "sum"}).first()[0] == 2 and store.categorized().count() == 2
+
+
+def test_an_error_while_writing_leaves_failed_rows(spark, store, drop, monkeypatch):
+    drop("a.csv", csv(400))
+    reingest(store, drop.inbox, ["a.csv"], "load-1", as_of=AS_OF)
+    write = SensorStore.write_job
+
+    def broken(self, table, *rest):
+        if table == "results":
+            raise OSError("disk full")
+        write(self, table, *rest)
+
+    monkeypatch.setattr(SensorStore, "write_job", broken)
+    with pytest.raises(OSError):
+        categorize_loads(store, as_of=AS_OF)
+    monkeypatch.setattr(SensorStore, "write_job", write)
+    assert [(r["status"], r["error"]) for r in store.jobs().collect()] == [("Failed", "disk full")]
+    categorize_loads(store, "again", as_of=AS_OF)
+    assert store.categorized().count() == 1
+
+
+def test_a_source_may_hold_any_characters(spark, store, drop):
+    drop("a.csv", csv(1))
+    reingest(store, drop.inbox, ["a.csv"], "s3://x/a:b c%2F*", as_of=AS_OF)
+    assert store.committed("s3://x/a:b c%2F*") and not store.committed("s3://x/a:b c/*")
+    assert store.events().first()["source"] == "s3://x/a:b c%2F*" and store.files().count() == 1
