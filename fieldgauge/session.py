@@ -61,6 +61,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in this application's part of it, which goes when the application ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        folder = f"{shared_folder(spark)}/fieldgauge-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch[application] = folder
+    return f"{_scratch[application]}/{label}-{uuid.uuid4().hex}"
