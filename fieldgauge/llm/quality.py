@@ -50,6 +50,9 @@ class Threshold:
         return broken
 
 
+# Stop-word and line ratios are taken of texts with at least so many words or lines.
+ENOUGH_WORDS, ENOUGH_LINES = 50, 5
+
 THRESHOLDS = (
     Threshold("word length", "mean_word_length", low=2.0, high=15.0),
     Threshold("symbols", "symbol_ratio", high=0.1),
@@ -130,8 +133,9 @@ def verdict(thresholds: Sequence[Threshold] = THRESHOLDS) -> list[Column]:
     measures = {
         "mean_word_length": share(F.col("word_chars"), n_words),
         "symbol_ratio": share(F.col("n_symbols"), n_words),
-        "stop_word_ratio": share(F.col("n_stop_words"), n_words),
-        "duplicate_line_ratio": share(F.col("n_dup_lines"), F.col("n_lines")),
+        # A few words or lines say nothing about a ratio: short clean texts may lack stop words or repeat a heading.
+        "stop_word_ratio": F.when(n_words >= ENOUGH_WORDS, share(F.col("n_stop_words"), n_words)).otherwise(1.0),
+        "duplicate_line_ratio": F.when(F.col("n_lines") >= ENOUGH_LINES, share(F.col("n_dup_lines"), F.col("n_lines"))).otherwise(0.0),
         "exclamation_ratio": share(F.col("n_exclamations"), n_words),
     }
     base_failed = (n_words < 10) | (F.col("n_repeat_words") * 100 > n_words * 20)
