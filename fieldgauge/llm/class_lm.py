@@ -201,6 +201,19 @@ def cluster(pairs: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[
     return best[1], best[2]
 
 
+def _most_frequent(counts: DataFrame, head: int) -> DataFrame:
+    """The `head` most frequent words. Powers of two of the counts tell first which words can be among them, so that tasks
+    do not each send `head` words to the driver."""
+    power = F.floor(F.log2("n"))
+    sizes = {r["p"]: r["count"] for r in counts.groupBy(power.alias("p")).count().collect()}
+    least, found = 0, 0
+    for p in sorted(sizes, reverse=True):
+        least, found = p, found + sizes[p]
+        if found >= head:
+            break
+    return counts.where(power >= least).orderBy(F.desc("n"), "word").limit(head)
+
+
 def train(
     documents: DataFrame, text: str = "text", head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS
 ) -> tuple[Model, DataFrame]:
@@ -210,7 +223,7 @@ def train(
     counts = texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, f"{folder}/counts")
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(head).collect()
+    top = _most_frequent(counts.where(F.col("word") != END), head).collect()
     words, frequency = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
     n_words = min(clustered, len(words))
     number, rare, border = {w: k for k, w in enumerate(words[:n_words])}, n_words, n_words + 1
