@@ -86,11 +86,16 @@ def best_paths(messages: DataFrame, folder: str) -> DataFrame:
     )
     levels, step = [written(hops, f"{folder}/hops-0")], 0
     size = levels[0].count()
-    while not levels[-1].where("up IS NOT NULL").isEmpty() and (1 << step) <= size:
+    final = levels[0].where("up IS NULL")
+    while (1 << step) <= size:
+        moving = levels[-1].where("up IS NOT NULL")
+        if moving.isEmpty():
+            break
         step += 1
-        last = levels[-1]
-        above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"), F.col("total").alias("gain"))
-        joined = last.join(above, ["tree", "up"], "left")
+        # Only messages below a root go on; what they point at may have reached it in any round before.
+        known = moving.select("tree", "node", "up", "steps", "total").unionByName(final)
+        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"), F.col("total").alias("gain"))
+        joined = moving.join(above, ["tree", "up"], "left")
         hops = joined.select(
             "tree",
             "node",
@@ -99,17 +104,18 @@ def best_paths(messages: DataFrame, folder: str) -> DataFrame:
             (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"),
         )
         levels.append(written(hops, f"{folder}/hops-{step}"))
-    final = levels[-1].where("up IS NULL")
+        final = final.unionByName(levels[-1].where("up IS NULL"))
     leaves = final.join(ids.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     order = F.struct(F.col("total"), F.col("steps"), -F.col("node"))
     chosen = leaves.groupBy("tree").agg(F.max_by(F.struct("node", "steps"), order).alias("leaf"))
     path = written(chosen.select("tree", F.col("leaf.node").alias("node"), F.col("leaf.steps").alias("depth")), f"{folder}/path-0")
-    # From the chosen leaves up: messages that are reached by the largest step, then by half of it, and so on.
+    # From the chosen leaves up: messages that are reached by the largest step, then by half of it, and so on. Sums of
+    # different steps differ, so no message is reached twice unless its rows are repeated.
     for k in range(len(levels) - 1, -1, -1):
         jump = levels[k].where("up IS NOT NULL").select("tree", "node", "up")
         more = path.join(jump, ["tree", "node"]).select("tree", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        path = written(path.unionByName(more).distinct(), f"{folder}/path-{len(levels) - k}")
-    return path
+        path = path.unionByName(written(more, f"{folder}/path-{len(levels) - k}"))
+    return path.distinct()
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
