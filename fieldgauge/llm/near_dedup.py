@@ -7,10 +7,11 @@ agree in a slot with a probability equal to the weighted Jaccard similarity, sum
 Points later than a document's latest slot cannot matter, so work per document hardly depends on its length.
 
 Bands of the signature make buckets. Exact copies are folded first (by digest); each other member of a bucket is
-compared with the bucket's least id, and links of at least `similarity` are joined to classes. Buckets that still
-hold several classes are compared in blocks of fixed size, members outside the leader's class with all members of other
-classes, so no link between bucket mates is lost and no bucket is ever gathered in one task. At similarity 0.8, 24 bands of 4 slots miss a
-pair with a probability of 3 in a million.
+compared with the bucket's least id, and links of at least `similarity` are joined to classes. In buckets that still
+hold several classes, members outside the bucket's largest class are compared with one member of it, anew in each of a few
+rounds: near copies that miss one such member meet another. What is still apart is compared in blocks of fixed size, members
+outside the largest class with all members of other classes, so no link between bucket mates is lost and no bucket is ever
+gathered in one task. At similarity 0.8, 24 bands of 4 slots miss a pair with a probability of 3 in a million.
 
 Edge cases: null and empty texts, and texts of white space only, are equal to texts of the same bytes alone (null
 counts as empty). Texts of fewer than five words are one shingle. Rows with a null id are kept and get a null class.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import mix, shingle_counts, slices
@@ -35,7 +36,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 # Pairs whose signatures agree in fewer slots than this share cannot be similar: five standard deviations below 0.8.
 LEAST_AGREEMENT = 0.6
-BLOCK = 128
+# Rounds against one member of the largest class, before blocks.
+ROUNDS = 2
+# Members of one side of a block, and shingles of them together, on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 BROADCAST_IDS = 2_000_000
 
 _STREAM = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -121,9 +125,35 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(len(batch), -1) for k in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(len(batch), -1) for k in ("sa", "sb"))
         likely = (a == b).mean(axis=1) >= LEAST_AGREEMENT if len(batch) else np.zeros(0, bool)
-        yield batch.select(["a", "b"]).filter(pa.array(likely))
+        yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(likely))
+
+
+def _likely(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, and their classes ca, cb) whose sizes and signatures allow the similarity."""
+    for side in "ab":
+        pairs = pairs.join(signed.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("signature").alias(f"s{side}")), side)
+    pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b", "ca", "cb", "sa", "sb")
+    return pairs.mapInArrow(_agreeing, "a long, b long, ca long, cb long")
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the classes of pairs whose multisets overlap enough."""
+    for side in "ab":
+        pairs = pairs.join(prints.select(F.col("id").alias(side), F.col("prints").alias(f"p{side}")), side)
+    both = F.size(F.array_intersect("pa", "pb"))
+    return pairs.where(both >= similarity * (F.size("pa") + F.size("pb") - both)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes; `outside` are those not of the largest class, `main`."""
+    sizes = placed.groupBy("key", "class_id").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(
+        F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_outside")
+    )
+    rows = placed.select("key", "id", "class_id").join(main.where("n_outside > 0"), "key")
+    return rows.withColumn("outside", F.col("class_id") != F.col("main"))
 
 
 def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -184,31 +214,43 @@ def near_duplicate_classes(
     # Every member against its bucket's leader.
     half = single.select("id", "size", "signature")
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(half.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("signature").alias(f"s{side}")), side)
-    pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b", "sa", "sb")
-    likely = written(pairs.mapInArrow(_agreeing, "a long, b long"), f"{folder}/likely")
+    likely = written(_likely(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), half, similarity), f"{folder}/likely")
     prints = written(_prints_of(texts, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()), f"{folder}/prints")
-    checked = likely
-    for side in "ab":
-        checked = checked.join(prints.select(F.col("id").alias(side), F.col("prints").alias(f"p{side}")), side)
-    both = F.size(F.array_intersect("pa", "pb"))
-    links = checked.where(both >= similarity * (F.size("pa") + F.size("pb") - both)).select("a", "b")
+    links = _similar(likely, prints, similarity)
     links = written(links.unionByName(copies.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))), f"{folder}/links")
     classes = connected(links, f"{folder}/classes")
 
-    # Buckets that still hold several classes: members outside the leader's class against all others, in blocks.
-    named = classes.withColumnRenamed("node", "id")
-    placed = members.where("n > 2").join(named, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    placed = placed.join(classes.select(F.col("node").alias("leader"), F.col("class_id").alias("main")), "leader", "left")
-    placed = placed.withColumn("outside", F.col("class_id") != F.coalesce("main", "leader"))
-    open_keys = placed.groupBy("key").agg(F.count_if("outside").alias("n_outside")).where("n_outside > 0")
-    rest = placed.join(open_keys, "key").select("key", "id", "class_id", "outside", "n", "n_outside")
-    rest = written(rest, f"{folder}/rest")
+    # Buckets that still hold several classes.
+    placed = members.where("n > 2").select("key", "id").join(classes.withColumnRenamed("node", "id"), "id", "left")
+    rest = written(_open_buckets(placed.withColumn("class_id", F.coalesce("class_id", "id"))), f"{folder}/rest-0")
     if rest.isEmpty():
         final = classes
     else:
-        chunks = {"ca": F.ceil(F.col("n_outside") / block).cast("int"), "cb": F.ceil(F.col("n") / block).cast("int")}
+        detail = _prints_of(texts, rest.select("id").distinct()).join(half, "id")
+        detail = written(detail, f"{folder}/detail")
+        joins = classes.where("node <> class_id").select(F.col("class_id").alias("a"), F.col("node").alias("b"))
+        # Members outside the largest class against one member of it. All buckets prefer the same ids, so that most pairs coincide.
+        for k in range(1, ROUNDS + 1):
+            guides = rest.where("NOT outside").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("a"))
+            pairs = rest.where("outside").join(guides, "key").select("a", F.col("id").alias("b"), F.col("main").alias("ca"), F.col("class_id").alias("cb")).distinct()
+            found = written(_similar(_likely(pairs, detail, similarity), detail, similarity).distinct(), f"{folder}/found-{k}")
+            if found.isEmpty():
+                break
+            joins = joins.unionByName(found)
+            renamed = connected(found, f"{folder}/renamed-{k}").select(F.col("node").alias("class_id"), F.col("class_id").alias("new"))
+            placed = rest.select("key", "id", "class_id").join(renamed, "class_id", "left").select("key", "id", F.coalesce("new", "class_id").alias("class_id"))
+            rest = written(_open_buckets(placed), f"{folder}/rest-{k}")
+
+        # Members outside the largest class against all members of other classes, in blocks.
+        weight = F.least(F.col("size"), F.lit(BLOCK_SHINGLES))
+        sized = rest.join(detail.select("id", weight.alias("weight")), "id")
+        loads = sized.groupBy("key").agg(F.sum("weight").alias("load"), F.sum(F.when(F.col("outside"), F.col("weight"))).alias("load_outside"))
+        rest = rest.join(loads, "key")
+
+        def n_chunks(n: str, load: str) -> Column:
+            return F.ceil(F.greatest(F.col(n) / block, F.col(load) / BLOCK_SHINGLES)).cast("int")
+
+        chunks = {"ca": n_chunks("n_outside", "load_outside"), "cb": n_chunks("n", "load")}
 
         def dealt(side: str, other: str, rows: DataFrame) -> DataFrame:
             """Each member in a chunk of its side, once per chunk of the other side."""
@@ -217,12 +259,9 @@ def near_duplicate_classes(
             return rows.select("key", "ca", "cb", "id", "class_id", F.lit(side == "ca").alias("first"))
 
         both_sides = dealt("ca", "cb", rest.where("outside")).unionByName(dealt("cb", "ca", rest))
-        involved = rest.select("id").distinct()
-        detail = written(_prints_of(texts, involved).join(half.select("id", "signature"), "id"), f"{folder}/detail")
-        more = both_sides.join(detail, "id").groupBy("key", "ca", "cb").applyInPandas(lambda g: _block_links(g, similarity), "a long, b long")
+        more = both_sides.join(detail.drop("size"), "id").groupBy("key", "ca", "cb").applyInPandas(lambda g: _block_links(g, similarity), "a long, b long")
         more = written(more.distinct(), f"{folder}/more")
-        own_class = classes.where("node <> class_id").select(F.col("class_id").alias("a"), F.col("node").alias("b"))
-        final = classes if more.isEmpty() else connected(own_class.unionByName(more), f"{folder}/final")
+        final = connected(joins.unionByName(more), f"{folder}/final")
     named = copies.select("id").distinct().join(final.withColumnRenamed("node", "id"), "id", "left")
     named = named.select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"))
     lone = documents.where(F.col(doc_id).isNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.lit(None).cast("long").alias("class_id"))
