@@ -222,7 +222,8 @@ def near_duplicate_classes(
 
     # Buckets that still hold several classes.
     placed = members.where("n > 2").select("key", "id").join(classes.withColumnRenamed("node", "id"), "id", "left")
-    rest = written(_open_buckets(placed.withColumn("class_id", F.coalesce("class_id", "id"))), f"{folder}/rest-0")
+    placed = written(placed.withColumn("class_id", F.coalesce("class_id", "id")), f"{folder}/placed-0")
+    rest = written(_open_buckets(placed), f"{folder}/rest-0")
     if rest.isEmpty():
         final = classes
     else:
@@ -239,7 +240,7 @@ def near_duplicate_classes(
             joins = joins.unionByName(found)
             renamed = connected(found, f"{folder}/renamed-{k}").select(F.col("node").alias("class_id"), F.col("class_id").alias("new"))
             placed = rest.select("key", "id", "class_id").join(renamed, "class_id", "left").select("key", "id", F.coalesce("new", "class_id").alias("class_id"))
-            rest = written(_open_buckets(placed), f"{folder}/rest-{k}")
+            rest = written(_open_buckets(written(placed, f"{folder}/placed-{k}")), f"{folder}/rest-{k}")
 
         # Members outside the largest class against all members of other classes, in blocks.
         weight = F.least(F.col("size"), F.lit(BLOCK_SHINGLES))
