@@ -165,7 +165,7 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
     first, start, end, token = edges_of(words, vocabulary)
     lengths = np.array([len(w) for w in words], np.int64)
     n_places = int(first[-1] + lengths[-1]) + 1
-    word = np.searchsorted(first, start, "right") - 1
+    word = np.repeat(np.arange(len(words)), lengths + 1)[start]
     last, came = np.full(n_places + 1, -1, np.int64), np.zeros(n_places + 1, np.int64)
     begins = np.zeros(n_places + 1, bool)
     begins[first] = True
