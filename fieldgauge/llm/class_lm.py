@@ -1,16 +1,23 @@
 """Class-based n-gram language model: exchange clustering of words, class transitions, word emissions.
 
-P(word | word before) = P(class | class before) * P(word | class). The `clustered` most frequent words are assigned to
-classes by exchange: a round adds up, over the counts of all adjacent word pairs, how often each word meets each class before
-and after it, and moves words to the class that raises the likelihood of the class bigrams most; even and odd words move in
-turn, so that two words do not swap places for ever, and the best assignment seen is kept. All other words form a class of
-their own, the text border another. Transitions are interpolated with class frequencies, emissions of the rare class
-have one added to every count, so every text has a probability.
+P(word | word before) = P(class | class before) * P(word | class). Every word seen `LEAST` times or more is assigned to a class
+by exchange; the classes grow with the cube root of their number. A step adds up, over the counts of all adjacent word pairs, how
+often each word meets each class before and after it, and moves words to the class that raises the likelihood of the class
+bigrams most. A sweep weighs every word once, in groups that move in turn, so that two words do not swap places for ever; sweeps
+go on until one raises the likelihood by less than `STILL` of the rise so far. If one overshoots instead, smaller groups go on
+from the best assignment, which is the one kept. Rarer words form a class of their own, the text border another. Transitions
+are interpolated with class frequencies, emissions of the rare class have one added to every count, so every text has a
+probability.
+
+Words are numbered by the order of their 64-bit keys, which differ (else others are tried). Keys, counts and classes are shards
+in the shared folder, written by tasks; workers map the keys and hold two bytes a word for the classes. What words
+meet is a table of their neighbours, very frequent words in several rows. A word that training has not seen is taken for another
+with a probability of one in 2^64 a clustered word.
 
 Word counts cover all training texts and grow with them; they stay a table. Tasks know the `head` most frequent words (each
-at most 64 bytes, longer ones are named by a digest), which settles nearly all tokens in place; the tokens left are joined
-with the word table, which is exact and has no hot key, as the frequent words are gone. What the driver holds is bounded
-by `head`, `clustered` and `classes`.
+at most 64 bytes, longer ones are named by a digest), which settles nearly all tokens in place, and look others up in the shards;
+the tokens left, of unclustered words, are joined with the word table, which is exact and has no hot key. What the driver
+holds is bounded by `head` and the square of the classes.
 
 Edge cases: a null or empty text is its end token. Without training texts every token is unknown. Rows are scored one by one:
 ids may be null or repeated. Ties in frequency go to the smaller word. Extra columns are not read.
@@ -19,6 +26,7 @@ ids may be null or repeated. Ties in frequency go to the smaller word. Extra col
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,14 +34,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
+from .files import place, put
 from .fingerprints import slices
 from .tables import workspace, written
 
-HEAD, CLUSTERED, CLASSES, ROUNDS = 65_536, 8_192, 64, 6
+HEAD, LEAST, LEAST_CLASSES = 65_536, 3, 64
+GROUPS, MOST_GROUPS, STILL = 2, 16, 0.01
+SHARD, CHUNK = 1 << 15, 1 << 14
 WEIGHT = 0.9
 LONGEST = 64
 FLUSH = 300_000
@@ -72,6 +84,95 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _opened(address: str, kind: type) -> np.ndarray:
+    where, path = place(address)
+    if isinstance(where, fs.LocalFileSystem):
+        return np.memmap(path, kind, "r")
+    with where.open_input_file(path) as source:
+        return np.frombuffer(source.read(), kind)
+
+
+@dataclass
+class Index:
+    """The clustered words in the shared folder: shards by the first bits of the words' keys, sorted by key."""
+
+    folder: str
+    bits: int
+    salt: int
+    shards: list[int]
+    starts: np.ndarray  # number of each shard's first word; at last the number of words
+
+    _keys = {}  # by folder and shard
+    _classes = None  # of the last assignment asked for
+
+    @property
+    def size(self) -> int:
+        return int(self.starts[-1])
+
+    def keys(self, words: list[bytes]) -> np.ndarray:
+        salt = self.salt.to_bytes(8, "little")
+        return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8, salt=salt).digest() for w in words), np.uint64)
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+
+    def column(self, name: str, shard: int, kind: type) -> np.ndarray:
+        at = (self.folder, name, shard)
+        if at not in Index._keys:
+            Index._keys[at] = _opened(f"{self.folder}/{name}-{shard}", kind)
+        return Index._keys[at]
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of each word; -1 and 0 where it is not clustered."""
+        numbers, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        keys = self.keys(words)
+        of = self.shard(keys)
+        order = np.argsort(of, kind="stable")
+        for k, shard in enumerate(self.shards):
+            mine = order[slice(*np.searchsorted(of[order], [shard, shard + 1]))]
+            if len(mine):
+                there = self.column("keys", shard, np.uint64)
+                at = np.minimum(np.searchsorted(there, keys[mine]), len(there) - 1)
+                hit = there[at] == keys[mine]
+                numbers[mine[hit]] = self.starts[k] + at[hit]
+                counts[mine[hit]] = self.column("counts", shard, np.int64)[at[hit]]
+        return numbers, counts
+
+    def classes(self, steps: list[int], classes: int) -> np.ndarray:
+        """The class of each number; past the words the rare class and the border."""
+        at = (self.folder, tuple(steps))
+        if Index._classes is None or Index._classes[0] != at:
+            parts = [_opened(f"{self.folder}/classes-{step}-{shard}", np.uint16) for step, shard in zip(steps, self.shards)]
+            Index._classes = (at, np.concatenate([*parts, np.array([classes, classes + 1], np.uint16)]))
+        return Index._classes[1]
+
+
+def build_index(words: DataFrame, n_words: int, classes: int, folder: str) -> Index:
+    """Shards of (word, n), with the first classes by key."""
+    bits = max(0, (n_words // SHARD).bit_length())
+    for salt in itertools.count():
+        index = Index(f"{folder}/index-{salt}", bits, salt, [], np.zeros(1, np.int64))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = index.keys(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(index.shard(keys)), pa.array(keys.view(np.int64)), batch.column(1)], names=["shard", "key", "n"])
+
+        def stored(frame: pd.DataFrame) -> pd.DataFrame:
+            keys, shard = frame["key"].to_numpy(np.int64).view(np.uint64), int(frame["shard"].iloc[0])
+            order = np.argsort(keys)
+            put(index.folder, f"keys-{shard}", keys[order].tobytes())
+            put(index.folder, f"counts-{shard}", frame["n"].to_numpy(np.int64)[order].tobytes())
+            put(index.folder, f"classes-0-{shard}", (keys[order] % np.uint64(classes)).astype(np.uint16).tobytes())
+            return pd.DataFrame({"shard": [shard], "n": [len(keys)], "different": [len(np.unique(keys))]})
+
+        made = words.select("word", "n").mapInArrow(keyed, "shard long, key long, n long").groupBy("shard")
+        made = sorted(tuple(r) for r in made.applyInPandas(stored, "shard long, n long, different long").collect())
+        if all(n == different for _, n, different in made):
+            index.shards, index.starts = [r[0] for r in made], np.cumsum([0, *(r[1] for r in made)])
+            return index
+
+
 @dataclass
 class Model:
     """Counts of the frequent words and the class model over them."""
@@ -80,29 +181,56 @@ class Model:
     counts: np.ndarray
     total: int  # tokens
     different: int
-    classes: np.ndarray  # of the head words; `classes.max()` and the one before: text border and rare words
+    classes: np.ndarray  # of the head words; the last two classes: rare words and text border
     transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray  # log10 P(word | class) of clustered words, 0 for rare ones
+    emission: np.ndarray  # log10 P(word | class) of head words
     rare_total: int
     rare_different: int
+    index: Index  # of all clustered words
+    steps: list[int]  # of their classes, by shard
+    in_class: np.ndarray  # tokens of each class
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], border: int, rare: int) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring word numbers; borders stand before and after each text."""
-    width, held, size = border + 1, [], 0
+def _flat(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, back = np.unique(keys, return_inverse=True)
+    return unique, np.bincount(back, values, len(unique)).astype(np.int64)
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*held))
-        unique, back = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(back, counts, len(unique)).astype(np.int64)
 
-    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(counts)], names=["a", "b", "n"])
+def _links(batches: Iterator[pa.RecordBatch], index: Index, number: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """What words meet: 2 * number of a word after it, 2 * number + 1 of one before it, and counts. Borders stand before and after
+    each text. Of the rare class and the border only what they meet of each other is kept, the rest is said by the words."""
+    rare, border = index.size, index.size + 1
+    width, held, size = border + 1, [], 0
 
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _flat(*(np.concatenate(x) for x in zip(*held)))
+
+    def rows(keys: np.ndarray, counts: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        a, b = keys // width, keys % width
+        w, to, n = np.concatenate([a, b]), np.concatenate([2 * b, 2 * a + 1]), np.tile(counts, 2)
+        keep = (w < rare) | ((to >= 2 * rare) & (to % 2 == 0))
+        w, to, n = w[keep], to[keep], n[keep]
+        chunks = many[w].astype(np.int64)
+        chunk = (to >> 1) % chunks
+        order = np.lexsort((chunk, w))
+        w, to, n, chunks, chunk = (x[order] for x in (w, to, n, chunks, chunk))
+        first = np.flatnonzero(np.append(True, (np.diff(w) != 0) | (np.diff(chunk) != 0))[: len(w)])
+        offsets = pa.array(np.append(first, len(w)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (to, n)]
+        return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(chunk[first]), pa.array(chunks[first]), *lists], names=["w", "chunk", "chunks", "to", "n"])
+
+    # Rows that a word's links are cut into, by its count.
+    many = np.concatenate([*((1 + 2 * index.column("counts", shard, np.int64) // CHUNK).astype(np.int32) for shard in index.shards), np.ones(2, np.int32)])
     for _, texts in _texts(batches, 0):
+        split = [tokens(text) for text in texts]
+        others = list({w for words in split for w in words if w not in number})
+        found = dict(zip(others, index.find(others)[0].tolist()))
         ids = [border]
-        for text in texts:
-            ids += [number.get(w, rare) for w in tokens(text)]
+        for words in split:
+            for w in words:
+                k = number.get(w)
+                k = found[w] if k is None else k
+                ids.append(rare if k < 0 else k)
             ids.append(border)
         ids = np.array(ids, np.int64)
         unique, counts = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
@@ -111,12 +239,34 @@ def _pairs(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], border:
         if size > 8 * FLUSH:
             unique, counts = merged()
             if len(unique) > 4 * FLUSH:
-                yield rows(unique, counts)
+                yield rows(unique, counts, many)
                 held, size = [], 0
             else:
                 held, size = [(unique, counts)], len(unique)
     if held:
-        yield rows(*merged())
+        yield rows(*merged(), many)
+
+
+LINKS = "w long, chunk long, chunks long, to array<long>, n array<long>"
+
+
+def _links_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the rows, and the words, neighbours and counts of all links."""
+    to, n = batch.column("to"), batch.column("n")
+    offsets = to.offsets.to_numpy().astype(np.int64)
+    w = np.repeat(batch.column("w").to_numpy(), np.diff(offsets))
+    return offsets - offsets[0], w, to.flatten().to_numpy(), n.flatten().to_numpy()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every neighbour of a row once."""
+    for batch in batches:
+        offsets, _, to, n = _links_of(batch)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        keys, counts = _flat(row << 40 | to, n)
+        ends = pa.array(np.searchsorted(keys, np.arange(batch.num_rows + 1) << 40), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys & ((1 << 40) - 1), counts)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["w", "chunk", "chunks", "to", "n"])
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -128,76 +278,134 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_phi(matrix).sum() - _phi(matrix.sum(axis=1)).sum() - _phi(matrix.sum(axis=0)).sum())
 
 
-def exchange_gains(own: int, after: np.ndarray, before: np.ndarray, itself: float, matrix: np.ndarray, classes: int) -> np.ndarray:
-    """Change of the likelihood if a word of class `own` is put into each of the first `classes` classes."""
-    rest = matrix.copy()
-    rest[own] -= after
-    rest[:, own] -= before
-    rest[own, own] += itself
-    # Pairs of the word with itself move with it and are counted at the diagonal.
+def exchange_gains(
+    own: int, after: np.ndarray, before: np.ndarray, itself: float, matrix: np.ndarray, classes: int, sums: tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
+    """Change of the likelihood if a word of class `own` is put into each of the first `classes` classes. Only classes that the
+    word meets are looked at. `sums` are the matrix's over rows' and columns' cells."""
+    by_row, by_column = sums or (matrix.sum(axis=1), matrix.sum(axis=0))
+    met, came = np.flatnonzero(after), np.flatnonzero(before)
+    # What is left of the matrix without the word. Pairs of the word with itself move with it and are counted at the diagonal.
+    rows, columns = matrix[:classes, met], matrix[came, :classes].T
+    rows[own] -= after[met]
+    rows[:, met == own] -= before[:classes, None]
+    columns[own] -= before[came]
+    columns[:, came == own] -= after[:classes, None]
+    rows[own, met == own] += itself
+    columns[own, came == own] += itself
+    k = np.arange(classes)
+    cell = matrix[k, k]
+    cell[own] -= after[own] + before[own] - itself
+    out, into = by_row[:classes] - before[:classes], by_column[:classes] - after[:classes]
+    out[own] -= after.sum() - itself
+    into[own] -= before.sum() - itself
     after, before = after.copy(), before.copy()
     after[own] -= itself
     before[own] -= itself
-    rows, columns = rest[:classes], rest[:, :classes].T
-    gain = (_phi(rows + after) - _phi(rows)).sum(axis=1) + (_phi(columns + before) - _phi(columns)).sum(axis=1)
-    k = np.arange(classes)
-    cell = rest[k, k]
+    gain = (_phi(rows + after[met]) - _phi(rows)).sum(axis=1) + (_phi(columns + before[came]) - _phi(columns)).sum(axis=1)
     gain -= _phi(cell + after[k]) - _phi(cell) + _phi(cell + before[k]) - _phi(cell)
     gain += _phi(cell + after[k] + before[k] + itself) - _phi(cell)
     # Pairs with the word on their other side count in a class's sums wherever the word goes.
-    out, into = rest.sum(axis=1)[:classes] + before[:classes], rest.sum(axis=0)[:classes] + after[:classes]
+    out, into = out + before[:classes], into + after[:classes]
     gain -= _phi(out + after.sum() + itself) - _phi(out) + _phi(into + before.sum() + itself) - _phi(into)
     return gain - gain[own]
 
 
-def _matrix(pairs: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros((size, size))
-    for r in pairs.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-        out[r["ca"], r["cb"]] = r["n"]
+def _matrix(links: DataFrame, index: Index, steps: list[int], classes: int) -> np.ndarray:
+    width, size = classes + 2, index.size
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = index.classes(steps, classes).astype(np.int64), np.zeros(width * width)
+        for batch in batches:
+            _, w, to, n = _links_of(batch)
+            # A pair is counted where its first word is, or, if that has no row, where its second is.
+            use = (to % 2 == 0) | (to >= 2 * size)
+            w, to, n = w[use], to[use], n[use]
+            own, other, before = of[w], of[to >> 1], to % 2 == 1
+            total += np.bincount(np.where(before, other, own) * width + np.where(before, own, other), n, width * width)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
+
+    out = np.zeros(width * width)
+    for r in links.select("w", "to", "n").mapInArrow(added, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(width, width)
+
+
+def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix: np.ndarray, classes: int, group: int, groups: int) -> list[int]:
+    """Move the words of a group; the steps of the shards after it."""
+    width, shared = classes + 2, links.sparkSession.sparkContext.broadcast(matrix)
+
+    def profiles(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row's word, and how often it meets each class after it and before it; at last, itself."""
+        of = index.classes(steps, classes).astype(np.int64)
+        offsets, words, to, n = _links_of(batch)
+        at, own = (to % 2) * width + of[to >> 1], np.where((to >> 1 == words) & (to % 2 == 0), n, 0)
+        for k, w in enumerate(batch.column("w").to_pylist()):
+            part = slice(offsets[k], offsets[k + 1])
+            yield w, np.append(np.bincount(at[part], n[part], 2 * width), own[part].sum())
+
+    def better(found: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        counts, of, out = shared.value, index.classes(steps, classes), []
+        sums = (counts.sum(axis=1), counts.sum(axis=0))
+        for w, met in found:
+            gains = exchange_gains(int(of[w]), met[:width], met[width:-1], met[-1], counts, classes, sums)
+            if gains.max() > 1e-9:
+                out.append((w, int(gains.argmax())))
+        w, c = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(index.starts, w, "right") - 1), pa.array(w), pa.array(c)], names=["at", "w", "c"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield better(profiles(batch))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, met = zip(*profiles(batch)) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array([x.tobytes() for x in met], pa.binary())], names=["w", "met"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield better((w, sum(map(np.frombuffer, met))) for w, met in zip(*(c.to_pylist() for c in batch.columns)))
+
+    def stored(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["at"].iloc[0])
+        now = np.array(_opened(f"{index.folder}/classes-{steps[k]}-{index.shards[k]}", np.uint16))
+        now[frame["w"].to_numpy(np.int64) - index.starts[k]] = frame["c"]
+        put(index.folder, f"classes-{step}-{index.shards[k]}", now.tobytes())
+        return pd.DataFrame({"at": [k]})
+
+    mine = links.where((F.col("w") < index.size) & (F.pmod(F.xxhash64("w"), F.lit(groups)) == group))
+    moves = mine.where("chunks = 1").select("w", "to", "n").mapInArrow(whole, "at long, w long, c long")
+    cut = mine.where("chunks > 1").select("w", "to", "n").mapInArrow(parts, "w long, met binary").groupBy("w").agg(F.collect_list("met").alias("met"))
+    moves = moves.unionByName(cut.mapInArrow(joined, "at long, w long, c long"))
+    out = list(steps)
+    for r in moves.groupBy("at").applyInPandas(stored, "at long").collect():
+        out[r["at"]] = step
     return out
 
 
-def cluster(pairs: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each word number, class bigram counts). Numbers past the words are the rare class and the border."""
-    spark = pairs.sparkSession
-    assigned = np.append(np.arange(n_words) % classes, [classes, classes + 1])
-    best = None
-
-    def classed() -> DataFrame:
-        # The map has `clustered` + 2 rows at most.
-        mapping = spark.createDataFrame(pd.DataFrame({"w": np.arange(len(assigned)), "c": assigned}), "w long, c int")
-        side = lambda x: F.broadcast(mapping.select(F.col("w").alias(x), F.col("c").alias(f"c{x}")))
-        return pairs.join(side("a"), "a").join(side("b"), "b")
-
-    for step in range(rounds + 1):
-        named = classed()
-        matrix = _matrix(named, classes + 2)
+def cluster(links: DataFrame, index: Index, classes: int, rounds: int | None = None) -> tuple[list[int], np.ndarray]:
+    """(steps of the shards' classes, class bigram counts), after `rounds` steps or when the likelihood has stopped rising."""
+    steps, best, groups, group = [0] * len(index.shards), None, GROUPS, 0
+    for step in itertools.count():
+        matrix = _matrix(links, index, steps, classes)
         value = likelihood(matrix)
+        if best is None:
+            first = swept = value
         if best is None or value > best[0]:
-            best = (value, assigned.copy(), matrix)
-        if step == rounds:
+            best = (value, steps, matrix)
+        if step == rounds or not index.size:
             break
-        moving = lambda x: F.col(x) % 2 == step % 2
-        met = named.where(moving("a")).groupBy(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("cb").alias("c")).agg(F.sum("n").alias("n"))
-        met = met.unionByName(named.where(moving("b")).groupBy(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("ca").alias("c")).agg(F.sum("n").alias("n")))
-        met = met.unionByName(named.where("a = b").select(F.col("a").alias("w"), F.lit(2).alias("side"), F.lit(0).alias("c"), "n").where(moving("w")))
-        profiles = met.where(F.col("w") < n_words).groupBy("w").agg(F.collect_list(F.struct("side", "c", "n")).alias("met"))
-        shared = spark.sparkContext.broadcast((assigned, matrix))
-
-        def moves(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            now, counts = shared.value
-            for frame in frames:
-                out = []
-                for w, entries in zip(frame["w"], frame["met"]):
-                    sides = np.zeros((3, classes + 2))
-                    for e in entries:
-                        sides[e["side"], e["c"]] += e["n"]
-                    gains = exchange_gains(int(now[w]), sides[0], sides[1], sides[2, 0], counts, classes)
-                    out.append((w, int(gains.argmax()), float(gains.max())))
-                yield pd.DataFrame(out, columns=["w", "c", "gain"])
-
-        for r in profiles.mapInPandas(moves, "w long, c int, gain double").where("gain > 0").collect():
-            assigned[r["w"]] = r["c"]
+        if rounds is None and step and group == 0:
+            if best[0] - swept <= STILL * (best[0] - first):
+                if value >= best[0] or groups >= MOST_GROUPS:
+                    break
+                groups *= 2
+                _, steps, matrix = best
+            swept = best[0]
+        steps = _moved(links, index, steps, step + 1, matrix, classes, group, groups)
+        group = (group + 1) % groups
     return best[1], best[2]
 
 
@@ -215,36 +423,39 @@ def _most_frequent(counts: DataFrame, head: int) -> DataFrame:
 
 
 def train(
-    documents: DataFrame, text: str = "text", head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS
+    documents: DataFrame, text: str = "text", head: int = HEAD, clustered: int | None = None, classes: int | None = None, rounds: int | None = None
 ) -> tuple[Model, DataFrame]:
-    """The model, and the table of all words' counts (word, n)."""
+    """The model, and the table of all words' counts (word, n). `clustered`, `classes` and `rounds` replace what the texts tell."""
     folder = workspace(documents, "class-lm")
     texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, f"{folder}/counts")
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = _most_frequent(counts.where(F.col("word") != END), head).collect()
+    named = counts.where(F.col("word") != END)
+    top = _most_frequent(named, head).collect()
     words, frequency = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
-    n_words = min(clustered, len(words))
-    number, rare, border = {w: k for k, w in enumerate(words[:n_words])}, n_words, n_words + 1
-    shared = documents.sparkSession.sparkContext.broadcast(number)
-    pairs = texts.mapInArrow(lambda it: _pairs(it, shared.value, border, rare), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = written(pairs, f"{folder}/pairs")
-    assigned, matrix = cluster(pairs, n_words, classes, rounds)
+    chosen = named.where(F.col("n") >= LEAST) if clustered is None else _most_frequent(named, clustered)
+    n_words = chosen.count()
+    classes = classes or max(LEAST_CLASSES, round(2 * n_words ** (1 / 3)))
+    index = build_index(chosen, n_words, classes, folder)
+    numbers = index.find(words)[0]
+    shared = documents.sparkSession.sparkContext.broadcast(dict(zip(words, numbers.tolist())))
+    links = texts.mapInArrow(lambda it: _links(it, index, shared.value), LINKS).groupBy("w", "chunk", "chunks").agg(F.collect_list(F.struct("to", "n")).alias("parts"))
+    links = links.select("w", "chunk", "chunks", F.flatten("parts.to").alias("to"), F.flatten("parts.n").alias("n")).mapInArrow(_merged, LINKS)
+    links = written(links, f"{folder}/links")
+    steps, matrix = cluster(links, index, classes, rounds)
 
     seen, arrived = matrix.sum(axis=1, keepdims=True), matrix.sum(axis=0)
     even = (arrived + 1) / (arrived.sum() + len(arrived))
     share = np.divide(matrix, seen, out=np.tile(even, (len(matrix), 1)), where=seen > 0)
     transition = np.log10(WEIGHT * share + (1 - WEIGHT) * even)
-    of = np.append(assigned[:n_words], np.full(len(words) - n_words, classes))
-    in_class = np.bincount(of[:n_words], frequency[:n_words], classes + 2)
-    emission = np.zeros(len(words))
-    emission[:n_words] = np.log10(frequency[:n_words] / in_class[of[:n_words]])
-    ends = int(matrix[:, classes + 1].sum())
-    rare_total = int(total) - ends - int(frequency[:n_words].sum())
-    rare_different = max(0, int(different) - n_words - (ends > 0))
-    emission[n_words:] = np.log10((frequency[n_words:] + 1) / (rare_total + rare_different + 1))
-    return Model(words, frequency, int(total), int(different), of.astype(np.int64), transition, emission, rare_total, rare_different), counts
+    # Each token is followed by one, so the rows' sums are the tokens of each class.
+    in_class, ends = matrix.sum(axis=1), int(arrived[classes + 1])
+    of = np.where(numbers >= 0, index.classes(steps, classes)[numbers], classes).astype(np.int64)
+    rare_total, rare_different = int(in_class[classes]), max(0, int(different) - n_words - (ends > 0))
+    rare = np.log10((frequency + 1) / (rare_total + rare_different + 1))
+    emission = np.where(of < classes, np.log10(frequency / np.maximum(in_class[of], 1)), rare)
+    return Model(words, frequency, int(total), int(different), of, transition, emission, rare_total, rare_different, index, steps, in_class), counts
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame, carry: dict[str, Column], text: str = "text") -> DataFrame:
@@ -262,15 +473,23 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, carry: dict[str
         whole = m.total + m.different + 1
         base = np.append(np.log10((m.counts + 1) / whole), 0.0)
         emission, of = np.append(m.emission, 0.0), np.append(m.classes, rare)
+        classes = m.index.classes(m.steps, rare)
         for part, texts in _texts(batches, 2):
-            out = []
-            for value in texts:
-                words = tokens(value)
-                ids = np.array([number.get(w, n_head) for w in words], np.int64)
-                path = np.concatenate([[border], of[ids], [border]])
+            out, split = [], [tokens(value) for value in texts]
+            # Clustered words past the head follow the head's for this part.
+            others = list({w for words in split for w in words if w not in number})
+            at, n = m.index.find(others)
+            hit = np.flatnonzero(at >= 0)
+            more = {others[k]: n_head + 1 + j for j, k in enumerate(hit.tolist())}
+            of_all = np.append(of, classes[at[hit]])
+            base_all = np.append(base, np.log10((n[hit] + 1) / whole))
+            emission_all = np.append(emission, np.log10(n[hit] / m.in_class[of_all[n_head + 1 :]]))
+            for words in split:
+                ids = np.array([k if (k := number.get(w)) is not None else more.get(w, n_head) for w in words], np.int64)
+                path = np.concatenate([[border], of_all[ids], [border]])
                 tail = Counter(w for w, k in zip(words, ids.tolist()) if k == n_head)
-                steps = m.transition[path[:-1], path[1:]].sum() + emission[ids].sum()
-                out.append((len(words) + 1, len(words) - sum(tail.values()), base[ids].sum(), steps, [{"word": w, "k": k} for w, k in tail.items()]))
+                steps = m.transition[path[:-1], path[1:]].sum() + emission_all[ids].sum()
+                out.append((len(words) + 1, len(words) - sum(tail.values()), base_all[ids].sum(), steps, [{"word": w, "k": k} for w, k in tail.items()]))
             n, known, low, high, tails = zip(*out)
             columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), pa.array(high, pa.float64())]
             tails = pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))

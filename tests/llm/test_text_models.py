@@ -170,3 +170,49 @@ def test_queries_equal_the_libraries(spark, name):
             assert r.n_tokens == len(LIBRARY.encode(text, add_special_tokens=False).ids)
         else:
             assert list(r.token_ids) == PIECES.encode(text) and r.exact
+
+
+def test_every_repeated_word_is_clustered(spark):
+    # 9,000 words of three uses each in two kinds that take turns, and one word whose neighbours fill several rows.
+    random.seed(3)
+    kinds = [[f"{kind}{k}" for k in range(4500)] * 3 for kind in "xy"]
+    for kind in kinds:
+        random.shuffle(kind)
+    words = [w for pair in zip(*kinds) for w in pair]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)] + ["zz " * 9000 + "once", None]
+    model, counts = class_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), head=50, rounds=2)
+    assert model.index.size == 9001 and len(model.in_class) - 2 == max(64, round(2 * 9001 ** (1 / 3)))
+    classes = model.index.classes(model.steps, len(model.in_class) - 2).astype(int)
+    of = {w: classes[k] for w, k in zip({*words, "zz"}, model.index.find([w.encode() for w in {*words, "zz"}])[0])}
+    matrix = np.zeros((len(model.in_class),) * 2)
+    for k, text in enumerate(texts):
+        path = [len(matrix) - 1, *(of.get(w, len(matrix) - 2) for w in (text or "").split()), len(matrix) - 1]
+        np.add.at(matrix, (path[:-1], path[1:]), 1)
+    assert (matrix.sum(axis=1) == model.in_class).all()
+    by_chance = [{w: k % (len(matrix) - 2) for k, w in enumerate(of)}, of]
+    risen = []
+    for assigned in by_chance:
+        m = np.zeros_like(matrix)
+        for text in texts[:-2]:
+            path = [assigned[w] for w in text.split()]
+            np.add.at(m, (path[:-1], path[1:]), 1)
+        risen.append(class_lm.likelihood(m))
+    assert risen[1] > risen[0]
+    held = "x1 y2 zz once never"
+    got = class_lm.score(spark.createDataFrame([(held,)], "text string"), model, counts, {"text": F.col("text")}).first()
+    path = [len(matrix) - 1, *(of.get(w, len(matrix) - 2) for w in held.split()), len(matrix) - 1]
+    n = {"x1": 3, "y2": 3, "zz": 9000}
+    rare = [math.log10(2 / (1 + 1 + 1)), math.log10(1 / (1 + 1 + 1))]
+    want = model.transition[path[:-1], path[1:]].sum() + sum(math.log10(n[w] / model.in_class[of[w]]) for w in n) + sum(rare)
+    assert math.isclose(got.score, want, rel_tol=1e-9) and got.n_known == 5
+
+
+def test_clustering_goes_on_while_the_likelihood_rises(spark):
+    random.seed(4)
+    texts = [" ".join(f"{kind}{random.randrange(20)}" for _ in range(20) for kind in "pqr") for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    values = []
+    for rounds in (0, 1, None):
+        model, counts = class_lm.train(rows, classes=4, rounds=rounds)
+        values.append(sum(r.score for r in class_lm.score(rows, model, counts, {"text": F.col("text")}).collect()))
+    assert values[0] < values[1] < values[2]
