@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; the languages are learned from the labels of all given documents."""
-    return language_id.keep_known(docs, language_id.train(docs))
+    """Documents without a recognised language go; the languages, and how well their texts fit, are learned from the labels of all
+    given documents."""
+    return language_id.keep_known(docs, language_id.fitted(language_id.train(docs), docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

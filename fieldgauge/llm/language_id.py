@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ ORDER = 3
 MAX_CONTEXTS = 65_536
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+DEVIATIONS = 6.0
 FLUSH = 1_000_000
 
 
@@ -94,6 +95,7 @@ class Model:
     bits2: np.ndarray
     escape2: np.ndarray
     bits1: np.ndarray
+    limits: dict[str, float] | None = None  # most bits per byte of a text, by language
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -207,6 +209,11 @@ def text_bits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
 
 def classify(documents: DataFrame, model: Model, carry: dict[str, Column], text: str = "text") -> DataFrame:
     """The carried columns with `lang_pred` and `score`; nothing but the text enters a prediction."""
+    return _judged(documents, model, carry, text).drop("rate")
+
+
+def _judged(documents: DataFrame, model: Model, carry: dict[str, Column], text: str) -> DataFrame:
+    """As `classify`, with the bits per byte under the predicted language as `rate`."""
     ship(documents.sparkSession)
     has_letter = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
     rows = documents.select(
@@ -218,24 +225,44 @@ def classify(documents: DataFrame, model: Model, carry: dict[str, Column], text:
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, UNKNOWN], object)
         for batch in batches:
-            best, score = [np.zeros(0, int)], [np.zeros(0)]
+            best, score, rate = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
             for first, last, data, offsets in slices(batch.column(1)):
                 bits = text_bits(shared.value, data, offsets)
                 empty = np.diff(offsets) == 0
                 if width:
                     best.append(np.where(empty, width, bits.argmin(axis=1)))
                     score.append(np.where(empty, 0.0, 1.0 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)))
+                    rate.append(bits.min(axis=1) / np.maximum(np.diff(offsets), 1))
                 else:
                     best.append(np.zeros(last - first, int))
                     score.append(np.zeros(last - first))
+                    rate.append(np.zeros(last - first))
             found = names[np.concatenate(best)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(np.concatenate(score))], names=["row", "lang_pred", "score"])
+            columns = [batch.column(0), pa.array(found, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "rate"])
 
-    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("rate", "double")
     return rows.mapInArrow(judged, schema)
 
 
+def fitted(model: Model, documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """The model with its limits: bits per byte that a text of each language may take. They are `DEVIATIONS` standard deviations
+    (a tenth of the mean at least, for few texts) above the mean of all labelled texts that the model gives their label."""
+    known = documents.where(F.col(lang).isNotNull())
+    rates = _judged(known, model, {"lang": F.col(lang).cast("string")}, text).where("row.lang = lang_pred")
+    limit = F.mean("rate") + DEVIATIONS * F.greatest(F.stddev_pop("rate"), F.mean("rate") / 10)
+    limits = {r["lang_pred"]: r["top"] for r in rates.groupBy("lang_pred").agg(limit.alias("top")).collect()}
+    return replace(model, limits=limits)
+
+
 def keep_known(documents: DataFrame, model: Model, least_score: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents with a recognised language, with their columns."""
-    judged = classify(documents, model, {c: F.col(f"`{c}`") for c in documents.columns}, text)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+    """The documents with a recognised language, with their columns. The score only compares languages; a fitted model's limits
+    reject also what fits none of them."""
+    judged = _judged(documents, model, {c: F.col(f"`{c}`") for c in documents.columns}, text)
+    judged = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    if model.limits is not None:
+        limit = F.lit(None).cast("double")
+        for name, top in model.limits.items():
+            limit = F.when(F.col("lang_pred") == name, top).otherwise(limit)
+        judged = judged.where(F.col("rate") <= limit)
+    return judged.select("row.*")

@@ -216,3 +216,21 @@ def test_clustering_goes_on_while_the_likelihood_rises(spark):
         model, counts = class_lm.train(rows, classes=4, rounds=rounds)
         values.append(sum(r.score for r in class_lm.score(rows, model, counts, {"text": F.col("text")}).collect()))
     assert values[0] < values[1] < values[2]
+
+
+def test_texts_that_fit_no_language_go(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    random.seed(5)
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+        " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(40)),
+        "".join(random.choices("0123456789abcdef", k=400)),
+    ]
+    planted = spark.createDataFrame([(-k, text, None) for k, text in enumerate(foreign, 1)], table.schema)
+    model = language_id.train(table)
+    rows = table.unionByName(planted)
+    assert language_id.keep_known(planted, model).count() == len(foreign)
+    kept = {r.doc_id for r in language_id.keep_known(rows, language_id.fitted(model, rows)).collect()}
+    assert kept == {r.doc_id for r in table.collect()}
