@@ -6,9 +6,9 @@ occurrences of d different symbols escapes with d / (n + d)) and is coded one or
 values. Statistics are frozen after training, so a byte's code length is a function of the byte and the three before it.
 A text gets the language that codes it in the fewest bits; the score is that language's share of the likelihoods.
 
-Counting is one pass: tasks count four-byte windows per language and combine them before the shuffle. The model is
-bounded: the `max_contexts` most frequent contexts of order three, all of order two and below (at most 2^24 windows), and
-the `max_languages` most frequent labels. Classifying is map-only, gathers from tables built once per worker.
+Counting is one pass: tasks count four-byte windows per language and combine them before the shuffle. Every context and every
+label is kept, so the model, which the driver builds and each worker holds, takes four bytes for each different window and label.
+Classifying is map-only: gathers from tables built once per worker, and a binary search among the windows.
 
 Edge cases: null, empty and letterless texts are `und` with score 0, as is everything when nothing could be learned.
 Rows are judged one by one, so repeated rows and ids agree; ties go to the alphabetically first language. A null
@@ -31,8 +31,6 @@ from .shipping import ship
 from .tables import workspace, written
 
 ORDER = 3
-MAX_CONTEXTS = 65_536
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 DEVIATIONS = 6.0
 FLUSH = 1_000_000
@@ -120,21 +118,17 @@ def _matrix(rows, key: str, languages: list[str]) -> tuple[np.ndarray, np.ndarra
     return unique, out
 
 
-def train(documents: DataFrame, text: str = "text", lang: str = "lang", max_contexts: int = MAX_CONTEXTS, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count windows over all rows with text and label, and turn the counts into code lengths."""
     folder = workspace(documents, "language-id")
     labelled = documents.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = labelled.mapInArrow(_counted, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
     counts = written(counts, f"{folder}/counts")
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    languages = sorted(r["lang"] for r in top.collect())
-    code = F.array_position(F.array(*map(F.lit, languages)) if languages else F.array().cast("array<string>"), F.col("lang")) - 1
-    counts = counts.withColumn("code", code).where("code >= 0")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    codes = documents.sparkSession.createDataFrame(list(zip(languages, range(len(languages)))), "lang string, code long")
+    counts = counts.join(F.broadcast(codes), "lang")
     order2 = counts.groupBy("code", F.expr("window & 16777215").alias("trigram")).agg(F.sum("n").alias("n")).toPandas()
-    context = F.shiftrightunsigned("window", 8)
-    frequent = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(max_contexts)
-    kept = counts.withColumn("context", context).join(F.broadcast(frequent.select("context")), "context", "left_semi")
-    order3 = kept.select("code", "window", "n").toPandas()
+    order3 = counts.select("code", "window", "n").toPandas()
     return _model(languages, order2, order3)
 
 
@@ -167,9 +161,7 @@ class _Tables:
         self.trigram[model.trigrams] = np.arange(len(model.trigrams), dtype=np.int32)
         self.context = np.full(1 << 24, -1, np.int32)
         self.context[model.contexts] = np.arange(len(model.contexts), dtype=np.int32)
-        self.window = np.full(len(model.contexts) * 256, -1, np.int32)
-        at = self.context[model.windows >> 8].astype(np.int64) * 256 + (model.windows & 0xFF)
-        self.window[at] = np.arange(len(model.windows), dtype=np.int32)
+        self.windows = model.windows.astype(np.uint32)
 
     @classmethod
     def of(cls, model: Model) -> "_Tables":
@@ -181,8 +173,9 @@ class _Tables:
     def bits(self, windows: np.ndarray) -> np.ndarray:
         m = self.model
         node = self.context[windows >> np.uint32(8)]
-        row = self.window[np.maximum(node, 0).astype(np.int64) * 256 + (windows & np.uint32(0xFF))] if len(self.window) else node
-        row = np.where(node >= 0, row, -1)
+        different, back = np.unique(windows, return_inverse=True)
+        row = np.minimum(np.searchsorted(self.windows, different), len(self.windows) - 1)
+        row = np.where(self.windows[row] == different, row, -1)[back] if len(self.windows) else node
         out = m.bits3[row] if len(m.bits3) else np.zeros((len(windows), len(m.languages)), np.float32)
         rest = np.flatnonzero(row < 0)
         if len(rest):

@@ -234,3 +234,16 @@ def test_texts_that_fit_no_language_go(spark):
     assert language_id.keep_known(planted, model).count() == len(foreign)
     kept = {r.doc_id for r in language_id.keep_known(rows, language_id.fitted(model, rows)).collect()}
     assert kept == {r.doc_id for r in table.collect()}
+
+
+def test_all_labels_and_contexts_are_learned(spark):
+    random.seed(6)
+    texts = [["".join(random.choices(ALPHABET[:8] + [chr(k) for k in range(256, 900)], k=600)), f"l{k:02}"] for k in range(70)]
+    model = language_id.train(spark.createDataFrame(texts, "text string, lang string"))
+    seen = [(b"\n\n\n" + t.encode()) for t, _ in texts]
+    contexts = {data[k - 3 : k] for data in seen for k in range(3, len(data))}
+    assert len(model.languages) == 70 and len(model.contexts) == len(contexts)
+    data = texts[69][0][:40].encode()
+    got = language_id.text_bits(model, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+    assert math.isclose(got[69], by_hand([texts[69][0]], data.decode(), "l69"), rel_tol=1e-5)
+    assert got.argmin() == 69
