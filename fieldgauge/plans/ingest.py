@@ -100,24 +100,13 @@ def folder_files(spark: SparkSession, folder: str, key_of: KeyOf = None, max_byt
     return as_files(scan, folder, key_of, max_bytes).unionByName(empty_files(scan, folder, key_of))
 
 
-def named_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The files of a claim: its paths are at most one load's. Names are taken literally."""
-    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths]
-    return spark.read.format("binaryFile").load(literal)
+def literal(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def sweep_empty_files(
-    store: SensorStore,
-    folder: str,
-    source: str,
-    definition: Definition = FILE_INGESTION,
-    as_of: datetime | None = None,
-    key_of: KeyOf = None,
-) -> int | None:
-    """Reject the zero-byte files of a folder that the ledger does not know yet."""
-    known = store.events().select(F.col("key").alias("file_key"))
-    fresh = empty_files(scan_folder(store.spark, folder), folder, key_of).join(known, "file_key", "left_anti")
-    return None if fresh.limit(1).isEmpty() else ingest_load(store, fresh, source, definition, as_of)
+def named_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files of a claim: its paths are at most one load's. Names are taken literally."""
+    return spark.read.format("binaryFile").load([literal(path) for path in paths])
 
 
 def ingest_folder(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import SensorStore
-from ..plans.ingest import KeyOf, ingest_load, named_scan, size_limit, sweep_empty_files
+from ..plans.ingest import KeyOf, empty_files, ingest_load, literal, named_scan, size_limit
 from ..plans.steps import FILE_INGESTION, Definition
 from ..sources.drop_files import as_files
 
@@ -40,6 +44,24 @@ def inbox_stream(spark: SparkSession, inbox: str, max_files: int, archive: str |
     return reader.load(inbox).select("path")
 
 
+def taken_files(spark: SparkSession, checkpoint: str, batch_id: int) -> list[str]:
+    """Paths of a micro-batch by the stream's own logs, which are written before it runs; empty files too."""
+    folder = literal(checkpoint.rstrip("/"))
+
+    def offset(batch: int) -> int:
+        lines = [r["value"] for r in spark.read.text(f"{folder}/offsets/{batch}").collect()] if batch >= 0 else []
+        return max((int(json.loads(x)["logOffset"]) for x in lines if x.startswith('{"logOffset"')), default=-1)
+
+    first, last = offset(batch_id - 1) + 1, offset(batch_id)
+    if last < first:
+        return []
+    logs = [f"{folder}/sources/0/{{{n},{n}.compact}}" for n in range(first, last + 1)]
+    lines = spark.read.text(logs).where(F.col("value").startswith("{"))
+    entry = F.from_json("value", "path STRING, batchId BIGINT")
+    mine = lines.select(entry.alias("entry")).where(F.col("entry.batchId").between(first, last)).select("entry.path").distinct()
+    return sorted(re.sub("^file:/+", "file:/", unquote(r["path"])) for r in mine.collect())
+
+
 def ingest_stream(
     spark: SparkSession,
     inbox: str,
@@ -52,7 +74,6 @@ def ingest_stream(
     as_of: datetime | None = None,
     key_of: KeyOf = None,
     archive: str | None = None,
-    sweep_every: int = 8,
 ) -> StreamingQuery:
     """Start ingesting an inbox into a store.
 
@@ -60,24 +81,23 @@ def ingest_stream(
     micro-batch finds its load committed, so every file counts once. A callable definition
     is asked again for every load.
 
-    Empty files, which the scan leaves out, are looked for when a run starts and, with an
-    interval, at every sweep_every-th micro-batch: that takes a listing of the inbox. Where
-    the inbox keeps growing, name an archive folder and Spark moves finished files there.
+    Empty files, which the scan leaves out, are known from the checkpoint's log of the files
+    taken and rejected with their micro-batch. Where the inbox keeps growing, name an archive
+    folder and Spark moves finished files there.
     """
     store = SensorStore(spark, store_root)
-    batches = 0
 
     def load_batch(references: DataFrame, batch_id: int) -> None:
-        nonlocal batches
+        source = f"{name}-{batch_id}"
+        if store.committed(source):
+            return
         current = definition() if callable(definition) else definition
         # At most max_files paths, the claim of this load.
-        paths = [row["path"] for row in references.collect()]
+        paths = taken_files(spark, checkpoint, batch_id)
         if paths:
-            files = as_files(named_scan(spark, paths), inbox, key_of, size_limit(current))
-            ingest_load(store, files, f"{name}-{batch_id}", current, as_of)
-        if batches == 0 or (interval_seconds is not None and batches % sweep_every == 0):
-            sweep_empty_files(store, inbox, f"{name}-{batch_id}-empty", current, as_of, key_of)
-        batches += 1
+            scan = named_scan(spark, paths)
+            files = as_files(scan, inbox, key_of, size_limit(current)).unionByName(empty_files(scan, inbox, key_of))
+            ingest_load(store, files, source, current, as_of)
 
     return (
         inbox_stream(spark, inbox, max_files, archive)

@@ -229,6 +229,23 @@ def test_stream_takes_the_newest_definition(spark, drop, tmp_path):
     assert found == {"a.csv": ("Invalid", 1, 0, 0), "b.csv": ("Stored", 2, 2, 1)}
 
 
+def test_empty_files_are_rejected_with_their_micro_batch(spark, drop, tmp_path):
+    root, log = str(tmp_path / "store"), str(tmp_path / "log")
+    store, key_of = SensorStore(spark, root), lambda key: F.regexp_replace(key, "^v[0-9]/", "")
+    drop("v1/a.csv", csv(1))
+    query = ingest_stream(spark, drop.inbox, root, log, interval_seconds=1, as_of=AS_OF, key_of=key_of)
+    try:
+        query.processAllAvailable()
+        drop("v2/a.csv", "")
+        drop("v2/late +1.csv", "")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    found = {r["key"]: (r["status"], r["error"]) for r in store.files().collect()}
+    assert found == {"a.csv": ("Invalid", "InvalidFile: Empty file"), "late +1.csv": ("Invalid", "InvalidFile: Empty file")}
+    assert live(store) == []
+
+
 def test_archived_inbox_is_left_empty(spark, drop, tmp_path):
     drop("a.csv", csv(1))
     root, log, archive = (str(tmp_path / n) for n in ("store", "log", "archive"))
