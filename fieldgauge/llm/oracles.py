@@ -64,5 +64,32 @@ WITH p AS (
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
 )
 SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND k = 1
+""",
+    # DuckDB has no CRC-32: its bits are folded one by one, each byte (0 or more) before eight shifts (-1).
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT conv_id, list(said ORDER BY i) AS turns FROM t GROUP BY conv_id
+), c AS (
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) % 9 AS h FROM o
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[:c.h], c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN o AS b ON b.conv_id = c.base
+), p AS (SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r
+), n AS (
+  SELECT turns[:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM p GROUP BY turns[:depth], depth
+), k AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), f AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(path[depth].text) ELSE 0 END AS own
+  FROM n LEFT JOIN k USING (path)
+), up AS (SELECT path[:d] AS path, n_children, own FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f)
+), s AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved_tokens FROM up GROUP BY path)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN n AS q ON f.depth > 0 AND q.path = f.path[:f.depth - 1]
 """,
 }

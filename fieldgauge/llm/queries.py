@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, class_lm, decontamination, language_id, near_dedup, pieces, quality, token_counts, url_filter, warc
+from . import chat, class_lm, decontamination, language_id, near_dedup, pieces, preference, prefix_trie, quality, repair, token_counts, url_filter, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -96,6 +96,21 @@ def op9_near_dedup(spark, sf_dir):
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damaged(rows), rows)
+
+
+def op12_prefix_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"), F.crc32(conv.cast("string")) % 9, conv - conv % 5)
+
+
+def op13_preference_quality(spark, sf_dir):
+    columns = {"doc_id": F.col("doc_id"), "held_out": ~learnable(3, 1)}
+    return preference.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable(3, 1), columns)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -109,5 +124,8 @@ QUERIES = {
         op8_url_filter,
         op9_near_dedup,
         op10_quality_rules,
+        op11_conversation_repair,
+        op12_prefix_trie,
+        op13_preference_quality,
     )
 }
