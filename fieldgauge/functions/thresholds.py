@@ -43,32 +43,36 @@ def threshold_struct(text: Column) -> Column:
 
 
 def threshold_table(spark, parameters: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(explicit, default) thresholds. Parameter names match exactly, defaults ignore case."""
-    explicit = [
-        (name[len(PARAMETER_PREFIX):], *parse_thresholds(text))
-        for name, text in sorted((parameters or {}).items())
-        if name.startswith(PARAMETER_PREFIX)
-    ]
+    """(explicit, default) thresholds. Parameter names match exactly, defaults ignore case. An explicit text that cannot be read
+    gives its type an error in place of numbers."""
+    explicit = []
+    for name, text in sorted((parameters or {}).items()):
+        if name.startswith(PARAMETER_PREFIX):
+            try:
+                explicit.append((name[len(PARAMETER_PREFIX) :], *parse_thresholds(text), None))
+            except ValueError as wrong:
+                explicit.append((name[len(PARAMETER_PREFIX) :], None, None, None, str(wrong)))
     columns = ["threshold_type", "low", "high", "critical"]
-    given = fixed_table(spark, explicit or [(None, 0.0, 0.0, 0.0)], columns)
+    given = spark.createDataFrame(explicit, "threshold_type string, low double, high double, critical double, error string")
     return given, fixed_table(spark, DEFAULT_THRESHOLDS, columns)
 
 
 def with_thresholds(rows: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
-    """Add low, high, critical to rows by sensor_type: parameter, else default, else open.
+    """Add low, high, critical and threshold_error to rows by sensor_type: parameter, else default, else open.
 
     Both tables hold one row per parameter or per catalog type, so they are broadcast.
     """
     given, defaults = threshold_table(rows.sparkSession, parameters)
-    given = given.select("threshold_type", F.struct("low", "high", "critical").alias("_given"))
-    defaults = defaults.select(F.col("threshold_type").alias("_default_type"), F.struct("low", "high", "critical").alias("_default"))
-    open_range = F.struct(*[F.lit(v).alias(n) for n, v in zip(("low", "high", "critical"), OPEN_THRESHOLDS)])
+    given = given.select("threshold_type", F.struct("low", "high", "critical", "error").alias("_given"))
+    no_error = F.lit(None).cast("string").alias("error")
+    defaults = defaults.select(F.col("threshold_type").alias("_default_type"), F.struct("low", "high", "critical", no_error).alias("_default"))
+    open_range = F.struct(*[F.lit(v).alias(n) for n, v in zip(("low", "high", "critical"), OPEN_THRESHOLDS)], no_error)
     joined = (
         rows.join(F.broadcast(given), rows["sensor_type"] == given["threshold_type"], "left")
         .join(F.broadcast(defaults), F.lower(rows["sensor_type"]) == defaults["_default_type"], "left")
         .withColumn("_t", F.coalesce("_given", "_default", open_range))
     )
-    return joined.select(*[rows[c] for c in rows.columns], "_t.low", "_t.high", "_t.critical")
+    return joined.select(*[rows[c] for c in rows.columns], "_t.low", "_t.high", "_t.critical", F.col("_t.error").alias("threshold_error"))
 
 
 def category(value: Column, low: Column, high: Column, critical: Column) -> Column:

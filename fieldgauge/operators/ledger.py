@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate
+from ..functions.text import lifecycle_prefix, relative_key, truncate
+
+# Fixed value: the outcome of a file that was gone when a run came to it.
+MISSING = "Missing"
 
 
 def ledger_events(verdicts: DataFrame, run_id: Column | str, as_of: Column, pipeline: str, pipeline_version: int) -> DataFrame:
@@ -32,10 +35,10 @@ def ledger_events(verdicts: DataFrame, run_id: Column | str, as_of: Column, pipe
 
 
 def claim_events(keys: DataFrame, run_id: Column, as_of: Column) -> DataFrame:
-    """A run takes files on: status Processing, earlier failure and completion cleared."""
+    """A run takes files on (key, and any further columns): status Processing, earlier failure and completion cleared."""
     nothing = lambda kind: F.lit(None).cast(kind)
     return keys.select(
-        "key",
+        *keys.columns,
         F.lit("Processing").alias("status"),
         run_id.alias("run_id"),
         nothing("string").alias("failed_step"),
@@ -46,17 +49,39 @@ def claim_events(keys: DataFrame, run_id: Column, as_of: Column) -> DataFrame:
     )
 
 
+def missing_events(keys: DataFrame, run_id: Column, as_of: Column, pipeline: str, pipeline_version: int) -> DataFrame:
+    """Files that were gone when a run came to them."""
+    return keys.select(
+        "key",
+        F.lit(MISSING).alias("status"),
+        run_id.alias("run_id"),
+        F.lit(pipeline).alias("pipeline"),
+        F.lit(pipeline_version).cast("int").alias("pipeline_version"),
+        as_of.alias("created_at"),
+        as_of.alias("updated_at"),
+        as_of.alias("completed_at"),
+    )
+
+
 def latest_by_key(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins. The rank filter keeps one row per key and task before the shuffle."""
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return events.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def ledger_view(events: DataFrame, order: list[str]) -> DataFrame:
-    """Current row per file, with attempts (distinct runs) and the first created_at."""
-    current = latest_by_key(events, ["key"], order).drop("created_at")
-    runs = events.groupBy("key").agg(F.count_distinct("run_id").cast("int").alias("attempts"), F.min("created_at").alias("created_at"))
-    return current.join(runs, "key")
+def ledger_view(events: DataFrame, order: list[str], run: str = "run_id") -> DataFrame:
+    """Current row per file, with attempts (distinct runs) and the first created_at, in one pass over the events.
+
+    Partial aggregates keep one row and the few runs of a key before the shuffle. Where events stand for earlier ones,
+    `earlier_attempts` says for how many.
+    """
+    kept = [c for c in events.columns if c not in ("key", "created_at", "earlier_attempts")]
+    earlier = F.coalesce(F.sum("earlier_attempts"), F.lit(0)) if "earlier_attempts" in events.columns else F.lit(0)
+    newest = F.max_by(F.struct(*kept), F.struct(*order))
+    view = events.groupBy("key").agg(
+        newest.alias("_newest"), (F.size(F.collect_set(run)) + earlier).cast("int").alias("attempts"), F.min("created_at").alias("created_at")
+    )
+    return view.select("key", "_newest.*", "attempts", "created_at")
 
 
 def error_reports(verdicts: DataFrame, as_of: Column, pipeline: str, pipeline_version: int) -> DataFrame:
@@ -77,8 +102,6 @@ def error_reports(verdicts: DataFrame, as_of: Column, pipeline: str, pipeline_ve
 
 def finalized_state(keys: DataFrame, listing: DataFrame) -> DataFrame:
     """Where a key ended up: waiting in the inbox, processed, invalid, or missing."""
-    from ..functions.text import lifecycle_prefix, relative_key
-
     places = (
         listing.select(relative_key(F.col("key")).alias("key"), lifecycle_prefix(F.col("key")).alias("place"))
         .groupBy("key")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import type_names
 from ..functions.numbers import mean4
 from ..functions.text import job_key
-from ..functions.thresholds import CATEGORIES, category, with_thresholds
+from ..functions.thresholds import CATEGORIES, PARAMETER_PREFIX, category, parse_thresholds, with_thresholds
 
 MEASUREMENT_STATE = ["category", "categorized_at", "categorized_by_job"]
 
@@ -22,13 +22,38 @@ def check_types(types: list[str], known: list[str] | None = None) -> list[str]:
     return types
 
 
+def try_categorize(rows: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
+    """Set category by the thresholds of each row's type, and step_error where that cannot be done: the type's thresholds
+    cannot be read, or the row has no number."""
+    kept = [c for c in rows.columns if c not in ("category", "step_error")]
+    leveled = with_thresholds(rows.select(*kept), parameters)
+    unread = F.col("value").isNull() | F.isnan("value")
+    error = F.coalesce(F.col("threshold_error"), F.when(unread, F.concat(F.lit("Measurement "), F.col("id").cast("string"), F.lit(" has no value"))))
+    named = category(F.col("value"), F.col("low"), F.col("high"), F.col("critical"))
+    return leveled.select(*kept, F.when(error.isNull(), named).alias("category"), error.alias("step_error"))
+
+
 def categorize(rows: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
-    """Set category by the thresholds of each row's type."""
+    """Set category by the thresholds of each row's type; thresholds that cannot be read refuse the request."""
+    for name, text in (parameters or {}).items():
+        if name.startswith(PARAMETER_PREFIX):
+            parse_thresholds(text)
     kept = [c for c in rows.columns if c != "category"]
     leveled = with_thresholds(rows.select(*kept), parameters)
     return leveled.select(*kept, category(F.col("value"), F.col("low"), F.col("high"), F.col("critical")).alias("category"))
 
 
+def failed_batches(errors: DataFrame, step: str, keys: tuple[str, ...] = ("sensor_type", "batch_number")) -> DataFrame:
+    """Rows with step_error folded to one row per batch: the step and its first error, by id."""
+    return errors.where("step_error is not null").groupBy(*keys).agg(F.lit(step).alias("failed_step"), F.min_by("step_error", "id").alias("error"))
+
+
+def failed_batch_sizes(batched: DataFrame, failed: DataFrame, keys: tuple[str, ...] = ("sensor_type", "batch_number")) -> DataFrame:
+    """The failed batches with all their rows counted. Spark broadcasts the few failed batches; none costs no join."""
+    rows = batched.join(failed.select(*keys).distinct(), list(keys), "left_semi").groupBy(*keys).agg(F.count("*").alias("rows"))
+    return failed.join(rows, list(keys))
+
+
 def stamp(categorized: DataFrame, job: Column, as_of: Column) -> DataFrame:
     """Record when and by which job; the category is already a column of the row."""
     return categorized.withColumn("categorized_at", as_of).withColumn("categorized_by_job", job)

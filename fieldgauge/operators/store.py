@@ -1,26 +1,41 @@
 """Measurement store on plain Parquet: append-only loads, replace-by-file at read time.
 
-A load writes one folder measurements/load=N and commits by appending its file events to
-the ledger. Rows of a file are live when the file's newest event is the Stored event of
-the same load; re-delivered and rejected files need no rewrite of older data. Reading
-anti-joins the few superseded (file, load) pairs, and `compact` folds them away.
-One writer at a time, as with any single streaming query.
+A load is claimed, written and committed. The claim is one folder claims/source=S/load=N: a row per file taken on, and one row
+without a key for the attempt itself, with its number and the writer's token. Rows go to measurements/load=N, and the
+load becomes visible when its file events are appended to the ledger. Every attempt at a source has a load number of its own,
+and only the events of a source's newest attempt count: a writer that was given up and commits late is not seen.
+
+Rows of a file are live when the file's newest outcome is the Stored event of the same load; re-delivered and rejected files
+need no rewrite of older data. Reading anti-joins the few superseded (file, load) pairs. `compact` folds all tables into a fresh
+store: the ledger becomes a snapshot, one row per key and per source, and later loads append behind it.
+
+Claims are taken by one writer at a time, as with any single streaming query; the fence is for writers that are late.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ledger import ledger_view
+from .ledger import MISSING, claim_events, ledger_view
 
+# The tables' columns.
 LEDGER_SCHEMA = (
     "key STRING, status STRING, run_id STRING, pipeline STRING, pipeline_version INT, format STRING, checksum STRING, "
     "size_bytes BIGINT, row_count INT, invalid_row_count INT, stored_count INT, failed_step STRING, error STRING, "
-    "created_at TIMESTAMP, updated_at TIMESTAMP, completed_at TIMESTAMP, load BIGINT, source STRING"
+    "created_at TIMESTAMP, updated_at TIMESTAMP, completed_at TIMESTAMP, token STRING, last_id BIGINT, load BIGINT, source STRING"
+)
+# A snapshot's row also says how many attempts it stands for.
+SNAPSHOT_SCHEMA = LEDGER_SCHEMA + ", earlier_attempts INT"
+SOURCE_SCHEMA = "source STRING, load BIGINT, attempt INT, last_id BIGINT"
+CLAIM_SCHEMA = (
+    "key STRING, path STRING, status STRING, run_id STRING, failed_step STRING, error STRING, created_at TIMESTAMP, updated_at TIMESTAMP, "
+    "completed_at TIMESTAMP, attempt INT, token STRING, load BIGINT, source STRING"
 )
 MEASUREMENT_SCHEMA = (
     "id BIGINT, file_key STRING, line_number INT, sensor_id STRING, timestamp TIMESTAMP, value DOUBLE, unit STRING, "
@@ -29,27 +44,45 @@ MEASUREMENT_SCHEMA = (
 CATEGORIZED_SCHEMA = (
     "id BIGINT, file_key STRING, line_number INT, sensor_id STRING, timestamp TIMESTAMP, value DOUBLE, unit STRING, "
     "load BIGINT, batch_number INT, category STRING, categorized_at TIMESTAMP, categorized_by_job STRING, "
-    "job_base STRING, span STRING, sensor_type STRING"
+    "job_base STRING, span STRING, step INT, sensor_type STRING"
 )
 RESULT_SCHEMA = (
     "job_id STRING, sensor_type STRING, batch_number INT, sensor_id STRING, count BIGINT, min DOUBLE, max DOUBLE, "
     "avg DOUBLE, low_count BIGINT, normal_count BIGINT, high_count BIGINT, critical_count BIGINT, created_at TIMESTAMP, "
-    "job_base STRING, span STRING"
+    "job_base STRING, span STRING, step INT"
+)
+FAILURE_SCHEMA = (
+    "job_id STRING, sensor_type STRING, batch_number INT, failed_step STRING, error STRING, rows BIGINT, job_base STRING, span STRING, step INT"
 )
 JOB_SCHEMA = (
     "job_id STRING, sensor_type STRING, status STRING, pipeline STRING, pipeline_version INT, processed BIGINT, batches BIGINT, "
     "failed_batches BIGINT, error STRING, from_load BIGINT, to_load BIGINT, started_at TIMESTAMP, updated_at TIMESTAMP, "
     "completed_at TIMESTAMP, job_base STRING, span STRING"
 )
+PROGRESS_SCHEMA = JOB_SCHEMA + ", step INT"
 REPORT_SCHEMA = "file_key STRING, report STRING, load BIGINT"
+SCAN_SCHEMA = (
+    "at TIMESTAMP, listed BIGINT, dispatched BIGINT, already_running BIGINT, throttled BIGINT, missing BIGINT, re_dispatched BIGINT, swept BOOLEAN, source STRING"
+)
 
-# An id packs load, task and row: 20 + 17 + 26 bits of a positive BIGINT.
-LOAD_BITS, TASK_BITS, ROW_BITS = 20, 17, 26
-
-# Up to this many loads are read by naming their folders.
+# A span of at most so many loads is read by naming its folders, a longer one by listing the table. The rows are the same.
 FOLDERS_NAMED = 500
 
 
+class LateWriter(RuntimeError):
+    """A newer attempt at the same source was claimed; this one's rows will not be seen."""
+
+
+@dataclass(frozen=True)
+class Claim:
+    """One attempt at a load."""
+
+    source: str
+    load: int
+    attempt: int
+    token: str
+
+
 def folder_value(text: str) -> str:
     """A partition value as Spark spells it in a folder name; reading gives the text back."""
     return re.sub("[\x00-\x1f\x7f\"#%'*/:=?\\\\{}\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", text)
@@ -64,15 +97,9 @@ def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str], replace
     return existing.join(gone, keys, "left_anti").unionByName(new)
 
 
-def measurement_ids(load: int) -> Column:
-    """Unique ids for one write: the task's number and the row's position, under the load."""
-    if not 0 <= load < 1 << LOAD_BITS:
-        raise ValueError(f"load {load} does not fit {LOAD_BITS} bits")
-    counter = F.monotonically_increasing_id()
-    task, row = F.shiftright(counter, 33), counter.bitwiseAND(F.lit((1 << 33) - 1))
-    packed = F.lit(load << (TASK_BITS + ROW_BITS)) + F.shiftleft(task, ROW_BITS) + row
-    fits = (task < (1 << TASK_BITS)) & (row < (1 << ROW_BITS))
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("too many tasks or rows per task for one load")).cast("bigint"))
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    columns = [F.lit(None).cast(kind).alias(name) for name, kind in (c.strip().split(" ") for c in schema.split(","))]
+    return spark.sql("SELECT 1 AS none WHERE false").select(*columns)
 
 
 class SensorStore:
@@ -82,6 +109,7 @@ class SensorStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self._next_load: int | None = None
+        self._next_id: int | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -94,39 +122,106 @@ class SensorStore:
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return self.spark.sql("SELECT 1 AS none WHERE false").select(
-                *[F.lit(None).cast(kind).alias(name) for name, kind in (c.strip().split(" ") for c in schema.split(","))]
-            )
+            return empty_table(self.spark, schema)
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
+        """Write a folder whole; writing it again replaces it."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+    # -- claims ---------------------------------------------------------------
+
+    def claims(self) -> DataFrame:
+        """All claims: a row per key and attempt, and one without a key per attempt."""
+        return self._read("claims", CLAIM_SCHEMA)
+
+    def _sources(self) -> DataFrame:
+        """Sources folded away by a compaction."""
+        return self._read("snapshot/sources", SOURCE_SCHEMA)
+
+    def newest_attempts(self) -> DataFrame:
+        """(source, load) of each source's newest attempt. Only folder names are read of the claims."""
+        return self.claims().select("source", "load").groupBy("source").agg(F.max("load").alias("load"))
+
+    def _own_claims(self, source: str) -> DataFrame:
+        return self._read("claims", CLAIM_SCHEMA, f"source={folder_value(source)}").where("key is null")
+
+    def claim(self, source: str, keys: DataFrame, as_of: Column) -> Claim:
+        """Take files (key, path) on: the next attempt at a source, with a load number of its own."""
+        own = self._own_claims(source).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
+        folded = self._sources().where(F.col("source") == source).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
+        claim = Claim(source, self.next_load(), max(own, folded) + 1, uuid.uuid4().hex)
+        mark = self.spark.range(1).select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("path"))
+        rows = claim_events(keys.select("key", "path").unionByName(mark), F.lit(source), as_of)
+        rows = rows.withColumns({"attempt": F.lit(claim.attempt), "token": F.lit(claim.token)})
+        self._write(rows, f"{self.path('claims')}/source={folder_value(source)}/load={claim.load}")
+        self._next_load = claim.load + 1
+        return claim
+
+    def abandoned(self, before: Column) -> DataFrame:
+        """Claimed files of newest attempts that were not committed and were claimed before a time: nobody is working on them."""
+        claims = self.claims().join(self.newest_attempts(), ["source", "load"], "left_semi")
+        done = self.events().select("source").distinct()
+        return claims.where((F.col("updated_at") < before) & F.col("key").isNotNull()).join(done, "source", "left_anti")
 
     # -- ledger ---------------------------------------------------------------
 
     def events(self) -> DataFrame:
-        return self._read("ledger", LEDGER_SCHEMA)
+        """Outcomes of committed loads: those of each source's newest attempt, and what a compaction kept."""
+        newest = self.newest_attempts().withColumnRenamed("load", "_newest")
+        tail = self._read("ledger", LEDGER_SCHEMA).join(newest, "source", "left")
+        tail = tail.where(F.col("_newest").isNull() | (F.col("load") == F.col("_newest"))).drop("_newest")
+        return self._read("snapshot/ledger", SNAPSHOT_SCHEMA).unionByName(tail.withColumn("earlier_attempts", F.lit(None).cast("int")))
 
     def files(self) -> DataFrame:
-        """Current row per file."""
-        return ledger_view(self.events(), ["load"])
+        """Current row per file: its newest outcome, or Processing while a newer attempt is under way. Attempts counts the
+        attempts at the file, those that died too."""
+        outcomes = self.events()
+        committed = outcomes.select("source", "load").distinct()
+        # Claims of attempts that died or were committed count as attempts, but are not shown.
+        open_ = self.newest_attempts().join(committed, ["source", "load"], "left_anti").withColumn("_open", F.lit(True))
+        claims = self.claims().where("key is not null").join(open_, ["source", "load"], "left")
+        claims = claims.withColumn("_rank", F.when(F.col("_open"), F.lit(2)).otherwise(0)).drop("path", "attempt", "_open")
+        # A file that was gone when it was asked for keeps the row it had.
+        outcomes = outcomes.withColumn("_rank", F.when(F.col("status") == MISSING, 1).otherwise(2))
+        both = outcomes.unionByName(claims, allowMissingColumns=True)
+        return ledger_view(both.where(F.col("key").isNotNull()), ["_rank", "load"], "token").drop("_rank", "last_id")
 
     def last_load(self) -> int:
         """Number of the newest committed load, 0 when there is none."""
         return self.events().agg(F.coalesce(F.max("load"), F.lit(0))).first()[0]
 
     def next_load(self) -> int:
-        """Number for the next load. The ledger is asked once; this writer counts on from there."""
+        """Number for the next attempt. The store is asked once; this writer counts on from there."""
         if self._next_load is None:
-            self._next_load = self.last_load() + 1
+            claimed = self.claims().agg(F.max("load")).first()[0] or 0
+            folded = self._sources().agg(F.max("load")).first()[0] or 0
+            self._next_load = max(self.last_load(), claimed, folded) + 1
         return self._next_load
 
+    def next_id(self) -> int:
+        """The first free measurement id: a running number over all committed loads, asked once."""
+        if self._next_id is None:
+            folded = self._sources().agg(F.max("last_id")).first()[0] or 0
+            self._next_id = max(folded, self.events().agg(F.max("last_id")).first()[0] or 0) + 1
+        return self._next_id
+
     def committed(self, source: str) -> bool:
-        """Whether this source's load is in the ledger; only its own folder is listed."""
-        return not self._read("ledger", LEDGER_SCHEMA, f"source={folder_value(source)}").limit(1).isEmpty()
+        """Whether a source's newest attempt is in the ledger; of the ledger and the claims only its own folders are listed."""
+        newest = self._own_claims(source).agg(F.max("load")).first()[0]
+        below = f"source={folder_value(source)}" + (f"/load={newest}" if newest is not None else "")
+        if not self._read("ledger", LEDGER_SCHEMA, below).limit(1).isEmpty():
+            return True
+        return not self._sources().where(F.col("source") == source).isEmpty()
 
     def superseded(self, after: int = 0) -> DataFrame:
-        """(file_key, load) of stored loads past `after` that a newer event of the file replaced.
+        """(file_key, load) of stored loads past `after` that a newer outcome of the file replaced.
 
-        Newer events have higher load numbers, so earlier ones need not be read.
+        Newer events have higher load numbers, so earlier ones need not be read. A file that was missing replaces nothing.
         """
-        events = self.events().where(F.col("load") > after).select(F.col("key").alias("file_key"), "load", "status")
+        events = self.events().where((F.col("load") > after) & F.col("key").isNotNull() & (F.col("status") != MISSING))
+        events = events.select(F.col("key").alias("file_key"), "load", "status")
         newest = events.groupBy("file_key").agg(F.max("load").alias("newest"))
         replaced = events.where(F.col("status") == "Stored").join(newest, "file_key")
         return replaced.where(F.col("load") < F.col("newest")).select("file_key", "load")
@@ -134,54 +229,99 @@ class SensorStore:
     # -- loads ----------------------------------------------------------------
 
     def write_load(self, load: int, readings: DataFrame) -> None:
-        """Write the readings of one load; writing the same load again replaces it whole."""
-        columns = ["file_key", "line_number", "sensor_id", "sensor_type", "timestamp", "value", "unit"]
-        rows = readings.select(measurement_ids(load).alias("id"), *columns)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("sensor_type").parquet(
-            f"{self.path('measurements')}/load={load}"
-        )
+        """Write the readings of one load, with their ids; writing the same load again replaces it whole."""
+        columns = ["id", "file_key", "line_number", "sensor_id", "sensor_type", "timestamp", "value", "unit"]
+        self._write(readings.select(*columns), f"{self.path('measurements')}/load={load}", ("sensor_type",))
 
-    def write_reports(self, load: int, reports: DataFrame) -> None:
-        reports.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.path('reports')}/load={load}")
+    def converted_path(self, load: int) -> str:
+        """Where the normalized readings of a load lie."""
+        return f"{self.path('converted')}/load={load}"
 
-    def commit_load(self, load: int, source: str, events: DataFrame) -> None:
-        """Append the file events: from here on the load is visible."""
-        events.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{self.path('ledger')}/source={folder_value(source)}/load={load}"
-        )
-        self._next_load = load + 1
+    def write_reports(self, load: int, reports: DataFrame) -> None:
+        self._write(reports, f"{self.path('reports')}/load={load}")
+
+    def commit_load(self, claim: Claim, events: DataFrame, last_id: int | None = None) -> None:
+        """Append the file events: from here on the load is visible, unless a newer attempt was claimed. A load without any file
+        leaves one row without a key."""
+        newest = self._own_claims(claim.source).agg(F.max("load")).first()[0]
+        if newest is not None and newest != claim.load:
+            raise LateWriter(f"attempt {claim.attempt} at {claim.source}: load {newest} was claimed after load {claim.load}")
+        mark = empty_table(self.spark, LEDGER_SCHEMA).drop("load", "source")
+        mark = mark.unionByName(self.spark.range(1).select(F.lit(last_id).cast("bigint").alias("last_id")), allowMissingColumns=True)
+        rows = events.unionByName(mark, allowMissingColumns=True).withColumn("token", F.lit(claim.token))
+        self._write(rows, f"{self.path('ledger')}/source={folder_value(claim.source)}/load={claim.load}")
+        if last_id is not None:
+            self._next_id = last_id + 1
 
     def reports(self) -> DataFrame:
         """Error reports of committed loads."""
-        return self._read("reports", REPORT_SCHEMA).join(self.events().select("load").distinct(), "load", "left_semi")
+        return self._read("reports", REPORT_SCHEMA).join(self._visible_loads(), "load", "left_semi")
 
-    def loads(self, after: int = 0, upto: int | None = None) -> DataFrame:
-        """Rows of committed loads in (after, upto], live or not.
+    def _visible_loads(self) -> DataFrame:
+        """Numbers of committed loads, those folded away too."""
+        return self.events().select("load").unionByName(self._sources().select("load")).distinct()
 
-        A short span names its folders, so that a long table is not listed for a few loads.
-        """
+    def loads(self, after: int = 0, upto: int | None = None) -> DataFrame:
+        """Rows of committed loads in (after, upto], live or not."""
         last = self.last_load() if upto is None else upto
         wanted = range(after + 1, last + 1)
         below = f"load={{{','.join(map(str, wanted))}}}" if 0 < len(wanted) <= FOLDERS_NAMED else ""
         rows = self._read("measurements", MEASUREMENT_SCHEMA, below)
-        return rows.where((F.col("load") > after) & (F.col("load") <= last))
+        rows = rows.where((F.col("load") > after) & (F.col("load") <= last))
+        return rows.join(self._visible_loads().where((F.col("load") > after) & (F.col("load") <= last)), "load", "left_semi")
 
     def measurements(self, after: int = 0, upto: int | None = None) -> DataFrame:
         """Live measurements. No hint: Spark broadcasts the superseded pairs only when small."""
         return self.loads(after, upto).join(self.superseded(after), ["file_key", "load"], "left_anti")
 
     def compact(self, target_root: str) -> "SensorStore":
-        """Write the live rows and current ledger as a fresh store at another root."""
-        last = self.last_load()
+        """Fold all tables into a fresh store at another root that goes on where this one stands.
+
+        Kept: live measurements and their categories, jobs with their results, failures and progress, error reports, the scan log, and per
+        key its newest outcome, attempts and first creation. Every source stays known as committed. Attempts under way are
+        not carried over.
+        """
         target = SensorStore(self.spark, target_root)
         # The rebalance gives files of a good size and splits large folders over several tasks.
-        live = self.measurements(upto=last).hint("rebalance", "load", "sensor_type")
+        live = self.measurements().hint("rebalance", "load", "sensor_type")
         live.write.partitionBy("load", "sensor_type").parquet(target.path("measurements"))
-        newest = Window.partitionBy("key").orderBy(F.desc("load"))
-        current = self.events().withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")
-        current.write.partitionBy("source", "load").parquet(target.path("ledger"))
+        events = self.events()
+        current = events.withColumn("_rank", F.when(F.col("status") == MISSING, 1).otherwise(2)).where(F.col("key").isNotNull())
+        dead = self.claims().where("key is not null").join(events.select("source").distinct(), "source", "left_semi")
+        dead = dead.withColumn("_rank", F.lit(0)).drop("path", "attempt")
+        view = ledger_view(current.unionByName(dead, allowMissingColumns=True), ["_rank", "load"], "token")
+        # The token goes: the attempts it stands for are in the count.
+        view = view.withColumns({"earlier_attempts": F.col("attempts"), "token": F.lit(None).cast("string")})
+        columns = [c.strip().split(" ")[0] for c in SNAPSHOT_SCHEMA.split(",")]
+        view.select(*columns).write.parquet(target.path("snapshot/ledger"))
+        marks = self.claims().groupBy("source", "load").agg(F.max("attempt").alias("attempt"))
+        done = events.groupBy("source", "load").agg(F.max("last_id").alias("last_id")).where("source is not null")
+        sources = done.join(marks, ["source", "load"], "left").select("source", "load", F.coalesce("attempt", F.lit(1)).alias("attempt"), "last_id")
+        folded = self._sources().join(sources.select("source"), "source", "left_anti")
+        sources.unionByName(folded).write.parquet(target.path("snapshot/sources"))
+        self.reports().write.partitionBy("load").parquet(target.path("reports"))
+        self.scans().write.partitionBy("source").parquet(target.path("scans"))
+        for table, rows, below in (
+            ("categorized", self.categorized(), ("job_base", "span", "step", "sensor_type")),
+            ("results", self.results(), ("job_base", "span", "step")),
+            ("failures", self.failures(), ("job_base", "span", "step")),
+            ("jobs", self.jobs(), ("job_base", "span")),
+        ):
+            rows.hint("rebalance", *below).write.partitionBy(*below).parquet(target.path(table))
         return target
 
+    # -- scans ----------------------------------------------------------------
+
+    def scans(self) -> DataFrame:
+        """The log of scans: one row per micro-batch or sweep."""
+        return self._read("scans", SCAN_SCHEMA)
+
+    def write_scan(self, source: str, as_of: Column, counts: dict[str, int], swept: bool) -> None:
+        """Log one scan; a repeated micro-batch replaces its row."""
+        names = ["listed", "dispatched", "already_running", "throttled", "missing", "re_dispatched"]
+        row = self.spark.range(1).select(as_of.cast("timestamp").alias("at"), *[F.lit(counts.get(n, 0)).cast("bigint").alias(n) for n in names], F.lit(swept).alias("swept"))
+        self._write(row, f"{self.path('scans')}/source={folder_value(source)}")
+
     # -- jobs -----------------------------------------------------------------
 
     def jobs(self) -> DataFrame:
@@ -191,11 +331,23 @@ class SensorStore:
         done = self.jobs().where(F.col("status") == "Completed")
         return done.agg(F.coalesce(F.max("to_load"), F.lit(0))).first()[0]
 
-    def write_job(self, table: str, job_base: str, span: str, rows: DataFrame, partitions: tuple[str, ...] = ()) -> None:
-        """Write what a job made of one span of loads; the same base over other loads has other folders."""
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer = writer.partitionBy(*partitions) if partitions else writer
-        writer.parquet(f"{self.path(table)}/job_base={folder_value(job_base)}/span={span}")
+    def write_job(self, table: str, job_base: str, span: str, rows: DataFrame, partitions: tuple[str, ...] = (), step: int | None = None) -> None:
+        """Write what a job made of one span of loads, or of one step of it; the same base over other loads has other folders."""
+        below = "" if step is None else f"/step={step}"
+        self._write(rows, f"{self.path(table)}/job_base={folder_value(job_base)}/span={span}{below}", partitions)
+
+    def progress(self, job_base: str | None = None, span: str | None = None) -> DataFrame:
+        """Running rows of jobs, one set per finished step."""
+        below = f"job_base={folder_value(job_base)}/span={span}" if job_base is not None else ""
+        return self._read("progress", PROGRESS_SCHEMA, below)
+
+    def job_states(self) -> DataFrame:
+        """Every job as it stands: its final row, or its last progress while it runs."""
+        final = self.jobs()
+        running = self.progress().join(final.select("job_base", "span").distinct(), ["job_base", "span"], "left_anti")
+        columns = [c for c in running.columns if c not in ("job_base", "span", "job_id", "step")]
+        last = running.groupBy("job_base", "span", "job_id").agg(F.max_by(F.struct(*columns), "step").alias("_last"))
+        return final.unionByName(last.select("job_base", "span", "job_id", "_last.*").select(final.columns))
 
     def _completed(self, rows: DataFrame) -> DataFrame:
         """Rows of jobs whose job rows, written last, say that they were completed."""
@@ -207,6 +359,14 @@ class SensorStore:
         rows = self._completed(self._read("categorized", CATEGORIZED_SCHEMA))
         return rows.join(self.superseded(), ["file_key", "load"], "left_anti")
 
+    def uncategorized(self) -> DataFrame:
+        """Live measurements of the loads that jobs have been over which no job gave a category, as those of failed batches."""
+        return self.measurements(0, self.last_categorized_load()).join(self.categorized().select("id"), "id", "left_anti")
+
     def results(self) -> DataFrame:
         """Results per batch and sensor of completed jobs."""
         return self._completed(self._read("results", RESULT_SCHEMA))
+
+    def failures(self) -> DataFrame:
+        """Batches of completed jobs in which a step failed that may be skipped."""
+        return self._completed(self._read("failures", FAILURE_SCHEMA))

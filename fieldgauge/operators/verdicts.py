@@ -22,9 +22,12 @@ def file_summary(validated: DataFrame) -> DataFrame:
     """
     is_row = F.col("is_row") if "is_row" in validated.columns else F.lit(True)
     counts = validated.groupBy("file_key", "file").agg(
-        F.count_if(is_row).alias("total_rows"), F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows")
+        F.count_if(is_row).alias("total_rows"),
+        F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows"),
+        F.coalesce(F.max("line_number"), F.lit(0)).alias("last_line"),
     )
-    return counts.select("file_key", "file.*", "total_rows", "invalid_rows", (F.col("total_rows") - F.col("invalid_rows")).alias("valid_rows"))
+    valid = F.col("total_rows") - F.col("invalid_rows")
+    return counts.select("file_key", "file.*", "total_rows", "invalid_rows", valid.alias("valid_rows"), "last_line")
 
 
 def issue_samples(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:
@@ -131,4 +134,5 @@ def with_status(files: DataFrame) -> DataFrame:
         "error",
         "completed_steps",
         "issues",
+        "last_line",
     )

@@ -8,15 +8,16 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ledger import error_reports, ledger_events
+from ..operators.ledger import error_reports, ledger_events, missing_events
 from ..operators.rules import valid_readings, validate_rows
 from ..operators.store import SensorStore
 from ..operators.verdicts import file_summary, issue_samples, open_verdict, with_status
 from ..sources.drop_files import MAX_BYTES, as_files, fetch, parse_rows
-from ..sources.listing import empty_objects, scan_folder
+from ..sources.listing import empty_objects, existing_paths, key_under, scan_folder
+from ..sources.normalized import read_normalized, write_normalized
 from .steps import FILE_INGESTION, Definition, run_steps
 
 
@@ -53,32 +54,59 @@ def plan_load(files: DataFrame, as_of: Column, definition: Definition = FILE_ING
     return LoadPlan(validated, verdicts, stored_readings(validated, verdicts))
 
 
+def with_ids(readings: DataFrame, verdicts: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """Readings with their ids, and the last id given out.
+
+    A stored file takes as many ids as it has lines, files in key order from `first` on, so a row's id is its file's first one plus its
+    line: the same in every attempt, without a bound on loads. The running sum is over one narrow row per file of one load.
+    """
+    stored = verdicts.where(F.col("status") == "Stored").select("file_key", F.col("last_line").cast("bigint").alias("span"))
+    before = F.sum("span").over(Window.orderBy("file_key").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stored.select("file_key", (F.coalesce(before, F.lit(0)) + first - 1).alias("_start"))
+    last = first - 1 + (stored.agg(F.sum("span")).first()[0] or 0)
+    numbered = readings.join(starts, "file_key")
+    return numbered.withColumn("id", F.col("_start") + F.col("line_number")).drop("_start"), last
+
+
 def ingest_load(
     store: SensorStore,
     files: DataFrame,
     source: str,
     definition: Definition = FILE_INGESTION,
     as_of: datetime | None = None,
+    missing: DataFrame | None = None,
 ) -> int | None:
     """Ingest files as one load. Repeating a committed source does nothing.
 
-    The ledger is written last; a load cut short before that is written again whole.
+    The files are claimed first and the ledger is written last: a load cut short in between shows as Processing, and the next call
+    for its source is the next attempt. Where the definition converts, the valid rows of stored files are written as normalized
+    files and the store is filled from those, under the same commit. `missing` (key) are files that are gone.
     """
     if store.committed(source):
         return None
-    load = store.next_load()
     now = F.lit(as_of or datetime.now(timezone.utc))
-    plan = plan_load(files, now, definition)
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
+    claim = store.claim(source, files.select(F.col("file_key").alias("key"), path.alias("path")), now)
+    plan = plan_load(files.drop("path"), now, definition)
     plan.validated.persist(StorageLevel.MEMORY_AND_DISK)
     plan.verdicts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        store.write_load(load, plan.readings)
-        store.write_reports(load, error_reports(plan.verdicts, now, definition.name, definition.version))
-        store.commit_load(load, source, ledger_events(plan.verdicts, source, now, definition.name, definition.version))
+        readings = plan.readings
+        if definition.step("ingest.convert"):
+            write_normalized(readings, store.converted_path(claim.load))
+            readings = read_normalized(store.spark, store.converted_path(claim.load))
+        readings, last_id = with_ids(readings, plan.verdicts, store.next_id())
+        store.write_load(claim.load, readings)
+        store.write_reports(claim.load, error_reports(plan.verdicts, now, definition.name, definition.version))
+        events = ledger_events(plan.verdicts, source, now, definition.name, definition.version)
+        if missing is not None:
+            gone = missing_events(missing, F.lit(source), now, definition.name, definition.version)
+            events = events.unionByName(gone, allowMissingColumns=True)
+        store.commit_load(claim, events, last_id)
     finally:
         plan.verdicts.unpersist()
         plan.validated.unpersist()
-    return load
+    return claim.load
 
 
 KeyOf = Callable[[Column], Column] | None
@@ -91,6 +119,7 @@ def empty_files(scan: DataFrame, root: str, key_of: KeyOf = None) -> DataFrame:
         F.lit(0).cast("bigint").alias("size_bytes"),
         F.lit(None).cast("timestamp").alias("last_modified"),
         F.lit("").cast("binary").alias("content"),
+        "path",
     )
 
 
@@ -105,8 +134,27 @@ def literal(path: str) -> str:
 
 
 def named_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The files of a claim: its paths are at most one load's. Names are taken literally."""
-    return spark.read.format("binaryFile").load([literal(path) for path in paths])
+    """The files of a claim: its paths are at most one load's. Names are taken literally; a file that goes in the meantime is left out."""
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    return reader.load([literal(path) for path in paths])
+
+
+def named_files(spark: SparkSession, root: str, paths: list[str], key_of: KeyOf = None, max_bytes: int | None = MAX_BYTES) -> tuple[DataFrame, DataFrame, int]:
+    """The files at some paths, the keys of those that are gone, and how many there are of them. The paths are one load's."""
+    found = existing_paths(spark, paths)
+    there = [path for path in paths if path in found]
+    gone = spark.createDataFrame([(path,) for path in paths if path not in found], "path string")
+    key = key_under(root, F.col("path"))
+    missing = gone.select((key_of(key) if key_of else key).alias("key"))
+    if not there:
+        return no_files(spark), missing, len(paths)
+    scan = named_scan(spark, there)
+    files = as_files(scan, root, key_of, max_bytes).unionByName(empty_files(scan, root, key_of))
+    return files, missing, len(paths) - len(there)
+
+
+def no_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "file_key string, size_bytes bigint, last_modified timestamp, content binary, path string")
 
 
 def ingest_folder(
@@ -135,8 +183,33 @@ def reingest(
 ) -> int | None:
     """Ingest the asked keys again; their earlier rows are replaced or withdrawn.
 
-    A re-queue request names its files, as a dispatch plan does, so only those are read.
+    A re-queue request names its files, as a dispatch plan does, so only those are read. A key without a file gets the outcome
+    Missing, and keeps the rows it has.
+    """
+    paths = [f"{folder.rstrip('/')}/{key}" for key in keys]
+    files, missing, _ = named_files(store.spark, folder, paths, None, size_limit(definition))
+    return ingest_load(store, files, source, definition, as_of, missing)
+
+
+def sweep(
+    store: SensorStore,
+    root: str,
+    before: Column,
+    definition: Definition = FILE_INGESTION,
+    as_of: datetime | None = None,
+    key_of: KeyOf = None,
+) -> int:
+    """Take up the files of loads that were claimed before a time and never committed; returns how many files.
+
+    Each such load is the next attempt at its own source, so that its first writer, should it come back, is fenced off. The loop
+    is over dead loads; a load's files are one claim.
     """
-    scan = named_scan(store.spark, [f"{folder.rstrip('/')}/{key}" for key in keys])
-    files = as_files(scan, folder, None, size_limit(definition)).unionByName(empty_files(scan, folder))
-    return ingest_load(store, files, source, definition, as_of)
+    abandoned = store.abandoned(before).select("source", "path")
+    sources = [r["source"] for r in abandoned.select("source").distinct().orderBy("source").collect()]
+    taken = 0
+    for source in sources:
+        paths = [r["path"] for r in abandoned.where(F.col("source") == source).select("path").distinct().orderBy("path").collect() if r["path"]]
+        files, missing, _ = named_files(store.spark, root, paths, key_of, size_limit(definition))
+        if ingest_load(store, files, source, definition, as_of, missing) is not None:
+            taken += len(paths)
+    return taken

@@ -28,10 +28,11 @@ def folder_key(path: Column) -> Column:
     return F.regexp_extract(path, "file_key=([^/]+)/", 1)
 
 
-def drop_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The stand-in files written to a fresh inbox; each ends with one more line break."""
+def drop_folder(spark: SparkSession, sf_dir: str, only: Column | None = None) -> str:
+    """The stand-in files, or some of them, written to a fresh inbox; each ends with one more line break."""
     inbox = scratch_path(spark, "inbox")
     files = standins.sensor_files(spark, sf_dir)
+    files = files if only is None else files.where(only)
     files.select("file_key", F.col("content").cast("string").alias("value")).write.partitionBy("file_key").text(inbox)
     return inbox
 

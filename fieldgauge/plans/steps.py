@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import definition_kind
 from ..operators import verdicts
-from ..operators.results import categorize, per_sensor_results, stamp
+from ..operators.results import failed_batches, per_sensor_results, stamp, try_categorize
 from ..operators.versions import append_version, get_version
 from ..sources.drop_files import MAX_BYTES
 
@@ -82,7 +82,7 @@ FILE_INGESTION = Definition(
         Step("ingest.convert", max_attempts=6),
         Step("ingest.store", timeout_seconds=300),
     ),
-    comment="Default: fetch, validate, convert to canonical units, store",
+    comment="Read, check, normalize and store drop files",
 )
 SENSOR_PROCESSING = Definition(
     "sensor-processing",
@@ -92,7 +92,7 @@ SENSOR_PROCESSING = Definition(
         Step("processing.insert-results"),
         Step("processing.cleanup", max_attempts=0, continue_on_error=True),
     ),
-    comment="Default: categorize measurements, update them, insert per-sensor results",
+    comment="Give measurements a category and sum them up per sensor",
 )
 
 
@@ -187,13 +187,30 @@ class StepFailed(RuntimeError):
 
 @dataclass
 class StepRun:
-    """What a run of steps produced."""
+    """What a run of steps produced.
+
+    `failed` are batches (sensor_type, batch_number, failed_step, error) in which a step failed that may be skipped; their rows are
+    no longer in `rows`. `fatal` are such batches of steps that may not be skipped.
+    """
 
     rows: DataFrame
     results: DataFrame | None = None
     failed_steps: list[str] = field(default_factory=list)
     updates: bool = False
     completed: list[str] = field(default_factory=list)
+    failed: DataFrame | None = None
+    fatal: DataFrame | None = None
+
+    def fold_errors(self, rows: DataFrame, step: Step) -> None:
+        """Take rows with step_error: a batch fails as a whole when one of its rows does, and fails alone."""
+        failed = failed_batches(rows, step.activity)
+        if not step.continue_on_error:
+            self.fatal = failed if self.fatal is None else self.fatal.unionByName(failed)
+            self.rows = rows.drop("step_error")
+            return
+        self.failed = failed if self.failed is None else self.failed.unionByName(failed)
+        # Spark broadcasts the failed batches by their size; without any, adaptive execution drops the join.
+        self.rows = rows.drop("step_error").join(failed.select("sensor_type", "batch_number"), ["sensor_type", "batch_number"], "left_anti").select(*[c for c in rows.columns if c != "step_error"])
 
 
 @dataclass(frozen=True)
@@ -227,7 +244,7 @@ def _store(run: StepRun, step: Step, _: StepContext) -> None:
 
 
 def _categorize(run: StepRun, step: Step, _: StepContext) -> None:
-    run.rows = categorize(run.rows, step.parameters)
+    run.fold_errors(try_categorize(run.rows, step.parameters), step)
 
 
 def _update(run: StepRun, _: Step, context: StepContext) -> None:
@@ -257,7 +274,8 @@ STEPS: dict[str, StepFunction] = {
 
 
 def run_steps(rows: DataFrame, definition: Definition, context: StepContext | None = None, steps: dict[str, StepFunction] | None = None) -> StepRun:
-    """Run the enabled steps in order. A failing step ends the run unless it may be skipped."""
+    """Run the enabled steps in order. A step whose plan cannot be built ends the run unless it may be skipped; what goes wrong in
+    the rows becomes failed batches."""
     run, context, functions = StepRun(rows), context or StepContext(), steps or STEPS
     for step in definition.enabled_steps:
         try:

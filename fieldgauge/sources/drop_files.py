@@ -29,7 +29,7 @@ def detect_format(key: Column) -> Column:
 
 
 def as_files(scan: DataFrame, root: str, key_of: Callable[[Column], Column] | None = None, max_bytes: int | None = None) -> DataFrame:
-    """A binaryFile scan as (file_key, size_bytes, last_modified, content), keys relative to root.
+    """A binaryFile scan as (file_key, size_bytes, last_modified, content, path), keys relative to root.
 
     Files over max_bytes come without content: the limit is pushed to the scan, which then
     does not open them. key_of turns the relative path into the key where they differ, as
@@ -44,9 +44,10 @@ def as_files(scan: DataFrame, root: str, key_of: Callable[[Column], Column] | No
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("last_modified"),
         "content",
+        "path",
     )
     key = key_of(F.col("key")) if key_of else F.col("key")
-    return visible_objects(files).select(key.alias("file_key"), "size_bytes", "last_modified", "content")
+    return visible_objects(files).select(key.alias("file_key"), "size_bytes", "last_modified", "content", "path")
 
 
 def fetch(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,19 @@ def empty_objects(scan: DataFrame, root: str) -> DataFrame:
     paths = scan.sparkSession.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
     decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     scanned = scan.select(key_under(root, F.col("path")).alias("key"))
-    return visible_objects(paths.select(key_under(root, decoded).alias("key")).join(scanned, "key", "left_anti"))
+    return visible_objects(paths.select(key_under(root, decoded).alias("key"), decoded.alias("path")).join(scanned, "key", "left_anti"))
+
+
+def existing_paths(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of a load's paths that name a file, asked of the file system one by one, a few at a time."""
+    configuration, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+
+    def there(path: str) -> bool:
+        place = Path(path)
+        return place.getFileSystem(configuration).exists(place)
+
+    with ThreadPoolExecutor(16) as pool:
+        return {path for path, found in zip(paths, pool.map(there, paths)) if found}
 
 
 def count_by_prefix(listing: DataFrame, file_prefix: str = "") -> DataFrame:

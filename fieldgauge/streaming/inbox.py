@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import SensorStore
-from ..plans.ingest import KeyOf, empty_files, ingest_load, literal, named_scan, size_limit
+from ..functions.times import minutes_before
+from ..plans.ingest import KeyOf, ingest_load, literal, named_files, size_limit, sweep
 from ..plans.steps import FILE_INGESTION, Definition
-from ..sources.drop_files import as_files
 
 SCAN_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 INTERVAL_SECONDS = (1, 3600)
@@ -62,6 +62,12 @@ def taken_files(spark: SparkSession, checkpoint: str, batch_id: int) -> list[str
     return sorted(re.sub("^file:/+", "file:/", unquote(r["path"])) for r in mine.collect())
 
 
+def sweep_due(store: SensorStore, now: datetime, every_seconds: int) -> bool:
+    """Whether the last sweep in the scan log is so long ago. The log is in the store, so the clock goes on over restarts."""
+    last = store.scans().where("swept").agg(F.unix_seconds(F.max("at"))).first()[0]
+    return last is None or now.timestamp() - last >= every_seconds
+
+
 def ingest_stream(
     spark: SparkSession,
     inbox: str,
@@ -74,16 +80,21 @@ def ingest_stream(
     as_of: datetime | None = None,
     key_of: KeyOf = None,
     archive: str | None = None,
+    orphan_minutes: int | None = None,
+    sweep_seconds: int = 120,
 ) -> StreamingQuery:
     """Start ingesting an inbox into a store.
 
     Each micro-batch is one load of at most max_files files. The checkpoint remembers the files taken, and a repeated
-    micro-batch finds its load committed, so every file counts once. A callable definition
-    is asked again for every load.
+    micro-batch finds its load committed, so every file counts once; one that was cut short is the next attempt at its load. A
+    callable definition is asked again for every load.
+
+    Empty files, which the scan leaves out, are known from the checkpoint's log of the files taken and rejected with their micro-batch.
+    Files that are gone get the outcome Missing. Where the inbox keeps growing, name an archive folder and Spark moves
+    finished files there.
 
-    Empty files, which the scan leaves out, are known from the checkpoint's log of the files
-    taken and rejected with their micro-batch. Where the inbox keeps growing, name an archive
-    folder and Spark moves finished files there.
+    With `orphan_minutes`, a micro-batch first takes up files of other loads that were claimed that long ago and never committed, once in
+    `sweep_seconds`. Every micro-batch leaves a row in the scan log.
     """
     store = SensorStore(spark, store_root)
 
@@ -92,12 +103,17 @@ def ingest_stream(
         if store.committed(source):
             return
         current = definition() if callable(definition) else definition
+        now = as_of or datetime.now(timezone.utc)
+        swept = orphan_minutes is not None and sweep_due(store, now, sweep_seconds)
+        # This load's own earlier attempt, if there is one, is gone on with below.
+        taken = sweep(store, inbox, minutes_before(F.lit(now), orphan_minutes), current, now, key_of) if swept else 0
         # At most max_files paths, the claim of this load.
         paths = taken_files(spark, checkpoint, batch_id)
-        if paths:
-            scan = named_scan(spark, paths)
-            files = as_files(scan, inbox, key_of, size_limit(current)).unionByName(empty_files(scan, inbox, key_of))
-            ingest_load(store, files, source, current, as_of)
+        gone = 0
+        if paths and not store.committed(source):
+            files, missing, gone = named_files(spark, inbox, paths, key_of, size_limit(current))
+            ingest_load(store, files, source, current, now, missing)
+        store.write_scan(source, F.lit(now), {"listed": len(paths), "dispatched": len(paths) - gone, "missing": gone, "re_dispatched": taken}, swept)
 
     return (
         inbox_stream(spark, inbox, max_files, archive)
@@ -106,3 +122,28 @@ def ingest_stream(
         .trigger(**trigger_of(interval_seconds))
         .start()
     )
+
+
+def sweep_stream(
+    spark: SparkSession,
+    inbox: str,
+    store_root: str,
+    checkpoint: str,
+    interval_seconds: int,
+    orphan_minutes: int,
+    definition: Definition | Callable[[], Definition] = FILE_INGESTION,
+    as_of: datetime | None = None,
+    key_of: KeyOf = None,
+) -> StreamingQuery:
+    """Start sweeping by the clock alone, for an inbox that is quiet. It is the only writer while it sweeps."""
+    store = SensorStore(spark, store_root)
+
+    def tick(_: DataFrame, batch_id: int) -> None:
+        now = as_of or datetime.now(timezone.utc)
+        current = definition() if callable(definition) else definition
+        taken = sweep(store, inbox, minutes_before(F.lit(now), orphan_minutes), current, now, key_of)
+        store.write_scan(f"sweep-{batch_id}", F.lit(now), {"re_dispatched": taken}, True)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=f"{check_interval(interval_seconds)} seconds").start()

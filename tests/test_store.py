@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from fieldgauge.functions.times import instant
 from fieldgauge.operators.audit import audit
 from fieldgauge.operators.ledger import error_reports, finalized_state, ledger_view
-from fieldgauge.operators.store import SensorStore, measurement_ids, replace_by_key
-from fieldgauge.plans.ingest import folder_files, ingest_folder, plan_load, reingest
-from fieldgauge.plans.process import categorize_loads
+from fieldgauge.operators.store import LateWriter, SensorStore, replace_by_key
+from fieldgauge.plans.ingest import folder_files, ingest_folder, ingest_load, plan_load, reingest, sweep, with_ids
+from fieldgauge.plans.process import categorize_loads, categorize_missed
 from fieldgauge.plans.steps import Definition, SENSOR_PROCESSING, Step, StepFailed
 from fieldgauge.sources.listing import count_by_prefix, empty_objects, list_objects, listing_page, scan_folder
 from fieldgauge.sources.normalized import read_normalized, write_normalized
@@ -73,11 +73,13 @@ def test_load_cut_short_is_invisible_and_replaced(spark, store, drop):
     drop("a.csv", csv(1))
     ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
     drop("b.csv", csv(2, kind="humidity", unit="%"))
-    half = plan_load(folder_files(spark, drop.inbox), instant("2030-01-01"))
-    store.write_load(2, half.readings)
+    files = folder_files(spark, drop.inbox)
+    half = plan_load(files.drop("path"), instant("2030-01-01"))
+    claim = store.claim("half", files.select(F.col("file_key").alias("key"), "path"), instant("2030-01-01"))
+    store.write_load(claim.load, with_ids(half.readings, half.verdicts, store.next_id())[0])
     assert live(store) == [("a.csv", 2, 1.0)]
     drop("c.csv", csv(3))
-    reingest(store, drop.inbox, ["c.csv"], "other", as_of=AS_OF)
+    assert reingest(store, drop.inbox, ["c.csv"], "other", as_of=AS_OF) == claim.load + 1
     assert live(store) == [("a.csv", 2, 1.0), ("c.csv", 2, 3.0)]
 
 
@@ -89,8 +91,10 @@ def test_ids_are_unique_and_follow_loads(spark, store, drop):
     rows = store.loads().select("id", "load").collect()
     assert len({r["id"] for r in rows}) == len(rows) == 140 and all(r["id"] > 0 for r in rows)
     assert min(r["id"] for r in rows if r["load"] == 2) > max(r["id"] for r in rows if r["load"] == 1)
-    with pytest.raises(ValueError):
-        measurement_ids(1 << 20)
+    store._next_load = (1 << 20) + 5
+    drop("late.csv", csv(1))
+    assert reingest(store, drop.inbox, ["late.csv"], "three", as_of=AS_OF) == (1 << 20) + 5
+    assert store.loads(1 << 20).first()["id"] > max(r["id"] for r in rows)
 
 
 def test_replace_by_key(spark):
@@ -320,10 +324,10 @@ def test_a_job_cut_before_its_end_leaves_no_rows(spark, store, drop, monkeypatch
     reingest(store, drop.inbox, ["a.csv"], "load-1", as_of=AS_OF)
     write = SensorStore.write_job
 
-    def cut(self, table, *rest):
+    def cut(self, table, *rest, **named):
         if table == "jobs":
             raise KeyboardInterrupt
-        write(self, table, *rest)
+        write(self, table, *rest, **named)
 
     monkeypatch.setattr(SensorStore, "write_job", cut)
     with pytest.raises(KeyboardInterrupt):
@@ -341,10 +345,10 @@ def test_an_error_while_writing_leaves_failed_rows(spark, store, drop, monkeypat
     reingest(store, drop.inbox, ["a.csv"], "load-1", as_of=AS_OF)
     write = SensorStore.write_job
 
-    def broken(self, table, *rest):
+    def broken(self, table, *rest, **named):
         if table == "results":
             raise OSError("disk full")
-        write(self, table, *rest)
+        write(self, table, *rest, **named)
 
     monkeypatch.setattr(SensorStore, "write_job", broken)
     with pytest.raises(OSError):
