@@ -233,9 +233,14 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, folder: str) -> DataFrame:
     ends = convs.join(last, "conv_id", "left").select(F.coalesce("key", F.lit(ROOT)).alias("key"), "conv_id", F.col("conv_id").cast("string").alias("piece"))
     ends = run_digests(ends, ["conv_id"], f"{folder}/ends", joiner=b",")
 
-    top = nodes.where("depth = 1").agg(F.count("*").alias("children"), F.coalesce(F.sum("leaves"), F.lit(1)).alias("leaves"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved"))
-    root = convs.agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv")).where("n_convs > 0").join(F.broadcast(top))
-    root = root.select(F.lit(ROOT).alias("key"), F.lit(0).cast("long").alias("depth"), "n_convs", "conv", "children", "leaves", "saved", F.lit(None).cast("long").alias("parent_conv"))
+    # Members from the conversations, the rest from the nodes below: sums over two tables, not a join.
+    zero = F.lit(0).cast("long")
+    of_convs = convs.select(F.lit(1).cast("long").alias("n_convs"), F.col("conv_id").alias("conv"), zero.alias("children"), zero.alias("leaves"), zero.alias("saved"))
+    of_nodes = nodes.where("depth = 1").select(zero.alias("n_convs"), F.lit(None).cast("long").alias("conv"), F.lit(1).cast("long").alias("children"), "leaves", "saved")
+    sums = [F.sum(c).alias(c) for c in ("n_convs", "children", "leaves", "saved")]
+    root = of_convs.unionByName(of_nodes).agg(*sums, F.min("conv").alias("conv")).where("n_convs > 0")
+    leaves = F.greatest("leaves", F.lit(1))
+    root = root.select(F.lit(ROOT).alias("key"), zero.alias("depth"), "n_convs", "conv", "children", leaves.alias("leaves"), "saved", F.lit(None).cast("long").alias("parent_conv"))
     # Parents at a boundary or in the band before are looked up; all others were known in their shard.
     parents = nodes.where(F.col("edge") | (F.col("depth") % BAND == 0)).select(F.col("key").alias("parent"), F.col("conv").alias("found"))
     parents = parents.unionByName(root.select(F.col("key").alias("parent"), F.col("conv").alias("found")))

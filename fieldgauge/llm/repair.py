@@ -19,7 +19,8 @@ has none and can only be changed or deleted. An empty table gives no rows. Extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,7 +109,7 @@ def _chunks(table: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("codes").to_pylist()
-            least = [least_weights(c) for c in codes]
+            least = [_seen_weights(tuple(c)) if len(c) <= SEEN_ROWS else least_weights(c) for c in codes]
             made = [
                 pa.array([[cost for cost, _ in m] for m in least], pa.list_(pa.int64())),
                 pa.array([[audit for _, audit in m] for m in least], pa.list_(pa.string())),
@@ -129,7 +130,7 @@ def _illegal(first: int, second: int) -> bool:
     return (first, second) not in ((0, 1), (1, 2), (2, 1))
 
 
-def least_weights(codes: list[int]) -> list[tuple[int | None, str | None]]:
+def least_weights(codes: Sequence[int]) -> list[tuple[int | None, str | None]]:
     """(cost, audit) of the best edits of the rows between each pair of states, at 4 * from + to; (None, None) where there are none."""
     width = 3 * len(codes)
     bits = DIGIT_BITS * width
@@ -167,6 +168,11 @@ def least_weights(codes: list[int]) -> list[tuple[int | None, str | None]]:
     return out
 
 
+# Short conversations repeat each other's codes; so many answers of at most so many rows are kept by a worker.
+SEEN, SEEN_ROWS = 1 << 13, 12
+_seen_weights = lru_cache(SEEN)(least_weights)
+
+
 def _inserted(state: int) -> int:
     """The state after an inserted message: an assistant's after a user's, else a user's."""
     return 3 if state == 2 else 2
