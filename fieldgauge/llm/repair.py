@@ -37,6 +37,8 @@ LETTERS = "DIKR"
 BLANKS = " \t\n\x0b\x0c\r"
 NO_TEXT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 CHUNK_BITS = 12
+# Short conversations repeat each other's codes; a worker keeps so many answers, of at most so many rows.
+SEEN, SEEN_ROWS = 1 << 13, 12
 
 DIGIT_BITS = 3
 _D, _I, _K, _R = (LETTERS.index(c) + 1 for c in "DIKR")
@@ -109,7 +111,7 @@ def _chunks(table: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("codes").to_pylist()
-            least = [_seen_weights(tuple(c)) if len(c) <= SEEN_ROWS else least_weights(c) for c in codes]
+            least = [seen_weights(tuple(c)) if len(c) <= SEEN_ROWS else least_weights(c) for c in codes]
             made = [
                 pa.array([[cost for cost, _ in m] for m in least], pa.list_(pa.int64())),
                 pa.array([[audit for _, audit in m] for m in least], pa.list_(pa.string())),
@@ -168,9 +170,9 @@ def least_weights(codes: Sequence[int]) -> list[tuple[int | None, str | None]]:
     return out
 
 
-# Short conversations repeat each other's codes; so many answers of at most so many rows are kept by a worker.
-SEEN, SEEN_ROWS = 1 << 13, 12
-_seen_weights = lru_cache(SEEN)(least_weights)
+@lru_cache(SEEN)
+def seen_weights(codes: tuple[int, ...]) -> list[tuple[int | None, str | None]]:
+    return least_weights(codes)
 
 
 def _inserted(state: int) -> int:
