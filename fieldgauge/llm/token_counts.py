@@ -90,16 +90,26 @@ class Vocabulary:
                 self.by_length[n] = (hashes[order], np.array([number[t] for t in tokens])[order], grid[order])
         # part -> (counts at its characters, as bytes; its count; its characters)
         self.parts: dict[str, tuple[bytes, int, int]] = {}
+        # part -> its count, where only whole texts are asked for
+        self.totals: dict[str, int] = {}
         self.start()
 
     def start(self) -> None:
         """Added special strings are one token."""
         for s in self.specials:
             self.parts[s] = (np.ones(len(s), "<i4").tobytes(), 1, len(s))
+            self.totals[s] = 1
 
 
 def prefix_counts(parts: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """Token count of every byte prefix of each part (the first is 0), all parts place by place together."""
+    """Token count of every byte prefix of each part (the first is 0)."""
+    count, first, lengths = counts_at_places(parts, vocabulary)
+    return [count[f : f + n + 1] for f, n in zip(first, lengths)]
+
+
+def counts_at_places(parts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of all prefixes of all parts in one array, where each part begins in it, and the parts' lengths; the parts are worked on
+    place by place together."""
     lengths = np.array([len(p) for p in parts], np.int64)
     first = np.cumsum(lengths + 1) - lengths - 1
     data = np.zeros(int((lengths + 1).sum()), np.uint8)
@@ -143,7 +153,7 @@ def prefix_counts(parts: list[bytes], vocabulary: Vocabulary) -> list[np.ndarray
             open_ends = open_ends[rest]
             if not len(open_ends):
                 break
-    return [count[f : f + n + 1] for f, n in zip(first, lengths)]
+    return count, first, lengths
 
 
 def _long_counts(part: bytes, vocabulary: Vocabulary) -> np.ndarray:
@@ -191,6 +201,19 @@ def _fill(parts: set[str], vocabulary: Vocabulary) -> None:
         cache[t] = (np.array([*inner, cache[t][1]], "<i4").tobytes(), cache[t][1], len(t))
 
 
+def _fill_totals(parts: set[str], vocabulary: Vocabulary) -> None:
+    """Compute the counts of whole parts: of every prefix's, the last."""
+    cache = vocabulary.totals
+    new = [t for t in parts if t not in cache]
+    short = [t for t in new if len(t) * 4 <= LONG_PART or len(t.encode()) <= LONG_PART]
+    for first in range(0, len(short), 50_000):
+        group = short[first : first + 50_000]
+        count, begins, lengths = counts_at_places([t.encode() for t in group], vocabulary)
+        cache.update(zip(group, count[begins + lengths].tolist()))
+    for t in set(new).difference(short):
+        cache[t] = int(_long_counts(t.encode(), vocabulary)[-1])
+
+
 def _count(part: str, vocabulary: Vocabulary) -> int:
     if part not in vocabulary.parts:
         _fill({part}, vocabulary)
@@ -253,13 +276,19 @@ def count_documents(
                 part = batch.slice(first, last - first)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 split = [split_parts(t, vocabulary) for t in texts]
-                if len(vocabulary.parts) > CACHED_PARTS:
+                if max(len(vocabulary.parts), len(vocabulary.totals)) > CACHED_PARTS:
                     vocabulary.parts.clear()
+                    vocabulary.totals.clear()
                     vocabulary.start()
-                _fill(set().union(*split), vocabulary)
-                tables = [prefix_table(t, p, vocabulary) if p else np.zeros(0, np.int32) for t, p in zip(texts, split)]
-                totals = pa.array([int(t[-1]) if len(t) else 0 for t in tables], pa.int64())
-                columns = [part.column(0), pa.array(np.diff(offsets)), totals]
+                if store:
+                    _fill(set().union(*split), vocabulary)
+                    tables = [prefix_table(t, p, vocabulary) if p else np.zeros(0, np.int32) for t, p in zip(texts, split)]
+                    totals = [int(t[-1]) if len(t) else 0 for t in tables]
+                else:
+                    # The table's last entry alone: parts are cut as the whole text has them.
+                    _fill_totals(set().union(*split), vocabulary)
+                    totals = [sum(map(vocabulary.totals.__getitem__, p)) for p in split]
+                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(totals, pa.int64())]
                 if store:
                     columns.append(pa.array([t.astype("<i4").tobytes() for t in tables], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_tokens", "prefix_counts"][: len(columns)])
