@@ -49,6 +49,8 @@ SHARD, CHUNK = 1 << 15, 1 << 14
 WEIGHT = 0.9
 LONGEST = 64
 FLUSH = 300_000
+# What words meet that is weighed at once.
+BLOCK = 1 << 14
 END = b"\n"
 TAIL = ArrayType(StructType().add("word", BinaryType()).add("k", LongType()))
 _LOWER = bytes(range(256)).lower()
@@ -311,6 +313,33 @@ def exchange_gains(
     return gain - gain[own]
 
 
+def batch_gains(
+    own: np.ndarray, begins: np.ndarray, at: np.ndarray, n: np.ndarray, matrix: np.ndarray, classes: int, sums: tuple[np.ndarray, np.ndarray]
+) -> np.ndarray:
+    """`exchange_gains` of many words at once, a row each: word k meets `n` times what `at` names from begins[k] on; `at` is a class after
+    the word, or the width plus a class before it, each once a word.
+
+    Cells that would change by the word's row and by its column (those of its own and the new class with each other) are taken as if
+    changed by one after the other, which is off by terms of second order; the likelihood itself is exact, and decides on assignments.
+    """
+    width, k = len(matrix), np.arange(len(own))
+    cells = np.concatenate([matrix[:classes].T, matrix[:, :classes]])
+    # What a class gains by a cell's rise is the same for all words that meet the cell as often.
+    kinds, back = np.unique(at * (int(n.max(initial=0)) + 1) + n, return_index=True, return_inverse=True)[1:]
+    more, there = n[kinds].astype(np.float64)[:, None], cells[at[kinds]]
+    rise = (_phi(there + more) - _phi(there)).astype(np.float32)
+    gain = np.add.reduceat(rise[back], begins, axis=0, dtype=np.float32).astype(np.float64)
+    mine = cells[at, np.repeat(own, np.diff(np.append(begins, len(at))))]
+    gain -= np.add.reduceat(_phi(mine) - _phi(mine - n), begins)[:, None]
+    for total, side in zip(sums, (at < width, at >= width)):
+        # A class's sum over the words after it, then before it.
+        moved, same = np.unique(np.add.reduceat(np.where(side, n, 0), begins).astype(np.float64), return_inverse=True)
+        gain -= (_phi(total[:classes] + moved[:, None]) - _phi(total[:classes]))[same]
+        gain += (_phi(total[own]) - _phi(total[own] - moved[same]))[:, None]
+    gain[k, own] = 0.0
+    return gain
+
+
 def _matrix(links: DataFrame, index: Index, steps: list[int], classes: int) -> np.ndarray:
     width, size = classes + 2, index.size
 
@@ -336,37 +365,45 @@ def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix:
     """Move the words of a group; the steps of the shards after it."""
     width, shared = classes + 2, links.sparkSession.sparkContext.broadcast(matrix)
 
-    def profiles(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        """Each row's word, and how often it meets each class after it and before it; at last, itself."""
-        of = index.classes(steps, classes).astype(np.int64)
-        offsets, words, to, n = _links_of(batch)
-        at, own = (to % 2) * width + of[to >> 1], np.where((to >> 1 == words) & (to % 2 == 0), n, 0)
-        for k, w in enumerate(batch.column("w").to_pylist()):
-            part = slice(offsets[k], offsets[k + 1])
-            yield w, np.append(np.bincount(at[part], n[part], 2 * width), own[part].sum())
-
-    def better(found: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        counts, of, out = shared.value, index.classes(steps, classes), []
+    def met(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the batch's words meet: the word, a class after it or (width +) before it, and how often, in order, each once."""
+        _, words, to, n = _links_of(batch)
+        at = (to % 2) * width + index.classes(steps, classes)[to >> 1]
+        keys, counts = _flat(words * (2 * width) + at, n)
+        return keys // (2 * width), keys % (2 * width), counts
+
+    def better(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The words that another class suits better, in blocks of bounded size."""
+        counts, of = shared.value, index.classes(steps, classes)
         sums = (counts.sum(axis=1), counts.sum(axis=0))
-        for w, met in found:
-            gains = exchange_gains(int(of[w]), met[:width], met[width:-1], met[-1], counts, classes, sums)
-            if gains.max() > 1e-9:
-                out.append((w, int(gains.argmax())))
-        w, c = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(index.starts, w, "right") - 1), pa.array(w), pa.array(c)], names=["at", "w", "c"])
+        begins = np.flatnonzero(np.append(True, words[1:] != words[:-1])[: len(words)])
+        ends, first = np.append(begins[1:], len(words)), 0
+        while first < len(begins):
+            last = max(first + 1, int(np.searchsorted(ends, begins[first] + BLOCK, "right")))
+            part = slice(begins[first], ends[last - 1])
+            w = words[begins[first:last]]
+            gains = batch_gains(of[w].astype(np.int64), begins[first:last] - begins[first], at[part], n[part], counts, classes, sums)
+            best = gains.argmax(axis=1)
+            good = gains[np.arange(len(w)), best] > 1e-6
+            w, c = w[good], best[good]
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(index.starts, w, "right") - 1), pa.array(w), pa.array(c)], names=["at", "w", "c"])
+            first = last
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield better(profiles(batch))
+            if batch.num_rows:
+                yield from better(*met(batch))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, met = zip(*profiles(batch)) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array([x.tobytes() for x in met], pa.binary())], names=["w", "met"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in met(batch)], names=["w", "at", "n"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield better((w, sum(map(np.frombuffer, met))) for w, met in zip(*(c.to_pylist() for c in batch.columns)))
+            if batch.num_rows:
+                lists = [batch.column(c) for c in ("at", "n")]
+                words = np.repeat(batch.column("w").to_numpy(), np.diff(lists[0].offsets.to_numpy()))
+                yield from better(words, *(x.flatten().to_numpy() for x in lists))
 
     def stored(frame: pd.DataFrame) -> pd.DataFrame:
         k = int(frame["at"].iloc[0])
@@ -377,11 +414,14 @@ def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix:
 
     mine = links.where((F.col("w") < index.size) & (F.pmod(F.xxhash64("w"), F.lit(groups)) == group))
     moves = mine.where("chunks = 1").select("w", "to", "n").mapInArrow(whole, "at long, w long, c long")
-    cut = mine.where("chunks > 1").select("w", "to", "n").mapInArrow(parts, "w long, met binary").groupBy("w").agg(F.collect_list("met").alias("met"))
+    # A very frequent word's rows are added up by what they meet, which is at most twice the classes.
+    cut = mine.where("chunks > 1").select("w", "to", "n").mapInArrow(parts, "w long, at long, n long").groupBy("w", "at").agg(F.sum("n").alias("n"))
+    cut = cut.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("met")).select("w", "met.at", "met.n")
     moves = moves.unionByName(cut.mapInArrow(joined, "at long, w long, c long"))
     out = list(steps)
     for r in moves.groupBy("at").applyInPandas(stored, "at long").collect():
         out[r["at"]] = step
+    shared.destroy()
     return out
 
 

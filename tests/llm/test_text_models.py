@@ -152,6 +152,26 @@ def test_exchange_gain_is_the_change_of_the_likelihood():
             assert math.isclose(gains[k], class_lm.likelihood(matrix(moved)) - class_lm.likelihood(now), abs_tol=1e-6)
 
 
+def test_gains_of_a_batch_are_those_of_its_words():
+    # Words of classes 0 and 1 meet those of classes 2 to 4 alone, so a move between 0 and 1 changes no cell twice.
+    rng = np.random.default_rng(2)
+    assigned = np.array([0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 4, 4])
+    counts = rng.integers(0, 9, (12, 12)).astype(float)
+    counts[:6, :6] = 0
+
+    matrix = np.zeros((5, 5))
+    np.add.at(matrix, (assigned[:, None], assigned[None, :]), counts)
+    profiles = [np.concatenate([np.bincount(assigned, x, 5) for x in (counts[w], counts[:, w])]).astype(np.int64) for w in range(6)]
+    at, n = (np.concatenate(x) for x in zip(*[(np.flatnonzero(p), p[p > 0]) for p in profiles]))
+    begins = np.cumsum([0, *(int((p > 0).sum()) for p in profiles[:-1])])
+    got = class_lm.batch_gains(assigned[:6], begins, at, n, matrix, 3, (matrix.sum(axis=1), matrix.sum(axis=0)))
+    for w in range(6):
+        want = class_lm.exchange_gains(assigned[w], profiles[w][:5], profiles[w][5:], 0.0, matrix, 3)
+        assert np.allclose(got[w, :2], want[:2], atol=1e-3) and got[w, assigned[w]] == 0
+        # A class that the word meets is off by the one cell that changes twice.
+        assert abs(got[w, 2] - want[2]) < 0.2 * abs(want[2]) + 1
+
+
 def test_language_model_of_nothing(documents, empty):
     model, counts = class_lm.train(empty)
     scored = class_lm.score(documents, model, counts, {"doc_id": F.col("doc_id")}).collect()
