@@ -11,12 +11,13 @@ compared with the bucket's least id, and links of at least `similarity` are join
 hold several classes, members outside the bucket's largest class are compared with one member of it, anew in each of a few
 rounds: near copies that miss one such member meet another. What is still apart is compared in blocks of fixed size, members
 outside the largest class with all members of other classes, so no link between bucket mates is lost and no bucket is ever
-gathered in one task. At similarity 0.8, 24 bands of 4 slots miss a pair with a probability of 3 in a million.
+gathered in one task. At similarity 0.8, 24 bands of 4 slots miss a pair with a probability of 3 in a million; for a lower one bands
+are shorter and more.
 
 Edge cases: null and empty texts, and texts of white space only, are equal to texts of the same bytes alone (null
 counts as empty). Texts of fewer than five words are one shingle. Rows with a null id are kept and get a null class.
 Rows that share an id are one document. Ties cannot occur: a class is named by its least id, which is the one kept.
-Extra columns are not read. An empty table has no classes.
+Ids are whole numbers. Extra columns are not read. An empty table has no classes.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ from .fingerprints import mix, shingle_counts, slices
 from .tables import connected, workspace, written
 
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
-# Pairs whose signatures agree in fewer slots than this share cannot be similar: five standard deviations below 0.8.
-LEAST_AGREEMENT = 0.6
+# Slots of a signature; a pair of the least similarity may share no bucket with at most this probability.
+SLOTS, MISSED = 96, 1e-5
 # Rounds against one member of the largest class, before blocks.
 ROUNDS = 2
 # Members of one side of a block, and shingles of them together, on average.
@@ -45,6 +45,20 @@ BROADCAST_IDS = 2_000_000
 _STREAM = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, slots each) of a signature: the longest bands that still miss a pair of that similarity with a probability of
+    at most `MISSED`; at 0.8 these are 24 bands of 4."""
+    for rows in (4, 3, 2):
+        if (1 - similarity**rows) ** (SLOTS // rows) <= MISSED:
+            return SLOTS // rows, rows
+    return SLOTS, 1
+
+
+def least_agreement(similarity: float, slots: int) -> float:
+    """The share of agreeing slots below which a pair cannot be similar: five standard deviations under the similarity."""
+    return similarity - 5 * (similarity * (1 - similarity) / slots) ** 0.5
+
+
 def _uniform(bits: np.ndarray) -> np.ndarray:
     """In (0, 1]."""
     return ((bits >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
@@ -123,10 +137,10 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["id", "prints"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(len(batch), -1) for k in ("sa", "sb"))
-        likely = (a == b).mean(axis=1) >= LEAST_AGREEMENT if len(batch) else np.zeros(0, bool)
+        likely = (a == b).mean(axis=1) >= least_agreement(similarity, a.shape[1]) if len(batch) else np.zeros(0, bool)
         yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(likely))
 
 
@@ -135,7 +149,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame
     for side in "ab":
         pairs = pairs.join(signed.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("signature").alias(f"s{side}")), side)
     pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b", "ca", "cb", "sa", "sb")
-    return pairs.mapInArrow(_agreeing, "a long, b long, ca long, cb long")
+    return pairs.mapInArrow(lambda it: _agreeing(it, similarity), "a long, b long, ca long, cb long")
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
@@ -172,7 +186,7 @@ def _block_links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     bits = [np.frombuffer(b"".join(side["signature"]), "<u2").reshape(len(side), -1) for side in (one, two)]
     classes, prints = two["class_id"].to_numpy(), two["prints"].to_list()
     for own, own_bits, own_prints in zip(one["class_id"], bits[0], one["prints"]):
-        likely = (bits[1] == own_bits).mean(axis=1) >= LEAST_AGREEMENT
+        likely = (bits[1] == own_bits).mean(axis=1) >= least_agreement(similarity, len(own_bits))
         for j in np.flatnonzero(likely & (classes != own)):
             a, b = root(own), root(classes[j])
             if a != b:
@@ -188,11 +202,13 @@ def near_duplicate_classes(
     doc_id: str = "doc_id",
     text: str = "text",
     similarity: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
+    bands: int | None = None,
+    rows: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(<doc_id>, class_id): one row per id, class_id the least id of its class."""
+    """(<doc_id>, class_id): one row per id, class_id the least id of its class. Without `bands` and `rows` they follow the similarity."""
+    if bands is None or rows is None:
+        bands, rows = banding(similarity)
     folder = workspace(documents, "near-dedup")
     value = F.coalesce(F.col(text), F.lit(""))
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), value.alias("text"), F.unhex(F.md5(value)).alias("digest"))

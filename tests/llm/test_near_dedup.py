@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldgauge.llm.near_dedup import drop_near_duplicates, near_duplicate_classes, signatures
+from fieldgauge.llm.near_dedup import banding, drop_near_duplicates, least_agreement, near_duplicate_classes, signatures
 
 
 def shingles(text):
@@ -77,3 +77,41 @@ def test_filter_and_empty_table(documents, empty):
     # 8 is a near copy of 1, 3 is empty as is 2; rows without an id stay.
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "1", "2", "4", "None", "None", "5", "6", "7", "9", "10"])
     assert near_duplicate_classes(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
+
+
+def planted_pairs(similarity, n=60):
+    """Pairs of texts of at least a similarity, up to a tenth above it, unlike all other texts."""
+    random.seed(9)
+    rows = []
+    while len(rows) < 2 * n:
+        base = [f"p{len(rows)}x{k}" for k in range(120)]
+        other = list(base)
+        for k in range(0, 120, 7 if similarity < 0.6 else 25):
+            other[k] = f"q{len(rows)}x{k}"
+        cut = 0
+        while True:
+            a, b = shingles(" ".join(base)), shingles(" ".join(other))
+            value = sum((a & b).values()) / sum((a | b).values())
+            if value >= similarity:
+                break
+            other[7 * cut if similarity < 0.6 else 25 * cut] = base[7 * cut if similarity < 0.6 else 25 * cut]
+            cut += 1
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.8])
+def test_pairs_are_found_at_any_similarity(spark, similarity):
+    rows = planted_pairs(similarity)
+    found = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity).collect()
+    want = brute(rows, similarity)
+    classes = {r.doc_id: r.class_id for r in found}
+    linked = [i for i, c in want.items() if c != i]
+    assert len(linked) == 60 and sum(classes[i] == want[i] for i in linked) >= 0.9 * len(linked)
+    assert all(classes[i] in (i, want[i]) for i in want)
+
+
+def test_bands_and_agreement_follow_the_similarity():
+    assert banding(0.8) == (24, 4) and banding(0.5) == (48, 2) and banding(0.1) == (96, 1)
+    assert all((1 - s**rows) ** bands <= 1e-5 for s in (0.2, 0.3, 0.5, 0.6, 0.8, 0.95) for bands, rows in [banding(s)])
+    assert 0.59 < least_agreement(0.8, 96) < 0.6 and least_agreement(0.5, 96) < 0.25
