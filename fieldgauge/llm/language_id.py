@@ -216,6 +216,13 @@ def _judged(documents: DataFrame, model: Model, carry: dict[str, Column], text:
     width = len(model.languages)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from _rated(batches)
+        finally:
+            # A worker goes on to other stages; 128 MB of tables would stay with it.
+            _Tables.current = None
+
+    def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, UNKNOWN], object)
         for batch in batches:
             best, score, rate = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
@@ -238,23 +245,41 @@ def _judged(documents: DataFrame, model: Model, carry: dict[str, Column], text:
     return rows.mapInArrow(judged, schema)
 
 
-def fitted(model: Model, documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model with its limits: bits per byte that a text of each language may take. They are `DEVIATIONS` standard deviations
-    (a tenth of the mean at least, for few texts) above the mean of all labelled texts that the model gives their label."""
-    known = documents.where(F.col(lang).isNotNull())
-    rates = _judged(known, model, {"lang": F.col(lang).cast("string")}, text).where("row.lang = lang_pred")
-    limit = F.mean("rate") + DEVIATIONS * F.greatest(F.stddev_pop("rate"), F.mean("rate") / 10)
-    limits = {r["lang_pred"]: r["top"] for r in rates.groupBy("lang_pred").agg(limit.alias("top")).collect()}
-    return replace(model, limits=limits)
+def learned(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """A model of all labelled texts, with its limits: bits per byte that a text of each language may take.
+
+    The limits are `DEVIATIONS` standard deviations (a tenth of the mean at least, for few texts) above the mean of texts that the model
+    they are judged by has not seen: each half of the labelled texts is judged by a model of the other half. A language none of
+    whose texts was told apart so takes the limit of all languages' texts together.
+    """
+    half = F.pmod(F.xxhash64(F.col(text)), F.lit(2))
+    known = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rates = None
+    for k in (0, 1):
+        judged = _judged(known.where(half == k), train(known.where(half != k), text, lang), {"lang": F.col(lang).cast("string")}, text)
+        judged = judged.where("row.lang = lang_pred").select("lang_pred", "rate")
+        rates = judged if rates is None else rates.unionByName(judged)
+    sums = rates.groupBy("lang_pred").agg(F.count("*").alias("n"), F.sum("rate").alias("s"), F.sum(F.col("rate") * F.col("rate")).alias("ss")).collect()
+    limits = {r["lang_pred"]: _limit(r["n"], r["s"], r["ss"]) for r in sums}
+    pooled = _limit(*(sum(r[c] for r in sums) for c in ("n", "s", "ss"))) if sums else float("inf")
+    model = train(documents, text, lang)
+    return replace(model, limits={name: limits.get(name, pooled) for name in model.languages})
+
+
+def _limit(n: int, total: float, squares: float) -> float:
+    mean = total / n
+    return mean + DEVIATIONS * max(max(0.0, squares / n - mean * mean) ** 0.5, mean / 10)
 
 
 def keep_known(documents: DataFrame, model: Model, least_score: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents with a recognised language, with their columns. The score only compares languages; a fitted model's limits
-    reject also what fits none of them."""
+    """The documents with a recognised language, with their columns. The score only compares languages; the limits of a `learned` model
+    reject also what fits none of them. Where no language was learned nothing can be told apart, and all documents stay."""
+    if not model.languages:
+        return documents
     judged = _judged(documents, model, {c: F.col(f"`{c}`") for c in documents.columns}, text)
     judged = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     if model.limits is not None:
-        limit = F.lit(None).cast("double")
+        limit = F.lit(float("inf"))
         for name, top in model.limits.items():
             limit = F.when(F.col("lang_pred") == name, top).otherwise(limit)
         judged = judged.where(F.col("rate") <= limit)

@@ -7,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldgauge.llm import language_id, quality
+from fieldgauge.llm import language_id, quality, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
 import test_decontamination
@@ -47,3 +47,23 @@ def test_stages_do_what_their_operators_say(spark, outputs):
 def test_columns_stay_until_the_last_stage(spark, outputs):
     columns = spark.read.parquet(f"{SF}/documents.parquet").columns
     assert all(found == columns for _, found, _ in outputs[:-1])
+
+
+def test_run_writes_every_stage_and_takes_awkward_tables(spark, tmp_path, documents, empty):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, rows in (("rows", documents), ("empty", empty), ("unlabelled", documents.withColumn("lang", F.lit(None).cast("string")))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "exact"]
+        found = {r.doc_id for r in out.collect()}
+        # Of these only the German text is prose that does not repeat itself; it has no id.
+        assert found == (set() if name == "empty" else {None}), (name, found)
+
+
+def test_the_native_queries_have_no_python(spark):
+    for name in ("op1_decontamination", "op10_quality_rules"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        for operator in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert operator not in plan

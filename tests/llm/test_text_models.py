@@ -252,10 +252,24 @@ def test_texts_that_fit_no_language_go(spark):
     model = language_id.train(table)
     rows = table.unionByName(planted)
     assert language_id.keep_known(planted, model).count() == len(foreign)
-    kept = {r.doc_id for r in language_id.keep_known(rows, language_id.fitted(model, rows)).collect()}
+    kept = {r.doc_id for r in language_id.keep_known(rows, language_id.learned(rows)).collect()}
     assert kept == {r.doc_id for r in table.collect()}
 
 
+def test_languages_without_a_limit_are_not_dropped(spark, documents):
+    # One text of a language: the halves cannot tell it apart, so it has no limit of its own and takes that of all.
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    lone = spark.createDataFrame([(-1, "Все люди рождаются свободными и равными в своем достоинстве и правах.", "ru")], table.schema)
+    rows = table.unionByName(lone)
+    model = language_id.learned(rows)
+    assert set(model.limits) == set(model.languages) and "ru" in model.limits and all(map(math.isfinite, model.limits.values()))
+    assert -1 in {r.doc_id for r in language_id.keep_known(rows, model).collect()}
+    # Nothing learned, nothing judged: null labels, or no text to a label.
+    for nothing in (table.withColumn("lang", F.lit(None).cast("string")), table.withColumn("text", F.lit(None).cast("string"))):
+        assert language_id.keep_known(nothing, language_id.learned(nothing)).count() == nothing.count()
+    assert language_id.keep_known(documents, language_id.learned(documents)).columns == documents.columns
+
+
 def test_all_labels_and_contexts_are_learned(spark):
     random.seed(6)
     texts = [["".join(random.choices(ALPHABET[:8] + [chr(k) for k in range(256, 900)], k=600)), f"l{k:02}"] for k in range(70)]
