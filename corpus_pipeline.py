@@ -1,7 +1,11 @@
 """A training corpus from raw documents: five stages, each over all that the stage before it kept.
 
-Stages in between return the columns of their input; the last returns token ids per document. Every stage's output is
-written to the shared folder and read again, so a lost executor repeats one stage's tasks only.
+Stages in between return the columns of their input, whatever these are called; the last returns token ids per document. Every
+stage's output is written to the shared folder and read again, so a lost executor repeats one stage's tasks only.
+
+Edge cases: null and empty texts fail the quality rules, so nothing later meets them; null labels teach nothing. Equal rows are one
+document to the near-duplicate stage, which keeps the least id of a class and all rows of that id; rows without an id stay. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; the languages, and how well their texts fit, are learned from the labels of all
-    given documents."""
-    return language_id.keep_known(docs, language_id.fitted(language_id.train(docs), docs))
+    """Documents without a recognised language go; the languages, and how well unseen texts fit them, are learned from the labels of
+    all given documents. Where none has a label and a text, all stay."""
+    return language_id.keep_known(docs, language_id.learned(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
