@@ -12,22 +12,8 @@ from .rules import row_issues
 
 ISSUES_KEPT = 50
 ISSUES_SHOWN = 5
-
-
-def file_summary(validated: DataFrame) -> DataFrame:
-    """Rows, invalid and valid rows per file.
-
-    The rows of a file sit in one task after parsing, so the partial aggregate leaves
-    one record per file for the shuffle.
-    """
-    is_row = F.col("is_row") if "is_row" in validated.columns else F.lit(True)
-    counts = validated.groupBy("file_key", "file").agg(
-        F.count_if(is_row).alias("total_rows"),
-        F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows"),
-        F.coalesce(F.max("line_number"), F.lit(0)).alias("last_line"),
-    )
-    valid = F.col("total_rows") - F.col("invalid_rows")
-    return counts.select("file_key", "file.*", "total_rows", "invalid_rows", valid.alias("valid_rows"), "last_line")
+# Lines whose issues are gathered together before they are cut to the first ones.
+BLOCK_LINES = 1 << 16
 
 
 def issue_samples(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:
@@ -46,16 +32,41 @@ def issue_samples(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:
     )
 
 
+def file_profile(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:
+    """The summary and the first issues of each file in one pass over its rows, so that its content is parsed once.
+
+    Issues are gathered by blocks of lines and cut to `keep`, then gathered by file and cut again: a list holds the issues of one block,
+    or `keep` of each of a file's blocks, however long and bad the file.
+    """
+    is_row = F.col("is_row") if "is_row" in validated.columns else F.lit(True)
+    issue = F.when(F.col("message").isNotNull(), F.struct("line_number", "message"))
+    first = lambda lists: F.slice(F.sort_array(lists), 1, keep)
+    blocks = validated.groupBy("file_key", "file", F.floor(F.coalesce("line_number", F.lit(0)) / BLOCK_LINES).alias("_block")).agg(
+        F.count_if(is_row).alias("total_rows"),
+        F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows"),
+        F.max("line_number").alias("last_line"),
+        first(F.collect_list(issue)).alias("issues"),
+    )
+    files = blocks.groupBy("file_key", "file").agg(
+        F.sum("total_rows").alias("total_rows"),
+        F.sum("invalid_rows").alias("invalid_rows"),
+        F.coalesce(F.max("last_line"), F.lit(0)).alias("last_line"),
+        first(F.flatten(F.collect_list("issues"))).alias("issues"),
+    )
+    valid = F.col("total_rows") - F.col("invalid_rows")
+    issues = F.when(F.size("issues") > 0, F.col("issues"))
+    return files.select("file_key", "file.*", "total_rows", "invalid_rows", valid.alias("valid_rows"), "last_line", issues.alias("issues"))
+
+
 def issue_text(issues: Column, shown: int = ISSUES_SHOWN) -> Column:
     lines = F.transform(F.slice(issues, 1, shown), lambda i: F.concat(F.lit("line "), i["line_number"].cast("string"), F.lit(": "), i["message"]))
     return F.array_join(lines, " | ")
 
 
-def open_verdict(summary: DataFrame, issues: DataFrame) -> DataFrame:
-    """Summary plus issues (both keyed by file), no step failed yet."""
-    return summary.join(issues, "file_key", "left").select(
-        *[F.col(c) for c in summary.columns],
-        "issues",
+def open_verdict(profile: DataFrame) -> DataFrame:
+    """A file's summary and issues, no step failed yet."""
+    return profile.select(
+        *profile.columns,
         F.lit(None).cast("string").alias("failed_step"),
         F.lit(None).cast("string").alias("error_type"),
         F.lit(None).cast("string").alias("error"),

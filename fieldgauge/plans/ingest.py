@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.ledger import error_reports, ledger_events, missing_events
 from ..operators.rules import valid_readings, validate_rows
 from ..operators.store import SensorStore
-from ..operators.verdicts import file_summary, issue_samples, open_verdict, with_status
+from ..operators.verdicts import file_profile, open_verdict, with_status
 from ..sources.drop_files import MAX_BYTES, as_files, fetch, parse_rows
 from ..sources.listing import empty_objects, existing_paths, key_under, scan_folder
 from ..sources.normalized import read_normalized, write_normalized
@@ -31,8 +31,7 @@ class LoadPlan:
 
 
 def verdicts_of(validated: DataFrame, definition: Definition) -> DataFrame:
-    summary = open_verdict(file_summary(validated), issue_samples(validated))
-    return with_status(run_steps(summary, definition).rows)
+    return with_status(run_steps(open_verdict(file_profile(validated)), definition).rows)
 
 
 def stored_readings(validated: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from fieldgauge.functions.numbers import mean4, parse_number, round4
 from fieldgauge.functions.text import number_text, relative_key, size_text_bytes, trim_blank
 from fieldgauge.functions.times import instant, parse_timestamp
 from fieldgauge.operators.rules import validate_rows
-from fieldgauge.operators.verdicts import file_summary
+from fieldgauge.operators.verdicts import file_profile
 from fieldgauge.plans.ingest import plan_load
 from fieldgauge.plans.steps import FILE_INGESTION, Definition, Step
 from fieldgauge.sources.drop_files import detect_format, fetch, parse_rows
@@ -200,5 +200,5 @@ def test_issue_sample_is_capped_but_count_is_not(spark):
 
 def test_summary_counts_marker_rows_as_none(spark):
     rows = validate_rows(parse_rows(fetch(files_of(spark, a__csv=HEADER, b__json="[]", c__csv=HEADER + GOOD + BAD))), instant(AS_OF))
-    counts = {r["file_key"]: (r["total_rows"], r["invalid_rows"], r["valid_rows"]) for r in file_summary(rows).collect()}
+    counts = {r["file_key"]: (r["total_rows"], r["invalid_rows"], r["valid_rows"]) for r in file_profile(rows).collect()}
     assert counts == {"a.csv": (0, 0, 0), "b.json": (0, 0, 0), "c.csv": (2, 1, 1)}

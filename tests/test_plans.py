@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge.operators.batches import assign_batches, eligible
-from fieldgauge.operators.ledger import latest_by_key
+from fieldgauge.operators.ledger import latest_by_key, ledger_view
 from fieldgauge.operators.results import per_sensor_results
+from fieldgauge.operators.series import _narrowed, nearest_rank, with_spans
 from fieldgauge.plans import queries_loads, registry
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,30 @@ def test_a_type_is_numbered_in_more_than_one_group(spark):
     windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
     assert windows and all("_slice" in line for line in windows)
     assert assign_batches(rows, 500).agg(F.max("batch_number")).first()[0] == 11
+
+
+def test_files_are_parsed_once_for_their_verdicts(spark):
+    plan = physical(registry.QUERIES["file_verdicts"](spark, SF))
+    # The stand-in files are made of one scan; lines and items are the two generators of one parse.
+    assert len(re.findall(r"Scan parquet", plan)) == 1 and plan.count("Generate posexplode") == 2
+
+
+def test_the_ledger_is_read_once(spark):
+    events = spark.range(10).selectExpr("string(id % 2) AS key", "'r' AS run_id", "id AS seq", "timestamp_seconds(id) AS created_at")
+    plan = physical(ledger_view(events, ["seq"]))
+    assert plan.count("Range (") == 1 and plan.count("Exchange") == 1
+
+
+def test_spans_and_bins_are_bounded(spark):
+    # One day holds nearly all samples of one run, most of them within an hour.
+    samples = spark.range(40_000).selectExpr("'hot' AS run", "CASE WHEN id < 30000 THEN 1000 + id * 0.1 ELSE id * 2.0D END AS t", "id AS total")
+    groups = with_spans(samples, "run", "t", rows=500).groupBy("run", "_span").count()
+    assert groups.agg(F.max("count")).first()[0] < 500 + 2 * 14 and groups.count() > 50
+    # All values within one part in a million of each other.
+    close = spark.range(50_000).selectExpr("'g' AS g", "1.0D + id / 5.0e10D AS x")
+    plan = physical(nearest_rank(close, ["g"], "x", {"p50": 0.5}))
+    assert plan.count("_step1") and plan.count("_step2")
+    assert nearest_rank(close, ["g"], "x", {"p50": 0.5}).first()["p50"] == 1.0 + 25_000 / 5.0e10
+    keyed = close.selectExpr("g", "'p50' AS _name", "x AS _x", "1L AS _n", "25000L AS _rest", "1.0D AS _lo", "1.0D + 49999 / 5.0e10D AS _hi")
+    once = _narrowed(keyed, ["g", "_name"], "_step1")
+    assert once.count() < 5

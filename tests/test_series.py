@@ -24,8 +24,14 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "run string, t double, total bigint").repartition(5)
 
 
+@pytest.fixture(params=[1 << 20, 7])
+def span_rows(request, monkeypatch):
+    """Days with more rows are cut; with 7 nearly all are."""
+    monkeypatch.setattr("fieldgauge.operators.series.SPAN_ROWS", request.param)
+
+
 @pytest.mark.parametrize("span", [86_400.0, 100.0, 7.0])
-def test_rates_and_deltas(spark, span):
+def test_rates_and_deltas(spark, span, span_rows):
     rows = series()
     wanted_delta, wanted_rate = {}, {}
     for run in {r for r, *_ in rows}:
@@ -55,7 +61,7 @@ def reference_value(times, values, t):
 
 
 @pytest.mark.parametrize("span", [86_400.0, 60.0, 9.0])
-def test_interpolation(spark, span):
+def test_interpolation(spark, span, span_rows):
     rows, chance = series(), random.Random(1)
     targets = [(run, t) for run in ("hot", "cold", "one") for t in [-3.0, 0.0, 1e6, 4999.5, *[chance.uniform(0, 6000) for _ in range(60)]]]
     targets += [(run, t) for run, t, _ in rows[:50]]
