@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
+from ..functions.text import converted_key, error_report_key
 from ..functions.times import instant
 from ..operators.ledger import error_reports
 from ..operators.rules import converted, row_issues, valid_readings, validate_rows, with_catalog
@@ -16,7 +17,7 @@ from ..sources.normalized import read_normalized, write_normalized
 from ..session import scratch_path
 from . import standins
 from .ingest import LoadPlan, plan_load
-from .steps import FILE_INGESTION
+from .steps import FILE_INGESTION, Definition, Step
 
 # -- Spark --------------------------------------------------------------------------------
 
@@ -74,6 +75,30 @@ def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Two sets of tight limits: bytes, rows, and the share of bad rows let pass.
+LIMITS = {"few rows": (4600, 99, "0.0"), "some bad rows": (10700, 100_000, "0.015")}
+
+
+def limited_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts under tight limits: files too large, with too many rows, and with a few bad rows that are let pass."""
+    files, out = standins.sensor_files(spark, sf_dir), None
+    for limits, (size, rows, ratio) in LIMITS.items():
+        validate = Step("ingest.validate", parameters={"maxInvalidRowRatio": ratio, "maxRows": str(rows)})
+        steps = (Step("ingest.fetch", parameters={"maxBytes": str(size)}), validate, Step("ingest.store"))
+        verdicts = plan_load(files, instant(standins.AS_OF), Definition("file-ingestion", steps)).verdicts.select(
+            F.lit(limits).alias("limits"), "file_key", "status", "failed_step", "error_type", "error",
+            F.size("completed_steps").alias("completed"), "row_count", "invalid_row_count", "stored_count",
+        )
+        out = verdicts if out is None else out.unionByName(verdicts)
+    return out
+
+
+def lifecycle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a file's normalized readings and its error report belong."""
+    keys = standins.ledger_files(spark, sf_dir).select("key")
+    return keys.select("key", converted_key(F.col("key")).alias("converted"), error_report_key(F.col("key")).alias("report"))
+
+
 def error_report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = error_reports(_plan(spark, sf_dir).verdicts, instant(standins.AS_OF), FILE_INGESTION.name, FILE_INGESTION.version)
     parsed = F.from_json("report", "file STRING, pipeline STRING, failedStep STRING, errorType STRING, error STRING, completedSteps ARRAY<STRING>")
@@ -121,6 +146,8 @@ QUERIES = {
     "row_issues": row_issue_list,
     "issue_samples": issue_sample_texts,
     "file_verdicts": file_verdicts,
+    "limited_verdicts": limited_verdicts,
+    "lifecycle_keys": lifecycle_keys,
     "error_reports": error_report_fields,
     "stored_readings": stored_readings,
     "normalized_roundtrip": normalized_roundtrip,
@@ -287,6 +314,9 @@ SELECT file_key, CASE WHEN fatal IS NULL AND bad_rows IS NULL THEN 'Stored' ELSE
        CASE WHEN fatal IS NULL AND bad_rows IS NULL THEN total ELSE 0 END AS row_count, 0 AS invalid_row_count,
        CASE WHEN fatal IS NULL AND bad_rows IS NULL THEN total ELSE 0 END AS stored_count
 FROM verdicts""",
+    "lifecycle_keys": """
+WITH k AS (SELECT 'run/' || CASE WHEN o_orderkey % 50 = 7 THEN 'poison-' ELSE '' END || 'file-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '.csv' AS key FROM orders)
+SELECT key, 'converted/' || key || '.ndjson' AS converted, 'invalid/' || key || '.error.json' AS report FROM k""",
     "error_reports": f"""{FULL}
 SELECT file_key, file_key AS file, 'file-ingestion:v1' AS pipeline, 'ingest.validate' AS failed_step,
        CASE WHEN fatal IS NOT NULL THEN 'InvalidFile' ELSE 'InvalidRows' END AS error_type, coalesce(fatal, bad_rows) AS error, 1 AS completed
@@ -307,3 +337,20 @@ SELECT file_key, line_number,
             THEN value * 2 ELSE value END AS value
 FROM keyed""",
 }
+
+# The verdicts again, with the files' sizes and the tight limits.
+ORACLES["limited_verdicts"] = f"""{FULL}, sizes AS (SELECT file_key, size_bytes FROM ({ORACLES["file_fetch"]})),
+limits(limits, max_bytes, max_rows, ratio, shown) AS (VALUES {", ".join(f"('{k}', {size}, {rows}, {ratio}::DOUBLE, '{ratio.removesuffix('.0')}')" for k, (size, rows, ratio) in LIMITS.items())}),
+judged AS (
+  SELECT limits, v.file_key, v.total, coalesce(p.bad, 0) AS bad, CASE WHEN size_bytes > max_bytes THEN 'FileTooLarge' WHEN fatal IS NOT NULL OR v.total > max_rows THEN 'InvalidFile'
+      WHEN p.bad > 0 AND p.bad / v.total > ratio THEN 'InvalidRows' END AS error_type,
+    CASE WHEN size_bytes > max_bytes THEN 'File is ' || size_bytes || ' bytes, max ' || max_bytes WHEN fatal IS NOT NULL THEN fatal
+      WHEN v.total > max_rows THEN 'Too many rows (max ' || max_rows || ')'
+      WHEN p.bad > 0 AND p.bad / v.total > ratio THEN replace(bad_rows, '(max ratio 0)', '(max ratio ' || shown || ')') END AS error
+  FROM verdicts v JOIN sizes USING (file_key) LEFT JOIN per_file p USING (file_key), limits)
+SELECT limits, file_key, CASE WHEN error_type IS NULL THEN 'Stored' ELSE 'Invalid' END AS status,
+  CASE WHEN error_type = 'FileTooLarge' THEN 'ingest.fetch' WHEN error_type IS NOT NULL THEN 'ingest.validate' END AS failed_step, error_type, error,
+  CASE WHEN error_type = 'FileTooLarge' THEN 0 WHEN error_type IS NOT NULL THEN 1 ELSE 3 END AS completed,
+  CASE WHEN error_type IS NULL THEN total ELSE 0 END AS row_count, CASE WHEN error_type IS NULL THEN bad ELSE 0 END AS invalid_row_count,
+  CASE WHEN error_type IS NULL THEN total - bad ELSE 0 END AS stored_count
+FROM judged"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import merge_counts
+from ..functions.numbers import merge_counts, parameter_number
 from ..functions.text import job_key
+from ..functions.thresholds import threshold_struct
 from ..functions.times import instant
-from ..operators.batches import assign_batches, batch_ranges, fetch_page
-from ..operators.reports import list_jobs, list_results
+from ..operators.batches import assign_batches, batch_ranges, eligible, fetch_page
+from ..operators.reports import job_view, list_jobs, list_results
 from ..operators.results import (
     apply_categories,
     categorize,
@@ -132,13 +133,49 @@ def results_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_results(per_sensor(spark, sf_dir), "job-view", 5000)
 
 
-def jobs_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events of a type as a job: the newest two hundred."""
+def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one batch, read again by the range of ids that it is known by."""
+    rows = standins.measurements(spark, sf_dir)
+    batch = batch_ranges(assign_batches(rows, BATCH, sensor_types=["view"])).where("batch_number = 2").first()
+    if batch is None:
+        batch = batch_ranges(assign_batches(rows, BATCH, sensor_types=["view"])).orderBy("batch_number").first()
+    return eligible(rows, sensor_types=["view"], first_id=batch["first_id"], last_id=batch["last_id"])
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = standins.table(spark, sf_dir, "events")
-    jobs = events.groupBy(F.format_string("user-%d-%s", "user_id", "event_type").alias("job_id")).agg(
+    return events.groupBy(F.format_string("user-%d-%s", "user_id", "event_type").alias("job_id")).agg(
         F.count(F.lit(1)).alias("processed"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("started_at")
     )
-    return list_jobs(jobs)
+
+
+def jobs_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events of a type as a job: the newest two hundred."""
+    return list_jobs(_jobs(spark, sf_dir))
+
+
+def job_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job by its id."""
+    return job_view(_jobs(spark, sf_dir), "user-7-click")
+
+
+def step_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers out of text parameters, missing and unreadable ones too, and thresholds out of texts: each order as a step."""
+    orders = standins.table(spark, sf_dir, "orders")
+    texts = F.expr("""map('maxRows', string(o_custkey % 1000), IF(o_orderkey % 3 = 0, 'ratio', 'other'), concat('0.', o_orderkey % 100),
+        'broken', o_orderpriority)""")
+    thresholds = F.expr("CASE WHEN o_orderkey % 5 > 0 THEN concat_ws(IF(o_orderkey % 2 = 0, ';', ','), o_custkey % 10, 10 + o_orderkey % 10, 20) END")
+    rows = orders.select("o_orderkey", texts.alias("p"), threshold_struct(thresholds).alias("t"))
+    number = lambda name, fallback, kind: parameter_number(F.col("p"), name, fallback, kind)
+    return rows.select(
+        "o_orderkey",
+        number("maxRows", 5, "int").alias("max_rows"),
+        number("ratio", 0.25, "double").alias("ratio"),
+        number("broken", -1, "bigint").alias("broken"),
+        "t.low",
+        "t.high",
+        "t.critical",
+    )
 
 
 def step_list_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +213,9 @@ QUERIES = {
     "keyset_page": keyset_page,
     "job_results_listing": results_listing,
     "jobs_listing": jobs_listing,
+    "batch_rows": batch_rows,
+    "job_row": job_row,
+    "step_parameters": step_parameters,
     "step_list_results": step_list_results,
     "definition_errors": bad_definitions,
 }
@@ -242,6 +282,17 @@ SELECT sensor_type, batch_number, last_id AS cursor, batch_number AS batches,
     "jobs_listing": """
 SELECT 'user-' || user_id || '-' || event_type AS job_id, count(*) AS processed, epoch_us(min(ts)) AS started_at
 FROM events GROUP BY user_id, event_type ORDER BY started_at DESC, job_id LIMIT 200""",
+    "batch_rows": f"""WITH {NUMBERED}
+SELECT id, sensor_type, sensor_id, value FROM numbered WHERE sensor_type = 'view'
+  AND (rn - 1) // 500 = (SELECT CASE WHEN max(rn) > 500 THEN 1 ELSE 0 END FROM numbered WHERE sensor_type = 'view')""",
+    "job_row": """
+SELECT 'user-7-click' AS job_id, count(*) AS processed, epoch_us(min(ts)) AS started_at
+FROM events WHERE user_id = 7 AND event_type = 'click' GROUP BY user_id""",
+    "step_parameters": """
+SELECT o_orderkey, CAST(o_custkey % 1000 AS INTEGER) AS max_rows, CASE WHEN o_orderkey % 3 = 0 THEN CAST('0.' || (o_orderkey % 100) AS DOUBLE) ELSE 0.25 END AS ratio,
+  CAST(-1 AS BIGINT) AS broken, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey % 10 AS DOUBLE) END AS low,
+  CASE WHEN o_orderkey % 5 > 0 THEN CAST(10 + o_orderkey % 10 AS DOUBLE) END AS high, CASE WHEN o_orderkey % 5 > 0 THEN 20.0::DOUBLE END AS critical
+FROM orders""",
     "definition_errors": """
 WITH named AS (
   SELECT CASE WHEN o_orderpriority = '2-HIGH' THEN 'processing-' ELSE 'file-ingestion-' END || o_custkey AS name, o_orderkey AS version,

@@ -1,4 +1,5 @@
-from datetime import datetime, timezone
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from fieldgauge.plans.steps import Definition, SENSOR_PROCESSING, Step, StepFail
 from fieldgauge.sources.listing import count_by_prefix, empty_objects, list_objects, listing_page, scan_folder
 from fieldgauge.sources.normalized import read_normalized, write_normalized
 from fieldgauge.streaming.categorizer import categorize_stream
-from fieldgauge.streaming.inbox import check_interval, ingest_stream
+from fieldgauge.streaming.inbox import check_interval, ingest_stream, sweep_due, sweep_stream
 
 HEADER = "sensor_id,sensor_type,timestamp,value,unit\n"
 AS_OF = datetime(2030, 1, 1, tzinfo=timezone.utc)
@@ -364,3 +365,161 @@ def test_a_source_may_hold_any_characters(spark, store, drop):
     reingest(store, drop.inbox, ["a.csv"], "s3://x/a:b c%2F*", as_of=AS_OF)
     assert store.committed("s3://x/a:b c%2F*") and not store.committed("s3://x/a:b c/*")
     assert store.events().first()["source"] == "s3://x/a:b c%2F*" and store.files().count() == 1
+
+
+def states(store):
+    return {r["key"]: (r["status"], r["attempts"]) for r in store.files().collect()}
+
+
+def test_a_writer_that_was_given_up_is_not_seen(spark, store, drop):
+    drop("a.csv", csv(1))
+    ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    drop("a.csv", csv(2))
+    files = folder_files(spark, drop.inbox)
+    late = store.claim("two", files.select(F.col("file_key").alias("key"), "path"), instant("2030-01-01"))
+    assert states(store) == {"a.csv": ("Processing", 2)} and live(store) == [("a.csv", 2, 1.0)] and not store.committed("two")
+    plan = plan_load(files.drop("path"), instant("2030-01-01"))
+    store.write_load(late.load, with_ids(plan.readings.withColumn("value", F.lit(-9.0)), plan.verdicts, store.next_id())[0])
+    other = SensorStore(spark, store.root)
+    assert ingest_load(other, files, "two", as_of=AS_OF) == late.load + 1
+    with pytest.raises(LateWriter):
+        store.commit_load(late, store.events().drop("load", "source").where("key = 'a.csv'"))
+    # It may also pass its own check and write after the next attempt was claimed: the readers' fence holds.
+    store.events().where("key = 'a.csv' and source = 'one'").drop("load", "source").write.parquet(f"{store.path('ledger')}/source=two/load={late.load}")
+    assert live(store) == [("a.csv", 2, 2.0)] and states(store) == {"a.csv": ("Stored", 3)}
+    assert store.committed("two") and ingest_load(store, files, "two", as_of=AS_OF) is None
+
+
+def test_files_that_vanished_are_an_outcome(spark, store, drop, tmp_path):
+    drop("a.csv", csv(1))
+    drop("b.csv", csv(2))
+    ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    (tmp_path / "inbox" / "b.csv").unlink()
+    assert reingest(store, drop.inbox, ["a.csv", "b.csv", "never.csv"], "two", as_of=AS_OF) == 2
+    # A file that was stored before keeps its rows and its row; one that never was is Missing.
+    assert states(store) == {"a.csv": ("Stored", 2), "b.csv": ("Stored", 2), "never.csv": ("Missing", 1)}
+    assert live(store) == [("a.csv", 2, 1.0), ("b.csv", 2, 2.0)]
+    assert reingest(store, drop.inbox, ["gone.csv"], "three", as_of=AS_OF) == 3 and states(store)["gone.csv"] == ("Missing", 1)
+
+
+def test_a_stream_goes_on_when_a_file_vanishes(spark, store, drop, tmp_path):
+    drop("a.csv", csv(1))
+    drop("b.csv", csv(2))
+
+    def taken_away():
+        # Asked after the micro-batch has named its files.
+        (tmp_path / "inbox" / "b.csv").unlink(missing_ok=True)
+        return Definition("file-ingestion", (Step("ingest.validate"), Step("ingest.store")))
+
+    ingest_stream(spark, drop.inbox, store.root, str(tmp_path / "log"), taken_away, as_of=AS_OF).awaitTermination()
+    assert states(store) == {"a.csv": ("Stored", 1), "b.csv": ("Missing", 1)}
+    assert [(r["listed"], r["dispatched"], r["missing"]) for r in store.scans().collect()] == [(2, 1, 1)]
+
+
+def test_a_sweep_takes_up_dead_loads_once(spark, store, drop, tmp_path):
+    drop("a.csv", csv(1))
+    files = folder_files(spark, drop.inbox)
+    keys = files.select(F.col("file_key").alias("key"), "path")
+    store.claim("dead", keys, instant("2029-12-31 23:00:00"))
+    assert store.abandoned(instant("2029-12-31 22:59:00")).count() == 0
+    assert sweep(store, drop.inbox, instant("2029-12-31 22:59:00"), as_of=AS_OF) == 0
+    assert sweep(store, drop.inbox, instant("2029-12-31 23:30:00"), as_of=AS_OF) == 1
+    assert sweep(store, drop.inbox, instant("2029-12-31 23:30:00"), as_of=AS_OF) == 0
+    assert states(store) == {"a.csv": ("Stored", 2)} and live(store) == [("a.csv", 2, 1.0)]
+
+
+def test_the_sweep_clock_goes_on_over_restarts(spark, store):
+    assert sweep_due(store, AS_OF, 60)
+    store.write_scan("inbox-0", F.lit(AS_OF), {"re_dispatched": 2}, True)
+    store.write_scan("inbox-1", F.lit(AS_OF + timedelta(seconds=50)), {}, False)
+    again = SensorStore(spark, store.root)
+    assert not sweep_due(again, AS_OF + timedelta(seconds=59), 60) and sweep_due(again, AS_OF + timedelta(seconds=60), 60)
+
+
+def test_a_quiet_inbox_is_swept_by_the_clock(spark, store, drop, tmp_path):
+    drop("a.csv", csv(1))
+    keys = folder_files(spark, drop.inbox).select(F.col("file_key").alias("key"), "path")
+    store.claim("dead", keys, instant("2029-12-31 23:00:00"))
+    query = sweep_stream(spark, drop.inbox, store.root, str(tmp_path / "clock"), 1, 15, as_of=AS_OF)
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and store.scans().where("re_dispatched = 1").isEmpty():
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert states(store) == {"a.csv": ("Stored", 2)}
+
+
+def test_a_job_goes_on_behind_its_last_step(spark, store, drop, monkeypatch):
+    for i in range(3):
+        drop(f"f{i}.csv", csv(*range(400, 403 + i)))
+        reingest(store, drop.inbox, [f"f{i}.csv"], f"load-{i}", as_of=AS_OF)
+    progress = lambda: sorted((r["step"], r["processed"], r["batches"]) for r in store.progress().where("sensor_type = 'co2'").collect())
+    assert categorize_loads(store, "job", batch_size=2, as_of=AS_OF, loads_per_step=1, max_steps=2) == "job"
+    assert progress() == [(0, 0, 0), (1, 3, 2), (2, 7, 4)] and store.jobs().count() == 0 and store.results().count() == 0
+    assert {(r["status"], r["processed"]) for r in store.job_states().where("sensor_type = 'co2'").collect()} == {("Running", 7)}
+    read = []
+    measurements = SensorStore.measurements
+    monkeypatch.setattr(SensorStore, "measurements", lambda self, after=0, upto=None: read.append((after, upto)) or measurements(self, after, upto))
+    categorize_loads(store, "job", batch_size=2, as_of=AS_OF, loads_per_step=1)
+    assert read == [(2, 3)]
+    assert [(r["job_id"], r["status"], r["processed"], r["batches"]) for r in store.job_states().collect()] == [("job-co2", "Completed", 12, 7)]
+    found = {r["batch_number"]: r["count"] for r in store.results().collect()}
+    assert found == {1: 2, 2: 1, 3: 2, 4: 2, 5: 2, 6: 2, 7: 1} and store.categorized().count() == 12
+
+
+def test_a_batch_fails_alone_and_is_taken_up_later(spark, store, drop):
+    drop("a.csv", csv(400, 401, 402) + csv(20, 21, kind="humidity", unit="%").removeprefix(HEADER))
+    ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    steps = SENSOR_PROCESSING.steps[1:]
+    broken = Step("processing.categorize", continue_on_error=True, parameters={"thresholds.humidity": "3;2;1"})
+    categorize_loads(store, "job", Definition("sensor-processing", (broken, *steps)), 2, AS_OF)
+    jobs = {r["sensor_type"]: (r["status"], r["processed"], r["batches"], r["failed_batches"]) for r in store.jobs().collect()}
+    assert jobs == {"co2": ("Completed", 3, 2, 0), "humidity": ("Completed", 2, 1, 1)}
+    failure = store.failures().first()
+    assert (failure["job_id"], failure["batch_number"], failure["failed_step"], failure["rows"]) == ("job-humidity", 1, "processing.categorize", 2)
+    assert failure["error"].startswith("Invalid thresholds '3;2;1'")
+    assert {r["sensor_type"] for r in store.categorized().collect()} == {"co2"} == {r["sensor_type"] for r in store.results().collect()}
+    assert categorize_missed(store, "again", as_of=AS_OF) == "again"
+    assert store.uncategorized().count() == 0 and store.categorized().count() == 5
+    # A step that may not be skipped names the first batch it failed on.
+    drop("b.csv", csv(20, kind="humidity", unit="%"))
+    reingest(store, drop.inbox, ["b.csv"], "two", as_of=AS_OF)
+    with pytest.raises(StepFailed, match="Step processing.categorize failed on batch 1: Invalid thresholds"):
+        categorize_loads(store, "strict", Definition("sensor-processing", (Step("processing.categorize", parameters=broken.parameters), *steps)), 2, AS_OF)
+
+
+def test_compaction_keeps_what_a_store_says(spark, store, drop):
+    drop("a.csv", csv(400, 401))
+    drop("b.csv", csv(-1))
+    ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    store.claim("two", folder_files(spark, drop.inbox).select(F.col("file_key").alias("key"), "path"), instant("2030-01-01"))
+    drop("a.csv", csv(500))
+    reingest(store, drop.inbox, ["a.csv"], "two", as_of=AS_OF)
+    categorize_loads(store, "job", as_of=AS_OF)
+    store.write_scan("inbox-0", F.lit(AS_OF), {"listed": 2}, True)
+    compact = SensorStore(spark, store.compact(store.root + "-compact").root)
+    for table in ("files", "measurements", "categorized", "results", "jobs", "failures", "reports", "scans"):
+        was, now = (getattr(s, table)() for s in (store, compact))
+        columns = sorted(set(was.columns) - {"token"})
+        rows = lambda frame: sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+        assert rows(was) == rows(now), table
+    assert compact.committed("one") and compact.committed("two") and not compact.committed("three")
+    assert (compact.next_load(), compact.next_id()) == (store.next_load(), store.next_id()) and compact.last_categorized_load() == 3
+    drop("b.csv", csv(7))
+    assert reingest(compact, drop.inbox, ["b.csv"], "three", as_of=AS_OF) == 4 and states(compact)["b.csv"] == ("Stored", 3)
+    twice = SensorStore(spark, compact.compact(store.root + "-twice").root)
+    assert states(twice) == states(compact) and twice.committed("one") and twice.next_load() == 5 and live(twice) == live(compact)
+
+
+def test_converted_files_feed_the_store(spark, store, drop):
+    drop("a.csv", csv("68", kind="temperature", unit="F"))
+    drop("b.csv", csv(-1))
+    load = ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    back = read_normalized(spark, store.converted_path(load))
+    assert [(r["file_key"], r["value"], r["unit"]) for r in back.collect()] == [("a.csv", 20.0, "C")] and live(store) == [("a.csv", 2, 20.0)]
+    plain = Definition("file-ingestion", (Step("ingest.validate"), Step("ingest.convert", enabled=False), Step("ingest.store")))
+    load = reingest(store, drop.inbox, ["a.csv"], "two", plain, AS_OF)
+    assert live(store) == [("a.csv", 2, 20.0)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_normalized(spark, store.converted_path(load))
