@@ -5,9 +5,10 @@ each of its five-word shingles is, so one necessary shingle per window is joined
 (the prefix of a full containment join). A match at a position gives the place the window would have; it must lie
 inside the document (length and positional bounds), and there the words are compared one by one.
 
-One pass over the documents explodes positions, hashes and probes the benchmark's shingles inside one stage. What
-leaves it is a row per document and the occurrences, with the few words around each. The shingles are broadcast while
-there are at most `broadcast_rows` of them; beyond that Spark shuffles positions and shingles by hash instead.
+Two passes over the documents explode positions and hash them inside one stage. The first counts the benchmark's shingles, combined
+before the shuffle, so that only their counts leave it; they rank the shingles of each window. The second probes the prefix
+shingles alone; what leaves it is a row per document and the occurrences of prefixes, with the few words around each. The
+probed hashes are broadcast while there are at most `broadcast_rows` of them; beyond that Spark shuffles positions by hash.
 
 Edge cases: null and empty texts have no words and no hits. Empty items have no window. Items of fewer than five
 words are looked up by shingles of their own length. Rows that repeat both id and text count once; a null id is a
@@ -83,7 +84,7 @@ def contamination(
     Columns: <doc_id>, text_hash, n_words, n_hit, items (sorted strings), spans.
     """
     folder = workspace(documents, "decontamination")
-    # Benchmark tables are written once: they are read by both passes and their sizes decide the join.
+    # Benchmark tables are written once: both passes read them, and their sizes decide the joins.
     windows = written(_windows(benchmark, item_id, item_text), f"{folder}/windows")
     shingles = written(_window_shingles(windows), f"{folder}/shingles")
     lengths = sorted(r[0] for r in shingles.select("length").distinct().collect()) or [SHINGLE]
@@ -95,11 +96,17 @@ def contamination(
         "id", F.xxhash64(value).alias("text_hash"), item_words(value).alias("words")
     )
     key = ["id", "text_hash"]
-    # One pass over the texts: every occurrence of a benchmark shingle, with the words around it that any of its
-    # windows can need, and a row per document.
-    known = bounded(shingles.select("hash").distinct().withColumn("known", F.lit(True)))
+    # Rarity of a shingle: its occurrences in all documents. The rarest one of a window is its prefix.
+    known = bounded(shingles.select("hash").distinct())
+    rarity = _positions(worded, lengths).join(known, "hash").groupBy("hash").count()
+    ranked = shingles.join(rarity, "hash", "left").select("window", "offset", "hash", F.coalesce("count", F.lit(0)).alias("count"))
+    first = F.min_by(F.struct("hash", "offset"), F.struct("count", "offset"))
+    prefixes = ranked.groupBy("window").agg(first.alias("p")).select("window", F.col("p.hash").alias("hash"), F.col("p.offset").alias("offset"))
+    prefixes = written(prefixes, f"{folder}/prefixes")
+    # Every occurrence of a prefix, with the words around it that any of its windows can need, and a row per document.
+    probed = bounded(prefixes.select("hash").distinct().withColumn("known", F.lit(True)))
     around = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
-    found = _positions(worded, lengths).join(known, "hash", "left").where("at < 0 OR known")
+    found = _positions(worded, lengths).join(probed, "hash", "left").where("at < 0 OR known")
     found = found.select(
         *key,
         F.size("words").alias("n_words"),
@@ -109,11 +116,6 @@ def contamination(
         F.when(F.col("at") >= 0, F.slice("words", around + 1, 2 * WINDOW)).alias("near"),
     )
     found = written(found, f"{folder}/found")
-    # Rarity of a shingle: its occurrences in all documents. The rarest one of a window is its prefix.
-    rarity = found.where("at >= 0").groupBy("hash").count()
-    ranked = shingles.join(rarity, "hash", "left").select("window", "offset", "hash", F.coalesce("count", F.lit(0)).alias("count"))
-    first = F.min_by(F.struct("hash", "offset"), F.struct("count", "offset"))
-    prefixes = ranked.groupBy("window").agg(first.alias("p")).select("window", F.col("p.hash").alias("hash"), F.col("p.offset").alias("offset"))
 
     start, length = F.col("at") - F.col("offset"), F.size("window")
     placed = (start >= 0) & (start + length <= F.col("n_words"))
