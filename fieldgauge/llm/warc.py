@@ -2,7 +2,9 @@
 
 Layout of a file: a skippable frame with a dictionary trained on the file's first records, then one Zstandard frame per
 record, so a record can be read alone. Of equal payloads (SHA-1 and length) the one with the largest id is a response,
-the others are revisits that name it; only ids and digests are shuffled for that, joined back by digest.
+the others are revisits that name it. For that ids and digests are shuffled; the digests that occur more than once are joined back,
+broadcast while there are at most `BROADCAST_DIGESTS` of them, so that payloads stay where they are. Beyond that payloads are
+shuffled by digest.
 
 Tasks write files of about `archive_bytes` of payload under unique names and return what they wrote; the list is stored
 by Spark's committer, and only files on it are read. A lost or repeated task leaves a stray file and no wrong row. Reading
@@ -33,6 +35,8 @@ from .tables import workspace, written
 
 ARCHIVE_BYTES = 64 << 20
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 110 << 10
+# A broadcast row holds a digest, a size and an id: about 150 bytes in the hash table.
+BROADCAST_DIGESTS = 300_000
 # The skippable frame that holds a dictionary, and the profile of a revisit.
 DICTIONARY_FRAME = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -122,8 +126,9 @@ def write_archives(
         F.col(page_id).alias("id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")
     )
     same = rows.where(f"size >= {least_bytes}").groupBy("digest", "size").agg(F.max("id").alias("first"), F.count("*").alias("n"))
-    same = same.where("n > 1 AND first IS NOT NULL").drop("n")
-    linked = rows.join(same, ["digest", "size"], "left")
+    same = written(same.where("n > 1 AND first IS NOT NULL").drop("n"), f"{folder}/repeated")
+    few = same.count() <= BROADCAST_DIGESTS
+    linked = rows.join(F.broadcast(same) if few else same, ["digest", "size"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     linked = linked.select(F.col("id").cast("string"), "url", "payload", refers.cast("string").alias("refers_to"))
 
