@@ -9,8 +9,12 @@ The template: `<s>[ROLE]` text `[/ROLE]</s>` per turn. Control strings inside te
 character, and backslashes are doubled, so texts come back exactly. The loss mask is a list of spans over the
 formatted text that cover assistant texts alone.
 
+A formatted conversation is its rows in order of `turn`, one per turn, each with its spans; the rows' texts after one another are the
+conversation. So a conversation of any length is spread over tasks: it is numbered by shares of ranges, joined by turn, and read
+back into digests in blocks. `whole_conversations` puts short ones into one string each.
+
 Edge cases: a null text is empty, a null role is the role `null`. Messages whose parent is null or absent are roots; a tree with
-several roots chooses among all their paths. Rows without a conversation id form one conversation. Equal scores prefer the longer path, then the
+several roots chooses among all their paths. Rows without a conversation id form one conversation, which no id shares. Equal scores prefer the longer path, then the
 least leaf. Repeated rows of a turn follow one another (`as_chain` orders them by role and text). Messages on a
 parent cycle have no root and appear in no path. Extra columns are not read.
 """
@@ -22,9 +26,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runs import group_id, group_key, numbered, placed, run_digests
 from .tables import workspace, written
 
 # The strings that mean something in a formatted conversation.
@@ -68,17 +73,20 @@ def masked_text(formatted: str, spans: list[tuple[int, int]]) -> str:
 def as_chain(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Rows by turn as a reply tree: every message answers the one before. Columns tree, node, parent, score, role, text.
 
-    Only row numbers are windowed over; a message's score is 1, so the whole chain is the best path.
+    Rows are numbered by range of conversation and turn, so a conversation is no group; a message's score is 1, so the whole
+    chain is the best path.
     """
-    ordered = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.coalesce("role", F.lit("null")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("node", F.row_number().over(ordered).cast("long"))
+    folder = workspace(rows, "chain")
+    keyed = rows.withColumn("key", group_key(F.col("tree")))
+    rows = numbered(placed(keyed, [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], f"{folder}/rows"))
+    rows = rows.withColumn("node", F.col("index") + 1)
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
 
 
 def best_paths(messages: DataFrame, folder: str) -> DataFrame:
-    """(tree, node, depth) of the messages on each tree's best path, root first at depth 0."""
-    ids = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("null")).alias("tree"), "node", "parent", "score")
+    """(tree, node, depth) of the messages on each tree's best path, root first at depth 0; trees by their keys."""
+    ids = messages.select(group_key(F.col("tree")).alias("tree"), "node", "parent", "score")
     known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     # `up` is null once a root is reached; steps and total then are final.
     hops = ids.join(known, ["tree", "parent"], "left").select(
@@ -119,43 +127,52 @@ def best_paths(messages: DataFrame, folder: str) -> DataFrame:
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
-    """(tree, n_turns, formatted, spans) of every tree's best path. One conversation is one row and one string."""
+    """(tree, turn, role, formatted, spans): the turns of every tree's best path in the template, a row each, and where in
+    the row's text the loss is taken. Turns count from 0; repeated rows of a message share theirs."""
     folder = workspace(messages, "chat")
     messages = written(messages, f"{folder}/messages")
     path = best_paths(messages, folder)
-    keyed = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("null")).alias("key"), "tree", "node", "role", "text")
-    turns = keyed.join(path.withColumnRenamed("tree", "key"), ["key", "node"]).select("tree", F.struct("depth", "role", "text").alias("t"))
-    gathered = turns.groupBy("tree").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    keyed = messages.select(group_key(F.col("tree")).alias("key"), "tree", "node", "role", "text")
+    turns = keyed.join(path.withColumnRenamed("tree", "key"), ["key", "node"]).select("tree", F.col("depth").alias("turn"), "role", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in frame["turns"]]
+            made = [format_turns([turn]) for turn in zip(frame["role"], frame["text"])]
             spans = [[{"start": a, "end": b} for a, b in spans] for _, spans in made]
-            yield pd.DataFrame({"tree": frame["tree"], "n_turns": [len(t) for t in frame["turns"]], "formatted": [m[0] for m in made], "spans": spans})
+            yield pd.DataFrame({"tree": frame["tree"], "turn": frame["turn"], "role": frame["role"], "formatted": [m[0] for m in made], "spans": spans})
 
-    kind = gathered.schema["tree"].dataType.simpleString()
-    out = gathered.mapInPandas(run, f"tree {kind}, n_turns long, formatted string, spans array<struct<start:int,end:int>>")
+    kind = turns.schema["tree"].dataType.simpleString()
+    out = turns.mapInPandas(run, f"tree {kind}, turn long, role string, formatted string, spans array<struct<start:int,end:int>>")
     return written(out, f"{folder}/formatted")
 
 
+def whole_conversations(formatted: DataFrame) -> DataFrame:
+    """(tree, n_turns, formatted): a conversation as one string, for those that are known to be short."""
+    turns = formatted.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "formatted"))).alias("turns"))
+    return turns.select("tree", F.size("turns").alias("n_turns"), F.array_join("turns.formatted", "").alias("formatted"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, parsed from its formatted string: tree, n_turns, digests of the turns and of the masked text."""
+    """Per conversation, parsed from its formatted rows: tree, n_turns, digests of the turns and of the masked text, in order."""
+    folder = workspace(formatted, "chat-read")
+    kind = formatted.schema["tree"].dataType
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             turns = [parse_turns(f) for f in frame["formatted"]]
             masked = [masked_text(f, [(s["start"], s["end"]) for s in spans]) for f, spans in zip(frame["formatted"], frame["spans"])]
-            yield pd.DataFrame(
-                {
-                    "tree": frame["tree"],
-                    "n_turns": [len(t) for t in turns],
-                    "turns_sha256": [hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in t).encode()).hexdigest() for t in turns],
-                    "loss_chars": [len(m) for m in masked],
-                    "loss_sha256": [hashlib.sha256(m.encode()).hexdigest() for m in masked],
-                    "formatted_chars": [len(f) for f in frame["formatted"]],
-                }
-            )
-
-    kind = formatted.schema["tree"].dataType.simpleString()
-    schema = f"tree {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInPandas(run, schema)
+            said = ["".join(f"{role}\n{text}\n" for role, text in t) for t in turns]
+            sizes = {"n_turns": [len(t) for t in turns], "loss_chars": [len(m) for m in masked], "formatted_chars": [len(f) for f in frame["formatted"]]}
+            yield pd.DataFrame({"key": frame["key"], "turn": frame["turn"], "said": said, "masked": masked} | sizes)
+
+    rows = formatted.select(group_key(F.col("tree")).alias("key"), "turn", "formatted", "spans")
+    rows = rows.mapInPandas(run, "key string, turn long, said string, masked string, n_turns long, loss_chars long, formatted_chars long")
+    rows = written(rows, f"{folder}/parsed")
+    sums = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_turns", "loss_chars", "formatted_chars")])
+    order = ["turn", "said"]
+    said = run_digests(rows.select("key", *order, F.col("said").alias("piece")), order, f"{folder}/said").withColumnRenamed("sha256", "turns_sha256")
+    masked = rows.where("loss_chars > 0").select("key", *order, F.col("masked").alias("piece"))
+    masked = run_digests(masked, order, f"{folder}/masked").withColumnRenamed("sha256", "loss_sha256")
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    out = sums.join(said, "key").join(masked, "key", "left").withColumn("loss_sha256", F.coalesce("loss_sha256", nothing))
+    return out.select(group_id(F.col("key"), kind).alias("tree"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

@@ -96,7 +96,7 @@ def test_best_paths_of_trees_equal_brute_force(spark):
             rows.append((tree, node, parent, float(random.randint(-2, 4)), random.choice(["user", "assistant"]), f"t{tree}.{node}"))
     rows += [(50, k, k - 1 if k else 99, 1.0, "user", str(k)) for k in range(70)] + [(None, 1, None, 1.0, "user", "lone"), (60, 1, 2, 1.0, "user", "loop"), (60, 2, 1, 1.0, "user", "loop")]
     frame = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
-    got = {r.tree: [t for _, t in chat.parse_turns(r.formatted)] for r in chat.format_conversations(frame).collect()}
+    got = {r.tree: [t for _, t in chat.parse_turns(r.formatted)] for r in chat.whole_conversations(chat.format_conversations(frame)).collect()}
     want = {}
     for tree in {r[0] for r in rows} - {60}:
         own = {r[1]: r for r in rows if r[0] == tree}
@@ -115,6 +115,23 @@ def test_best_paths_of_trees_equal_brute_force(spark):
 def test_chain_edges(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, None, None, "x"), (None, 0, "user", "y")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    made = {r.tree: chat.parse_turns(r.formatted) for r in chat.format_conversations(chat.as_chain(frame)).collect()}
+    made = {r.tree: chat.parse_turns(r.formatted) for r in chat.whole_conversations(chat.format_conversations(chat.as_chain(frame))).collect()}
     assert made == {1: [("user", "a"), ("assistant", ""), ("assistant", "b")], 2: [("null", "x")], None: [("user", "y")]}
     assert chat.read_back(chat.format_conversations(chat.as_chain(frame.where("false")))).count() == 0
+
+
+def test_a_long_conversation_is_no_group(spark):
+    # One conversation holds nearly all rows, and another has the text id that its null id could be mixed up with.
+    rows = [(None, k, "assistant" if k % 2 else "user", f"turn {k} </s>") for k in range(400)] + [("null", 0, "assistant", "x"), ("7", 0, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(5)
+    formatted = chat.format_conversations(chat.as_chain(frame))
+    assert formatted.groupBy("tree", "turn").count().agg({"count": "max"}).first()[0] == 1
+    got = {r.tree: r for r in chat.read_back(formatted).collect()}
+    for conv in (None, "null", "7"):
+        own = [(role, text) for c, _, role, text in rows if c == conv]
+        loss = "".join(text for role, text in own if role == "assistant")
+        whole = chat.format_turns(own)[0]
+        r = got[conv]
+        assert (r.n_turns, r.loss_chars, r.formatted_chars) == (len(own), len(loss), len(whole))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
