@@ -8,7 +8,7 @@ A text gets the language that codes it in the fewest bits; the score is that lan
 
 Counting is one pass: tasks count four-byte windows per language and combine them before the shuffle. Every context and every
 label is kept, so the model, which the driver builds and each worker holds, takes four bytes for each different window and label.
-Classifying is map-only: gathers from tables built once per worker, and a binary search among the windows.
+Classifying is map-only: a binary search of each slice's different windows.
 
 Edge cases: null, empty and letterless texts are `und` with score 0, as is everything when nothing could be learned.
 Rows are judged one by one, so repeated rows and ids agree; ties go to the alphabetically first language. A null
@@ -150,43 +150,31 @@ def _model(languages: list[str], order2, order3) -> Model:
     return Model(languages, contexts, small(escape3), windows, small(bits3), trigrams, small(bits2), small(escape2), small(bits1))
 
 
-class _Tables:
-    """The model spread out for gathering; built once per worker."""
-
-    current: tuple[str, "_Tables"] | None = None
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.trigram = np.full(1 << 24, -1, np.int32)
-        self.trigram[model.trigrams] = np.arange(len(model.trigrams), dtype=np.int32)
-        self.context = np.full(1 << 24, -1, np.int32)
-        self.context[model.contexts] = np.arange(len(model.contexts), dtype=np.int32)
-        self.windows = model.windows.astype(np.uint32)
-
-    @classmethod
-    def of(cls, model: Model) -> "_Tables":
-        if cls.current is None or cls.current[0] != model.id:
-            cls.current = None
-            cls.current = (model.id, cls(model))
-        return cls.current[1]
-
-    def bits(self, windows: np.ndarray) -> np.ndarray:
-        m = self.model
-        node = self.context[windows >> np.uint32(8)]
-        different, back = np.unique(windows, return_inverse=True)
-        row = np.minimum(np.searchsorted(self.windows, different), len(self.windows) - 1)
-        row = np.where(self.windows[row] == different, row, -1)[back] if len(self.windows) else node
-        out = m.bits3[row] if len(m.bits3) else np.zeros((len(windows), len(m.languages)), np.float32)
-        rest = np.flatnonzero(row < 0)
-        if len(rest):
-            left, known = windows[rest], node[rest] >= 0
-            tri = self.trigram[left & np.uint32(0xFFFFFF)]
-            low = np.where(
-                (tri >= 0)[:, None], m.bits2[tri], m.escape2[(left >> np.uint32(8)) & np.uint32(0xFFFF)] + m.bits1[left & np.uint32(0xFFFF)]
-            )
-            low[known] += m.escape3[node[rest][known]]
-            out[rest] = low
-        return out
+def window_bits(m: Model, windows: np.ndarray) -> np.ndarray:
+    """Code length of each window's last byte under each language. Every different window is looked up once, by binary search in
+    the model's sorted arrays, so a worker holds the model and nothing beside it."""
+    different, back = np.unique(windows, return_inverse=True)
+    different = different.astype(np.int64)
+    out = np.zeros((len(different), len(m.languages)), np.float32)
+    row, seen = _place(m.windows, different)
+    out[seen] = m.bits3[row[seen]]
+    left = different[~seen]
+    if len(left):
+        node, known = _place(m.contexts, left >> 8)
+        tri, met = _place(m.trigrams, left & 0xFFFFFF)
+        low = m.escape2[(left >> 8) & 0xFFFF] + m.bits1[left & 0xFFFF]
+        low[met] = m.bits2[tri[met]]
+        low[known] += m.escape3[node[known]]
+        out[~seen] = low
+    return out[back]
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 def text_bits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -194,7 +182,7 @@ def text_bits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     full = np.flatnonzero(np.diff(offsets))
     if len(full) and len(model.languages):
-        bits = _Tables.of(model).bits(_windows(data, offsets))
+        bits = window_bits(model, _windows(data, offsets))
         for k in range(out.shape[1]):
             out[full, k] = np.add.reduceat(bits[:, k], offsets[full], dtype=np.float64)
     return out
@@ -216,13 +204,6 @@ def _judged(documents: DataFrame, model: Model, carry: dict[str, Column], text:
     width = len(model.languages)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from _rated(batches)
-        finally:
-            # A worker goes on to other stages; 128 MB of tables would stay with it.
-            _Tables.current = None
-
-    def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, UNKNOWN], object)
         for batch in batches:
             best, score, rate = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
