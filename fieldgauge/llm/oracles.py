@@ -1,5 +1,9 @@
 """DuckDB SQL of those queries that SQL can express over whole tables."""
 
+from .quality import STOP_WORDS
+
+_STOP_LIST = ", ".join(f"'{form}'" for w in STOP_WORDS for form in dict.fromkeys((w, w.capitalize(), w.upper())))
+
 ORACLES = {
     "op1_decontamination": r"""
 WITH d AS (
@@ -24,6 +28,26 @@ WITH d AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op10_quality_rules": rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+), r AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(lines) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations, len(list_filter(words, lambda x: x IN ({_STOP_LIST}))) AS n_stop_words
+  FROM w LEFT JOIN r USING (doc_id)
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 15.0 AND n_symbols / n_words <= 0.1::DOUBLE AND (n_words < 50 OR n_stop_words / n_words >= 0.01::DOUBLE)
+    AND (n_lines < 5 OR n_dup_lines / n_lines <= 0.3::DOUBLE) AND n_exclamations / n_words <= 0.3::DOUBLE AS kept
+FROM b
 """,
     # DuckDB has no base32: 5-bit groups of the hexadecimal digest are looked up in the alphabet.
     "op5_warc": r"""

@@ -4,6 +4,9 @@ Everything is built-in expressions on one row: no shuffle, no join, no user func
 later projections read the arrays. Repeated five-word windows are found by 64-bit fingerprints inside one text (for
 20,000 words a collision has a chance of 1 in 10^11); only texts with a repeat sort their fingerprints.
 
+The stop words are those of the languages in use. A long text in another language breaks that rule; give its words as `stop_words`,
+or thresholds without the rule.
+
 Edge cases: a null or empty text has no words, fails the base rules and gets zero counts. Rows are judged one by
 one, so repeated rows, null or equal ids give one verdict each. Columns of the input are kept by `keep_good` and
 are never read by name except for the text. An empty table gives an empty result.
@@ -28,18 +31,19 @@ STOP_WORDS = (
     "der die das und zu den von mit ist ein eine nicht ich sie es "
     "el los las y que del por con una se"
 ).split()
-# Sentence starts count too; naming both forms is cheaper than lower-casing every word.
-STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
 
 
 @dataclass(frozen=True)
 class Threshold:
-    """A document fails the rule if `measure` is below `low` or above `high`."""
+    """A document of at least `least_words` words and `least_lines` lines fails the rule if `measure` is below `low` or above `high`.
+    A few words or lines say nothing about a ratio: short clean texts may lack stop words or repeat a heading."""
 
     rule: str
     measure: str
     low: float | None = None
     high: float | None = None
+    least_words: int = 0
+    least_lines: int = 0
 
     def broken(self, measures: dict[str, Column]) -> Column:
         value, broken = measures[self.measure], F.lit(False)
@@ -47,17 +51,17 @@ class Threshold:
             broken = broken | (value < self.low)
         if self.high is not None:
             broken = broken | (value > self.high)
+        for count, least in (("n_words", self.least_words), ("n_lines", self.least_lines)):
+            if least:
+                broken = broken & (F.col(count) >= least)
         return broken
 
 
-# Stop-word and line ratios are taken of texts with at least so many words or lines.
-ENOUGH_WORDS, ENOUGH_LINES = 50, 5
-
 THRESHOLDS = (
     Threshold("word length", "mean_word_length", low=2.0, high=15.0),
     Threshold("symbols", "symbol_ratio", high=0.1),
-    Threshold("stop words", "stop_word_ratio", low=0.01),
-    Threshold("duplicate lines", "duplicate_line_ratio", high=0.3),
+    Threshold("stop words", "stop_word_ratio", low=0.01, least_words=50),
+    Threshold("duplicate lines", "duplicate_line_ratio", high=0.3, least_lines=5),
     Threshold("exclamation marks", "exclamation_ratio", high=0.3),
 )
 
@@ -85,8 +89,10 @@ def _repeated_words(hashes: Column) -> Column:
     return let(let(ordered, repeated_starts), covered)
 
 
-def measured(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Counts and ratios of every text, beside the carried columns in the struct `row`."""
+def measured(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Counts of every text, beside the carried columns in the struct `row`."""
+    # Sentence starts count too; naming all forms is cheaper than lower-casing every word.
+    stop_forms = sorted({form for w in stop_words for form in (w, w.capitalize(), w.upper())})
     value = F.coalesce(F.col("row")[text], F.lit(""))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text])]).alias("row"))
     split = rows.select(
@@ -106,7 +112,7 @@ def measured(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("
         F.char_length(F.regexp_replace(value, WHITE_SPACE, "")).alias("word_chars"),
         F.regexp_count(value, F.lit("[#*$%&|<>]")).alias("n_symbols"),
         F.regexp_count(value, F.lit("!")).alias("n_exclamations"),
-        F.size(F.filter(words, lambda w: w.isin(STOP_FORMS))).alias("n_stop_words"),
+        F.size(F.filter(words, lambda w: w.isin(stop_forms))).alias("n_stop_words"),
         F.when(F.size(words) > WINDOW, _shingle_hashes(words, F.size(words))).alias("hashes"),
     )
     n_words = F.col("n_words")
@@ -133,9 +139,8 @@ def verdict(thresholds: Sequence[Threshold] = THRESHOLDS) -> list[Column]:
     measures = {
         "mean_word_length": share(F.col("word_chars"), n_words),
         "symbol_ratio": share(F.col("n_symbols"), n_words),
-        # A few words or lines say nothing about a ratio: short clean texts may lack stop words or repeat a heading.
-        "stop_word_ratio": F.when(n_words >= ENOUGH_WORDS, share(F.col("n_stop_words"), n_words)).otherwise(1.0),
-        "duplicate_line_ratio": F.when(F.col("n_lines") >= ENOUGH_LINES, share(F.col("n_dup_lines"), F.col("n_lines"))).otherwise(0.0),
+        "stop_word_ratio": share(F.col("n_stop_words"), n_words),
+        "duplicate_line_ratio": share(F.col("n_dup_lines"), F.col("n_lines")),
         "exclamation_ratio": share(F.col("n_exclamations"), n_words),
     }
     base_failed = (n_words < 10) | (F.col("n_repeat_words") * 100 > n_words * 20)
@@ -151,13 +156,13 @@ def verdict(thresholds: Sequence[Threshold] = THRESHOLDS) -> list[Column]:
 
 
 def quality_report(
-    documents: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS, doc_id: str = "doc_id", text: str = "text", stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
     """Per document: id, the counts, the rules it breaks and whether it is kept."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return measured(documents, text, [doc_id]).select(F.col("row")[doc_id].alias(doc_id), *counts, *verdict(thresholds))
+    return measured(documents, text, [doc_id], stop_words).select(F.col("row")[doc_id].alias(doc_id), *counts, *verdict(thresholds))
 
 
-def keep_good(documents: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS, text: str = "text") -> DataFrame:
+def keep_good(documents: DataFrame, thresholds: Sequence[Threshold] = THRESHOLDS, text: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """The documents that pass, with their columns."""
-    return measured(documents, text, documents.columns).select("row", *verdict(thresholds)).where("kept").select("row.*")
+    return measured(documents, text, documents.columns, stop_words).select("row", *verdict(thresholds)).where("kept").select("row.*")
