@@ -44,7 +44,7 @@ from .fingerprints import slices
 from .tables import workspace, written
 
 HEAD, LEAST, LEAST_CLASSES = 65_536, 3, 64
-GROUPS, MOST_GROUPS, STILL = 2, 16, 0.01
+GROUPS, MOST_GROUPS, STILL = 2, 16, 0.05
 SHARD, CHUNK = 1 << 15, 1 << 14
 WEIGHT = 0.9
 LONGEST = 64
@@ -238,9 +238,9 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index, number: dict[bytes,
         unique, counts = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
         held.append((unique, counts))
         size += len(unique)
-        if size > 8 * FLUSH:
+        if size > 2 * FLUSH:
             unique, counts = merged()
-            if len(unique) > 4 * FLUSH:
+            if len(unique) > FLUSH:
                 yield rows(unique, counts, many)
                 held, size = [], 0
             else:
@@ -250,25 +250,41 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index, number: dict[bytes,
 
 
 LINKS = "w long, chunk long, chunks long, to array<long>, n array<long>"
+# As stored and read in every step: neighbours and counts as little-endian 64-bit numbers, which the JVM passes on as they are.
+STORED_LINKS = "w long, chunk long, chunks long, to binary, n binary"
 
 
-def _links_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the rows, and the words, neighbours and counts of all links."""
-    to, n = batch.column("to"), batch.column("n")
-    offsets = to.offsets.to_numpy().astype(np.int64)
-    w = np.repeat(batch.column("w").to_numpy(), np.diff(offsets))
-    return offsets - offsets[0], w, to.flatten().to_numpy(), n.flatten().to_numpy()
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as bytes."""
+    buffers = [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(values.astype("<i8"))]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the rows, from 0, and all their numbers."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    data = column.buffers()[2]
+    numbers = np.frombuffer(data, "<i8", int(ends[-1])) if data is not None else np.zeros(0, np.int64)
+    return ends - ends[0], numbers[ends[0] :]
+
+
+def _links_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, neighbours and counts of all links of stored rows."""
+    offsets, to = _unpacked(batch.column("to"))
+    return np.repeat(batch.column("w").to_numpy(), np.diff(offsets)), to, _unpacked(batch.column("n"))[1]
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every neighbour of a row once."""
+    """Every neighbour of a row once, as stored."""
     for batch in batches:
-        offsets, _, to, n = _links_of(batch)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        keys, counts = _flat(row << 40 | to, n)
-        ends = pa.array(np.searchsorted(keys, np.arange(batch.num_rows + 1) << 40), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys & ((1 << 40) - 1), counts)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["w", "chunk", "chunks", "to", "n"])
+        to, n = batch.column("to"), batch.column("n")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(to.offsets.to_numpy()))
+        keys, counts = _flat(row << 40 | to.flatten().to_numpy(), n.flatten().to_numpy())
+        ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) << 40)
+        packed = [_packed(x, ends) for x in (keys & ((1 << 40) - 1), counts)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed], names=["w", "chunk", "chunks", "to", "n"])
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -346,7 +362,7 @@ def _matrix(links: DataFrame, index: Index, steps: list[int], classes: int) -> n
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = index.classes(steps, classes).astype(np.int64), np.zeros(width * width)
         for batch in batches:
-            _, w, to, n = _links_of(batch)
+            w, to, n = _links_of(batch)
             # A pair is counted where its first word is, or, if that has no row, where its second is.
             use = (to % 2 == 0) | (to >= 2 * size)
             w, to, n = w[use], to[use], n[use]
@@ -367,7 +383,7 @@ def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix:
 
     def met(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the batch's words meet: the word, a class after it or (width +) before it, and how often, in order, each once."""
-        _, words, to, n = _links_of(batch)
+        words, to, n = _links_of(batch)
         at = (to % 2) * width + index.classes(steps, classes)[to >> 1]
         keys, counts = _flat(words * (2 * width) + at, n)
         return keys // (2 * width), keys % (2 * width), counts
@@ -481,7 +497,7 @@ def train(
     numbers = index.find(words)[0]
     shared = documents.sparkSession.sparkContext.broadcast(dict(zip(words, numbers.tolist())))
     links = texts.mapInArrow(lambda it: _links(it, index, shared.value), LINKS).groupBy("w", "chunk", "chunks").agg(F.collect_list(F.struct("to", "n")).alias("parts"))
-    links = links.select("w", "chunk", "chunks", F.flatten("parts.to").alias("to"), F.flatten("parts.n").alias("n")).mapInArrow(_merged, LINKS)
+    links = links.select("w", "chunk", "chunks", F.flatten("parts.to").alias("to"), F.flatten("parts.n").alias("n")).mapInArrow(_merged, STORED_LINKS)
     links = written(links, f"{folder}/links")
     steps, matrix = cluster(links, index, classes, rounds)
 
