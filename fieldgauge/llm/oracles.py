@@ -2,6 +2,77 @@
 
 from .quality import STOP_WORDS
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text: DuckDB has none, so its bits are folded one by one, each byte (0 or more) before eight shifts (-1)."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({text}, ''),
+    lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+
+def _edited(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A path (k: six digits of cost and the audit, l: its lines) with one more edit; '~' is no path."""
+    lines = f"{state}.l" if line is None else f"{state}.l || chr(10) || {line}"
+    return f"CASE WHEN {state}.k = '~' THEN {state} ELSE {{'k': lpad(CAST(CAST(left({state}.k, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || substr({state}.k, 7) || '{letter}', 'l': {lines}}} END"
+
+
+def _least(*paths: str) -> str:
+    return f"list_min([{', '.join(paths)}])"
+
+
+def _inserted(state: str, role: str) -> str:
+    return _edited(state, "3", "I", f"'{role}:'")
+
+
+def _changed(state: str, initial: str, role: str) -> list[str]:
+    """A row kept, if its initial fits, or given another role."""
+    stays = "fault NOT IN ('blank', 'duplicate')"
+    extra = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    kept = f"CASE WHEN {stays} AND left(role, 1) = '{initial}' THEN {_edited(state, extra, 'K', "role || ':' || text")} ELSE nil END"
+    if initial == "s":
+        return [kept]
+    return [kept, f"CASE WHEN {stays} THEN {_edited(state, f'3 + {extra}', 'R', f"'{role}:' || text")} ELSE nil END"]
+
+
+# A conversation's rows are followed one by one; a state keeps its best path as (cost and audit, lines).
+_REPAIR = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS damage FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE damage <> 0
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    i > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM o
+), c AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM f GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'k': '000000', 'l': ''}} AS s0, {{'k': '~', 'l': ''}} AS s1, {{'k': '~', 'l': ''}} AS s2, {{'k': '~', 'l': ''}} AS s3 FROM c
+  UNION ALL
+  SELECT conv_id, i, {_edited("s0", "4", "D")}, {_least(_edited("s1", "4", "D"), *_changed("s0", "s", "system"))},
+    {_least(_edited("g2", "4", "D"), *[p for state in ("s0", "s1", "g3") for p in _changed(state, "u", "user")])},
+    {_least(_edited("g3", "4", "D"), *_changed("g2", "a", "assistant"))}
+  FROM (
+    SELECT *, {_least("a2", _inserted("a3", "user"))} AS g2, {_least("a3", _inserted("a2", "assistant"))} AS g3 FROM (
+      SELECT f.conv_id, f.i, f.role, f.text, f.fault, s0, s1, {{'k': '~', 'l': ''}} AS nil,
+        {_least("s2", *[_inserted(x, "user") for x in ("s0", "s1", "s3")])} AS a2, {_least("s3", _inserted("s2", "assistant"))} AS a3
+      FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1))
+), e AS (
+  SELECT c.*, {_least("s0", "s3", _inserted("s2", "assistant"), "two")} AS best
+  FROM (SELECT *, {_edited(f"({_inserted('s1', 'user')})", "3", "I", "'assistant:'")} AS two FROM dp) AS dp JOIN c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.i
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(best.k, 6) AS BIGINT), 0) AS cost, coalesce(substr(best.k, 7), '') AS audit, sha256(coalesce(substr(best.l, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
 _STOP_LIST = ", ".join(f"'{form}'" for w in STOP_WORDS for form in dict.fromkeys((w, w.capitalize(), w.upper())))
 
 ORACLES = {
@@ -89,17 +160,15 @@ WITH p AS (
 )
 SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND k = 1
 """,
-    # DuckDB has no CRC-32: its bits are folded one by one, each byte (0 or more) before eight shifts (-1).
-    "op12_prefix_trie": r"""
+    "op11_conversation_repair": _REPAIR,
+    "op12_prefix_trie": rf"""
 WITH t AS (
-  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
   FROM conversations WHERE conv_id IS NOT NULL
 ), o AS (SELECT conv_id, list(said ORDER BY i) AS turns FROM t GROUP BY conv_id
 ), c AS (
-  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
-    lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) % 9 AS h FROM o
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM o
 ), r AS (
   SELECT c.conv_id, list_concat(coalesce(b.turns, [])[:c.h], c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN o AS b ON b.conv_id = c.base
 ), p AS (SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r
