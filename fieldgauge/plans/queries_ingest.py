@@ -157,6 +157,7 @@ QUERIES = {
 
 # -- SQL ----------------------------------------------------------------------------------
 
+# The units, bounds and exact messages that the SQL checks.
 RAW = """
 typed AS (
   SELECT *, CAST(round(value * 100) AS BIGINT) AS cents,

@@ -207,6 +207,7 @@ LOG = """log AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, seq DESC) AS rn FROM log)"""
 VERSIONS = "SELECT o_custkey AS name, o_orderkey AS version, o_orderpriority AS comment, o_orderstatus FROM orders"
 
+# Status words, prefixes and check names of the audit.
 ORACLES = {
     "files_per_status": f"WITH {FILES}\nSELECT status, count(*) AS files FROM files GROUP BY status",
     "measurements_per_type": """

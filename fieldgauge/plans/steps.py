@@ -170,6 +170,7 @@ def definition_errors(definitions: DataFrame) -> DataFrame:
         | (F.coalesce(step["timeoutSeconds"], F.lit(120)) <= 0)
         | (F.coalesce(step["heartbeatTimeoutSeconds"], F.lit(20)) < 0)
     )
+    # The three error texts.
     found = F.array(
         F.when(F.col("position").isNull(), F.lit("A pipeline needs at least one step")),
         F.when(

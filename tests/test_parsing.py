@@ -14,6 +14,8 @@ HEADER = "sensor_id,sensor_type,timestamp,value,unit\n"
 AS_OF = "2030-01-01"
 
 
+# Fixed values in the tests below: golden readings and exact messages.
+
 def files_of(spark, **contents):
     rows = [(name.replace("__", "."), bytearray(c if isinstance(c, bytes) else c.encode())) for name, c in contents.items()]
     return spark.createDataFrame(rows, "file_key string, content binary").select(
