@@ -123,8 +123,9 @@ def assign_batches(
     return batched.where(F.col("batch_number") <= max_batches) if max_batches > 0 else batched
 
 
-def batch_ranges(batched: DataFrame) -> DataFrame:
-    """First id, last id and count of each batch, and the rows processed once it is done.
+def batch_ranges(batched: DataFrame, failed: Column | None = None) -> DataFrame:
+    """First id, last id and count of each batch, and the rows processed once it is done; with `failed`, a condition on rows, also
+    whether it holds for any.
 
     The last row's number is that running total, so no batch has to look at earlier ones.
     """
@@ -133,4 +134,5 @@ def batch_ranges(batched: DataFrame) -> DataFrame:
         F.max("id").alias("last_id"),
         F.count(F.lit(1)).alias("count"),
         F.max("row_number").alias("processed"),
+        *([F.coalesce(F.bool_or(failed), F.lit(False)).alias("failed")] if failed is not None else []),
     )

@@ -9,6 +9,7 @@ from ..functions.catalog import type_names
 from ..functions.numbers import mean4
 from ..functions.text import job_key
 from ..functions.thresholds import CATEGORIES, PARAMETER_PREFIX, category, parse_thresholds, with_thresholds
+from .batches import uncategorized
 
 MEASUREMENT_STATE = ["category", "categorized_at", "categorized_by_job"]
 
@@ -70,6 +71,16 @@ def apply_categories(measurements: DataFrame, staged: DataFrame, job: Column, as
     )
 
 
+def categorize_in_place(measurements: DataFrame, parameters: dict[str, str] | None, job: Column, as_of: Column) -> DataFrame:
+    """The measurements with those a job may take categorized and stamped, in one pass: a type's thresholds do not depend on batches,
+    so nothing is staged and joined back."""
+    hit = uncategorized(job)
+    leveled = with_thresholds(measurements, parameters)
+    named = category(F.col("value"), F.col("low"), F.col("high"), F.col("critical"))
+    updates = {"category": named, "categorized_at": as_of, "categorized_by_job": job}
+    return leveled.select(*[c for c in measurements.columns if c not in updates], *[F.when(hit, new).otherwise(F.col(name)).alias(name) for name, new in updates.items()])
+
+
 def staged_rows(staged: DataFrame, measurements: DataFrame) -> DataFrame:
     """Staged categories joined back to their measurements by id."""
     return staged.select("id", "category", "batch_number").join(measurements.select("id", "sensor_type", "sensor_id", "value"), "id")
@@ -97,11 +108,12 @@ def histogram_map(histogram: DataFrame, keys: tuple[str, ...] = ("sensor_type",)
 
 
 def job_totals(ranges: DataFrame, base: Column | str, failed: DataFrame | None = None) -> DataFrame:
-    """Processed rows, batches and failed batches per job, from the batch ranges."""
-    marked = ranges.withColumn("_failed", F.lit(False))
+    """Processed rows, batches and failed batches per job, from the batch ranges. Which batches failed is a column `failed` of theirs,
+    or a table of its own."""
+    marked = ranges.withColumn("_failed", F.col("failed") if "failed" in ranges.columns else F.lit(False))
     if failed is not None:
         marks = failed.select("sensor_type", "batch_number").distinct().withColumn("_mark", F.lit(True))
-        marked = ranges.join(marks, ["sensor_type", "batch_number"], "left").withColumn("_failed", F.coalesce("_mark", F.lit(False)))
+        marked = marked.join(marks, ["sensor_type", "batch_number"], "left").withColumn("_failed", F.coalesce("_mark", "_failed"))
     totals = marked.groupBy("sensor_type").agg(
         F.sum("count").alias("processed"),
         F.count(F.lit(1)).alias("batches"),

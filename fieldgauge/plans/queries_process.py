@@ -12,8 +12,8 @@ from ..functions.times import instant
 from ..operators.batches import assign_batches, batch_ranges, eligible, fetch_page
 from ..operators.reports import job_view, list_jobs, list_results
 from ..operators.results import (
-    apply_categories,
     categorize,
+    categorize_in_place,
     category_histogram,
     histogram_map,
     job_progress,
@@ -86,8 +86,7 @@ def updated_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories written back over measurements that partly had one before."""
     known = standins.known_measurements(spark, sf_dir, BASE).withColumn("categorized_at", F.lit(None).cast("timestamp"))
     job = job_key(BASE, F.col("sensor_type"))
-    staged = categorize(assign_batches(known, BATCH, job=job), THRESHOLDS)
-    updated = apply_categories(known, staged, job, instant(standins.AS_OF))
+    updated = categorize_in_place(known, THRESHOLDS, job, instant(standins.AS_OF))
     return updated.select("id", "sensor_type", "category", "categorized_by_job", F.col("categorized_at").isNotNull().alias("updated"))
 
 
@@ -117,8 +116,7 @@ def merged_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job totals, with the batches that hold a peak value counted as failed."""
     batched = assign_batches(standins.measurements(spark, sf_dir), BATCH)
-    failed = batched.where(F.col("value") > 300).select("sensor_type", "batch_number")
-    return job_totals(batch_ranges(batched), BASE, failed)
+    return job_totals(batch_ranges(batched, F.col("value") > 300), BASE)
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:

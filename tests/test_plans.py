@@ -82,3 +82,11 @@ def test_spans_and_bins_are_bounded(spark):
     keyed = close.selectExpr("g", "'p50' AS _name", "x AS _x", "1L AS _n", "25000L AS _rest", "1.0D AS _lo", "1.0D + 49999 / 5.0e10D AS _hi")
     once = _narrowed(keyed, ["g", "_name"], "_step1")
     assert once.count() < 5
+
+
+def test_updates_and_totals_read_their_rows_once(spark):
+    updated = physical(registry.QUERIES["updated_measurements"](spark, SF))
+    assert len(re.findall("Scan parquet", updated)) == 1 and "Exchange hashpartitioning" not in updated
+    totals = physical(registry.QUERIES["job_totals"](spark, SF))
+    # One numbering: the rows, and the counts of their slices.
+    assert len(re.findall("Window \\[row_number", totals)) == 1
