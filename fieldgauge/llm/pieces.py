@@ -32,9 +32,10 @@ from .fingerprints import slices
 from .shipping import ship
 
 SPACE = "▁"
-# Characters indexed at once, and words kept per worker.
+# Characters indexed at once.
 INDEX_CHARS = 400_000
-CACHED_WORDS = 600_000
+# When so many words are known, they are kept for one more turn, in which those that occur again go on.
+CACHED_WORDS = 200_000
 # Longer words are relaxed alone.
 LONG_WORD = 96
 END = 0x110000
@@ -90,8 +91,9 @@ class Vocabulary:
         self.table = np.zeros((len(usable), self.longest), np.int64)
         for row, k in enumerate(usable):
             self.table[row, : self.lengths[row]] = [ord(c) + 1 for c in texts[k]]
-        # word -> its piece ids as little-endian 32-bit numbers
+        # word -> its piece ids as little-endian 32-bit numbers; those of this turn and of the one before
         self.words: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -228,10 +230,16 @@ def split_pieces(text: str) -> list[str]:
 def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[np.ndarray]:
     """Piece ids of each text; new words are encoded in groups of bounded size."""
     split = [split_pieces(t) if t else [] for t in texts]
-    cache = vocabulary.words
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    new = list({w: None for words in split for w in words if w not in cache})
+    if len(vocabulary.words) > CACHED_WORDS:
+        vocabulary.earlier, vocabulary.words = vocabulary.words, {}
+    cache, earlier = vocabulary.words, vocabulary.earlier
+    new = []
+    for word in {w: None for words in split for w in words if w not in cache}:
+        known = earlier.get(word)
+        if known is None:
+            new.append(word)
+        else:
+            cache[word] = known
     done = 0
     while done < len(new):
         size, upto = 0, done
@@ -263,7 +271,7 @@ def encode_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_i
         vocabulary = Vocabulary.load(model_path)
         for batch in batches:
             # Slices of bounded size, so that the words and ids of many long texts are not all held at once.
-            for first, last, *_ in slices(batch.column(1), 4 << 20):
+            for first, last, *_ in slices(batch.column(1)):
                 part = batch.slice(first, last - first)
                 texts = part.column(1).to_pylist()
                 counts, ids, of_ids, of_text, exact = [], [], [], [], []
