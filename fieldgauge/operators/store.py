@@ -18,7 +18,6 @@ import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,13 +115,16 @@ class SensorStore:
 
     def _read(self, table: str, schema: str, below: str = "") -> DataFrame:
         """A table, or only the folders below it that match; an absent one is empty."""
-        try:
-            reader = self.spark.read.schema(schema).option("basePath", self.path(table))
-            return reader.parquet(f"{self.path(table)}/{below}".rstrip("/"))
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
+        place = f"{self.path(table)}/{below}".rstrip("/")
+        if not self._exists(place):
             return empty_table(self.spark, schema)
+        return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(place)
+
+    def _exists(self, pattern: str) -> bool:
+        """Whether any folder has such a name."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return found is not None and len(found) > 0
 
     @staticmethod
     def _write(rows: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
