@@ -167,11 +167,11 @@ def reingested_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first keys of a store asked for again, every seventh file of which is gone: outcomes and live rows."""
     store, inbox = _store(spark), drop_folder(spark, sf_dir)
     ingest_folder(store, inbox, "first", as_of=AS_OF, key_of=folder_key)
-    listed = folder_files(spark, inbox, folder_key).select("path", F.substring("file_key", 6, 6).cast("int").alias("no")).orderBy("path").limit(ASKED_FILES)
+    listed = folder_files(spark, inbox, folder_key).select("path", "file_key", F.substring("file_key", 6, 6).cast("int").alias("no")).orderBy("file_key").limit(ASKED_FILES)
     # A file is gone when no file has its name, and a name nobody ever had is asked for beside it.
     there = listed.select("path").where("no % 7 <> 0").collect()
-    gone = listed.select(F.regexp_replace("path", r"file_key=([^/]+)/.*$", "file_key=lost-$1/part.txt").alias("path")).where("no % 7 = 0").collect()
-    gone += listed.select(F.regexp_replace("path", r"/[^/]+$", "/gone.txt").alias("path")).where("no % 7 = 0").collect()
+    gone = listed.select(F.regexp_replace("path", r"/([^/]+)$", "/lost-$1").alias("path")).where("no % 7 = 0").collect()
+    gone += listed.select(F.regexp_replace("path", r"/([^/]+)$", "/gone/$1").alias("path")).where("no % 7 = 0").collect()
     files, missing, _ = named_files(spark, inbox, sorted(r["path"] for r in there + gone), folder_key)
     ingest_load(store, files, "second", as_of=AS_OF, missing=missing)
     return _live_rows(store).select(F.col("key").alias("file_key"), "status", "attempts", "live_rows")

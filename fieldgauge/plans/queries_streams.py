@@ -24,16 +24,41 @@ AS_OF = datetime(2030, 1, 1, tzinfo=timezone.utc)
 
 
 def folder_key(path: Column) -> Column:
-    """Spark writes a folder per file name; the name is the key."""
-    return F.regexp_extract(path, "file_key=([^/]+)/", 1)
+    """The file's name is the key; the folders above it only keep listings short."""
+    return F.substring_index(path, "/", -1)
 
 
 def drop_folder(spark: SparkSession, sf_dir: str, only: Column | None = None) -> str:
-    """The stand-in files, or some of them, written to a fresh inbox; each ends with one more line break."""
+    """The stand-in files, or some of them, put into a fresh inbox; each ends with one more line break.
+
+    Spark's writers name files and folders themselves, so tasks put the files under their names: a thousand to a folder, each written
+    beside its place and moved, so that a repeated task replaces it.
+    """
     inbox = scratch_path(spark, "inbox")
     files = standins.sensor_files(spark, sf_dir)
     files = files if only is None else files.where(only)
-    files.select("file_key", F.col("content").cast("string").alias("value")).write.partitionBy("file_key").text(inbox)
+
+    def put(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(inbox if ":" in inbox.split("/")[0] else f"file://{inbox}")
+        folders = set()
+        for batch in batches:
+            for key, content in zip(batch["file_key"].to_pylist(), batch["content"].to_pylist()):
+                folder = f"{root}/{key.rsplit('.', 1)[0][:-3]}"
+                if folder not in folders:
+                    where.create_dir(folder)
+                    folders.add(folder)
+                beside = f"{folder}/.tmp-{uuid.uuid4().hex}"
+                with where.open_output_stream(beside, compression=None) as out:
+                    out.write(content + b"\n")
+                where.move(beside, f"{folder}/{key}")
+            yield pa.record_batch({"files": [batch.num_rows]}, pa.schema([("files", pa.int64())]))
+
+    files.select("file_key", "content").mapInArrow(put, "files bigint").write.format("noop").mode("overwrite").save()
     return inbox
 
 
