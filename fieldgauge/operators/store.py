@@ -154,7 +154,7 @@ class SensorStore:
         own = self._own_claims(source).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
         folded = self._sources().where(F.col("source") == source).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
         claim = Claim(source, self.next_load(), max(own, folded) + 1, uuid.uuid4().hex)
-        mark = self.spark.range(1).select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("path"))
+        mark = self.spark.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("path"))
         rows = claim_events(keys.select("key", "path").unionByName(mark), F.lit(source), as_of)
         rows = rows.withColumns({"attempt": F.lit(claim.attempt), "token": F.lit(claim.token)})
         self._write(rows, f"{self.path('claims')}/source={folder_value(source)}/load={claim.load}")
@@ -249,7 +249,7 @@ class SensorStore:
         if newest is not None and newest != claim.load:
             raise LateWriter(f"attempt {claim.attempt} at {claim.source}: load {newest} was claimed after load {claim.load}")
         mark = empty_table(self.spark, LEDGER_SCHEMA).drop("load", "source")
-        mark = mark.unionByName(self.spark.range(1).select(F.lit(last_id).cast("bigint").alias("last_id")), allowMissingColumns=True)
+        mark = mark.unionByName(self.spark.range(0, 1, 1, 1).select(F.lit(last_id).cast("bigint").alias("last_id")), allowMissingColumns=True)
         rows = events.unionByName(mark, allowMissingColumns=True).withColumn("token", F.lit(claim.token))
         self._write(rows, f"{self.path('ledger')}/source={folder_value(claim.source)}/load={claim.load}")
         if last_id is not None:
@@ -321,7 +321,7 @@ class SensorStore:
     def write_scan(self, source: str, as_of: Column, counts: dict[str, int], swept: bool) -> None:
         """Log one scan; a repeated micro-batch replaces its row."""
         names = ["listed", "dispatched", "already_running", "throttled", "missing", "re_dispatched"]
-        row = self.spark.range(1).select(as_of.cast("timestamp").alias("at"), *[F.lit(counts.get(n, 0)).cast("bigint").alias(n) for n in names], F.lit(swept).alias("swept"))
+        row = self.spark.range(0, 1, 1, 1).select(as_of.cast("timestamp").alias("at"), *[F.lit(counts.get(n, 0)).cast("bigint").alias(n) for n in names], F.lit(swept).alias("swept"))
         self._write(row, f"{self.path('scans')}/source={folder_value(source)}")
 
     # -- jobs -----------------------------------------------------------------

@@ -16,7 +16,7 @@ from ..operators.rules import valid_readings, validate_rows
 from ..operators.store import SensorStore
 from ..operators.verdicts import file_profile, open_verdict, with_status
 from ..sources.drop_files import MAX_BYTES, as_files, fetch, parse_rows
-from ..sources.listing import empty_objects, existing_paths, key_under, scan_folder
+from ..sources.listing import empty_objects, existing_paths, few_listing_tasks, file_count, key_under, parts_of, scan_folder
 from ..sources.normalized import read_normalized, write_normalized
 from .steps import FILE_INGESTION, Definition, run_steps
 
@@ -123,9 +123,21 @@ def empty_files(scan: DataFrame, root: str, key_of: KeyOf = None) -> DataFrame:
 
 
 def folder_files(spark: SparkSession, folder: str, key_of: KeyOf = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
-    """Every file below a folder, empty ones too."""
-    scan = scan_folder(spark, folder)
-    return as_files(scan, folder, key_of, max_bytes).unionByName(empty_files(scan, folder, key_of))
+    """Every file below a folder, empty ones too.
+
+    Their sizes are asked once, so that what reads them has few tasks, and no second scan for large or empty files where there are none.
+    """
+    return sized_files(scan_folder(spark, folder), folder, key_of, max_bytes)
+
+
+def sized_files(scan: DataFrame, root: str, key_of: KeyOf, max_bytes: int | None) -> DataFrame:
+    spark, listed = scan.sparkSession, file_count(scan)
+    lengths = scan.select("length").coalesce(parts_of(spark, listed, 0))
+    zero = F.lit(0)
+    found = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), zero).alias("size"), F.coalesce(F.max("length"), zero).alias("most")).first()
+    limit = max_bytes if max_bytes is not None and found["most"] > max_bytes else None
+    files = as_files(scan, root, key_of, limit, parts_of(spark, listed, found["size"]))
+    return files if found["n"] == listed else files.unionByName(empty_files(scan, root, key_of))
 
 
 def literal(path: str) -> str:
@@ -135,7 +147,8 @@ def literal(path: str) -> str:
 def named_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The files of a claim: its paths are at most one load's. Names are taken literally; a file that goes in the meantime is left out."""
     reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-    return reader.load([literal(path) for path in paths])
+    with few_listing_tasks(spark):
+        return reader.load([literal(path) for path in paths])
 
 
 def named_files(spark: SparkSession, root: str, paths: list[str], key_of: KeyOf = None, max_bytes: int | None = MAX_BYTES) -> tuple[DataFrame, DataFrame, int]:
@@ -147,9 +160,7 @@ def named_files(spark: SparkSession, root: str, paths: list[str], key_of: KeyOf
     missing = gone.select((key_of(key) if key_of else key).alias("key"))
     if not there:
         return no_files(spark), missing, len(paths)
-    scan = named_scan(spark, there)
-    files = as_files(scan, root, key_of, max_bytes).unionByName(empty_files(scan, root, key_of))
-    return files, missing, len(paths) - len(there)
+    return sized_files(named_scan(spark, there), root, key_of, max_bytes), missing, len(paths) - len(there)
 
 
 def no_files(spark: SparkSession) -> DataFrame:

@@ -28,17 +28,20 @@ def detect_format(key: Column) -> Column:
     return F.when(extension == ".csv", "csv").when(extension == ".json", "json").otherwise("unknown")
 
 
-def as_files(scan: DataFrame, root: str, key_of: Callable[[Column], Column] | None = None, max_bytes: int | None = None) -> DataFrame:
+def as_files(scan: DataFrame, root: str, key_of: Callable[[Column], Column] | None = None, max_bytes: int | None = None, parts: int | None = None) -> DataFrame:
     """A binaryFile scan as (file_key, size_bytes, last_modified, content, path), keys relative to root.
 
     Files over max_bytes come without content: the limit is pushed to the scan, which then
     does not open them. key_of turns the relative path into the key where they differ, as
-    where a writer makes a folder per object.
+    where a writer makes a folder per object. A scan takes at most `parts` tasks.
     """
+    fewer = lambda rows: rows if parts is None else rows.coalesce(parts)
     columns = ["path", "modificationTime", "length"]
     if max_bytes is not None:
         large = scan.where(F.col("length") > max_bytes).select(*columns, F.lit(None).cast("binary").alias("content"))
-        scan = scan.where(F.col("length") <= max_bytes).select(*columns, "content").unionByName(large)
+        scan = fewer(scan.where(F.col("length") <= max_bytes).select(*columns, "content")).unionByName(fewer(large))
+    else:
+        scan = fewer(scan)
     files = scan.select(
         key_under(root, F.col("path")).alias("key"),
         F.col("length").alias("size_bytes"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.catalog import fixed_table
 from ..functions.text import LIFECYCLE_PREFIXES, lifecycle_prefix
 
+# Files and bytes of content of one task, and what opening a file counts as.
+PART_FILES = 32
+PART_BYTES = 128 << 20
+FILE_BYTES = 64 << 10
 TEMPORARY_PREFIX = ".tmp-"
 ERROR_REPORT_SUFFIX = ".error.json"
 
@@ -27,12 +33,19 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
+def file_count(scan: DataFrame) -> int:
+    """Files the scan's index holds, empty ones too; the paths stay where they are."""
+    return len(scan._jdf.inputFiles())
+
+
 def list_objects(spark: SparkSession, root: str, prefix: str = "", exclude_suffix: str | None = None) -> DataFrame:
     """(key, size, last_modified) of the objects below root; content is never read.
 
     Objects of zero bytes do not come out of Spark's scan, see empty_objects.
     """
-    listing = scan_folder(spark, root).select(
+    scan = scan_folder(spark, root)
+    # No content is read, so only the number of files counts.
+    listing = scan.coalesce(parts_of(spark, file_count(scan), 0)).select(
         key_under(root, F.col("path")).alias("key"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("last_modified"),
@@ -64,13 +77,34 @@ def empty_objects(scan: DataFrame, root: str) -> DataFrame:
 def existing_paths(spark: SparkSession, paths: list[str]) -> set[str]:
     """Those of a load's paths that name a file, asked of the file system one by one, a few at a time."""
     configuration, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-
-    def there(path: str) -> bool:
-        place = Path(path)
-        return place.getFileSystem(configuration).exists(place)
-
-    with ThreadPoolExecutor(16) as pool:
-        return {path for path, found in zip(paths, pool.map(there, paths)) if found}
+    if not paths:
+        return set()
+    # An inbox is on one file system.
+    system = Path(paths[0]).getFileSystem(configuration)
+    with ThreadPoolExecutor(4) as pool:
+        return {path for path, found in zip(paths, pool.map(lambda path: system.exists(Path(path)), paths)) if found}
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Names given to a reader in here are looked up by a task per core; Spark would make a task of every name."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def parts_of(spark: SparkSession, files: int, size: int) -> int:
+    """Tasks for so many files: all cores are busy where there are PART_FILES a task, and a task has at most some 2,000 small files or
+    PART_BYTES of content.
+
+    Left alone, Spark counts every small file as 4 MB and makes a task, and later a part of every table, of 32 of them.
+    """
+    busy = min(spark.sparkContext.defaultParallelism, -(-files // PART_FILES))
+    return max(1, busy, -(-(size + files * FILE_BYTES) // PART_BYTES))
 
 
 def count_by_prefix(listing: DataFrame, file_prefix: str = "") -> DataFrame:

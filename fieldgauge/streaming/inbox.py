@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import SensorStore
+from ..sources.listing import few_listing_tasks
 from ..functions.times import minutes_before
 from ..plans.ingest import KeyOf, ingest_load, literal, named_files, size_limit, sweep
 from ..plans.steps import FILE_INGESTION, Definition
@@ -112,16 +113,13 @@ def ingest_stream(
         gone = 0
         if paths and not store.committed(source):
             files, missing, gone = named_files(spark, inbox, paths, key_of, size_limit(current))
-            ingest_load(store, files, source, current, now, missing)
+            ingest_load(store, files, source, current, now, missing if gone else None)
         store.write_scan(source, F.lit(now), {"listed": len(paths), "dispatched": len(paths) - gone, "missing": gone, "re_dispatched": taken}, swept)
 
-    return (
-        inbox_stream(spark, inbox, max_files, archive)
-        .writeStream.foreachBatch(load_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger_of(interval_seconds))
-        .start()
-    )
+    stream = inbox_stream(spark, inbox, max_files, archive).writeStream.foreachBatch(load_batch)
+    # The stream goes on with the settings it is started with.
+    with few_listing_tasks(spark):
+        return stream.option("checkpointLocation", checkpoint).trigger(**trigger_of(interval_seconds)).start()
 
 
 def sweep_stream(

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from fieldgauge.plans import standins
-from fieldgauge.plans.ingest import folder_files
+from fieldgauge.plans.ingest import folder_files, named_files
 from fieldgauge.plans.queries_streams import drop_folder, folder_key
+from fieldgauge.sources.listing import list_objects
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,3 +17,22 @@ def test_files_are_put_under_their_names(spark):
     assert sorted((r["file_key"], r["sum"]) for r in found) == sorted(map(tuple, made))
     # A folder per file made listings and folders as many as files.
     assert len({r["path"].rsplit("/", 1)[0] for r in found}) == 1
+
+
+def test_small_files_share_tasks(spark, drop):
+    for n in range(600):
+        drop(f"{n}.csv", "x")
+    cores = spark.sparkContext.defaultParallelism
+    assert folder_files(spark, drop.inbox).rdd.getNumPartitions() <= cores
+    assert list_objects(spark, drop.inbox).rdd.getNumPartitions() <= cores
+    paths = [f"{drop.inbox}/{n}.csv" for n in range(600)]
+    assert named_files(spark, drop.inbox, paths)[0].rdd.getNumPartitions() <= cores
+
+
+def test_large_and_empty_files_are_still_found(spark, drop):
+    drop("a.csv", "x" * 10), drop("b.csv", "x" * 30), drop("c.csv", "")
+    read = lambda files: sorted((r["file_key"], r["size_bytes"], r["content"] and bytes(r["content"])) for r in files.collect())
+    expected = [("a.csv", 10, b"x" * 10), ("b.csv", 30, None), ("c.csv", 0, b"")]
+    assert read(folder_files(spark, drop.inbox, None, 20)) == expected
+    paths = [f"{drop.inbox}/{name}.csv" for name in "abc"]
+    assert read(named_files(spark, drop.inbox, paths, None, 20)[0]) == expected
