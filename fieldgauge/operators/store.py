@@ -109,6 +109,7 @@ class SensorStore:
         self.root = root.rstrip("/")
         self._next_load: int | None = None
         self._next_id: int | None = None
+        self._last_sweep: tuple[int | None] | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -318,11 +319,19 @@ class SensorStore:
         """The log of scans: one row per micro-batch or sweep."""
         return self._read("scans", SCAN_SCHEMA)
 
+    def last_sweep(self) -> int | None:
+        """Second of the last sweep in the log. The log grows with the scans, so it is asked once, and again after each sweep of this writer."""
+        if self._last_sweep is None:
+            self._last_sweep = (self.scans().where("swept").agg(F.unix_seconds(F.max("at"))).first()[0],)
+        return self._last_sweep[0]
+
     def write_scan(self, source: str, as_of: Column, counts: dict[str, int], swept: bool) -> None:
         """Log one scan; a repeated micro-batch replaces its row."""
         names = ["listed", "dispatched", "already_running", "throttled", "missing", "re_dispatched"]
         row = self.spark.range(0, 1, 1, 1).select(as_of.cast("timestamp").alias("at"), *[F.lit(counts.get(n, 0)).cast("bigint").alias(n) for n in names], F.lit(swept).alias("swept"))
         self._write(row, f"{self.path('scans')}/source={folder_value(source)}")
+        if swept:
+            self._last_sweep = None
 
     # -- jobs -----------------------------------------------------------------
 

@@ -65,7 +65,7 @@ def taken_files(spark: SparkSession, checkpoint: str, batch_id: int) -> list[str
 
 def sweep_due(store: SensorStore, now: datetime, every_seconds: int) -> bool:
     """Whether the last sweep in the scan log is so long ago. The log is in the store, so the clock goes on over restarts."""
-    last = store.scans().where("swept").agg(F.unix_seconds(F.max("at"))).first()[0]
+    last = store.last_sweep()
     return last is None or now.timestamp() - last >= every_seconds
 
 
@@ -111,7 +111,8 @@ def ingest_stream(
         # At most max_files paths, the claim of this load.
         paths = taken_files(spark, checkpoint, batch_id)
         gone = 0
-        if paths and not store.committed(source):
+        # Only a sweep can have committed it since it was asked for.
+        if paths and not (swept and store.committed(source)):
             files, missing, gone = named_files(spark, inbox, paths, key_of, size_limit(current))
             ingest_load(store, files, source, current, now, missing if gone else None)
         store.write_scan(source, F.lit(now), {"listed": len(paths), "dispatched": len(paths) - gone, "missing": gone, "re_dispatched": taken}, swept)

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from fieldgauge.operators.store import SensorStore
 from fieldgauge.plans import standins
 from fieldgauge.plans.ingest import folder_files, named_files
-from fieldgauge.plans.queries_streams import drop_folder, folder_key
+from fieldgauge.plans.queries_streams import AS_OF, drop_folder, folder_key
 from fieldgauge.sources.listing import list_objects
+from fieldgauge.streaming.inbox import ingest_stream, sweep_due
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,3 +38,27 @@ def test_large_and_empty_files_are_still_found(spark, drop):
     assert read(folder_files(spark, drop.inbox, None, 20)) == expected
     paths = [f"{drop.inbox}/{name}.csv" for name in "abc"]
     assert read(named_files(spark, drop.inbox, paths, None, 20)[0]) == expected
+
+
+def test_scan_log_is_not_read_by_every_scan(spark, tmp_path, monkeypatch):
+    store, asked = SensorStore(spark, str(tmp_path / "store")), []
+    scans = SensorStore.scans
+    monkeypatch.setattr(SensorStore, "scans", lambda self: asked.append(1) or scans(self))
+    for n in range(3):
+        sweep_due(store, AS_OF, 60)
+        store.write_scan(f"inbox-{n}", F.lit(AS_OF), {"listed": 1}, False)
+    assert len(asked) == 1
+    store.write_scan("inbox-3", F.lit(AS_OF), {}, True)
+    assert not sweep_due(store, AS_OF, 60) and len(asked) == 2
+
+
+def test_stream_sets_the_listing_for_itself_only(spark, drop, tmp_path):
+    """Loads of the stream are listed by a task per core, and its rows are all there."""
+    for n in range(40):
+        drop(f"{n}.csv", "sensor_id,sensor_type,timestamp,value,unit\ns-1,temperature,2026-01-01T00:00:00Z,20,C\n")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    store = str(tmp_path / "store")
+    ingest_stream(spark, drop.inbox, store, str(tmp_path / "log"), max_files=35, as_of=AS_OF).awaitTermination()
+    assert spark.conf.get(name) == before
+    assert SensorStore(spark, store).measurements().count() == 40
