@@ -93,7 +93,8 @@ def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str], replace
     `replaced` names the keys where a key may lose its rows without getting new ones.
     """
     gone = (new if replaced is None else replaced).select(*keys).distinct()
-    return existing.join(gone, keys, "left_anti").unionByName(new)
+    # The keys are hashed, a shuffle partition's at a time; a merge join would sort all rows.
+    return existing.join(gone.hint("shuffle_hash"), keys, "left_anti").unionByName(new)
 
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:

@@ -134,7 +134,7 @@ def replaced_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = standins.stored_lines(spark, sf_dir).select("file_key", "line_number", "value")
     again = standins.ledger_files(spark, sf_dir).where((F.col("status") == "Stored") & (F.col("o_orderpriority") == "1-URGENT"))
     keys = again.select(F.col("key").alias("file_key"))
-    delivered = lines.join(keys, "file_key", "left_semi").withColumn("value", F.col("value") * 2)
+    delivered = lines.join(keys.hint("shuffle_hash"), "file_key", "left_semi").withColumn("value", F.col("value") * 2)
     return replace_by_key(lines, delivered, ["file_key"], keys)
 
 
