@@ -27,20 +27,20 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
 
 from .files import place, put
-from .fingerprints import slices
+from .fingerprints import mix, slices
 from .tables import workspace, written
 
 HEAD, LEAST, LEAST_CLASSES = 65_536, 3, 64
@@ -51,39 +51,69 @@ LONGEST = 64
 FLUSH = 300_000
 # What words meet that is weighed at once.
 BLOCK = 1 << 14
+# Counts up to which gains are kept.
+USUAL = 16
+TASKS_A_CORE = 4
 END = b"\n"
 TAIL = ArrayType(StructType().add("word", BinaryType()).add("k", LongType()))
 _LOWER = bytes(range(256)).lower()
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+# The first k bytes of eight.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased; white space is ASCII's. Long words are named by a digest."""
-    words = (text or "").encode().translate(_LOWER).split()
-    return [w if len(w) <= LONGEST else b"\n" + hashlib.md5(w).digest() for w in words]
+    return [_named(w) for w in (text or "").encode().translate(_LOWER).split()]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _named(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST else b"\n" + hashlib.md5(word).digest()
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """`tokens` of a run of texts at once: the different words, which of them each token is, and each text's first token (at last their number)."""
+    solid = ~_SPACE[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    begins[heads] = solid[heads]
+    letters = np.frombuffer(_LOWER, np.uint8)[data[solid]]
+    bounds = np.append(np.flatnonzero(begins[solid]), len(letters)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+    words = coded.dictionary
+    if (pc.max(pc.binary_length(words)).as_py() or 0) > LONGEST:
+        words = pa.array([_named(w) for w in words.to_pylist()], pa.binary())
+    return words, coded.indices.to_numpy(), np.searchsorted(np.flatnonzero(begins), offsets)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of the batches, with the words of their texts."""
     for batch in batches:
-        for first, last, *_ in slices(batch.column(column)):
-            part = batch.slice(first, last - first)
-            yield part, part.column(column).to_pylist()
+        for first, last, data, offsets in slices(batch.column(column)):
+            yield batch.slice(first, last - first), *_words(data, offsets)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    held, size = [], 0
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    def merged() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.RecordBatch.from_arrays([table[c].combine_chunks() for c in ("word", "n_sum")], names=["word", "n"])
 
-    for _, texts in _texts(batches, 0):
-        for text in texts:
-            counts.update(tokens(text))
-        counts[END] += len(texts)
-        if len(counts) > FLUSH:
-            yield rows()
-            counts.clear()
-    if counts:
-        yield rows()
+    for part, words, codes, _ in _texts(batches, 0):
+        ends = pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(part)], pa.int64())], names=["word", "n"])
+        held += [pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)))], names=["word", "n"]), ends]
+        size += len(words) + 1
+        if size > 2 * FLUSH:
+            held = [merged()]
+            size = len(held[0])
+            if size > FLUSH:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield merged()
 
 
 def _opened(address: str, kind: type) -> np.ndarray:
@@ -111,9 +141,25 @@ class Index:
     def size(self) -> int:
         return int(self.starts[-1])
 
-    def keys(self, words: list[bytes]) -> np.ndarray:
-        salt = self.salt.to_bytes(8, "little")
-        return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8, salt=salt).digest() for w in words), np.uint64)
+    def keys(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        """64 bits of each word, mixed eight bytes at a time."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        _, offsets, letters = words.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.zeros(bounds[-1] + 8, np.uint8)
+        data[:-8] = np.frombuffer(letters, np.uint8, bounds[-1]) if letters is not None else 0
+        eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        at, left = bounds[:-1], np.diff(bounds)
+        with np.errstate(over="ignore"):
+            keys = mix(left.astype(np.uint64) + np.uint64(self.salt) * _STEP)
+            on = np.arange(len(words))
+            while len(on := on[left[on] > 0]):
+                eight = eights[at[on]] & _BYTES[np.minimum(left[on], 8)]
+                keys[on] = mix((keys[on] + _STEP) * _STEP ^ mix(eight + _STEP))
+                at, left = at + 8, left - 8
+        return keys
 
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
@@ -124,7 +170,7 @@ class Index:
             Index._keys[at] = _opened(f"{self.folder}/{name}-{shard}", kind)
         return Index._keys[at]
 
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each word; -1 and 0 where it is not clustered."""
         numbers, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
         keys = self.keys(words)
@@ -157,7 +203,7 @@ def build_index(words: DataFrame, n_words: int, classes: int, folder: str) -> In
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = index.keys(batch.column(0).to_pylist())
+                keys = index.keys(batch.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(index.shard(keys)), pa.array(keys.view(np.int64)), batch.column(1)], names=["shard", "key", "n"])
 
         def stored(frame: pd.DataFrame) -> pd.DataFrame:
@@ -198,11 +244,17 @@ def _flat(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return unique, np.bincount(back, values, len(unique)).astype(np.int64)
 
 
-def _links(batches: Iterator[pa.RecordBatch], index: Index, number: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def _places(words: pa.Array, head: pa.Array) -> np.ndarray:
+    """Where each word is in the head; -1 where it is not."""
+    return pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _links(batches: Iterator[pa.RecordBatch], index: Index, head: pa.Array, numbers_of_head: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What words meet: 2 * number of a word after it, 2 * number + 1 of one before it, and counts. Borders stand before and after
     each text. Of the rare class and the border only what they meet of each other is kept, the rest is said by the words."""
     rare, border = index.size, index.size + 1
     width, held, size = border + 1, [], 0
+    numbered = np.append(numbers_of_head, -1)
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         return _flat(*(np.concatenate(x) for x in zip(*held)))
@@ -223,18 +275,14 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index, number: dict[bytes,
 
     # Rows that a word's links are cut into, by its count.
     many = np.concatenate([*((1 + 2 * index.column("counts", shard, np.int64) // CHUNK).astype(np.int32) for shard in index.shards), np.ones(2, np.int32)])
-    for _, texts in _texts(batches, 0):
-        split = [tokens(text) for text in texts]
-        others = list({w for words in split for w in words if w not in number})
-        found = dict(zip(others, index.find(others)[0].tolist()))
-        ids = [border]
-        for words in split:
-            for w in words:
-                k = number.get(w)
-                k = found[w] if k is None else k
-                ids.append(rare if k < 0 else k)
-            ids.append(border)
-        ids = np.array(ids, np.int64)
+    for part, words, codes, begins in _texts(batches, 0):
+        at = _places(words, head)
+        others = np.flatnonzero(at < 0)
+        numbers = numbered[at]
+        numbers[others] = index.find(words.take(pa.array(others)))[0]
+        numbers[numbers < 0] = rare
+        ids = np.full(len(codes) + len(part) + 1, border)
+        ids[np.arange(1, len(codes) + 1) + np.repeat(np.arange(len(part)), np.diff(begins))] = numbers[codes]
         unique, counts = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
         held.append((unique, counts))
         size += len(unique)
@@ -250,13 +298,15 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index, number: dict[bytes,
 
 
 LINKS = "w long, chunk long, chunks long, to array<long>, n array<long>"
-# As stored and read in every step: neighbours and counts as little-endian 64-bit numbers, which the JVM passes on as they are.
+# As stored and read in every step: neighbours and counts as little-endian 32-bit numbers, which the JVM passes on as they are. A count
+# past `MOST` is stored as several of its neighbour.
+MOST = (1 << 32) - 1
 STORED_LINKS = "w long, chunk long, chunks long, to binary, n binary"
 
 
 def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Rows of 64-bit numbers as bytes."""
-    buffers = [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(values.astype("<i8"))]
+    """Rows of 32-bit numbers as bytes."""
+    buffers = [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(values.astype("<u4"))]
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
 
 
@@ -264,10 +314,10 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of the rows, from 0, and all their numbers."""
     if not len(column):
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
     data = column.buffers()[2]
-    numbers = np.frombuffer(data, "<i8", int(ends[-1])) if data is not None else np.zeros(0, np.int64)
-    return ends - ends[0], numbers[ends[0] :]
+    numbers = np.frombuffer(data, "<u4", int(ends[-1])) if data is not None else np.zeros(0, np.uint32)
+    return ends - ends[0], numbers[ends[0] :].astype(np.int64)
 
 
 def _links_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,6 +332,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, n = batch.column("to"), batch.column("n")
         row = np.repeat(np.arange(batch.num_rows), np.diff(to.offsets.to_numpy()))
         keys, counts = _flat(row << 40 | to.flatten().to_numpy(), n.flatten().to_numpy())
+        if counts.max(initial=0) > MOST:
+            times = (counts - 1) // MOST + 1
+            keys, left = np.repeat(keys, times), np.repeat(counts, times)
+            counts = np.minimum(MOST, left - MOST * (np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)))
         ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) << 40)
         packed = [_packed(x, ends) for x in (keys & ((1 << 40) - 1), counts)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed], names=["w", "chunk", "chunks", "to", "n"])
@@ -329,33 +383,82 @@ def exchange_gains(
     return gain - gain[own]
 
 
+class Gains:
+    """What numbers gain by a rise, a row each for rises of a few up to `USUAL`, which are worked out once, and others as they come."""
+
+    def __init__(self, numbers: np.ndarray, usual: int, kind: type):
+        self.numbers, self.kind = numbers, kind
+        self.usual = np.stack([self._worked(slice(None), k) for k in range(usual + 1)])
+
+    def _worked(self, rows: slice | np.ndarray, rise: int | np.ndarray) -> np.ndarray:
+        there = self.numbers[rows]
+        return (_phi(there + rise) - _phi(there)).astype(self.kind)
+
+    def of(self, rows: np.ndarray, rises: np.ndarray) -> np.ndarray:
+        seldom = np.flatnonzero(rises >= len(self.usual))
+        out = self.usual[np.where(rises < len(self.usual), rises, 0), rows]
+        if len(seldom):
+            kinds, back = np.unique(rows[seldom] * (int(rises.max()) + 1) + rises[seldom], return_index=True, return_inverse=True)[1:]
+            out[seldom] = self._worked(rows[seldom][kinds], rises[seldom][kinds].astype(np.float64)[:, None])[back]
+        return out
+
+
+def gains_of(matrix: np.ndarray, classes: int, sums: tuple[np.ndarray, np.ndarray]) -> tuple[Gains, ...]:
+    """Of the cells with a class after and before, and of the sums over rows and columns."""
+    cells = np.concatenate([matrix[:classes].T, matrix[:, :classes]])
+    return Gains(cells, USUAL, np.float32), *(Gains(total[None, :classes], 4 * USUAL, np.float64) for total in sums)
+
+
+def _added(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin there, none empty: all first rows, then all second ones, and so on. Most runs are short."""
+    length = np.diff(np.append(begins, len(rows)))
+    order = np.argsort(-length, kind="stable")
+    longer, out = -length[order], rows[begins[order]]
+    for k in range(1, int(length.max(initial=0))):
+        n = int(np.searchsorted(longer, -k))
+        out[:n] += rows[begins[order[:n]] + k]
+    out[order] = out.copy()
+    return out
+
+
 def batch_gains(
-    own: np.ndarray, begins: np.ndarray, at: np.ndarray, n: np.ndarray, matrix: np.ndarray, classes: int, sums: tuple[np.ndarray, np.ndarray]
+    own: np.ndarray,
+    begins: np.ndarray,
+    at: np.ndarray,
+    n: np.ndarray,
+    matrix: np.ndarray,
+    classes: int,
+    sums: tuple[np.ndarray, np.ndarray],
+    gains: tuple[Gains, ...] | None = None,
 ) -> np.ndarray:
     """`exchange_gains` of many words at once, a row each: word k meets `n` times what `at` names from begins[k] on; `at` is a class after
     the word, or the width plus a class before it, each once a word.
 
     Cells that would change by the word's row and by its column (those of its own and the new class with each other) are taken as if
     changed by one after the other, which is off by terms of second order; the likelihood itself is exact, and decides on assignments.
+    `gains` are `gains_of` the matrix.
     """
     width, k = len(matrix), np.arange(len(own))
-    cells = np.concatenate([matrix[:classes].T, matrix[:, :classes]])
+    by_cell, *by_sum = gains or gains_of(matrix, classes, sums)
+    cells = by_cell.numbers
     # What a class gains by a cell's rise is the same for all words that meet the cell as often.
-    kinds, back = np.unique(at * (int(n.max(initial=0)) + 1) + n, return_index=True, return_inverse=True)[1:]
-    more, there = n[kinds].astype(np.float64)[:, None], cells[at[kinds]]
-    rise = (_phi(there + more) - _phi(there)).astype(np.float32)
-    gain = np.add.reduceat(rise[back], begins, axis=0, dtype=np.float32).astype(np.float64)
+    gain = _added(by_cell.of(at, n), begins).astype(np.float64)
     mine = cells[at, np.repeat(own, np.diff(np.append(begins, len(at))))]
     gain -= np.add.reduceat(_phi(mine) - _phi(mine - n), begins)[:, None]
-    for total, side in zip(sums, (at < width, at >= width)):
+    for total, by, side in zip(sums, by_sum, (at < width, at >= width)):
         # A class's sum over the words after it, then before it.
-        moved, same = np.unique(np.add.reduceat(np.where(side, n, 0), begins).astype(np.float64), return_inverse=True)
-        gain -= (_phi(total[:classes] + moved[:, None]) - _phi(total[:classes]))[same]
-        gain += (_phi(total[own]) - _phi(total[own] - moved[same]))[:, None]
+        moved = np.add.reduceat(np.where(side, n, 0), begins)
+        gain -= by.of(np.zeros(len(own), np.int64), moved)
+        gain += (_phi(total[own]) - _phi(total[own] - moved))[:, None]
     gain[k, own] = 0.0
     return gain
 
 
+def _in_few_tasks(rows: DataFrame) -> DataFrame:
+    """A few tasks a core, however many partitions there are: what a task hands on by class is as much for a small partition as for a large one."""
+    return rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _matrix(links: DataFrame, index: Index, steps: list[int], classes: int) -> np.ndarray:
     width, size = classes + 2, index.size
 
@@ -372,7 +475,8 @@ def _matrix(links: DataFrame, index: Index, steps: list[int], classes: int) -> n
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
 
     out = np.zeros(width * width)
-    for r in links.select("w", "to", "n").mapInArrow(added, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    cells = _in_few_tasks(links).select("w", "to", "n").mapInArrow(added, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    for r in _in_few_tasks(cells).collect():
         out[r["at"]] = r["n"]
     return out.reshape(width, width)
 
@@ -388,17 +492,20 @@ def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix:
         keys, counts = _flat(words * (2 * width) + at, n)
         return keys // (2 * width), keys % (2 * width), counts
 
-    def better(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def weighed() -> tuple[tuple[np.ndarray, np.ndarray], tuple[Gains, ...]]:
+        sums = (shared.value.sum(axis=1), shared.value.sum(axis=0))
+        return sums, gains_of(shared.value, classes, sums)
+
+    def better(words: np.ndarray, at: np.ndarray, n: np.ndarray, sums: tuple[np.ndarray, np.ndarray], by: tuple[Gains, ...]) -> Iterator[pa.RecordBatch]:
         """The words that another class suits better, in blocks of bounded size."""
         counts, of = shared.value, index.classes(steps, classes)
-        sums = (counts.sum(axis=1), counts.sum(axis=0))
         begins = np.flatnonzero(np.append(True, words[1:] != words[:-1])[: len(words)])
         ends, first = np.append(begins[1:], len(words)), 0
         while first < len(begins):
             last = max(first + 1, int(np.searchsorted(ends, begins[first] + BLOCK, "right")))
             part = slice(begins[first], ends[last - 1])
             w = words[begins[first:last]]
-            gains = batch_gains(of[w].astype(np.int64), begins[first:last] - begins[first], at[part], n[part], counts, classes, sums)
+            gains = batch_gains(of[w].astype(np.int64), begins[first:last] - begins[first], at[part], n[part], counts, classes, sums, by)
             best = gains.argmax(axis=1)
             good = gains[np.arange(len(w)), best] > 1e-6
             w, c = w[good], best[good]
@@ -406,20 +513,40 @@ def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix:
             first = last
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = weighed()
         for batch in batches:
             if batch.num_rows:
-                yield from better(*met(batch))
+                yield from better(*met(batch), *by)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _flat(*(np.concatenate(x) for x in zip(*held)))
+
+        def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys // (2 * width), keys % (2 * width), counts)], names=["w", "at", "n"])
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in met(batch)], names=["w", "at", "n"])
+            words, at, n = met(batch)
+            held.append((words * (2 * width) + at, n))
+            size += len(words)
+            if size > 2 * FLUSH:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > FLUSH:
+                    yield rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield rows(*merged())
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = weighed()
         for batch in batches:
             if batch.num_rows:
                 lists = [batch.column(c) for c in ("at", "n")]
                 words = np.repeat(batch.column("w").to_numpy(), np.diff(lists[0].offsets.to_numpy()))
-                yield from better(words, *(x.flatten().to_numpy() for x in lists))
+                yield from better(words, *(x.flatten().to_numpy() for x in lists), *by)
 
     def stored(frame: pd.DataFrame) -> pd.DataFrame:
         k = int(frame["at"].iloc[0])
@@ -429,13 +556,14 @@ def _moved(links: DataFrame, index: Index, steps: list[int], step: int, matrix:
         return pd.DataFrame({"at": [k]})
 
     mine = links.where((F.col("w") < index.size) & (F.pmod(F.xxhash64("w"), F.lit(groups)) == group))
-    moves = mine.where("chunks = 1").select("w", "to", "n").mapInArrow(whole, "at long, w long, c long")
-    # A very frequent word's rows are added up by what they meet, which is at most twice the classes.
-    cut = mine.where("chunks > 1").select("w", "to", "n").mapInArrow(parts, "w long, at long, n long").groupBy("w", "at").agg(F.sum("n").alias("n"))
+    moves = _in_few_tasks(mine.where("chunks = 1")).select("w", "to", "n").mapInArrow(whole, "at long, w long, c long")
+    # A very frequent word's rows are added up by what they meet, which is at most twice the classes, in each task and then over all.
+    cut = _in_few_tasks(mine.where("chunks > 1")).select("w", "to", "n").mapInArrow(parts, "w long, at long, n long").repartition("w")
+    cut = cut.groupBy("w", "at").agg(F.sum("n").alias("n"))
     cut = cut.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("met")).select("w", "met.at", "met.n")
-    moves = moves.unionByName(cut.mapInArrow(joined, "at long, w long, c long"))
+    moves = moves.unionByName(_in_few_tasks(cut).mapInArrow(joined, "at long, w long, c long"))
     out = list(steps)
-    for r in moves.groupBy("at").applyInPandas(stored, "at long").collect():
+    for r in _in_few_tasks(moves.groupBy("at").applyInPandas(stored, "at long")).collect():
         out[r["at"]] = step
     shared.destroy()
     return out
@@ -495,8 +623,8 @@ def train(
     classes = classes or max(LEAST_CLASSES, round(2 * n_words ** (1 / 3)))
     index = build_index(chosen, n_words, classes, folder)
     numbers = index.find(words)[0]
-    shared = documents.sparkSession.sparkContext.broadcast(dict(zip(words, numbers.tolist())))
-    links = texts.mapInArrow(lambda it: _links(it, index, shared.value), LINKS).groupBy("w", "chunk", "chunks").agg(F.collect_list(F.struct("to", "n")).alias("parts"))
+    shared = documents.sparkSession.sparkContext.broadcast((pa.array(words, pa.binary()), numbers))
+    links = texts.mapInArrow(lambda it: _links(it, index, *shared.value), LINKS).groupBy("w", "chunk", "chunks").agg(F.collect_list(F.struct("to", "n")).alias("parts"))
     links = links.select("w", "chunk", "chunks", F.flatten("parts.to").alias("to"), F.flatten("parts.n").alias("n")).mapInArrow(_merged, STORED_LINKS)
     links = written(links, f"{folder}/links")
     steps, matrix = cluster(links, index, classes, rounds)
@@ -525,30 +653,37 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, carry: dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         n_head, border, rare = len(m.words), len(m.transition) - 1, len(m.transition) - 2
-        number = {w: k for k, w in enumerate(m.words)}
+        head = pa.array(m.words, pa.binary())
         whole = m.total + m.different + 1
         base = np.append(np.log10((m.counts + 1) / whole), 0.0)
         emission, of = np.append(m.emission, 0.0), np.append(m.classes, rare)
         classes = m.index.classes(m.steps, rare)
-        for part, texts in _texts(batches, 2):
-            out, split = [], [tokens(value) for value in texts]
+        for part, words, codes, begins in _texts(batches, 2):
             # Clustered words past the head follow the head's for this part.
-            others = list({w for words in split for w in words if w not in number})
-            at, n = m.index.find(others)
+            of_words = _places(words, head)
+            others = np.flatnonzero(of_words < 0)
+            at, n = m.index.find(words.take(pa.array(others)))
             hit = np.flatnonzero(at >= 0)
-            more = {others[k]: n_head + 1 + j for j, k in enumerate(hit.tolist())}
+            of_words[others] = n_head
+            of_words[others[hit]] = n_head + 1 + np.arange(len(hit))
             of_all = np.append(of, classes[at[hit]])
             base_all = np.append(base, np.log10((n[hit] + 1) / whole))
             emission_all = np.append(emission, np.log10(n[hit] / m.in_class[of_all[n_head + 1 :]]))
-            for words in split:
-                ids = np.array([k if (k := number.get(w)) is not None else more.get(w, n_head) for w in words], np.int64)
-                path = np.concatenate([[border], of_all[ids], [border]])
-                tail = Counter(w for w, k in zip(words, ids.tolist()) if k == n_head)
-                steps = m.transition[path[:-1], path[1:]].sum() + emission_all[ids].sum()
-                out.append((len(words) + 1, len(words) - sum(tail.values()), base_all[ids].sum(), steps, [{"word": w, "k": k} for w, k in tail.items()]))
-            n, known, low, high, tails = zip(*out)
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), pa.array(high, pa.float64())]
-            tails = pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
+            ids, out = of_words[codes], []
+            for own in np.split(ids, begins[1:-1]):
+                path = np.concatenate([[border], of_all[own], [border]])
+                out.append((base_all[own].sum(), m.transition[path[:-1], path[1:]].sum() + emission_all[own].sum()))
+            low, high = zip(*out)
+            # The words left to the table of all words, each once a text.
+            left = np.flatnonzero(ids == n_head)
+            row, of_row = np.arange(len(part)), np.searchsorted(begins, left, "right") - 1
+            pairs, k = np.unique(of_row * (len(words) + 1) + codes[left], return_counts=True)
+            named = pa.StructArray.from_arrays([words.take(pa.array(pairs % (len(words) + 1))), pa.array(k)], ["word", "k"])
+            ends = np.searchsorted(pairs, np.append(row, len(part)) * (len(words) + 1))
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), named)
+            n = np.diff(begins)
+            known = n - np.bincount(of_row, minlength=len(part))
+            columns = [pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), pa.array(high, pa.float64())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, tails], names=["at", "row", "n_tokens", "n_known", "base", "steps", "tail"])
 
     schema = rows.drop("text").schema

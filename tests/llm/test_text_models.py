@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -133,6 +134,49 @@ def test_base_scores_and_probabilities(spark, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_of_a_slice_are_those_of_its_texts():
+    texts = [*random_texts(300), None, "", " \t\n", "x" * 64, "x" * 65 + " A", "x" * 65, "ÄB\u00a0c d\x0b\x0ce\x1cf", "end", "end"]
+    (part, words, codes, begins), *rest = class_lm._texts([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], 0)
+    assert not rest and len(set(words.to_pylist())) == len(words)
+    found = [words[c].as_py() for c in codes.tolist()]
+    assert [found[a:b] for a, b in zip(begins, begins[1:])] == [class_lm.tokens(t) for t in texts]
+    counted = list(class_lm._counted([part]))
+    assert {w: n for b in counted for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist())} == Counter(found) + Counter({class_lm.END: len(texts)})
+    index = class_lm.Index("none", 0, 0, [], np.zeros(1, np.int64))
+    assert index.keys(words.slice(7, 5)).tolist() == index.keys(words)[7:12].tolist() and len(set(index.keys(words).tolist())) == len(words)
+
+
+def test_counts_past_32_bits_come_back():
+    counts = [1, 2**32 - 1, 2**32, 2**35 + 7]
+    lists = [pa.array([x], pa.list_(pa.int64())) for x in ([8, 4, 6, 2], counts)]
+    (stored,) = class_lm._merged([pa.RecordBatch.from_arrays([pa.array([5]), pa.array([0]), pa.array([1]), *lists], names=["w", "chunk", "chunks", "to", "n"])])
+    found = Counter()
+    for w, to, n in zip(*class_lm._links_of(stored)):
+        found[int(w), int(to)] += int(n)
+    assert found == {(5, to): n for to, n in zip([8, 4, 6, 2], counts)}
+
+
+def test_matrix_is_summed_in_few_tasks(spark, tmp_path):
+    """What tasks send by class does not grow with the number of partitions."""
+    words = [b"w%d" % (k * k % 97) for k in range(400)]
+    table = spark.createDataFrame([(w, words.count(w)) for w in sorted(set(words))], "word binary, n long")
+    index = class_lm.build_index(table, table.count(), 4, str(tmp_path))
+    head, text = pa.array([], pa.binary()), pa.array([b" ".join(words).decode()])
+    batch = next(class_lm._links([pa.RecordBatch.from_arrays([text], names=["text"])], index, head, np.zeros(0, np.int64)))
+    rows = [r for merged in class_lm._merged([batch]) for r in merged.to_pylist()]
+    links = spark.createDataFrame([tuple(r.values()) for r in rows], class_lm.STORED_LINKS).repartition(300)
+    many = 3 * class_lm.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert links.rdd.getNumPartitions() == 300 > many / 3
+    ran = []
+    for group, frame in (("few", links), ("one", links.coalesce(1))):
+        spark.sparkContext.setJobGroup(group, group)
+        ran.append(class_lm._matrix(frame, index, [0] * len(index.shards), 4))
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    assert max(tasks) <= many / 3 and (ran[0] == ran[1]).all() and ran[0].sum() == len(words) + 1
+
+
 def test_exchange_gain_is_the_change_of_the_likelihood():
     rng = np.random.default_rng(1)
     counts, assigned = rng.integers(0, 9, (12, 12)).astype(float), rng.integers(0, 3, 12)
