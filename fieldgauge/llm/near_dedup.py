@@ -285,15 +285,20 @@ def near_duplicate_classes(
     return named.unionByName(lone)
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids to look documents up by: broadcast while few, so that no text is shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _prints_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, prints) of the named documents. The ids are broadcast while few, so that no text is shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(_printed, "id long, prints array<long>")
+    """(id, prints) of the named documents."""
+    return texts.join(_sent(ids), "id", "left_semi").select("id", "text").mapInArrow(_printed, "id long, prints array<long>")
 
 
 def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are the least id of their class, with their columns."""
     classes = near_duplicate_classes(documents, doc_id, text, **options)
     gone = classes.where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("gone_id"))
+    gone = _sent(written(gone, f"{workspace(documents, 'near-dedup')}/gone"))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     return rows.join(gone, F.col(f"row.`{doc_id}`") == F.col("gone_id"), "left_anti").select("row.*")

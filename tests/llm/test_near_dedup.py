@@ -115,3 +115,19 @@ def test_bands_and_agreement_follow_the_similarity():
     assert banding(0.8) == (24, 4) and banding(0.5) == (48, 2) and banding(0.1) == (96, 1)
     assert all((1 - s**rows) ** bands <= 1e-5 for s in (0.2, 0.3, 0.5, 0.6, 0.8, 0.95) for bands, rows in [banding(s)])
     assert 0.59 < least_agreement(0.8, 96) < 0.6 and least_agreement(0.5, 96) < 0.25
+
+
+def test_dropping_copies_shuffles_no_document(spark):
+    """Whatever size the ids of copies are taken to have, the documents stay where they are."""
+    texts = [f"one text of many words, the copy {k % 40} of it, is given here" for k in range(100)]
+    documents = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = drop_near_duplicates(documents, similarity=1.0)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r[0] for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == list(range(40))
+        assert kept.where("doc_id IS NULL").count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
