@@ -64,6 +64,9 @@ SCAN_SCHEMA = (
     "at TIMESTAMP, listed BIGINT, dispatched BIGINT, already_running BIGINT, throttled BIGINT, missing BIGINT, re_dispatched BIGINT, swept BOOLEAN, source STRING"
 )
 
+# Ids of one part of a compacted table; parts of a table without ids go by batches.
+PART_IDS, PART_BATCHES = 1 << 20, 1 << 10
+
 # A span of at most so many loads is read by naming its folders, a longer one by listing the table. The rows are the same.
 FOLDERS_NAMED = 500
 
@@ -286,8 +289,9 @@ class SensorStore:
         not carried over.
         """
         target = SensorStore(self.spark, target_root)
-        # The rebalance gives files of a good size and splits large folders over several tasks.
-        live = self.measurements().hint("rebalance", "load", "sensor_type")
+        # The rebalance gives files of a good size. Folders are few, so a folder's rows are dealt over the tasks by ids or batches, too.
+        of_ids, of_batches = F.floor(F.col("id") / PART_IDS), F.floor(F.col("batch_number") / PART_BATCHES)
+        live = self.measurements().withColumn("_part", of_ids).hint("rebalance", "load", "sensor_type", "_part").drop("_part")
         live.write.partitionBy("load", "sensor_type").parquet(target.path("measurements"))
         events = self.events()
         current = events.withColumn("_rank", F.when(F.col("status") == MISSING, 1).otherwise(2)).where(F.col("key").isNotNull())
@@ -305,13 +309,13 @@ class SensorStore:
         sources.unionByName(folded).write.parquet(target.path("snapshot/sources"))
         self.reports().write.partitionBy("load").parquet(target.path("reports"))
         self.scans().write.partitionBy("source").parquet(target.path("scans"))
-        for table, rows, below in (
-            ("categorized", self.categorized(), ("job_base", "span", "step", "sensor_type")),
-            ("results", self.results(), ("job_base", "span", "step")),
-            ("failures", self.failures(), ("job_base", "span", "step")),
-            ("jobs", self.jobs(), ("job_base", "span")),
+        for table, rows, below, part in (
+            ("categorized", self.categorized(), ("job_base", "span", "step", "sensor_type"), of_ids),
+            ("results", self.results(), ("job_base", "span", "step"), F.xxhash64("sensor_type", of_batches)),
+            ("failures", self.failures(), ("job_base", "span", "step"), F.xxhash64("sensor_type", of_batches)),
+            ("jobs", self.jobs(), ("job_base", "span"), F.lit(0)),
         ):
-            rows.hint("rebalance", *below).write.partitionBy(*below).parquet(target.path(table))
+            rows.withColumn("_part", part).hint("rebalance", *below, "_part").drop("_part").write.partitionBy(*below).parquet(target.path(table))
         return target
 
     # -- scans ----------------------------------------------------------------

@@ -92,7 +92,8 @@ class _Job:
         """A row per type: at most as many as the catalog has types."""
         spark = self.store.spark
         counted = [(name, t.processed, t.batches, t.failed) for name, t in sorted(self.totals.items()) if types is None or name in types]
-        frame = spark.createDataFrame(counted, "sensor_type string, processed bigint, batches bigint, failed_batches bigint")
+        # One task is enough for them.
+        frame = spark.createDataFrame(counted, "sensor_type string, processed bigint, batches bigint, failed_batches bigint").coalesce(1)
         return frame.select(
             job_key(self.base, F.col("sensor_type")).alias("job_id"),
             "sensor_type",

@@ -126,7 +126,7 @@ def sensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                    CASE WHEN flaw = 500 OR position % 2 = 0 THEN concat('"', value, '"') ELSE value END, ',"unit":"', unit, '"}}')
                  ELSE concat(concat_ws(',', {header}), CASE WHEN flaw = 800 THEN ',extra' ELSE '' END) END AS text""",
     )
-    lines = F.array_sort(F.collect_list(F.struct("position", "text"))).alias("lines")
+    lines = F.sort_array(F.collect_list(F.struct("position", "text"))).alias("lines")
     files = rows.groupBy("file_no").agg(lines).selectExpr("file_no", "file_no % 10 < 3 AS is_json", "file_no % 37 AS fault", "lines.text AS texts")
     return files.selectExpr(
         """concat(format_string('file-%06d', file_no),

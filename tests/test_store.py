@@ -523,3 +523,45 @@ def test_converted_files_feed_the_store(spark, store, drop):
     assert live(store) == [("a.csv", 2, 20.0)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_normalized(spark, store.converted_path(load))
+
+
+def test_compaction_deals_a_folder_over_tasks(spark, store, drop, monkeypatch):
+    """A job's results lie in one folder; more than one task writes them."""
+    from fieldgauge.operators import store as module
+
+    monkeypatch.setattr(module, "PART_IDS", 8)
+    monkeypatch.setattr(module, "PART_BATCHES", 1)
+    drop("a.csv", csv(*range(400, 464)))
+    ingest_folder(store, drop.inbox, "one", as_of=AS_OF)
+    categorize_loads(store, "job", batch_size=2, as_of=AS_OF)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        compact = store.compact(store.root + "-compact")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for table in ("measurements", "categorized", "results"):
+        was, now = (getattr(s, table)() for s in (store, compact))
+        assert sorted(map(repr, was.collect())) == sorted(map(repr, now.select(was.columns).collect()))
+        assert len(now.inputFiles()) > 1, table
+
+
+def test_asked_files_are_listed_once(spark, monkeypatch):
+    """The folder is gone over once for all names that are asked for."""
+    from fieldgauge.plans import queries_loads
+
+    class Asked(Exception):
+        pass
+
+    def asked(spark, root, paths, key_of):
+        raise Asked(len(paths), len(seen))
+
+    seen, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(queries_loads, "ingest_folder", lambda *args, **kwargs: None)
+    monkeypatch.setattr(queries_loads, "named_files", asked)
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(1) or collect(self))
+    with pytest.raises(Asked) as found:
+        queries_loads.reingested_store(spark, "/root/testdata/sf0.001")
+    paths, collects = found.value.args
+    # One for the sizes, one for the names.
+    assert paths >= 10 and collects == 2
