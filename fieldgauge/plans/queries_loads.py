@@ -169,10 +169,11 @@ def reingested_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest_folder(store, inbox, "first", as_of=AS_OF, key_of=folder_key)
     listed = folder_files(spark, inbox, folder_key).select("path", "file_key", F.substring("file_key", 6, 6).cast("int").alias("no")).orderBy("file_key").limit(ASKED_FILES)
     # A file is gone when no file has its name, and a name nobody ever had is asked for beside it.
-    there = listed.select("path").where("no % 7 <> 0").collect()
-    gone = listed.select(F.regexp_replace("path", r"/([^/]+)$", "/lost-$1").alias("path")).where("no % 7 = 0").collect()
-    gone += listed.select(F.regexp_replace("path", r"/([^/]+)$", "/gone/$1").alias("path")).where("no % 7 = 0").collect()
-    files, missing, _ = named_files(spark, inbox, sorted(r["path"] for r in there + gone), folder_key)
+    renamed = lambda to: F.regexp_replace("path", r"/([^/]+)$", to)
+    names = F.when(F.col("no") % 7 == 0, F.array(renamed("/lost-$1"), renamed("/gone/$1"))).otherwise(F.array("path"))
+    # The folder is gone over once for all of them.
+    asked = listed.select(F.explode(names).alias("path")).collect()
+    files, missing, _ = named_files(spark, inbox, sorted(r["path"] for r in asked), folder_key)
     ingest_load(store, files, "second", as_of=AS_OF, missing=missing)
     return _live_rows(store).select(F.col("key").alias("file_key"), "status", "attempts", "live_rows")
 
