@@ -15,9 +15,11 @@ def workspace(frame: DataFrame, label: str) -> str:
     return scratch_path(frame.sparkSession, label)
 
 
-def written(frame: DataFrame, path: str) -> DataFrame:
-    """The frame as a table in the shared folder: later jobs read it, and lost executors cost no recomputation."""
-    frame.write.mode("overwrite").parquet(path)
+def written(frame: DataFrame, path: str, *below: str) -> DataFrame:
+    """The frame as a table in the shared folder, with a folder per value of `below`: later jobs read it, and lost executors cost no
+    recomputation."""
+    writer = frame.write.mode("overwrite")
+    (writer.partitionBy(*below) if below else writer).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
