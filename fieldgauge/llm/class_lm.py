@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructType
@@ -240,6 +241,17 @@ class Model:
 
 
 def _flat(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sums of their values. Where a key and a value fit into 63 bits, they are sorted as one number."""
+    bits = int(values.max(initial=0)).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits < 64:
+        both = keys.astype(np.int64)
+        both <<= bits
+        both |= values.astype(np.int64, copy=False)
+        both.sort()
+        keys = both >> bits
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        both &= (1 << bits) - 1
+        return keys[first], np.add.reduceat(both, first) if len(first) else both
     unique, back = np.unique(keys, return_inverse=True)
     return unique, np.bincount(back, values, len(unique)).astype(np.int64)
 
@@ -260,21 +272,24 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index, head: pa.Array, numb
         return _flat(*(np.concatenate(x) for x in zip(*held)))
 
     def rows(keys: np.ndarray, counts: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        a, b = keys // width, keys % width
-        w, to, n = np.concatenate([a, b]), np.concatenate([2 * b, 2 * a + 1]), np.tile(counts, 2)
+        # Numbers are of 32 bits, as stored, which halves what a worker holds; the arrays are put in order one after the other.
+        a, b = (keys // width).astype(np.uint32), (keys % width).astype(np.uint32)
+        n = np.tile(counts.astype(np.uint32) if counts.max(initial=0) <= MOST else counts, 2)
+        w, to = np.concatenate([a, b]), np.concatenate([2 * b, 2 * a + 1])
         keep = (w < rare) | ((to >= 2 * rare) & (to % 2 == 0))
         w, to, n = w[keep], to[keep], n[keep]
-        chunks = many[w].astype(np.int64)
-        chunk = (to >> 1) % chunks
+        chunk = (to >> 1) % many[w]
         order = np.lexsort((chunk, w))
-        w, to, n, chunks, chunk = (x[order] for x in (w, to, n, chunks, chunk))
+        w, chunk = w[order], chunk[order]
+        to, n = to[order], n[order]
         first = np.flatnonzero(np.append(True, (np.diff(w) != 0) | (np.diff(chunk) != 0))[: len(w)])
         offsets = pa.array(np.append(first, len(w)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (to, n)]
-        return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(chunk[first]), pa.array(chunks[first]), *lists], names=["w", "chunk", "chunks", "to", "n"])
+        names = [pa.array(x.astype(np.int64)) for x in (w[first], chunk[first], many[w[first]])]
+        return pa.RecordBatch.from_arrays([*names, *lists], names=["w", "chunk", "chunks", "to", "n"])
 
     # Rows that a word's links are cut into, by its count.
-    many = np.concatenate([*((1 + 2 * index.column("counts", shard, np.int64) // CHUNK).astype(np.int32) for shard in index.shards), np.ones(2, np.int32)])
+    many = np.concatenate([*((1 + 2 * index.column("counts", shard, np.int64) // CHUNK).astype(np.uint32) for shard in index.shards), np.ones(2, np.uint32)])
     for part, words, codes, begins in _texts(batches, 0):
         at = _places(words, head)
         others = np.flatnonzero(at < 0)
@@ -297,7 +312,8 @@ def _links(batches: Iterator[pa.RecordBatch], index: Index, head: pa.Array, numb
         yield rows(*merged(), many)
 
 
-LINKS = "w long, chunk long, chunks long, to array<long>, n array<long>"
+# As sent to the words' tasks: neighbours and counts in turn, as little-endian 32-bit numbers.
+LINKS = "w long, chunk long, chunks long, pairs binary"
 # As stored and read in every step: neighbours and counts as little-endian 32-bit numbers, which the JVM passes on as they are. A count
 # past `MOST` is stored as several of its neighbour.
 MOST = (1 << 32) - 1
@@ -306,7 +322,7 @@ STORED_LINKS = "w long, chunk long, chunks long, to binary, n binary"
 
 def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Rows of 32-bit numbers as bytes."""
-    buffers = [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(values.astype("<u4"))]
+    buffers = [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(values.astype("<u4", copy=False))]
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
 
 
@@ -326,18 +342,66 @@ def _links_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.repeat(batch.column("w").to_numpy(), np.diff(offsets)), to, _unpacked(batch.column("n"))[1]
 
 
+def _cut(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many stored counts each count is, and those."""
+    times = (counts - 1) // MOST + 1
+    left = np.repeat(counts, times)
+    return times, np.minimum(MOST, left - MOST * (np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)))
+
+
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lists with their lists as bytes: half the size, and the JVM passes them on as they are."""
+    for batch in batches:
+        to, n = (batch.column(c).flatten().to_numpy() for c in ("to", "n"))
+        ends = batch.column("to").offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        if n.max(initial=0) > MOST:
+            times, n = _cut(n)
+            to, ends = np.repeat(to, times), np.append(0, np.cumsum(times))[ends]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(np.stack([to, n], 1).ravel(), 2 * ends)], names=["w", "chunk", "chunks", "pairs"])
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What tasks sent of a row, one behind the other, as one row of lists again. A batch's last row waits for what the next one has of it."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        ends, numbers = _unpacked(batch.column("pairs"))
+        first = np.flatnonzero(_begins(batch))
+        offsets = pa.array(np.append(ends[first], ends[-1]) // 2, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(numbers[k::2])) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in batch.columns[:3]), *lists], names=["w", "chunk", "chunks", "to", "n"])
+
+    held = []
+    for batch in batches:
+        if batch.num_rows:
+            last = int(np.flatnonzero(_begins(batch))[-1])
+            if last or held and [held[-1][c][0] for c in ("w", "chunk")] != [batch[c][0] for c in ("w", "chunk")]:
+                yield joined([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+    if held:
+        yield joined(held)
+
+
+def _begins(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether a row is of another word or chunk than the row before it."""
+    w, chunk = (batch.column(c).to_numpy() for c in ("w", "chunk"))
+    return np.append(True, (w[1:] != w[:-1]) | (chunk[1:] != chunk[:-1]))[: len(w)]
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every neighbour of a row once, as stored."""
     for batch in batches:
         to, n = batch.column("to"), batch.column("n")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(to.offsets.to_numpy()))
-        keys, counts = _flat(row << 40 | to.flatten().to_numpy(), n.flatten().to_numpy())
+        row, to = np.repeat(np.arange(batch.num_rows), np.diff(to.offsets.to_numpy())), to.flatten().to_numpy()
+        bits = int(to.max(initial=0)).bit_length()
+        keys, counts = _flat(row << bits | to, n.flatten().to_numpy())
         if counts.max(initial=0) > MOST:
-            times = (counts - 1) // MOST + 1
-            keys, left = np.repeat(keys, times), np.repeat(counts, times)
-            counts = np.minimum(MOST, left - MOST * (np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)))
-        ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) << 40)
-        packed = [_packed(x, ends) for x in (keys & ((1 << 40) - 1), counts)]
+            times, counts = _cut(counts)
+            keys = np.repeat(keys, times)
+        ends = np.searchsorted(keys, np.arange(batch.num_rows + 1) << bits)
+        packed = [_packed(x, ends) for x in (keys & ((1 << bits) - 1), counts)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *packed], names=["w", "chunk", "chunks", "to", "n"])
 
 
@@ -455,7 +519,8 @@ def batch_gains(
 
 
 def _in_few_tasks(rows: DataFrame) -> DataFrame:
-    """A few tasks a core, however many partitions there are: what a task hands on by class is as much for a small partition as for a large one."""
+    """A few tasks a core, however many partitions there are: what a task hands on by class is as much for a small partition as for a large one,
+    and every file a task writes to a local folder makes the executor start other programs."""
     return rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
 
 
@@ -467,10 +532,10 @@ def _matrix(links: DataFrame, index: Index, steps: list[int], classes: int) -> n
         for batch in batches:
             w, to, n = _links_of(batch)
             # A pair is counted where its first word is, or, if that has no row, where its second is.
-            use = (to % 2 == 0) | (to >= 2 * size)
-            w, to, n = w[use], to[use], n[use]
-            own, other, before = of[w], of[to >> 1], to % 2 == 1
-            total += np.bincount(np.where(before, other, own) * width + np.where(before, own, other), n, width * width)
+            before = to % 2 == 1
+            after, alone = np.flatnonzero(~before), np.flatnonzero(before & (to >= 2 * size))
+            total += np.bincount(of[w[after]] * width + of[to[after] >> 1], n[after], width * width)
+            total += np.bincount(of[to[alone] >> 1] * width + of[w[alone]], n[alone], width * width)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
 
@@ -613,7 +678,7 @@ def train(
     folder = workspace(documents, "class-lm")
     texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts, f"{folder}/counts")
+    counts = written(_in_few_tasks(counts), f"{folder}/counts")
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     named = counts.where(F.col("word") != END)
     top = _most_frequent(named, head).collect()
@@ -624,10 +689,14 @@ def train(
     index = build_index(chosen, n_words, classes, folder)
     numbers = index.find(words)[0]
     shared = documents.sparkSession.sparkContext.broadcast((pa.array(words, pa.binary()), numbers))
-    links = texts.mapInArrow(lambda it: _links(it, index, *shared.value), LINKS).groupBy("w", "chunk", "chunks").agg(F.collect_list(F.struct("to", "n")).alias("parts"))
-    links = links.select("w", "chunk", "chunks", F.flatten("parts.to").alias("to"), F.flatten("parts.n").alias("n")).mapInArrow(_merged, STORED_LINKS)
-    links = written(links, f"{folder}/links")
-    steps, matrix = cluster(links, index, classes, rounds)
+    # Sorted rows need no more memory than a sort has, while lists collected by word take an executor's heap. The table is kept on the executors'
+    # disks for the steps below; those of very frequent words come last, so that a step passes over batches of the other kind.
+    links = texts.mapInArrow(lambda it: _sent(_links(it, index, *shared.value)), LINKS).repartition("w", "chunk")
+    links = links.sortWithinPartitions("chunks", "w", "chunk").mapInArrow(lambda it: _merged(_received(it)), STORED_LINKS).persist(StorageLevel.DISK_ONLY)
+    try:
+        steps, matrix = cluster(links, index, classes, rounds)
+    finally:
+        links.unpersist()
 
     seen, arrived = matrix.sum(axis=1, keepdims=True), matrix.sum(axis=0)
     even = (arrived + 1) / (arrived.sum() + len(arrived))
@@ -689,7 +758,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, carry: dict[str
     schema = rows.drop("text").schema
     for name, kind in (("n_tokens", LongType()), ("n_known", LongType()), ("base", DoubleType()), ("steps", DoubleType()), ("tail", TAIL)):
         schema = schema.add(name, kind)
-    placed = written(rows.mapInArrow(run, schema), f"{folder}/placed")
+    placed = written(_in_few_tasks(rows.mapInArrow(run, schema)), f"{folder}/placed")
 
     whole, rare = model.total + model.different + 1, model.rare_total + model.rare_different + 1
     left = placed.select("at", F.explode("tail").alias("t")).select("at", "t.word", "t.k").join(counts, "word", "left")
@@ -702,7 +771,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, carry: dict[str
     ends = counts.where(F.col("word") == END).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     end_base = float(np.log10((ends + 1) / whole))
     total = F.col("steps") + F.coalesce("more_steps", F.lit(0.0))
-    return placed.drop("tail").join(left, "at", "left").select(
+    scored = placed.drop("tail").join(left, "at", "left").select(
         "row",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
@@ -711,3 +780,4 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, carry: dict[str
         total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
+    return _in_few_tasks(scored)

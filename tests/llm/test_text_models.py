@@ -325,3 +325,53 @@ def test_all_labels_and_contexts_are_learned(spark):
     got = language_id.text_bits(model, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
     assert math.isclose(got[69], by_hand([texts[69][0]], data.decode(), "l69"), rel_tol=1e-5)
     assert got.argmin() == 69
+
+
+def test_links_are_sent_as_bytes_and_come_back():
+    """Also counts past 32 bits, slices of batches, and rows of several tasks, wherever a batch ends."""
+    rows = [(5, 0, 1, [8, 4], [1, 2**32 + 3]), (9, 0, 2, [2, 3, 4], [2**34, 1, 2]), (9, 1, 2, [6], [7])]
+    lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows]) for k in range(3)), *lists], names=["w", "chunk", "chunks", "to", "n"])
+    for first in (0, 1):
+        (sent,) = class_lm._sent([batch.slice(first)])
+        assert sent.schema.field("pairs").type == pa.binary()
+        thrice = sent.take(pa.array(np.repeat(np.arange(len(sent)), 3)))
+        for size in range(1, len(thrice) + 1):
+            cut = [sent.slice(0, 0), *(thrice.slice(k, size) for k in range(0, len(thrice), size))]
+            found, seen = Counter(), []
+            for stored in class_lm._merged(class_lm._received(cut)):
+                seen += zip(*(stored[c].to_pylist() for c in ("w", "chunk", "chunks")))
+                for w, to, n in zip(*class_lm._links_of(stored)):
+                    found[int(w), int(to)] += int(n)
+            assert seen == [r[:3] for r in rows[first:]]
+            assert found == {(r[0], to): 3 * n for r in rows[first:] for to, n in zip(r[3], r[4])}
+    assert not list(class_lm._received([sent.slice(0, 0)]))
+
+
+def test_links_are_not_collected_by_word_and_tables_have_few_files(spark, documents, monkeypatch):
+    plans, files, cluster, written = [], [], class_lm.cluster, class_lm.written
+
+    def clustered(links, *args):
+        plans.append(links._jdf.queryExecution().analyzed().toString())
+        return cluster(links, *args)
+
+    def stored(frame, path):
+        files.append(frame.rdd.getNumPartitions())
+        return written(frame, path)
+
+    monkeypatch.setattr(class_lm, "cluster", clustered)
+    monkeypatch.setattr(class_lm, "written", stored)
+    rows = documents.repartition(3 * class_lm.TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    model, counts = class_lm.train(rows, head=300, classes=8, rounds=1)
+    files.append(class_lm.score(rows, model, counts, {"doc_id": F.col("doc_id")}).rdd.getNumPartitions())
+    assert len(plans) == 1 and "collect_list" not in plans[0] and "Sort" in plans[0]
+    assert files and max(files) <= class_lm.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_sums_of_keys_do_not_depend_on_their_size():
+    rng = np.random.default_rng(3)
+    keys, values = rng.integers(0, 50, 400), rng.integers(1, 9, 400)
+    for scale in (1, 1 << 30, 1 << 57):
+        found = class_lm._flat(keys * scale, values)
+        assert [x.tolist() for x in found] == [(np.unique(keys) * scale).tolist(), [int(values[keys == k].sum()) for k in np.unique(keys)]]
+    assert [len(x) for x in class_lm._flat(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
