@@ -34,11 +34,16 @@ def try_categorize(rows: DataFrame, parameters: dict[str, str] | None = None) ->
     return leveled.select(*kept, F.when(error.isNull(), named).alias("category"), error.alias("step_error"))
 
 
-def categorize(rows: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
-    """Set category by the thresholds of each row's type; thresholds that cannot be read refuse the request."""
+def check_thresholds(parameters: dict[str, str] | None) -> None:
+    """Thresholds that cannot be read are an error."""
     for name, text in (parameters or {}).items():
         if name.startswith(PARAMETER_PREFIX):
             parse_thresholds(text)
+
+
+def categorize(rows: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
+    """Set category by the thresholds of each row's type; thresholds that cannot be read refuse the request."""
+    check_thresholds(parameters)
     kept = [c for c in rows.columns if c != "category"]
     leveled = with_thresholds(rows.select(*kept), parameters)
     return leveled.select(*kept, category(F.col("value"), F.col("low"), F.col("high"), F.col("critical")).alias("category"))

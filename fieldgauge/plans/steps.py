@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import definition_kind
 from ..operators import verdicts
-from ..operators.results import failed_batches, per_sensor_results, stamp, try_categorize
+from ..operators.results import check_thresholds, failed_batches, per_sensor_results, stamp, try_categorize
 from ..operators.versions import append_version, get_version
 from ..sources.drop_files import MAX_BYTES
 
@@ -245,6 +245,9 @@ def _store(run: StepRun, step: Step, _: StepContext) -> None:
 
 
 def _categorize(run: StepRun, step: Step, _: StepContext) -> None:
+    if "batch_number" not in run.rows.columns:
+        # No batch can fail alone, so thresholds that cannot be read fail the step.
+        check_thresholds(step.parameters)
     run.fold_errors(try_categorize(run.rows, step.parameters), step)
 
 
