@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lifecycle_prefix, relative_key, truncate
+from ..sources.drop_files import load_of
 
 # Fixed value: the outcome of a file that was gone when a run came to it.
 MISSING = "Missing"
@@ -16,6 +17,7 @@ def ledger_events(verdicts: DataFrame, run_id: Column | str, as_of: Column, pipe
     error = F.concat(F.col("error_type"), F.lit(": "), F.col("error"))
     return verdicts.select(
         F.col("file_key").alias("key"),
+        *load_of(verdicts),
         "status",
         (F.lit(run_id) if isinstance(run_id, str) else run_id).alias("run_id"),
         F.lit(pipeline).alias("pipeline"),
@@ -52,7 +54,7 @@ def claim_events(keys: DataFrame, run_id: Column, as_of: Column) -> DataFrame:
 def missing_events(keys: DataFrame, run_id: Column, as_of: Column, pipeline: str, pipeline_version: int) -> DataFrame:
     """Files that were gone when a run came to them."""
     return keys.select(
-        "key",
+        *keys.columns,
         F.lit(MISSING).alias("status"),
         run_id.alias("run_id"),
         F.lit(pipeline).alias("pipeline"),
@@ -97,7 +99,7 @@ def error_reports(verdicts: DataFrame, as_of: Column, pipeline: str, pipeline_ve
             as_of.alias("at"),
         )
     )
-    return verdicts.where(F.col("status") == "Invalid").select("file_key", body.alias("report"))
+    return verdicts.where(F.col("status") == "Invalid").select("file_key", *load_of(verdicts), body.alias("report"))
 
 
 def finalized_state(keys: DataFrame, listing: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def validate_rows(raw: DataFrame, as_of: Column) -> DataFrame:
 def valid_readings(validated: DataFrame) -> DataFrame:
     """The readings alone: data rows without a message."""
     rows = validated.where("is_row") if "is_row" in validated.columns else validated
-    kept = ["file_key", "line_number", *RAW_FIELDS]
+    kept = ["file_key", "load", "line_number", *RAW_FIELDS]
     return rows.where(F.col("message").isNull()).select(*[c for c in kept if c in validated.columns])
 
 

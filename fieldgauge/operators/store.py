@@ -14,9 +14,10 @@ Claims are taken by one writer at a time, as with any single streaming query; th
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,8 @@ SCAN_SCHEMA = (
     "at TIMESTAMP, listed BIGINT, dispatched BIGINT, already_running BIGINT, throttled BIGINT, missing BIGINT, re_dispatched BIGINT, swept BOOLEAN, source STRING"
 )
 
+SCAN_COUNTS = ["listed", "dispatched", "already_running", "throttled", "missing", "re_dispatched"]
+
 # Ids of one part of a compacted table; parts of a table without ids go by batches.
 PART_IDS, PART_BATCHES = 1 << 20, 1 << 10
 
@@ -105,6 +108,21 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.sql("SELECT 1 AS none WHERE false").select(*columns)
 
 
+def literal_array(values: list, kind: str) -> Column:
+    """A list as one constant, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def of_claim(claims: list[Claim], part: Column) -> Column:
+    """Load, attempt, token and source of the claim with that place in a list."""
+    return F.get(literal_array([asdict(c) for c in claims], "struct<source: string, load: bigint, attempt: int, token: string>"), part)
+
+
+def part_of(claims: list[Claim]) -> Column:
+    """The place of a row's claim in a list of claims, whose load numbers follow each other."""
+    return (F.col("load") - claims[0].load).cast("int").alias("part")
+
+
 class SensorStore:
     """Folders of one store and the ways to read and extend them."""
 
@@ -154,6 +172,44 @@ class SensorStore:
     def _own_claims(self, source: str) -> DataFrame:
         return self._read("claims", CLAIM_SCHEMA, f"source={folder_value(source)}").where("key is null")
 
+    def _of_sources(self, table: str, schema: str, folders: list[str]) -> DataFrame:
+        """The folders of some sources; those that are absent are left out, and without any nothing is read."""
+        there = [f"{self.path(table)}/{folder}" for folder in folders if self._exists(f"{self.path(table)}/{folder}")]
+        if not there:
+            return empty_table(self.spark, schema)
+        return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(*there)
+
+    def _newest_claims(self, sources: list[str]) -> dict[str, tuple[int, int]]:
+        """(load, attempt) of the newest claims of some sources."""
+        own = self._of_sources("claims", CLAIM_SCHEMA, [f"source={folder_value(s)}" for s in sources]).where("key is null")
+        return {r["source"]: (r["load"], r["attempt"]) for r in own.groupBy("source").agg(F.max("load").alias("load"), F.max("attempt").alias("attempt")).collect()}
+
+    def _folded_attempts(self, sources: list[str]) -> dict[str, int]:
+        folded = self._sources().where(F.col("source").isin(sources)).groupBy("source").agg(F.max("attempt").alias("attempt"))
+        return {r["source"]: r["attempt"] for r in folded.collect()}
+
+    def claimed_sources(self, sources: list[str]) -> set[str]:
+        """Those sources that were ever claimed, folded ones too."""
+        return {*self._newest_claims(sources), *self._folded_attempts(sources)}
+
+    def claim_all(self, sources: list[str], keys: DataFrame, as_of: Column) -> list[Claim]:
+        """Take the files (part, key, path) of several loads on, as `claim` does for one; `part` says which source a file goes to."""
+        own, folded, first = self._newest_claims(sources), self._folded_attempts(sources), self.next_load()
+        attempts = [max(own.get(s, (0, 0))[1], folded.get(s, 0)) + 1 for s in sources]
+        claims = [Claim(s, first + i, attempt, uuid.uuid4().hex) for i, (s, attempt) in enumerate(zip(sources, attempts))]
+        marks = self.spark.range(0, len(claims), 1, 1).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("path"))
+        own_values = of_claim(claims, F.col("part"))
+        rows = keys.select("part", "key", "path").unionByName(marks).withColumn("_claim", own_values)
+        rows = claim_events(rows.select("part", "key", "path", "_claim"), F.col("_claim.source"), as_of)
+        self._write_loads(rows.select("*", "_claim.attempt", "_claim.token", "_claim.load", "_claim.source").drop("_claim"), "claims", len(claims), ("source", "load"))
+        self._next_load = first + len(claims)
+        return claims
+
+    def _write_loads(self, rows: DataFrame, table: str, loads: int, partitions: tuple[str, ...]) -> None:
+        """Write the folders of several loads by one job, each load's rows (part) by one task; other folders stay."""
+        dealt = rows.repartitionById(loads, "part").drop("part")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(self.path(table))
+
     def claim(self, source: str, keys: DataFrame, as_of: Column) -> Claim:
         """Take files (key, path) on: the next attempt at a source, with a load number of its own."""
         own = self._own_claims(source).agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0]
@@ -222,6 +278,13 @@ class SensorStore:
             return True
         return not self._sources().where(F.col("source") == source).isEmpty()
 
+    def committed_sources(self, sources: list[str]) -> set[str]:
+        """Those of some sources that are committed, as `committed` tells of one."""
+        newest = self._newest_claims(sources)
+        below = [f"source={folder_value(s)}" + (f"/load={newest[s][0]}" if s in newest else "") for s in sources]
+        done = self._of_sources("ledger", LEDGER_SCHEMA, below).select("source").distinct().collect()
+        return {*(r["source"] for r in done), *self._folded_attempts(sources)}
+
     def superseded(self, after: int = 0) -> DataFrame:
         """(file_key, load) of stored loads past `after` that a newer outcome of the file replaced.
 
@@ -240,6 +303,11 @@ class SensorStore:
         columns = ["id", "file_key", "line_number", "sensor_id", "sensor_type", "timestamp", "value", "unit"]
         self._write(readings.select(*columns), f"{self.path('measurements')}/load={load}", ("sensor_type",))
 
+    def write_all_loads(self, claims: list[Claim], readings: DataFrame) -> None:
+        """Write the readings (load) of several loads, with their ids."""
+        columns = ["load", "id", "file_key", "line_number", "sensor_id", "sensor_type", "timestamp", "value", "unit"]
+        self._write_loads(readings.select(part_of(claims), *columns), "measurements", len(claims), ("load", "sensor_type"))
+
     def converted_path(self, load: int) -> str:
         """Where the normalized readings of a load lie."""
         return f"{self.path('converted')}/load={load}"
@@ -260,6 +328,34 @@ class SensorStore:
         if last_id is not None:
             self._next_id = last_id + 1
 
+    def write_all_reports(self, claims: list[Claim], reports: DataFrame) -> None:
+        self._write_loads(reports.select(part_of(claims), "*"), "reports", len(claims), ("load",))
+
+    def commit_all(self, claims: list[Claim], events: DataFrame, last_ids: list[int]) -> None:
+        """Append the file events (load) of several loads: they are written beside the ledger and become visible load by load, in the
+        order of their numbers, as a reader that goes by the newest load takes those before it as done."""
+        newest = self._newest_claims([claim.source for claim in claims])
+        for claim in claims:
+            if newest.get(claim.source, (claim.load,))[0] != claim.load:
+                raise LateWriter(f"attempt {claim.attempt} at {claim.source}: load {newest[claim.source][0]} was claimed after load {claim.load}")
+        part = F.col("part")
+        marks = empty_table(self.spark, LEDGER_SCHEMA).drop("load", "source", "last_id")
+        own = self.spark.range(0, len(claims), 1, 1).select(F.col("id").cast("int").alias("part"), F.get(literal_array(last_ids, "bigint"), F.col("id").cast("int")).alias("last_id"))
+        marks = marks.unionByName(own, allowMissingColumns=True)
+        rows = events.select(part_of(claims), "*").drop("load").unionByName(marks, allowMissingColumns=True).withColumn("_claim", of_claim(claims, part))
+        rows = rows.withColumn("token", F.col("_claim.token")).select("*", "_claim.load", "_claim.source").drop("_claim")
+        beside = f".staging-{uuid.uuid4().hex}"
+        self._write_loads(rows, f"ledger/{beside}", len(claims), ("source", "load"))
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for claim in claims:
+            source, load = f"source={folder_value(claim.source)}", f"load={claim.load}"
+            files.mkdirs(Path(f"{self.path('ledger')}/{source}"))
+            if not files.rename(Path(f"{self.path('ledger')}/{beside}/{source}/{load}"), Path(f"{self.path('ledger')}/{source}/{load}")):
+                raise OSError(f"load {claim.load} of {claim.source} could not be committed")
+        files.delete(Path(f"{self.path('ledger')}/{beside}"), True)
+        self._next_id = last_ids[-1] + 1
+
     def reports(self) -> DataFrame:
         """Error reports of committed loads."""
         return self._read("reports", REPORT_SCHEMA).join(self._visible_loads(), "load", "left_semi")
@@ -332,12 +428,22 @@ class SensorStore:
 
     def write_scan(self, source: str, as_of: Column, counts: dict[str, int], swept: bool) -> None:
         """Log one scan; a repeated micro-batch replaces its row."""
-        names = ["listed", "dispatched", "already_running", "throttled", "missing", "re_dispatched"]
+        names = SCAN_COUNTS
         row = self.spark.range(0, 1, 1, 1).select(as_of.cast("timestamp").alias("at"), *[F.lit(counts.get(n, 0)).cast("bigint").alias(n) for n in names], F.lit(swept).alias("swept"))
         self._write(row, f"{self.path('scans')}/source={folder_value(source)}")
         if swept:
             self._last_sweep = None
 
+    def write_scans(self, counts: dict[str, dict[str, int]], as_of: Column, swept: bool) -> None:
+        """Log the scans of several sources, the first of which may have swept."""
+        scans = [{**{n: c.get(n, 0) for n in SCAN_COUNTS}, "source": source, "swept": swept and i == 0} for i, (source, c) in enumerate(counts.items())]
+        kinds = ", ".join([f"{n}: bigint" for n in SCAN_COUNTS] + ["swept: boolean", "source: string"])
+        part = F.col("id").cast("int")
+        rows = self.spark.range(0, len(scans), 1, 1).select(part.alias("part"), as_of.cast("timestamp").alias("at"), F.get(literal_array(scans, f"struct<{kinds}>"), part).alias("_scan"))
+        self._write_loads(rows.select("part", "at", "_scan.*"), "scans", len(scans), ("source",))
+        if swept:
+            self._last_sweep = None
+
     # -- jobs -----------------------------------------------------------------
 
     def jobs(self) -> DataFrame:

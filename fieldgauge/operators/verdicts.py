@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_number
+from ..sources.drop_files import load_of
 from .rules import row_issues
 
 ISSUES_KEPT = 50
@@ -38,16 +39,17 @@ def file_profile(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:
     Issues are gathered by blocks of lines and cut to `keep`, then gathered by file and cut again: a list holds the issues of one block,
     or `keep` of each of a file's blocks, however long and bad the file.
     """
+    file = ["file_key", *load_of(validated), "file"]
     is_row = F.col("is_row") if "is_row" in validated.columns else F.lit(True)
     issue = F.when(F.col("message").isNotNull(), F.struct("line_number", "message"))
     first = lambda lists: F.slice(F.sort_array(lists), 1, keep)
-    blocks = validated.groupBy("file_key", "file", F.floor(F.coalesce("line_number", F.lit(0)) / BLOCK_LINES).alias("_block")).agg(
+    blocks = validated.groupBy(*file, F.floor(F.coalesce("line_number", F.lit(0)) / BLOCK_LINES).alias("_block")).agg(
         F.count_if(is_row).alias("total_rows"),
         F.count_if(is_row & F.col("message").isNotNull()).alias("invalid_rows"),
         F.max("line_number").alias("last_line"),
         first(F.collect_list(issue)).alias("issues"),
     )
-    files = blocks.groupBy("file_key", "file").agg(
+    files = blocks.groupBy(*file).agg(
         F.sum("total_rows").alias("total_rows"),
         F.sum("invalid_rows").alias("invalid_rows"),
         F.coalesce(F.max("last_line"), F.lit(0)).alias("last_line"),
@@ -55,7 +57,7 @@ def file_profile(validated: DataFrame, keep: int = ISSUES_KEPT) -> DataFrame:
     )
     valid = F.col("total_rows") - F.col("invalid_rows")
     issues = F.when(F.size("issues") > 0, F.col("issues"))
-    return files.select("file_key", "file.*", "total_rows", "invalid_rows", valid.alias("valid_rows"), "last_line", issues.alias("issues"))
+    return files.select(*file[:-1], "file.*", "total_rows", "invalid_rows", valid.alias("valid_rows"), "last_line", issues.alias("issues"))
 
 
 def issue_text(issues: Column, shown: int = ISSUES_SHOWN) -> Column:
@@ -133,6 +135,7 @@ def with_status(files: DataFrame) -> DataFrame:
     counted = F.col("validated")
     return files.select(
         "file_key",
+        *load_of(files),
         F.when(stored, "Stored").otherwise("Invalid").alias("status"),
         "size_bytes",
         "checksum",

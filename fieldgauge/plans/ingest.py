@@ -6,16 +6,18 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import accumulate
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ledger import error_reports, ledger_events, missing_events
 from ..operators.rules import valid_readings, validate_rows
-from ..operators.store import SensorStore
+from ..operators.store import SensorStore, of_claim, part_of
 from ..operators.verdicts import file_profile, open_verdict, with_status
-from ..sources.drop_files import MAX_BYTES, as_files, fetch, parse_rows
+from ..sources.drop_files import MAX_BYTES, as_files, fetch, load_of, parse_rows
 from ..sources.listing import empty_objects, existing_paths, few_listing_tasks, file_count, key_under, parts_of, scan_folder
 from ..sources.normalized import read_normalized, write_normalized
 from .steps import FILE_INGESTION, Definition, run_steps
@@ -36,8 +38,9 @@ def verdicts_of(validated: DataFrame, definition: Definition) -> DataFrame:
 
 def stored_readings(validated: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Valid rows of stored files. No hint: a load's verdicts are small, Spark checks their size."""
-    stored = verdicts.where(F.col("status") == "Stored").select("file_key")
-    return valid_readings(validated).join(stored, "file_key", "left_semi")
+    key = ["file_key", *load_of(verdicts)]
+    stored = verdicts.where(F.col("status") == "Stored").select(*key)
+    return valid_readings(validated).join(stored, key, "left_semi")
 
 
 def size_limit(definition: Definition) -> int | None:
@@ -53,6 +56,17 @@ def plan_load(files: DataFrame, as_of: Column, definition: Definition = FILE_ING
     return LoadPlan(validated, verdicts, stored_readings(validated, verdicts))
 
 
+def with_all_ids(readings: DataFrame, verdicts: DataFrame, first: int, loads: list[int]) -> tuple[DataFrame, list[int]]:
+    """Readings of several loads with their ids, as `with_ids` gives them load after load, and the last id up to each load."""
+    stored = verdicts.where(F.col("status") == "Stored").select("load", "file_key", F.col("last_line").cast("bigint").alias("span"))
+    before = F.sum("span").over(Window.orderBy("load", "file_key").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stored.select("load", "file_key", (F.coalesce(before, F.lit(0)) + first - 1).alias("_start"))
+    spans = {r["load"]: r["span"] for r in stored.groupBy("load").agg(F.sum("span").alias("span")).collect()}
+    last = [first - 1 + n for n in accumulate(spans.get(load, 0) for load in loads)]
+    numbered = readings.join(starts, ["load", "file_key"])
+    return numbered.withColumn("id", F.col("_start") + F.col("line_number")).drop("_start"), last
+
+
 def with_ids(readings: DataFrame, verdicts: DataFrame, first: int) -> tuple[DataFrame, int]:
     """Readings with their ids, and the last id given out.
 
@@ -108,6 +122,50 @@ def ingest_load(
     return claim.load
 
 
+def ingest_loads(
+    store: SensorStore,
+    files: DataFrame,
+    sources: list[str],
+    definition: Definition = FILE_INGESTION,
+    as_of: datetime | None = None,
+    missing: DataFrame | None = None,
+) -> list[int]:
+    """Ingest files as several loads, none of which is committed, in one pass: what `ingest_load` does for each of them in turn.
+
+    `part` of the files, and of the `missing` (part, key), says which source they go to. Every load has its own claim, folders, ledger
+    rows and ids; the files are read, checked and written once for all of them, as a pass over few files costs as much as one over many.
+    """
+    now = F.lit(as_of or datetime.now(timezone.utc))
+    claims = store.claim_all(sources, files.select("part", F.col("file_key").alias("key"), "path"), now)
+    loads = [claim.load for claim in claims]
+    load = (F.col("part") + loads[0]).cast("bigint").alias("load")
+    plan = plan_load(files.select(load, "*").drop("part", "path"), now, definition)
+    plan.validated.persist(StorageLevel.MEMORY_AND_DISK)
+    plan.verdicts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # The reports are first: what follows finds checked rows and verdicts there, and no task waits for another that parses the same file.
+        store.write_all_reports(claims, error_reports(plan.verdicts, now, definition.name, definition.version))
+        readings = plan.readings
+        if definition.step("ingest.convert"):
+            # A load's rows go to one task, and so to one file.
+            dealt = readings.select(part_of(claims), "*").repartitionById(len(loads), "part").drop("part")
+            write_normalized(dealt, store.path("converted"))
+            folders = [f"load={n}" for n in loads if store._exists(store.converted_path(n))]
+            readings = read_normalized(store.spark, store.path("converted"), folders) if folders else readings.where("false")
+        readings, last_ids = with_all_ids(readings, plan.verdicts, store.next_id(), loads)
+        store.write_all_loads(claims, readings)
+        source = of_claim(claims, part_of(claims))["source"]
+        events = ledger_events(plan.verdicts, source, now, definition.name, definition.version)
+        if missing is not None:
+            gone = missing_events(missing.select("key", load), source, now, definition.name, definition.version)
+            events = events.unionByName(gone, allowMissingColumns=True)
+        store.commit_all(claims, events, last_ids)
+    finally:
+        plan.verdicts.unpersist()
+        plan.validated.unpersist()
+    return loads
+
+
 KeyOf = Callable[[Column], Column] | None
 
 
@@ -153,14 +211,24 @@ def named_scan(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def named_files(spark: SparkSession, root: str, paths: list[str], key_of: KeyOf = None, max_bytes: int | None = MAX_BYTES) -> tuple[DataFrame, DataFrame, int]:
     """The files at some paths, the keys of those that are gone, and how many there are of them. The paths are one load's."""
-    found = existing_paths(spark, paths)
-    there = [path for path in paths if path in found]
-    gone = spark.createDataFrame([(path,) for path in paths if path not in found], "path string")
+    files, lost = found_files(spark, root, paths, key_of, max_bytes)
+    gone = spark.createDataFrame([(path,) for path in lost], "path string")
     key = key_under(root, F.col("path"))
-    missing = gone.select((key_of(key) if key_of else key).alias("key"))
-    if not there:
-        return no_files(spark), missing, len(paths)
-    return sized_files(named_scan(spark, there), root, key_of, max_bytes), missing, len(paths) - len(there)
+    return files, gone.select((key_of(key) if key_of else key).alias("key")), len(lost)
+
+
+def found_files(spark: SparkSession, root: str, paths: list[str], key_of: KeyOf = None, max_bytes: int | None = MAX_BYTES) -> tuple[DataFrame, list[str]]:
+    """The files at some paths, and those paths that name none. Paths are asked for one by one only where Spark misses one."""
+    lost: list[str] = []
+    try:
+        scan = named_scan(spark, paths) if paths else None
+    except AnalysisException as missed:
+        if missed.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = existing_paths(spark, paths)
+        lost = [path for path in paths if path not in found]
+        scan = named_scan(spark, [path for path in paths if path in found]) if found else None
+    return no_files(spark) if scan is None else sized_files(scan, root, key_of, max_bytes), lost
 
 
 def no_files(spark: SparkSession) -> DataFrame:

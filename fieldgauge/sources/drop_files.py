@@ -23,6 +23,11 @@ BYTE_ORDER_MARK = "\ufeff"
 FILE_COLUMNS = ["size_bytes", "checksum", "format", "fatal_error"]
 
 
+def load_of(rows: DataFrame) -> list[str]:
+    """The column that tells loads apart, where rows of several loads go through one pass."""
+    return ["load"] if "load" in rows.columns else []
+
+
 def detect_format(key: Column) -> Column:
     extension = F.lower(F.regexp_extract(key, r"(\.[^./]*)$", 1))
     return F.when(extension == ".csv", "csv").when(extension == ".json", "json").otherwise("unknown")
@@ -58,6 +63,7 @@ def fetch(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     content = F.when(F.col("size_bytes") <= max_bytes, F.col("content")) if max_bytes is not None else F.col("content")
     return files.select(
         "file_key",
+        *load_of(files),
         "size_bytes",
         F.sha2(content, 256).alias("checksum"),
         detect_format(F.col("file_key")).alias("format"),
@@ -70,8 +76,9 @@ def parse_rows(fetched: DataFrame) -> DataFrame:
 
     Columns: file_key, file (size, checksum, format and fatal error as one struct, so that a
     row carries one column for them), is_row, line_number, the five raw fields as text and
-    row_error. A marker row has is_row = false.
+    row_error. A marker row has is_row = false. Where several loads are parsed together, their rows keep load.
     """
+    loads = load_of(fetched)
     decoded = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(F.startswith(decoded, F.lit(BYTE_ORDER_MARK)), F.substring(decoded, 2, 2**31 - 1)).otherwise(decoded)
     is_csv, is_json = F.col("format") == "csv", F.col("format") == "json"
@@ -104,24 +111,27 @@ def parse_rows(fetched: DataFrame) -> DataFrame:
     exploded = (
         staged.select(
             "file_key",
+            *loads,
             F.struct(*FILE_COLUMNS).alias("file"),
             F.when(good, F.col("_lines")).alias("_lines"),
             F.when(good, F.col("_items")).alias("_items"),
         )
-        .select("file_key", "file", "_items", F.posexplode_outer("_lines").alias("_line_pos", "_line"))
+        .select("file_key", *loads, "file", "_items", F.posexplode_outer("_lines").alias("_line_pos", "_line"))
         # The header stays as the marker row of its file.
         .where(F.col("_line_pos").isNull() | (F.col("_line_pos") == 0) | has_text(F.col("_line")))
-        .select("file_key", "file", "_line_pos", "_line", F.posexplode_outer("_items").alias("_item_pos", "_item"))
+        .select("file_key", *loads, "file", "_line_pos", "_line", F.posexplode_outer("_items").alias("_item_pos", "_item"))
     )
     return _fields(exploded)
 
 
 def _fields(exploded: DataFrame) -> DataFrame:
+    loads = load_of(exploded)
     from_csv = F.col("_line_pos") > 0
     from_json = F.col("_item_pos").isNotNull()
     members = F.array(*[F.col("_object")[name] for name in JSON_NAMES])
     parts = exploded.withColumn("_object", F.when(from_json, F.col("_item").try_cast("map<string,variant>"))).select(
         "file_key",
+        *loads,
         "file",
         F.coalesce(from_csv | from_json, F.lit(False)).alias("is_row"),
         (F.coalesce("_line_pos", "_item_pos") + 1).cast("int").alias("line_number"),
@@ -134,7 +144,7 @@ def _fields(exploded: DataFrame) -> DataFrame:
         F.size("_parts") != width, F.concat(F.lit(f"Expected {width} fields, got "), F.size("_parts").cast("string"))
     )
     fields = [F.get("_parts", F.lit(i)).alias(name) for i, name in enumerate(CSV_HEADER)]
-    return parts.select("file_key", "file", "is_row", "line_number", *fields, row_error.alias("row_error"))
+    return parts.select("file_key", *loads, "file", "is_row", "line_number", *fields, row_error.alias("row_error"))
 
 
 def _scalar_text(member: Column) -> Column:

@@ -1,9 +1,12 @@
 """Inboxes of very many small files."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from fieldgauge.operators.store import SensorStore
-from fieldgauge.plans import standins
+from fieldgauge.plans import ingest, standins
 from fieldgauge.plans.ingest import folder_files, named_files
 from fieldgauge.plans.queries_streams import AS_OF, drop_folder, folder_key
 from fieldgauge.sources.listing import list_objects
@@ -62,3 +65,111 @@ def test_stream_sets_the_listing_for_itself_only(spark, drop, tmp_path):
     ingest_stream(spark, drop.inbox, store, str(tmp_path / "log"), max_files=35, as_of=AS_OF).awaitTermination()
     assert spark.conf.get(name) == before
     assert SensorStore(spark, store).measurements().count() == 40
+
+
+HEADER = "sensor_id,sensor_type,timestamp,value,unit"
+
+
+def readings(*values):
+    return "\n".join([HEADER, *(f"s-{v},temperature,2026-01-01T00:00:00Z,{v},C" for v in values), ""])
+
+
+def live(store):
+    return sorted((r["file_key"], r["line_number"], r["value"]) for r in store.measurements().collect())
+
+
+def scans(store):
+    return sorted((r["source"], r["listed"], r["dispatched"], r["missing"]) for r in store.scans().collect())
+
+
+def test_loads_of_a_backlog_share_a_pass(spark, drop, tmp_path):
+    """Loads stay as small as asked for and each leaves its scan, but they are read, checked and written together."""
+    for n in range(11):
+        drop(f"{n:02}.csv", readings(n, n + 20))
+        os.utime(Path(drop.inbox) / f"{n:02}.csv", (1_700_000_000 + n,) * 2)
+    drop("11.csv", ""), drop("12.csv", readings("x")), drop("13.json", "[")
+    store, log = SensorStore(spark, str(tmp_path / "store")), tmp_path / "log"
+    ingest_stream(spark, drop.inbox, store.root, str(log), max_files=5, as_of=AS_OF).awaitTermination()
+    assert [p.name for p in (log / "commits").glob("[0-9]*")] == ["0"]
+    assert scans(store) == [("inbox-0", 5, 5, 0), ("inbox-0.1", 5, 5, 0), ("inbox-0.2", 4, 4, 0)]
+    assert live(store) == sorted((f"{n:02}.csv", line, float(v)) for n in range(11) for line, v in ((2, n), (3, n + 20)))
+    files = {r["key"]: (r["status"], r["load"], r["source"], r["run_id"], r["attempts"]) for r in store.files().collect()}
+    assert files["04.csv"] == ("Stored", 1, "inbox-0", "inbox-0", 1) and files["05.csv"] == ("Stored", 2, "inbox-0.1", "inbox-0.1", 1)
+    assert files["10.csv"][:2] == ("Stored", 3) and {files[k][:2] for k in ("11.csv", "12.csv", "13.json")} == {("Invalid", 3)}
+    assert store.reports().groupBy("load").count().collect() == [(3, 3)]
+    # A stored file takes as many ids as it has lines, load after load.
+    ids = {(r["file_key"], r["line_number"]): r["id"] for r in store.measurements().collect()}
+    assert ids == {(f"{n:02}.csv", line): 3 * n + line for n in range(11) for line in (2, 3)}
+    assert store.claims().where("key is not null").groupBy("load").count().orderBy("load").collect() == [(1, 5), (2, 5), (3, 4)]
+    assert SensorStore(spark, store.root).next_load() == 4 and SensorStore(spark, store.root).next_id() == store.events().agg(F.max("last_id")).first()[0] + 1
+
+
+def test_a_later_load_of_a_pass_replaces_an_earlier_one(spark, drop, tmp_path):
+    drop("z/a.csv", readings(1, 2)), drop("b.csv", readings(3)), drop("a/a.csv", readings(4))
+    for age, name in enumerate(("z/a.csv", "b.csv", "a/a.csv")):
+        os.utime(Path(drop.inbox) / name, (1_700_000_000 + age,) * 2)
+    store = SensorStore(spark, str(tmp_path / "store"))
+    ingest_stream(spark, drop.inbox, store.root, str(tmp_path / "log"), max_files=1, as_of=AS_OF, key_of=folder_key).awaitTermination()
+    assert live(store) == [("a.csv", 2, 4.0), ("b.csv", 2, 3.0)]
+
+
+def test_a_repeated_pass_takes_only_loads_not_committed(spark, drop, tmp_path):
+    for n in range(6):
+        drop(f"{n}.csv", readings(n))
+        os.utime(Path(drop.inbox) / f"{n}.csv", (1_700_000_000 + n,) * 2)
+    root, log = tmp_path / "store", tmp_path / "log"
+    run = lambda most=2: ingest_stream(spark, drop.inbox, str(root), str(log), max_files=most, as_of=AS_OF).awaitTermination()
+    attempts = lambda: {r["key"]: r["attempts"] for r in SensorStore(spark, str(root)).files().collect()}
+
+    def cut():
+        for p in (log / "commits").iterdir():
+            p.unlink()
+
+    run()
+    cut()
+    run()
+    assert attempts() == {f"{n}.csv": 1 for n in range(6)}
+    for p in (root / "ledger" / "source=inbox-0.1").rglob("*"):
+        if p.is_file():
+            p.unlink()
+    (Path(drop.inbox) / "3.csv").unlink()
+    cut()
+    run()
+    assert attempts() == {f"{n}.csv": 2 if n in (2, 3) else 1 for n in range(6)}
+    store = SensorStore(spark, str(root))
+    assert live(store) == [(f"{n}.csv", 2, float(n)) for n in (0, 1, 2, 4, 5)]
+    assert {r["key"]: r["status"] for r in store.files().collect()}["3.csv"] == "Missing"
+    assert scans(store) == [("inbox-0", 2, 2, 0), ("inbox-0.1", 2, 1, 1), ("inbox-0.2", 2, 2, 0)]
+
+
+def test_a_load_of_all_files_is_not_taken_again_in_parts(spark, drop, tmp_path):
+    for n in range(4):
+        drop(f"{n}.csv", readings(n))
+    root, log = str(tmp_path / "store"), tmp_path / "log"
+    for most in (10, 1):
+        ingest_stream(spark, drop.inbox, root, str(log), max_files=most, as_of=AS_OF).awaitTermination()
+        for p in (log / "commits").iterdir():
+            p.unlink()
+    assert {r["attempts"] for r in SensorStore(spark, root).files().collect()} == {1}
+
+
+def test_an_interval_takes_one_load_a_scan(spark, drop, tmp_path):
+    for n in range(3):
+        drop(f"{n}.csv", readings(n))
+    store = SensorStore(spark, str(tmp_path / "store"))
+    query = ingest_stream(spark, drop.inbox, store.root, str(tmp_path / "log"), interval_seconds=1, max_files=2, as_of=AS_OF)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert scans(store) == [("inbox-0", 2, 2, 0), ("inbox-1", 1, 1, 0)]
+
+
+def test_paths_are_asked_for_one_by_one_only_where_some_are_gone(spark, drop, monkeypatch):
+    drop("a.csv", readings(1)), drop("b.csv", readings(2))
+    asked, existing = [], ingest.existing_paths
+    monkeypatch.setattr(ingest, "existing_paths", lambda spark, paths: asked.append(len(paths)) or existing(spark, paths))
+    paths = [f"{drop.inbox}/{name}.csv" for name in "ab"]
+    assert named_files(spark, drop.inbox, paths)[0].count() == 2 and asked == []
+    files, missing, gone = named_files(spark, drop.inbox, [*paths, f"{drop.inbox}/c.csv"])
+    assert (files.count(), [r["key"] for r in missing.collect()], gone, asked) == (2, ["c.csv"], 1, [3])
