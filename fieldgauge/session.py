@@ -15,11 +15,22 @@ RESULT_SETTINGS = {
 }
 
 
+# Tasks that look up the names given to a reader; Spark's default makes a task of every name up to 10,000.
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_DEFAULT, LISTING_LEAST = "10000", 32
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on; sizing stays with the cluster."""
+    """Apply the settings results depend on; sizing stays with the cluster.
+
+    Only where nothing else was asked for, names are listed by few tasks: a stream lists those of each micro-batch with the settings of
+    the session it was made in.
+    """
     for key, value in RESULT_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.conf.get(LISTING_TASKS) == LISTING_DEFAULT:
+        spark.conf.set(LISTING_TASKS, str(max(LISTING_LEAST, spark.sparkContext.defaultParallelism)))
     return spark
 
 

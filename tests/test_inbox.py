@@ -9,6 +9,7 @@ from fieldgauge.operators.store import SensorStore
 from fieldgauge.plans import ingest, standins
 from fieldgauge.plans.ingest import folder_files, named_files
 from fieldgauge.plans.queries_streams import AS_OF, drop_folder, folder_key
+from fieldgauge.session import LISTING_TASKS, configure
 from fieldgauge.sources.listing import list_objects
 from fieldgauge.streaming.inbox import ingest_stream, sweep_due
 
@@ -165,6 +166,20 @@ def test_an_interval_takes_one_load_a_scan(spark, drop, tmp_path):
     assert scans(store) == [("inbox-0", 2, 2, 0), ("inbox-1", 1, 1, 0)]
 
 
+def test_names_are_listed_by_few_tasks(spark):
+    """A stream lists the names of its micro-batches with the settings of the session; Spark would make a task of each."""
+    asked = spark.conf.get(LISTING_TASKS)
+    try:
+        spark.conf.unset(LISTING_TASKS)
+        configure(spark)
+        assert int(spark.conf.get(LISTING_TASKS)) <= max(32, spark.sparkContext.defaultParallelism)
+        spark.conf.set(LISTING_TASKS, "77")
+        configure(spark)
+        assert spark.conf.get(LISTING_TASKS) == "77"
+    finally:
+        spark.conf.set(LISTING_TASKS, asked)
+
+
 def test_paths_are_asked_for_one_by_one_only_where_some_are_gone(spark, drop, monkeypatch):
     drop("a.csv", readings(1)), drop("b.csv", readings(2))
     asked, existing = [], ingest.existing_paths
