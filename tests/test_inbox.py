@@ -3,14 +3,16 @@
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldgauge.operators.store import SensorStore
+from fieldgauge.operators.store import SensorStore, folder_value
 from fieldgauge.plans import ingest, standins
-from fieldgauge.plans.ingest import folder_files, named_files
+from fieldgauge.plans.ingest import folder_files, ingest_loads, named_files
 from fieldgauge.plans.queries_streams import AS_OF, drop_folder, folder_key
 from fieldgauge.session import LISTING_TASKS, configure
 from fieldgauge.sources.listing import list_objects
+from fieldgauge.streaming.categorizer import categorize_stream
 from fieldgauge.streaming.inbox import ingest_stream, sweep_due
 
 SF = "/root/testdata/sf0.01"
@@ -188,3 +190,22 @@ def test_paths_are_asked_for_one_by_one_only_where_some_are_gone(spark, drop, mo
     assert named_files(spark, drop.inbox, paths)[0].count() == 2 and asked == []
     files, missing, gone = named_files(spark, drop.inbox, [*paths, f"{drop.inbox}/c.csv"])
     assert (files.count(), [r["key"] for r in missing.collect()], gone, asked) == (2, ["c.csv"], 1, [3])
+
+
+def test_loads_of_a_pass_become_visible_in_order(spark, drop, tmp_path):
+    """The categorizer takes all loads up to the newest, so none may be seen before one ahead of it."""
+    for n in range(3):
+        drop(f"{n}.csv", readings(n))
+    store, sources = SensorStore(spark, str(tmp_path / "store")), ["c", "b:1", "a"]
+    part = F.substring("file_key", 1, 1).cast("int").alias("part")
+    take = lambda some: ingest_loads(store, folder_files(spark, drop.inbox).select("*", part), some, as_of=AS_OF)
+    blocked = tmp_path / "store" / "ledger" / f"source={folder_value('b:1')}"
+    blocked.parent.mkdir(parents=True)
+    blocked.write_text("")
+    with pytest.raises(Exception):
+        take(sources)
+    assert [p.name for p in blocked.parent.glob("source=*/load=*")] == ["load=1"]
+    blocked.unlink()
+    assert take(sources) == [4, 5, 6]
+    categorize_stream(spark, store.root, str(tmp_path / "categories"), as_of=AS_OF).awaitTermination()
+    assert sorted((r["file_key"], r["category"], r["load"]) for r in store.categorized().collect()) == [("0.csv", "LOW", 4), ("1.csv", "LOW", 5), ("2.csv", "LOW", 6)]
