@@ -47,6 +47,8 @@ def local_session(cpus: str | int = "*", app: str = "fieldgauge", shuffle_partit
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # The JVM does not compile methods over 8000 bytes of code; better to split such stages.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # A long test run asks its status tracker for stages; by default records past 1,000 go, those of skipped stages first.
+        .config("spark.ui.retainedStages", "100000")
         # Without a call-site lookup per expression, plans are built several times faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
